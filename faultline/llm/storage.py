@@ -1,0 +1,31 @@
+"""Intermediate tables in the folder that all executors share."""
+
+from __future__ import annotations
+
+import tempfile
+import uuid
+
+from pyspark.sql import DataFrame, SparkSession
+
+
+def shared_dir(spark: SparkSession) -> str:
+    """A new folder name under spark.checkpoint.dir.
+
+    Only where the session names no folder (tests, notebooks) a local one is chosen.
+    """
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        base = "file://" + tempfile.gettempdir()
+    return f"{base.rstrip('/')}/faultline-{uuid.uuid4().hex}"
+
+
+def materialize(df: DataFrame) -> DataFrame:
+    """Write df as Parquet into the shared folder and read it back.
+
+    This cuts the lineage: a lost executor costs a re-read of files, never a new
+    evaluation that could number rows in another way.
+    """
+    spark = df.sparkSession
+    path = shared_dir(spark)
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
