@@ -7,6 +7,8 @@ from pyspark.sql import DataFrame, SparkSession
 
 from .bpe import round_trip
 from .exact_dedup import exact_dedup
+from .token_counts import token_counts
+from .token_shards import token_shards
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -39,3 +41,13 @@ SELECT doc_id, keep_id, CAST(group_size AS BIGINT) AS group_size, doc_id = keep_
 @query
 def op5_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return round_trip(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+
+
+@query
+def op3_unigram_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
+
+
+@query
+def op10_token_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_shards(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
