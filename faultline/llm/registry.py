@@ -6,6 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from .bpe import round_trip
+from .decontaminate import contamination
 from .exact_dedup import exact_dedup
 from .token_counts import token_counts
 from .token_shards import token_shards
@@ -51,3 +52,8 @@ def op3_unigram_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op10_token_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_shards(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+
+
+@query
+def op4_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
