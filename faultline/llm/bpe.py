@@ -28,9 +28,11 @@ from pyspark.sql import functions as F
 #: How byte-level BPE files cut a text into words (public pattern).
 WORDS = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 #: Pieces in a generation of what a worker remembers; it keeps two. Bounds its memory, not the results.
-MEMO = 250_000
+MEMO = 400_000
 #: Code points below it are of the same class in all releases of Unicode that the libraries use.
 SETTLED = "\u0530"
+#: ASCII characters that are neither letters nor digits nor white space.
+MARKS = frozenset("!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~")
 #: A space that has white space on either side is no place to cut a text.
 UNSAFE = re.compile(r"\s (?!\S)")
 
@@ -135,66 +137,84 @@ class Vocabulary:
 
 
 class Coder:
-    """Encodes and decodes texts; remembers the pieces it has met."""
+    """Encodes and decodes texts; remembers the pieces it has met.
+
+    A text is cut at its spaces where that cuts no word: `head` holds pieces that begin a text,
+    `rest` those that follow a space, written without it. Each knows the number of its ids,
+    the ids joined by commas and the text that they decode to.
+    """
 
     def __init__(self, path: str):
         self.vocabulary = Vocabulary(path)
-        self.words = regex.compile(WORDS)
+        self.words = regex.compile(WORDS).findall
         self.cutter = ByteLevel(add_prefix_space=False, use_regex=True)
         self.specials = re.compile("(" + "|".join(map(re.escape, sorted(self.vocabulary.special, key=len, reverse=True))) + ")") if self.vocabulary.special else None
-        self.known: dict[str, tuple[int, str, str]] = {}
+        self.digits = {i: str(i) for i in self.vocabulary.bytes_of}
+        self.head: dict[str, tuple[int, str, str]] = {}
+        self.rest: dict[str, tuple[int, str, str]] = {}
         self.older: dict[str, tuple[int, str, str]] = {}
-        self.of_word: dict[str, list[int]] = {}
-        self.older_words: dict[str, list[int]] = {}
-
-    def pieces(self, text: str) -> list[str]:
-        """Cuts a text where the words of its parts are those of the whole: before a space that ends its run of white space."""
-        if UNSAFE.search(text):
-            return [text]
-        head, *rest = text.split(" ")
-        return [head, *[" " + x for x in rest]] if head else [" " + x for x in rest]
-
-    def _words(self, piece: str) -> Iterator[str | int]:
-        special = self.vocabulary.special
-        for part in self.specials.split(piece) if self.specials else [piece]:
-            if part in special:
-                yield special[part]
-            elif not part or max(part) < SETTLED:
-                yield from self.words.findall(part)
-            else:  # the tokenizers library has the last word on what is a letter
-                yield from (part[a:b] for _, (a, b) in self.cutter.pre_tokenize_str(part))
-
-    def learn(self, pieces: Iterable[str]) -> None:
-        """Makes the pieces known: the distinct new words of those not met before go through the trie at once."""
-        new, older = {}, self.older
-        for p in pieces:
-            if p in older:
-                self.known[p] = older[p]
+
+    def _cut(self, text: str) -> list[str]:
+        """Words of a text without special strings."""
+        if text.isascii() or max(text) < SETTLED:
+            return self.words(text)
+        return [text[a:b] for _, (a, b) in self.cutter.pre_tokenize_str(text)]  # the library has the last word on what is a letter
+
+    def _cut_piece(self, piece: str) -> list[str]:
+        """Words of a piece with its space; most pieces are letters, or letters and one mark."""
+        if piece.isascii() or (piece and max(piece) < SETTLED):
+            if piece.isalpha():
+                return [" " + piece]
+            if piece[-1:] in MARKS and piece[:-1].isalpha():
+                return [" " + piece[:-1], piece[-1]]
+            return self.words(" " + piece)
+        return self._cut(" " + piece)
+
+    def _entry(self, ids: list[int]) -> tuple[int, str, str]:
+        return len(ids), ",".join([self.digits[i] for i in ids]), self.decode(ids)
+
+    def learn(self, heads: set[str], rests: set[str]) -> None:
+        """Makes pieces known: the distinct new words in them go through the trie at once."""
+        head, rest, older = self.head, self.rest, self.older
+        rest.update([(p, older[p]) for p in rests if p in older])
+        cut = {p: self._cut_piece(p) for p in rests if p not in older}
+        whole: dict[str, list] = {}
+        for p in heads:
+            parts = self.specials.split(p) if self.specials else [p]
+            whole[p] = [w for k, part in enumerate(parts) for w in ([self.vocabulary.special[part]] if k % 2 else self._cut(part) if part else ())]
+        # A word that begins with a space is known as a piece; the others as heads.
+        words = {w for ws in (*cut.values(), *whole.values()) for w in ws if isinstance(w, str)}
+        new = sorted([w.encode() for w in words if (w[1:] not in rest if w[0] == " " else w not in head)])
+        for word, ids in self.vocabulary.encode_sorted(new):
+            w = word.decode()
+            if w[0] == " ":
+                rest[w[1:]] = self._entry(ids)
             else:
-                new[p] = list(self._words(p))
-        of_word, older_words = self.of_word, self.older_words
-        fresh = {w for ws in new.values() for w in ws if isinstance(w, str) and w not in of_word}
-        of_word.update((w, older_words[w]) for w in fresh if w in older_words)
-        for word, ids in self.vocabulary.encode_sorted(sorted(w.encode() for w in fresh if w not in older_words)):
-            of_word[word.decode()] = ids
-        for p, ws in new.items():
-            ids = [i for w in ws for i in (of_word[w] if isinstance(w, str) else (w,))]
-            text = self.decode(ids)
-            self.known[p] = (len(ids), ",".join(map(str, ids)), p if p == text else text)
+                head[w] = self._entry(ids)
+
+        def joined(ws: list) -> tuple[int, str, str]:
+            got = [self._entry([w]) if not isinstance(w, str) else rest[w[1:]] if w[0] == " " else head[w] for w in ws]
+            return sum([g[0] for g in got]), ",".join([g[1] for g in got]), "".join([g[2] for g in got])
+
+        rest.update([(p, joined(ws)) for p, ws in cut.items() if len(ws) > 1])
+        head.update([(p, joined(ws)) for p, ws in whole.items()])
 
     def forget(self) -> None:
-        if len(self.known) > MEMO:
-            self.older, self.known = self.known, {}
-        if len(self.of_word) > MEMO:
-            self.older_words, self.of_word = self.of_word, {}
+        if len(self.rest) > MEMO:
+            self.older, self.rest = self.rest, {}
+        if len(self.head) > MEMO:
+            self.head = {}
 
     def batch(self, texts: list[str]) -> Iterator[tuple[int, str, str]]:
         """Of each text: number of ids, ids joined by commas, decoded text."""
-        cut = [self.pieces(x) for x in texts]
-        known = self.known
-        self.learn({p for ps in cut for p in ps if p not in known})
-        for ps in cut:
-            got = [known[p] for p in ps if p]
+        cut = [[x] if UNSAFE.search(x) or (self.specials and self.specials.search(x)) else x.split(" ") for x in texts]
+        head, rest = self.head, self.rest
+        self.learn({c[0] for c in cut if c[0] not in head}, {p for c in cut for p in c[1:] if p not in rest})
+        for c in cut:
+            first = head[c[0]]
+            got = list(map(rest.__getitem__, c[1:]))
+            if first[0]:
+                got.insert(0, first)
             yield sum([g[0] for g in got]), ",".join([g[1] for g in got]), "".join([g[2] for g in got])
         self.forget()
 

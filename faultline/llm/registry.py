@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from .bpe import round_trip
 from .decontaminate import contamination
 from .exact_dedup import exact_dedup
+from .language import language_id
 from .quality import classify
 from .token_counts import token_counts
 from .token_shards import token_shards
@@ -63,3 +64,8 @@ def op4_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+@query
+def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_id(table(spark, sf_dir, "documents"))

@@ -39,7 +39,7 @@ def test_random_texts_and_bounded_memory(monkeypatch):
         for x, (n, ids, text) in zip(texts[k : k + 20], own.batch(texts[k : k + 20]), strict=True):
             want = t.encode(x, add_special_tokens=False).ids
             assert (n, ids, text) == (len(want), ",".join(map(str, want)), t.decode(want, skip_special_tokens=False))
-        assert len(own.known) <= 50 + 20 * 41
+        assert len(own.rest) <= 50 + 20 * 41 and len(own.head) <= 50 + 20 * 41
 
 
 def test_may_follow_is_what_the_merges_say():
