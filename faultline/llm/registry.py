@@ -9,6 +9,7 @@ from .bpe import round_trip
 from .decontaminate import contamination
 from .exact_dedup import exact_dedup
 from .language import language_id
+from .pii import find_pii
 from .quality import classify
 from .token_counts import token_counts
 from .token_shards import token_shards
@@ -69,3 +70,8 @@ def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id(table(spark, sf_dir, "documents"))
+
+
+@query
+def op7_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return find_pii(table(spark, sf_dir, "documents"))
