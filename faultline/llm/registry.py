@@ -93,7 +93,7 @@ WITH said AS (
 ), c AS (
   SELECT conv_id, count(*) AS n_turns, string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text) AS turns,
     coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (WHERE role = 'assistant'), '') AS loss,
-    sum(20 + length(regexp_replace(role, '([<\[])(\*)(/?s>|/?ROLE\]|/?INST\]|\|)', '\1\\2\3', 'g')) + length(regexp_replace(text, '([<\[])(\*)(/?s>|/?ROLE\]|/?INST\]|\|)', '\1\\2\3', 'g'))) AS formatted_chars
+    sum(20 + length(regexp_replace(role, '([<\[])(\\*)(/?s>|/?ROLE\]|/?INST\]|\|)', '\1\\\2\3', 'g')) + length(regexp_replace(text, '([<\[])(\\*)(/?s>|/?ROLE\]|/?INST\]|\|)', '\1\\\2\3', 'g'))) AS formatted_chars
   FROM said GROUP BY conv_id
 )
 SELECT conv_id, CAST(n_turns AS BIGINT) AS n_turns, sha256(turns) AS turns_sha256, CAST(length(loss) AS BIGINT) AS loss_chars, sha256(loss) AS loss_sha256, CAST(formatted_chars AS BIGINT) AS formatted_chars FROM c

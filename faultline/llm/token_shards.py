@@ -32,7 +32,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .bpe import UNSAFE, groups
+from .bpe import MARKS, SETTLED, UNSAFE, groups
 from .storage import shared_dir
 
 #: Rounds of pair replacement in a shard, and the least number of uses of a rule.
@@ -41,13 +41,18 @@ LEAST_USES = 4
 #: Symbols are 16 bits wide.
 SYMBOLS = 1 << 16
 #: Pieces in a generation of what a worker remembers; it keeps two. Bounds its memory, not the results.
-MEMO = 500_000
+MEMO = 700_000
 
 SHARD = "part int, seq int, first long, n_ids long, base int, doc_ids binary, doc_null binary, doc_lengths binary, doc_symbols binary, rules binary, rule_lengths binary, symbols binary"
 
 
 class Encoder:
-    """Ids by the tokenizers library; pieces of text that were met before aren't encoded again."""
+    """Ids by the tokenizers library; parts of texts that were met before aren't encoded again.
+
+    Texts are cut at spaces as in `bpe`: `head` begins a text, `rest` follows a space. New words
+    of letters are encoded many at a time, as one text in which the library itself tells which
+    id belongs to which word.
+    """
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -57,30 +62,69 @@ class Encoder:
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
         self.size = self.tokenizer.get_vocab_size(with_added_tokens=True)
-        self.known: dict[str, bytes] = {}
+        self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        self.head: dict[str, bytes] = {}
+        self.rest: dict[str, bytes] = {}
         self.older: dict[str, bytes] = {}
 
+    def _each(self, texts: list[str]) -> Iterator[bytes]:
+        for k in range(0, len(texts), 1024):
+            for e in self.tokenizer.encode_batch_fast(texts[k : k + 1024], add_special_tokens=False):
+                yield np.array(e.ids, dtype="<u2").tobytes()
+
+    def _words(self, words: list[str], mark: str) -> Iterator[tuple[str, bytes]]:
+        """Ids of words of letters that follow a space, or of such that begin a line and so have no space."""
+        step = 1 if mark == " " else 2
+        for k in range(0, len(words), 2048):
+            part = words[k : k + 2048]
+            e = self.tokenizer.encode(mark + mark.join(part), add_special_tokens=False)
+            at, n = np.array(e.word_ids), len(part)
+            first = (2 * np.searchsorted(at, np.arange(step - 1, step * n, step))).tolist()
+            last = (2 * np.searchsorted(at, np.arange(step, step * n + 1, step))).tolist()
+            ids = np.array(e.ids, dtype="<u2").tobytes()
+            yield from zip(part, [ids[x:y] for x, y in zip(first, last, strict=True)], strict=True)
+
+    def learn(self, heads: list[str], pieces: set[str]) -> None:
+        head, rest, older = self.head, self.rest, self.older
+        rest.update([(p, older[p]) for p in pieces if p in older])
+        words, marked, lines, others = set(), [], [], []
+        for p in pieces:
+            if p in older:
+                continue
+            if p.isascii() or (p and max(p) < SETTLED):
+                if p.isalpha():
+                    words.add(p)
+                    continue
+                if p[-1:] in MARKS and p[:-1].isalpha():
+                    marked.append(p)
+                    words.add(p[:-1])
+                    continue
+                a, _, b = p.partition("\n")
+                if b.isalpha() and a[-1:] in MARKS and a[:-1].isalpha():
+                    lines.append((p, a[:-1], a[-1], b))
+                    words.add(a[:-1])
+                    continue
+            others.append(p)
+        rest.update(self._words([w for w in words if w not in rest], " "))
+        marks = [m for m in {"\n", *[p[-1] for p in marked], *[x[2] for x in lines]} if m not in head]
+        head.update(zip(marks, self._each(marks), strict=True))
+        head.update(self._words([b for b in {x[3] for x in lines} if b not in head], "\n"))
+        rest.update([(p, rest[p[:-1]] + head[p[-1]]) for p in marked])
+        rest.update([(p, rest[a] + head[m] + head["\n"] + head[b]) for p, a, m, b in lines])
+        rest.update(zip(others, self._each([" " + p for p in others]), strict=True))
+        heads = [h for h in heads if h not in head]
+        head.update(zip(heads, self._each(heads), strict=True))
+
     def batch(self, texts: list[str]) -> list[bytes]:
         """Little-endian 16-bit ids of each text."""
-        cut = []
-        for x in texts:
-            if UNSAFE.search(x):
-                cut.append([x])
-            else:
-                head, *rest = x.split(" ")
-                cut.append([head, *[" " + r for r in rest]])
-        known, older = self.known, self.older
-        known[""] = b""
-        new = {p for ps in cut for p in ps if p not in known}
-        known.update((p, older[p]) for p in new if p in older)
-        new = [p for p in new if p not in older]
-        for k in range(0, len(new), 4096):
-            part = new[k : k + 4096]
-            for p, e in zip(part, self.tokenizer.encode_batch_fast(part, add_special_tokens=False), strict=True):
-                known[p] = np.array(e.ids, dtype="<u2").tobytes()
-        got = [b"".join(map(known.__getitem__, ps)) for ps in cut]
-        if len(known) > MEMO:
-            self.older, self.known = known, {}
+        cut = [[x] if UNSAFE.search(x) or any(t in x for t in self.special) else x.split(" ") for x in texts]
+        head, rest = self.head, self.rest
+        self.learn(list({c[0] for c in cut if c[0] not in head}), {p for c in cut for p in c[1:] if p not in rest})
+        got = [head[c[0]] + b"".join(map(rest.__getitem__, c[1:])) for c in cut]
+        if len(rest) > MEMO:
+            self.older, self.rest = rest, {}
+        if len(head) > MEMO // 4:
+            self.head = {}
         return got
 
 

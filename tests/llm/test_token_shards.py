@@ -54,3 +54,16 @@ def test_grammar_round_trip_and_gain():
     assert (ts.expand(symbols, pool, starts, n, 50257) == ids).all()
     assert sizes.sum() == len(symbols) and list(sizes[[0, 3, 5]]) == [0, 0, 0]
     assert len(symbols) + rules.size < 0.5 * len(ids)
+
+
+def test_encoder_equals_the_library(monkeypatch):
+    monkeypatch.setattr(ts, "MEMO", 40)
+    own, lib = ts.Encoder(PATH), Tokenizer.from_file(PATH)
+    texts = ["", " ", "the cat, the dog", "naïve  façade\n\tx", "don't we'll <|endoftext|> it's", "'s 's a' 'b", "日本 ՘ cat՘ a՘. 1a a1 a.b a..", "one two two, one", "x" * 99, "x a.\nThe b!\nÉa c.\n\nd e.\nf\ng the\nThe."]
+    assert [np.frombuffer(b, "<u2").tolist() for t in texts * 3 for b in own.batch([t, "one two"])[:1]] == [lib.encode(t, add_special_tokens=False).ids for t in texts * 3]
+    import random
+
+    rng = random.Random(5)
+    texts = ["".join(rng.choice("abcdeèß🤖\n\t  ' 0129.,!-日क्֋") for _ in range(rng.randint(0, 40))) for _ in range(600)]
+    for k in range(0, 600, 20):
+        assert [np.frombuffer(b, "<u2").tolist() for b in own.batch(texts[k : k + 20])] == [lib.encode(t, add_special_tokens=False).ids for t in texts[k : k + 20]]
