@@ -181,7 +181,16 @@ def classify(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text
     return got.select(id_col, held_out(F.col(id_col)).alias("held_out"), "score", "predicted")
 
 
-def keep_good(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", **options) -> DataFrame:
-    """The rows of docs that aren't predicted bad, with all their columns; ids must be unique."""
-    bad = classify(docs, labels, id_col=id_col, **options).where("predicted = 0").select(F.col(id_col).alias("__bad"))
-    return docs.join(bad, docs[id_col].eqNullSafe(bad["__bad"]), "left_anti")
+def keep_good(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", sample_docs: int = SAMPLE_DOCS) -> DataFrame:
+    """The rows of docs that aren't predicted bad, with all their columns. Scored and filtered where they are read: no text is shuffled."""
+    model = fit(docs, labels.where(~held_out(F.col(id_col))), id_col=id_col, text_col=text_col, label_col=label_col, sample_docs=sample_docs)
+    at = docs.columns.index(text_col)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sizes = Sizes(model) if model.ready else None
+        for b in batches:
+            texts = [t or "" for t in b.column(at).to_pylist()]
+            f = np.array([sizes.features(t) if sizes else (0.0, 0.0) for t in texts]).reshape(-1, 2)
+            yield b.filter(pa.array(scores(model, f, np.array([not t for t in texts], bool)) >= 0.5))
+
+    return docs.mapInArrow(run, docs.schema)

@@ -10,6 +10,7 @@ from .chat import chat_digests, format_chats, turns_of_rows
 from .decontaminate import contamination
 from .exact_dedup import exact_dedup
 from .language import language_id
+from .ngram_join import near_duplicates
 from .pii import find_pii
 from .quality import classify
 from .token_counts import token_counts
@@ -98,3 +99,8 @@ WITH said AS (
 )
 SELECT conv_id, CAST(n_turns AS BIGINT) AS n_turns, sha256(turns) AS turns_sha256, CAST(length(loss) AS BIGINT) AS loss_chars, sha256(loss) AS loss_sha256, CAST(formatted_chars AS BIGINT) AS formatted_chars FROM c
 """
+
+
+@query
+def op6_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(table(spark, sf_dir, "documents"))
