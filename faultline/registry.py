@@ -2,5 +2,7 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLES: dict[str, str] = {}
+from faultline.plans import decisions, features, tracks
+
+QUERIES: dict = features.Q.queries | decisions.Q.queries | tracks.Q.queries
+ORACLES: dict[str, str] = features.Q.oracles | decisions.Q.oracles | tracks.Q.oracles
