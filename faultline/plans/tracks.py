@@ -1,2 +1,161 @@
+"""Queries of the label-free and monitoring tracks, of checks, models and streams."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from faultline.operators import evaluate as E
+from faultline.operators import joins as J
+from faultline.operators.bootstrap import bootstrap_interval
+from faultline.operators.drift import drift_summary as summary_of
+from faultline.operators.drift import drift_table
+from faultline.operators.drift import temporal_split as split_of
+from faultline.operators.folds import group_folds
+from faultline.operators.models import oof_predictions, two_stage
+from faultline.sources import ingest as I
+from faultline.sources import views as V
+from faultline.sources.views import q6, with_views
+from faultline.streaming.scorer import score_stream, windowed_counts
+
 from .book import Book
+from .decisions import BATCHES, batched, hybrid_sql
+from .features import core_features, folded, quantized
+
 Q = Book()
+
+SPLIT = "split AS (SELECT *, row_number() OVER (ORDER BY id) - 1 >= greatest(1, least((SELECT count(*) FROM scored3) * 70 // 100, (SELECT count(*) FROM scored3) - 1)) AS is_current FROM (SELECT *, CAST(pred_b * 1000 + CAST(0.5 AS DOUBLE) AS BIGINT) AS b FROM scored3))"
+
+
+def split(spark: SparkSession, sf_dir: str) -> DataFrame:
+    s = V.scored3(spark, sf_dir)
+    return split_of(s.withColumn("b", F.pmod(F.col("id") * 7919, F.lit(1000))), "id")
+
+
+@Q.query(with_views(f"SELECT is_current, count(*) AS n, min(id) AS first_id, {q6('avg(q) / 10000')} AS mean_score FROM split GROUP BY 1", "scored3", more=SPLIT))
+def temporal_split(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quantized(split(spark, sf_dir).groupBy("is_current").agg(F.count("*").alias("n"), F.min("id").alias("first_id"), (F.avg("q") / 10000).alias("mean_score")), "mean_score")
+
+
+def distance_sql(column: str) -> str:
+    return f"""(SELECT sum(gap * coalesce(step, 0)) / CAST(10000 AS DOUBLE) AS w, max(gap) AS ks, sqrt(sum(a * CAST(v AS DOUBLE) * v) / sum(a) - (sum(a * CAST(v AS DOUBLE)) / sum(a)) * (sum(a * CAST(v AS DOUBLE)) / sum(a))) / CAST(10000 AS DOUBLE) AS s FROM (
+  SELECT v, a, abs(CAST(sum(a) OVER (ORDER BY v) AS DOUBLE) / CAST(sum(a) OVER () AS DOUBLE) - CAST(sum(b) OVER (ORDER BY v) AS DOUBLE) / CAST(sum(b) OVER () AS DOUBLE)) AS gap, lead(v) OVER (ORDER BY v) - v AS step
+  FROM (SELECT {column} AS v, count(*) FILTER (WHERE NOT is_current) AS a, count(*) FILTER (WHERE is_current) AS b FROM split GROUP BY 1)))"""
+
+
+DRIFT = "drift AS (" + " UNION ALL ".join(f"SELECT '{n}' AS column_name, {q6('w / s')} AS distance, {q6('ks')} AS ks, w / s > 0.1 AS drifted FROM {distance_sql(c)}" for n, c in (("q", "q"), ("b", "CAST(id * 7919 % 1000 AS INTEGER)"))) + ")"
+
+
+def drift(spark: SparkSession, sf_dir: str) -> DataFrame:
+    s = split(spark, sf_dir)
+    return drift_table(s.where("NOT is_current"), s.where("is_current"), ["q", "b", "batch_id"])
+
+
+@Q.query(with_views("SELECT column_name, distance, drifted FROM drift", "scored3", more=SPLIT + ", " + DRIFT))
+def drift_wasserstein(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quantized(drift(spark, sf_dir), "distance").select("column_name", "distance", "drifted")
+
+
+@Q.query(with_views("SELECT column_name, ks FROM drift", "scored3", more=SPLIT + ", " + DRIFT))
+def drift_ks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quantized(drift(spark, sf_dir), "ks").select("column_name", "ks")
+
+
+@Q.query(with_views("SELECT count(*) FILTER (WHERE column_name <> 'q') AS columns, count(*) FILTER (WHERE column_name <> 'q' AND drifted) AS drifted_columns, CAST(count(*) FILTER (WHERE column_name <> 'q' AND drifted) AS DOUBLE) / CAST(count(*) FILTER (WHERE column_name <> 'q') AS DOUBLE) AS share, max(distance) FILTER (WHERE column_name = 'q') AS score_distance, CAST(max(CAST(drifted AS INTEGER)) FILTER (WHERE column_name = 'q') AS INTEGER) AS score_drifted FROM drift", "scored3", more=SPLIT + ", " + DRIFT))
+def drift_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return summary_of(quantized(drift(spark, sf_dir), "distance"))
+
+
+PRODUCTION = f"SELECT batch_id, id, q, auto_reject, manual_inspect, decision FROM ({hybrid_sql(9200, 10.0, 'batch_id')})"
+
+
+@Q.query(with_views(PRODUCTION, "scored", more=BATCHES))
+def production_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The hybrid policy on batches without labels."""
+    return E.hybrid(J.refuse(batched(spark, sf_dir, label=False), V.LABEL), 9200, 10.0, "batch_id").select("batch_id", "id", "q", "auto_reject", "manual_inspect", "decision")
+
+
+@Q.query(with_views(f"SELECT batch_id, n, flagged, {q6('100 * flagged / CAST(n AS DOUBLE)')} AS flagged_pct, first_id, CAST(sum(n) OVER (ORDER BY batch_id) AS BIGINT) AS cumulative_rows FROM (SELECT batch_id, count(*) AS n, CAST(sum(decision) AS BIGINT) AS flagged, min(id) AS first_id FROM ({PRODUCTION}) GROUP BY 1)", "scored", more=BATCHES))
+def batch_growth(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from faultline.operators.ordered import running
+
+    by = production_batches(spark, sf_dir).groupBy("batch_id").agg(F.count("*").alias("n"), F.sum("decision").alias("flagged"), F.min("id").alias("first_id"))
+    got = running(by, F.col("batch_id").cast("double"), [F.col("batch_id")], {"cumulative_rows": F.col("n")}, None)
+    return quantized(got.withColumn("flagged_pct", 100 * F.col("flagged") / F.col("n").cast("double")), "flagged_pct")
+
+
+@Q.query(with_views("SELECT id, q, pred FROM scored ORDER BY q DESC, id LIMIT 100", "scored"))
+def top_risky(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return V.scored(spark, sf_dir).select("id", "q", "pred").orderBy(F.desc("q"), "id").limit(100)  # the report is the top 100
+
+
+@Q.query("SELECT 'missing' AS kind, count(*) AS n FROM orders WHERE o_orderkey NOT IN (SELECT l_orderkey FROM lineitem) UNION ALL SELECT 'extra', count(DISTINCT l_orderkey) FROM lineitem WHERE l_orderkey NOT IN (SELECT o_orderkey FROM orders)")
+def id_set_diff(spark: SparkSession, sf_dir: str) -> DataFrame:
+    orders = V.table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("id"))
+    return J.id_difference(V.readings(spark, sf_dir).select("id"), orders, "id")
+
+
+@Q.query(with_views("SELECT 'left' AS side, count(*) AS keys, count(*) FILTER (WHERE c > 1) AS repeated_keys FROM (SELECT count(*) AS c FROM parts GROUP BY id) UNION ALL SELECT 'right', count(*), count(*) FILTER (WHERE c > 1) FROM (SELECT count(*) AS c FROM readings GROUP BY id)", "parts"))
+def one_to_one_check(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return J.key_repeats(V.parts(spark, sf_dir), V.readings(spark, sf_dir), "id")
+
+
+#: Fixed cases of manifests: (manifest, file, action, sample, rows, rows on record of an earlier sample).
+MANIFESTS = [("full", "a", "generated", False, 10, None), ("full", "b", "generated", False, 5, None), ("mixed", "a", "generated", False, 10, None), ("mixed", "b", "generated", True, 5, None), ("doubt", "a", "skipped", False, 10, 9), ("doubt", "b", "generated", False, 5, None), ("sample", "a", "skipped", False, 10, 10), ("sample", "b", "generated", True, 10, None)]
+
+
+@Q.query("SELECT manifest, CASE WHEN bool_or(s = 'generated_full') AND bool_or(s IN ('generated_sample', 'sampled')) THEN 'mixed' WHEN bool_or(s = 'unverified') THEN 'unknown' WHEN bool_or(s = 'generated_full') THEN 'full_data' WHEN bool_or(s IN ('generated_sample', 'sampled')) THEN 'sample' ELSE 'unknown' END AS overall FROM (SELECT manifest, CASE WHEN action = 'generated' THEN CASE WHEN sample THEN 'generated_sample' ELSE 'generated_full' END WHEN known = rows THEN 'sampled' ELSE 'unverified' END AS s FROM (VALUES "
+    + ", ".join(f"('{m}', '{f}', '{a}', {str(s).lower()}, {n}, {'NULL' if k is None else k})" for m, f, a, s, n, k in MANIFESTS) + ") t(manifest, file, action, sample, rows, known)) GROUP BY manifest")
+def provenance_status(spark: SparkSession, sf_dir: str) -> DataFrame:
+    t = spark.createDataFrame(MANIFESTS, "manifest string, file string, action string, sample boolean, rows long, known long")
+    return I.overall_status(t.withColumn("status", I.file_status(F.col("action"), F.col("sample"), F.col("rows"), F.col("known"))), "status", "manifest")
+
+
+@Q.query(with_views("SELECT id, CASE WHEN run_size > 1 THEN pred_b ELSE pred END AS pred FROM (SELECT id, pred, pred_b, count(*) OVER (PARTITION BY path_signature) AS run_size FROM scored3 JOIN (SELECT id, path_signature FROM parts) USING (id))", "scored3", "parts"))
+def two_stage_routing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The second model's score for parts that share their path with others."""
+    p = V.parts(spark, sf_dir).select("id", "path_signature")
+    sizes = p.groupBy("path_signature").agg(F.count("*").alias("run_size"))
+    rows = V.scored3(spark, sf_dir).join(p.join(sizes, "path_signature"), "id")
+    return two_stage(rows.withColumnRenamed("pred", "first"), "first", "pred_b").select("id", "pred")
+
+
+@Q.query(with_views("SELECT id, pred AS score, CASE WHEN q >= 9100 THEN 'auto_reject' ELSE 'pass' END AS action FROM scored", "scored"))
+def predict_actions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return V.scored(spark, sf_dir).select("id", F.col("pred").alias("score"), F.when(F.col("q") >= 9100, "auto_reject").otherwise("pass").alias("action"))
+
+
+@Q.query("SELECT time_bucket(INTERVAL 1 HOUR, CAST(ts AS TIMESTAMP)) AS start, event_type, count(*) AS n, " + q6("sum(value)") + " AS value FROM events GROUP BY 1, 2")
+def event_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Extension: hourly counts of events."""
+    return quantized(windowed_counts(V.table(spark, sf_dir, "events")), "value").withColumn("start", F.col("start").cast("timestamp_ntz"))
+
+
+@Q.query()
+def group_kfold(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = group_folds(folded(spark, sf_dir).drop("cv_fold").select("id", "response", "time_block"), "time_block", "response", 5)
+    return rows.groupBy("cv_fold").agg(F.count("*").alias("n"), F.sum("response").alias("pos"), F.countDistinct("time_block").alias("blocks"))
+
+
+@Q.query()
+def gbt_oof(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Out-of-fold scores of boosted trees on the core features."""
+    rows = core_features(spark, sf_dir).withColumn("cv_fold", F.col("id") % 3)
+    return oof_predictions(rows, ["start_time", "duration", "feature_mean", "records_last_1hr", "records_last_24hr", "density_ratio"], folds=3, iterations=3, depth=3)[0]
+
+
+@Q.query()
+def bootstrap_ci(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bootstrap_interval(V.scored(spark, sf_dir))
+
+
+@Q.query(with_views("SELECT count(*) AS n, CAST(sum(auto_reject) AS BIGINT) AS autos, CAST(sum(decision) AS BIGINT) AS flagged FROM (" + hybrid_sql(9200, 10.0, "batch_id") + ")", "scored", more="rows AS (SELECT *, id % 4 AS batch_id FROM scored)"))
+def stream_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Four files come one by one; each is a micro-batch of the label-free scorer."""
+    base = I.shared_dir(spark)
+    s = V.scored(spark, sf_dir).drop(V.LABEL)
+    for k in range(4):
+        s.where(F.col("id") % 4 == k).coalesce(1).write.mode("append").parquet(f"{base}/in")
+    score_stream(spark, f"{base}/in", f"{base}/out", f"{base}/checkpoint")
+    got = I.read_partitions(spark, f"{base}/out")
+    return got.agg(F.count("*").alias("n"), F.sum("auto_reject").alias("autos"), F.sum("decision").alias("flagged"))
