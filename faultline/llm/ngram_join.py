@@ -298,7 +298,11 @@ def _verify(pairs: DataFrame, sets: DataFrame) -> DataFrame:
 
 
 def _links_to(hot: DataFrame, chosen: list[tuple[int, bytes]]) -> DataFrame:
-    """Links between any hot node and the chosen ones: a dense block product of incidence rows."""
+    """Links that join every hot node to all chosen ones that it is similar to: a block product of incidence rows.
+
+    What a task has already joined is one label, so a node gives a link for each label that it
+    is similar to, not for each of its partners.
+    """
     names = np.array([c[0] for c in chosen], np.int64)
     own = [np.frombuffer(c[1], np.uint64) for c in chosen]
     columns, number = np.unique(np.concatenate(own), return_inverse=True)
@@ -310,6 +314,7 @@ def _links_to(hot: DataFrame, chosen: list[tuple[int, bytes]]) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names, sizes, columns, rows, edges = sent.value
+        label = np.arange(len(names))
         for b in batches:
             a, c = [], []
             for node, blob in zip(b.column(0).to_pylist(), b.column(1), strict=True):
@@ -322,18 +327,25 @@ def _links_to(hot: DataFrame, chosen: list[tuple[int, bytes]]) -> DataFrame:
                 n = edges[at + 1] - edges[at]
                 take = np.arange(n.sum()) + np.repeat(edges[at] - (np.cumsum(n) - n), n)
                 shared = np.bincount(rows[take], minlength=len(names))
-                linked = names[SIMILAR[1] * shared >= SIMILAR[0] * (len(s) + sizes - shared)]
-                linked = linked[linked != node]
-                a += [node] * len(linked)
-                c += linked.tolist()
+                linked = np.flatnonzero((SIMILAR[1] * shared >= SIMILAR[0] * (len(s) + sizes - shared)) & (names != node))
+                if len(linked):
+                    joined, first = np.unique(label[linked], return_index=True)
+                    a += [node] * len(first)
+                    c += names[linked[first]].tolist()
+                    if len(joined) > 1:
+                        label[np.isin(label, joined)] = joined[0]
             yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(c, pa.int64())], schema=out)
 
     return hot.select("node", "shingles").mapInArrow(run, "a long, b long")
 
 
 def _hot_links(hot: DataFrame) -> DataFrame | None:
-    """Links that connect all similar hot nodes: blocks of nodes against all, until what is left is one component."""
-    left, links = materialize(hot.groupBy("node").agg(F.first("shingles").alias("shingles"))), None
+    """Links that connect all similar hot nodes: blocks of nodes against all, until what is left is one component.
+
+    Blocks begin small: a few nodes connect most of a large group, and what they have connected
+    needs no more tests.
+    """
+    left, links, most = materialize(hot.groupBy("node").agg(F.first("shingles").alias("shingles"))), None, 64
     while True:
         state = left.select("node")
         if links is not None:
@@ -347,7 +359,7 @@ def _hot_links(hot: DataFrame) -> DataFrame | None:
         # Those outside the largest component are tested against all that are left; what then remains is connected.
         outside = state.where(F.col("root") != groups[0].root).select("node")
         picked, size = [], 0
-        for r in left.select("node", F.octet_length("shingles").alias("size")).join(outside, "node", "left_semi").orderBy(F.xxhash64("node"), "node").limit(4096).collect():
+        for r in left.select("node", F.octet_length("shingles").alias("size")).join(outside, "node", "left_semi").orderBy(F.xxhash64("node"), "node").limit(most).collect():
             if picked and size + r["size"] > SENT:
                 break
             picked.append((r["node"],))
@@ -356,7 +368,7 @@ def _hot_links(hot: DataFrame) -> DataFrame | None:
         chosen = [(r.node, bytes(r.shingles)) for r in left.join(F.broadcast(names), "node", "left_semi").collect()]
         found = materialize(_links_to(left, chosen))
         links = found if links is None else links.union(found)
-        left = materialize(left.join(F.broadcast(names), "node", "left_anti"))
+        left, most = materialize(left.join(F.broadcast(names), "node", "left_anti")), min(4096, 4 * most)
 
 
 def _pair_links(texts: DataFrame, product: DataFrame, salt: int, width: int) -> DataFrame | None:
