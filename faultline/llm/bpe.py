@@ -245,7 +245,7 @@ def groups(texts: list[str], chars: int = 2_000_000) -> Iterator[tuple[int, int]
 
 
 def _rows(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    return docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
+    return docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
 
 
 def encode(docs: DataFrame, path: str, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -275,7 +275,7 @@ def decode(tokens: DataFrame, path: str, *, id_col: str = "doc_id", ids_col: str
         for b in batches:
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array([own.decode(x or []) for x in b.column(1).to_pylist()], pa.string())], schema=out)
 
-    return tokens.select(F.col(id_col).alias("id"), ids_col).mapInArrow(run, "id long, text string").withColumnRenamed("id", id_col)
+    return tokens.select(F.col(id_col).cast("long").alias("id"), F.col(ids_col).cast("array<int>")).mapInArrow(run, "id long, text string").withColumnRenamed("id", id_col)
 
 
 def round_trip(docs: DataFrame, path: str, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
