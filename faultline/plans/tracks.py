@@ -12,6 +12,8 @@ from faultline.operators.drift import drift_summary as summary_of
 from faultline.operators.drift import drift_table
 from faultline.operators.drift import temporal_split as split_of
 from faultline.operators.folds import group_folds
+from faultline.operators import reports as R
+from faultline.operators.feature_pipeline import FeaturePipeline
 from faultline.operators.models import oof_predictions, two_stage
 from faultline.sources import ingest as I
 from faultline.sources import views as V
@@ -159,3 +161,36 @@ def stream_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     score_stream(spark, f"{base}/in", f"{base}/out", f"{base}/checkpoint")
     got = I.read_partitions(spark, f"{base}/out")
     return got.agg(F.count("*").alias("n"), F.sum("auto_reject").alias("autos"), F.sum("decision").alias("flagged"))
+
+
+#: Arms of an experiment, with MCC in cross-validation and out of time.
+ARMS = [("base", 0.15337, 0.11679), ("presence", 0.16141, 0.1185), ("value", 0.15977, 0.11954)]
+ARM_SQL = "(VALUES " + ", ".join(f"('{a}', CAST({i} AS DOUBLE), CAST({o} AS DOUBLE))" for a, i, o in ARMS) + ") t(arm, incv, oot)"
+
+
+@Q.query(f"SELECT arm, {q6('oot / incv * 100')} AS retained_pct, {q6('incv - bi')} AS delta_incv, {q6('oot - bo')} AS delta_oot, CASE WHEN abs(incv - bi) > 1e-8 THEN {q6('(oot - bo) / (incv - bi) * 100')} END AS durability_pct FROM {ARM_SQL}, (SELECT incv AS bi, oot AS bo FROM {ARM_SQL} WHERE arm = 'base')")
+def durability(spark: SparkSession, sf_dir: str) -> DataFrame:
+    got = R.durability(spark.createDataFrame(ARMS, "arm string, incv double, oot double"), "base").drop("incv", "oot")
+    return quantized(got, "retained_pct", "delta_incv", "delta_oot", "durability_pct")
+
+
+@Q.query("SELECT feature, CAST(a.r AS INTEGER) AS rank_before, CAST(b.r AS INTEGER) AS rank_after, CAST(b.r - a.r AS INTEGER) AS rank_change FROM (SELECT n_name AS feature, row_number() OVER (ORDER BY n_nationkey % 7 DESC, n_name) AS r FROM nation WHERE n_nationkey < 20) a FULL JOIN (SELECT n_name AS feature, row_number() OVER (ORDER BY n_nationkey % 5 DESC, n_name) AS r FROM nation WHERE n_nationkey > 3) b USING (feature)")
+def importance_rank_change(spark: SparkSession, sf_dir: str) -> DataFrame:
+    n = V.table(spark, sf_dir, "nation")
+    side = lambda rows, m: rows.select(F.col("n_name").alias("feature"), (F.col("n_nationkey") % m).alias("importance"))
+    return R.rank_change(side(n.where("n_nationkey < 20"), 7), side(n.where("n_nationkey > 3"), 5))
+
+
+@Q.query()
+def feature_pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fitted on the parts of even ids, applied to the others with those as context."""
+    parts = V.parts(spark, sf_dir)
+    fitted = FeaturePipeline.fit(parts.where("id % 2 = 0"))
+    return fitted.transform(parts.where("id % 2 = 1"), parts.where("id % 2 = 0"))
+
+
+@Q.query(with_views("SELECT count(*) AS rows, 0 AS missing, 0 AS different FROM parts", "parts"))
+def fold_verification(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Folds computed twice are the same."""
+    rows = folded(spark, sf_dir)
+    return R.fold_mismatches(rows, folded(spark, sf_dir).repartition(3))

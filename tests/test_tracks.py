@@ -115,3 +115,54 @@ def test_golden_interval_from_mean_and_deviation():
 def test_costs(spark):
     got = spark.createDataFrame([(3, 2)], "fp int, fn int").select(X.cost(F.col("fp"), F.col("fn")).alias("c")).first()
     assert got.c == 215.0
+
+
+def test_reports(spark, tmp_path):
+    from faultline.operators import reports as R
+
+    arms = spark.createDataFrame([("h", 0.15337, 0.11679), ("b", 0.16141, 0.11849808449878249), ("c", 0.15977, 0.11953553351063086)], "arm string, incv double, oot double")
+    got = {r.arm: r for r in R.durability(arms, "h").collect()}
+    assert got["h"].durability_pct is None and round(got["h"].retained_pct, 1) == 76.1 or round(got["h"].retained_pct, 1) == 76.2
+    assert (round(got["b"].durability_pct, 1), round(got["b"].retained_pct, 1), round(got["c"].durability_pct, 1)) == (21.2, 73.4, 42.9)
+    a = R.attribution(0.15337, 0.11679, 0.104268)
+    assert [round(x, 6) for x in a.values()] == [-0.03658, -0.012522, -0.049102]
+    assert R.load_policy(tmp_path / "none.json") == R.Policy(0.6, 5.0)
+    (tmp_path / "p.json").write_text(json.dumps({"final_recommendation": {"threshold_high": 0.7}}))
+    assert R.load_policy(tmp_path / "p.json") == R.Policy(0.7, 5.0)
+    good = {"model_name": "m", "feature_cols": ["a"], "threshold": 0.5, "oof_mcc": 0.1, "training_rows": 3, "folds": [{"fold": 0, "rows": 3, "threshold": 0.5, "mcc": 0.1}]}
+    assert R.model_problems(good) == [] and R.model_problems(good | {"threshold": 2, "feature_cols": ["a", "a"]}) == ["feature_cols", "threshold"]
+    assert "folds" in R.model_problems({k: v for k, v in good.items() if k != "folds"})
+
+
+#: Golden numbers: counts of operating points with their MCC, precision, recall and cost.
+@pytest.mark.parametrize(("tp", "fp", "fn", "tn", "precision", "recall", "mcc", "cost"), [
+    (3099, 19019, 3780, 1157849, 0.1401121258703318, 0.4505015263846489, 0.2438094554828599, 473095.0),
+    (2462, 9376, 4417, 1167492, 0.2079743199864842, 0.3579008576828027, 0.2673169497456962, 488580.0),
+])
+def test_golden_operating_points(spark, tp, fp, fn, tn, precision, recall, mcc, cost):
+    from faultline.operators.evaluate import cost_table, with_metrics
+
+    r = cost_table(with_metrics(spark.createDataFrame([(tp, fp, fn, tn)], "tp long, fp long, fn long, tn long"))).first()
+    assert (r.precision, r.recall, r.mcc, r.total_cost) == (pytest.approx(precision), pytest.approx(recall), pytest.approx(mcc), cost)
+    assert r.cost_per_100k_rows == pytest.approx(cost / (tp + fp + fn + tn) * 1e5)
+
+
+def test_feature_pipeline(spark, tmp_path):
+    from faultline.operators.feature_pipeline import FeaturePipeline
+
+    rows = [(i, int(i % 4 == 0), float(i), float(i + 2), 2.0, i / 10, "a|b" if i % 2 else "a") for i in range(1, 41)]
+    parts = spark.createDataFrame(rows, "id long, response int, start_time double, end_time double, duration double, feature_mean double, path_signature string")
+    fitted = FeaturePipeline.fit(parts)
+    fitted.save(f"file://{tmp_path}/p")
+    loaded = FeaturePipeline.load(spark, f"file://{tmp_path}/p")
+    assert (loaded.mark, loaded.overall, loaded.medians) == (fitted.mark, 0.25, fitted.medians)
+    new = parts.where("id > 30").drop("response")
+    a = fitted.transform(new, parts).orderBy("id").collect()
+    assert a == loaded.transform(new, parts).orderBy("id").collect() and len(a) == 10 and "response" not in a[0].asDict()
+    assert next(r for r in a if r.id == 33).since_1 == 1.0  # the failure of part 32
+    none = fitted.transform(new).collect()
+    assert {r.since_1 for r in none} == {fitted.medians["since_1"]}
+    with pytest.raises(ValueError, match="look back"):
+        fitted.transform(new, parts.where("response = 0"), need_history=True)
+    with pytest.raises(ValueError, match="look ahead"):
+        fitted.transform(new.withColumn("till_next_1", F.lit(1)))
