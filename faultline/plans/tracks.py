@@ -11,6 +11,7 @@ from faultline.operators.bootstrap import bootstrap_interval
 from faultline.operators.drift import drift_summary as summary_of
 from faultline.operators.drift import drift_table
 from faultline.operators.drift import temporal_split as split_of
+from faultline.operators.features import filled_start, time_blocks
 from faultline.operators.folds import group_folds
 from faultline.operators import reports as R
 from faultline.operators.feature_pipeline import FeaturePipeline
@@ -135,7 +136,9 @@ def event_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @Q.query()
 def group_kfold(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = group_folds(folded(spark, sf_dir).drop("cv_fold").select("id", "response", "time_block"), "time_block", "response", 5)
+    """Five folds of whole time blocks, some 50 of them."""
+    parts = filled_start(V.parts(spark, sf_dir)).select("id", "response", "start_time")
+    rows = group_folds(time_blocks(parts, max(1, parts.count() // 50)), "time_block", "response", 5)
     return rows.groupBy("cv_fold").agg(F.count("*").alias("n"), F.sum("response").alias("pos"), F.countDistinct("time_block").alias("blocks"))
 
 
