@@ -185,22 +185,32 @@ def compress(ids: np.ndarray, lengths: np.ndarray, base: int) -> tuple[np.ndarra
 
 
 def expansion_lengths(rules: np.ndarray, base: int) -> np.ndarray:
-    out = np.ones(base + len(rules), dtype=np.uint32)
-    for k, (a, b) in enumerate(rules.tolist()):
-        out[base + k] = out[a] + out[b]
-    return out[base:]
+    out = [1] * base
+    for a, b in rules.tolist():
+        out.append(out[a] + out[b])
+    return np.array(out[base:], dtype=np.uint32)
 
 
 def expansions(rules: np.ndarray, base: int, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(pool, start of each symbol in it): ids stand for themselves, nonterminals for their whole expansion."""
-    starts = np.concatenate([np.arange(base), base + np.concatenate([[0], np.cumsum(lengths, dtype=np.int64)[:-1]])]) if len(rules) else np.arange(base)
-    pool = np.empty(base + int(lengths.sum()), dtype=np.uint16)
-    pool[:base] = np.arange(base)
+    """(pool, start of each symbol in it): ids stand for themselves, nonterminals for their whole expansion.
+
+    Rules of one depth expand at once, from what lies below them.
+    """
     n = np.concatenate([np.ones(base, np.int64), lengths.astype(np.int64)])
-    for k, (a, b) in enumerate(rules.tolist()):
-        s = starts[base + k]
-        pool[s : s + n[a]] = pool[starts[a] : starts[a] + n[a]]
-        pool[s + n[a] : s + n[a] + n[b]] = pool[starts[b] : starts[b] + n[b]]
+    starts = np.cumsum(n) - n
+    pool = np.empty(int(n.sum()), dtype=np.uint16)
+    pool[:base] = np.arange(base)
+    depth = [0] * base
+    for a, b in rules.tolist():
+        depth.append(1 + max(depth[a], depth[b]))
+    depths = np.array(depth[base:], np.int64)
+    for d in range(1, int(depths.max(initial=0)) + 1):
+        own = np.flatnonzero(depths == d)
+        a, b = rules[own, 0].astype(np.int64), rules[own, 1].astype(np.int64)
+        for part, at in ((a, starts[base + own]), (b, starts[base + own] + n[a])):
+            size = n[part]
+            within = np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size)
+            pool[np.repeat(at, size) + within] = pool[np.repeat(starts[part], size) + within]
     return pool, starts
 
 
