@@ -46,7 +46,7 @@ HEAVY_LIST = 1_000_000
 BLOCK = 400_000
 #: Shingles that a task holds before it hands on counts or index entries.
 FLUSH = 3_000_000
-#: Bytes of sets, and of node names, that are broadcast at once.
+#: Bytes of sets that are broadcast at once.
 SENT = 24 << 20
 #: Words whose hashes a worker remembers at most.
 MEMO = 500_000
@@ -245,39 +245,21 @@ def _multiply(block: pa.Table) -> pa.Table:
     return pa.concat_tables([passed, made])
 
 
-def _sets(texts: DataFrame, nodes: np.ndarray, salt: int, width: int) -> DataFrame:
-    """node and shingles of the given nodes (sorted), once from each task that meets one."""
+def _sets(texts: DataFrame, rows: DataFrame, nodes: DataFrame, salt: int, width: int) -> DataFrame:
+    """node and shingles of the given nodes: one text of each is fetched by its id and cut again.
+
+    Texts that share an id, or have none, may come along; their nodes are in nobody's pairs.
+    """
     out = pa.schema([("node", pa.int64()), ("shingles", pa.binary())])
-    sent = texts.sparkSession.sparkContext.broadcast(nodes)
+    ids = rows.join(nodes, "node", "left_semi").groupBy("node").agg(F.min("id").alias("id")).select(F.col("id").alias("own")).distinct()
+    wanted = texts.join(ids, F.col("id").eqNullSafe(F.col("own")), "left_semi")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        wanted, seen = sent.value, set()
         for b in batches:
-            got: list[tuple[int, bytes]] = []
-            for text in b.column(1):
-                s = shingles(text.as_py(), width)
-                if len(s):
-                    name = node_of(s, salt)
-                    k = int(np.searchsorted(wanted, name))
-                    if k < len(wanted) and wanted[k] == name and name not in seen:
-                        seen.add(name)
-                        got.append((name, s.tobytes()))
-            if got:
-                yield pa.RecordBatch.from_arrays([pa.array([g[0] for g in got], pa.int64()), pa.array([g[1] for g in got], pa.binary())], schema=out)
-
-    return texts.mapInArrow(run, "node long, shingles binary")
-
-
-def _blocks(df: DataFrame, column: str, most: int) -> Iterator[np.ndarray]:
-    """Values of a long column, sorted, in blocks of at most `most`, without ever holding more on the driver."""
-    held: list[int] = []
-    for r in df.select(column).toLocalIterator():
-        held.append(r[0])
-        if len(held) == most:
-            yield np.sort(np.array(held, np.int64))
-            held = []
-    if held:
-        yield np.sort(np.array(held, np.int64))
+            got = [(node_of(s, salt), s.tobytes()) for s in (shingles(t.as_py(), width) for t in b.column(1)) if len(s)]
+            yield pa.RecordBatch.from_arrays([pa.array([g[0] for g in got], pa.int64()), pa.array([g[1] for g in got], pa.binary())], schema=out)
+
+    return materialize(wanted.mapInArrow(run, "node long, shingles binary").groupBy("node").agg(F.first("shingles").alias("shingles")))
 
 
 def _verify(pairs: DataFrame, sets: DataFrame) -> DataFrame:
@@ -371,21 +353,15 @@ def _hot_links(hot: DataFrame) -> DataFrame | None:
         left, most = materialize(left.join(F.broadcast(names), "node", "left_anti")), min(4096, 4 * most)
 
 
-def _pair_links(texts: DataFrame, product: DataFrame, salt: int, width: int) -> DataFrame | None:
+def _pair_links(texts: DataFrame, rows: DataFrame, product: DataFrame, salt: int, width: int) -> DataFrame:
     """Links among the pairs of the product; pairs that other links connect are left uncounted."""
     num, den = SIMILAR
     out = lambda c: F.ceil(F.lit(num) * F.col(c) / F.lit(den)) - 1  # noqa: E731  shingles of n that aren't indexed
     need = F.ceil(F.lit(num) * (F.col("m") + F.col("n")) / F.lit(den + num)) - F.greatest(out("m"), out("n"))
     pairs = product.where("a <> b").groupBy("a", "b").agg(F.first("m").alias("m"), F.first("n").alias("n"), F.sum("shared").alias("shared"))
     pairs = materialize(pairs.where(F.col("shared") >= need).select("a", "b", "shared"))
-    nodes = materialize(pairs.select("a").union(pairs.select("b")).distinct())
-    sets = None
-    for block in _blocks(nodes, "a", SENT // 8):
-        part = _sets(texts, block, salt, width)
-        sets = part if sets is None else sets.union(part)
-    if sets is None:
-        return None
-    sets = materialize(sets.groupBy("node").agg(F.first("shingles").alias("shingles")))
+    nodes = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
+    sets = _sets(texts, rows, nodes, salt, width)
     ends = pairs.select("a", "b", "shared").union(pairs.select("b", "a", "shared"))
     best = ends.groupBy("a").agg(F.max_by("b", F.struct("shared", -F.col("b"))).alias("b"))
     links = materialize(_verify(best.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), sets))
@@ -416,13 +392,9 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     index = _index(texts, often, blocks, salt, width)
     product = materialize(index.groupBy("block").applyInArrow(_multiply, "a long, b long, m int, n int, shared int, shingles binary"))
     hot = product.where("a = b").select(F.col("a").alias("node"), "shingles")
-    links = [x for x in (_pair_links(texts, product, salt, width), _hot_links(hot)) if x is not None]
-    if links:
-        both = links[0] if len(links) == 1 else links[0].union(links[1])
-        rows = rows.join(components(both), "node", "left").withColumn("root", F.coalesce("root", "node"))
-    else:
-        rows = rows.withColumn("root", F.col("node"))
-    rows = rows.select("id", "n", "root")
+    links, more = _pair_links(texts, rows, product, salt, width), _hot_links(hot)
+    roots = components(links if more is None else links.union(more))
+    rows = rows.join(roots, "node", "left").select("id", "n", F.coalesce("root", "node").alias("root"))
     least = rows.where("root IS NOT NULL").groupBy("root").agg(F.min("id").alias("least"))
     return rows.join(least, "root", "left").select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.coalesce("least", "id").alias("component_id"))
 
