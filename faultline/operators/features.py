@@ -118,10 +118,8 @@ def since_failures(parts: DataFrame, ks: Sequence[int] = (1, 5, 10), *, t: str =
     """
     failed = parts.where((F.col(label) == 1) & F.col(failure_t).isNotNull()).select(F.col(failure_t).alias("__t"), F.col(key).alias("__key"))
     summed = running(failed, F.col("__t"), [F.col("__t"), F.col("__key")], {"__sum": F.col("__t")}, "__i").withColumn("__i", F.col("__i") + 1)
-    # Strictly before a time: at or before the largest failure time below it, which is what an as-of join over the halves gives.
-    at = summed.groupBy("__t").agg(F.max("__i").alias("__n"))
-    shifted = at.select((F.col("__t") + F.lit(0.25)).alias(t), "__n")
-    got = asof_backward(parts, shifted, t, ["__n"], F.col("__n"), {"__n": F.lit(0)})
+    at = summed.groupBy(F.col("__t").alias(t)).agg(F.max("__i").alias("__n"))
+    got = asof_backward(parts, at, t, ["__n"], F.col("__n"), {"__n": F.lit(0)}, strict=True)
     sums = summed.select("__i", "__sum")
     got = got.join(sums.select(F.col("__i").alias("__n"), F.col("__sum").alias("__hi")), "__n", "left")
     for k in ks:

@@ -83,8 +83,8 @@ def lagged_mean(df: DataFrame, lead: Column, order: Sequence[Column], value: Col
     return out.withColumn(name, F.when(n > 0, (F.col("__hi") - F.coalesce("__lo", F.lit(0))) / n)).drop("__pos", "__sum", "__hi", "__lo")
 
 
-def asof_backward(probes: DataFrame, keys: DataFrame, on: str, values: Sequence[str], tie: Column, default: dict[str, Column] | None = None, by: Sequence[str] = ()) -> DataFrame:
-    """probes with `values` of the last row of keys (of the same `by`) whose `on` is at or before the probe's.
+def asof_backward(probes: DataFrame, keys: DataFrame, on: str, values: Sequence[str], tie: Column, default: dict[str, Column] | None = None, by: Sequence[str] = (), strict: bool = False) -> DataFrame:
+    """probes with `values` of the last row of keys (of the same `by`) whose `on` is at or before the probe's; with `strict`, before it.
 
     Of keys with the same `on`, the one of largest `tie` counts. Null probes find nothing. Both
     sides are cut into the same ranges of `on`; a range's last key is handed on to those after it.
@@ -97,7 +97,7 @@ def asof_backward(probes: DataFrame, keys: DataFrame, on: str, values: Sequence[
     ends = packed.withColumn("__range", bucket).groupBy(*by, "__range").agg(F.max_by("__v", "__k").alias("__end"))
     ranges = both.select(*by, "__range").distinct().join(ends, [*by, "__range"], "left")
     ranges = ranges.select(*by, "__range", F.last("__end", True).over(Window.partitionBy(*by).orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)).alias("__end"))
-    w = Window.partitionBy(*by, "__range").orderBy("__k", "__side").rowsBetween(Window.unboundedPreceding, 0)
+    w = Window.partitionBy(*by, "__range").orderBy("__k", F.desc("__side") if strict else "__side").rowsBetween(Window.unboundedPreceding, 0)
     got = both.withColumn("__found", F.last("__v", True).over(w)).where("__side = 1").join(F.broadcast(ranges), [*by, "__range"], "left")
     got = got.withColumn("__found", F.when(F.col("__k").isNotNull(), F.coalesce("__found", "__end")))
     default = default or {}

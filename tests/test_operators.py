@@ -94,6 +94,26 @@ def test_since_failures(spark):
     assert got == [(1, None, None), (2, None, None), (3, 2.0, None), (4, 2.0, None), (5, 1.0, 2.0), (6, None, None)]
 
 
+def test_since_failures_at_fractional_times(spark):
+    rng = random.Random(12)
+    data = [(1, 1, 1.0), (2, 0, 1.1), *((i, int(rng.random() < 0.3), rng.randrange(100, 200) / 100) for i in range(3, 200))]
+    df = spark.createDataFrame(data, "id long, response int, end_time double")
+    got = {r.id: r for r in ops.since_failures(df, (1, 5, 10)).collect()}
+    failed = sorted(t for _, y, t in data if y)
+    for i, _, t in data:
+        past = [x for x in failed if x < t]
+        for k in (1, 5, 10):
+            want = t - sum(past[-k:]) / k if len(past) >= k else None
+            assert got[i][f"since_{k}"] == (None if want is None else pytest.approx(want, abs=1e-9)), (i, k)
+
+
+def test_asof_strict_leaves_equal_keys_out(spark):
+    keys = spark.createDataFrame([(1.0, 10), (1.01, 11), (1.01, 12), (2.5, 13)], "t double, v int")
+    probes = spark.createDataFrame([(1, 1.0), (2, 1.01), (3, 1.02), (4, 2.5), (5, 9.0), (6, None)], "id long, t double")
+    got = sorted(rows(asof_backward(probes, keys, "t", ["v"], F.col("v"), {"v": F.lit(0)}, strict=True), "id", "v"))
+    assert got == [(1, 0), (2, 10), (3, 12), (4, 12), (5, 13), (6, 0)]
+
+
 def test_duplicate_runs(spark):
     df = spark.createDataFrame([(1, 0.0, "a"), (2, 0.0, "a"), (3, 1.0, "b"), (4, 2.0, "a"), (5, None, "a"), (6, None, None)], "id long, t double, v string")
     got = sorted(rows(ops.duplicate_runs(df, ["v"], "t", "id"), "id", "dup_run", "run_size", "run_rank", "run_rank_desc"))
