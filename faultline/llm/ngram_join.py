@@ -279,37 +279,46 @@ def _verify(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return pairs.select("a", "b").join(left, "a").join(right, "b").select("a", "b", "x", "y").mapInArrow(run, "a long, b long")
 
 
+def _by_column(chosen: list[tuple[int, bytes]]) -> tuple[np.ndarray, ...]:
+    """Names and sizes of the chosen sets, their columns, and by column the chosen rows that have it."""
+    names = np.array([c[0] for c in chosen], np.int64)
+    own = [np.frombuffer(c[1], np.uint64) for c in chosen]
+    columns, number = np.unique(np.concatenate(own), return_inverse=True)
+    row = np.repeat(np.arange(len(own)), [len(s) for s in own])
+    order = np.argsort(number, kind="stable")
+    return names, np.array([len(s) for s in own]), columns, row[order].astype(np.int32), np.searchsorted(number[order], np.arange(len(columns) + 1))
+
+
+def _linked(node: int, blob: pa.Scalar, names: np.ndarray, sizes: np.ndarray, columns: np.ndarray, rows: np.ndarray, edges: np.ndarray) -> np.ndarray:
+    """Numbers of the chosen sets, other than the node's own, that the node is similar to."""
+    s = np.frombuffer(blob.as_buffer(), np.uint64)
+    at = np.searchsorted(columns, s)
+    at[at == len(columns)] = 0
+    at = at[columns[at] == s]
+    if not len(at):
+        return at
+    n = edges[at + 1] - edges[at]
+    take = np.arange(n.sum()) + np.repeat(edges[at] - (np.cumsum(n) - n), n)
+    shared = np.bincount(rows[take], minlength=len(names))
+    return np.flatnonzero((SIMILAR[1] * shared >= SIMILAR[0] * (len(s) + sizes - shared)) & (names != node))
+
+
 def _links_to(hot: DataFrame, chosen: list[tuple[int, bytes]]) -> DataFrame:
     """Links that join every hot node to all chosen ones that it is similar to: a block product of incidence rows.
 
     What a task has already joined is one label, so a node gives a link for each label that it
     is similar to, not for each of its partners.
     """
-    names = np.array([c[0] for c in chosen], np.int64)
-    own = [np.frombuffer(c[1], np.uint64) for c in chosen]
-    columns, number = np.unique(np.concatenate(own), return_inverse=True)
-    # By column: the chosen rows that have it.
-    row = np.repeat(np.arange(len(own)), [len(s) for s in own])
-    order = np.argsort(number, kind="stable")
-    sent = hot.sparkSession.sparkContext.broadcast((names, np.array([len(s) for s in own]), columns, row[order].astype(np.int32), np.searchsorted(number[order], np.arange(len(columns) + 1))))
+    sent = hot.sparkSession.sparkContext.broadcast(_by_column(chosen))
     out = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names, sizes, columns, rows, edges = sent.value
+        names = sent.value[0]
         label = np.arange(len(names))
         for b in batches:
             a, c = [], []
             for node, blob in zip(b.column(0).to_pylist(), b.column(1), strict=True):
-                s = np.frombuffer(blob.as_buffer(), np.uint64)
-                at = np.searchsorted(columns, s)
-                at[at == len(columns)] = 0
-                at = at[columns[at] == s]
-                if not len(at):
-                    continue
-                n = edges[at + 1] - edges[at]
-                take = np.arange(n.sum()) + np.repeat(edges[at] - (np.cumsum(n) - n), n)
-                shared = np.bincount(rows[take], minlength=len(names))
-                linked = np.flatnonzero((SIMILAR[1] * shared >= SIMILAR[0] * (len(s) + sizes - shared)) & (names != node))
+                linked = _linked(node, blob, *sent.value)
                 if len(linked):
                     joined, first = np.unique(label[linked], return_index=True)
                     a += [node] * len(first)
@@ -321,6 +330,37 @@ def _links_to(hot: DataFrame, chosen: list[tuple[int, bytes]]) -> DataFrame:
     return hot.select("node", "shingles").mapInArrow(run, "a long, b long")
 
 
+def _counts_to(hot: DataFrame, chosen: list[tuple[int, bytes]], weights: list[int]) -> DataFrame:
+    """node and links: the weights of the chosen nodes that each hot node is similar to, added up in its task."""
+    sent = hot.sparkSession.sparkContext.broadcast((_by_column(chosen), np.array(weights, np.int64)))
+    out = pa.schema([("node", pa.int64()), ("links", pa.int64())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        block, weight = sent.value
+        for b in batches:
+            links = [int(weight[_linked(node, blob, *block)].sum()) for node, blob in zip(b.column(0).to_pylist(), b.column(1), strict=True)]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(links, pa.int64())], schema=out)
+
+    return hot.select("node", "shingles").mapInArrow(run, "node long, links long").where("links > 0")
+
+
+def _hot_counts(hot: DataFrame) -> DataFrame | None:
+    """node and links, in parts to be added up, of hot nodes (node, shingles, size) among one another: every block of nodes against all."""
+    found, last = None, -1  # names are not negative
+    while True:
+        picked, size = [], 0
+        for r in hot.where(F.col("node") > last).select("node", F.octet_length("shingles").alias("bytes")).orderBy("node").limit(4096).collect():
+            if picked and size + r["bytes"] > SENT:
+                break
+            picked.append(r["node"])
+            size += r["bytes"]
+        if not picked:
+            return found
+        chosen = hot.where(F.col("node").between(picked[0], picked[-1])).select("node", "shingles", "size").collect()
+        part = materialize(_counts_to(hot, [(r["node"], bytes(r["shingles"])) for r in chosen], [r["size"] for r in chosen]))
+        found, last = part if found is None else found.union(part), picked[-1]
+
+
 def _hot_links(hot: DataFrame) -> DataFrame | None:
     """Links that connect all similar hot nodes: blocks of nodes against all, until what is left is one component.
 
@@ -353,13 +393,18 @@ def _hot_links(hot: DataFrame) -> DataFrame | None:
         left, most = materialize(left.join(F.broadcast(names), "node", "left_anti")), min(4096, 4 * most)
 
 
-def _pair_links(texts: DataFrame, rows: DataFrame, product: DataFrame, salt: int, width: int) -> DataFrame:
-    """Links among the pairs of the product; pairs that other links connect are left uncounted."""
+def _candidates(product: DataFrame) -> DataFrame:
+    """Pairs a, b of the product that share enough of their indexed parts to be similar."""
     num, den = SIMILAR
     out = lambda c: F.ceil(F.lit(num) * F.col(c) / F.lit(den)) - 1  # noqa: E731  shingles of n that aren't indexed
     need = F.ceil(F.lit(num) * (F.col("m") + F.col("n")) / F.lit(den + num)) - F.greatest(out("m"), out("n"))
     pairs = product.where("a <> b").groupBy("a", "b").agg(F.first("m").alias("m"), F.first("n").alias("n"), F.sum("shared").alias("shared"))
-    pairs = materialize(pairs.where(F.col("shared") >= need).select("a", "b", "shared"))
+    return pairs.where(F.col("shared") >= need).select("a", "b", "shared")
+
+
+def _pair_links(texts: DataFrame, rows: DataFrame, product: DataFrame, salt: int, width: int) -> DataFrame:
+    """Links among the pairs of the product; pairs that other links connect are left uncounted."""
+    pairs = materialize(_candidates(product))
     nodes = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
     sets = _sets(texts, rows, nodes, salt, width)
     ends = pairs.select("a", "b", "shared").union(pairs.select("b", "a", "shared"))
@@ -371,15 +416,8 @@ def _pair_links(texts: DataFrame, rows: DataFrame, product: DataFrame, salt: int
     return links.union(materialize(_verify(left.select("a", "b"), sets)))
 
 
-def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", width: int = WORDS, heavy: int = HEAVY, heavy_list: int = HEAVY_LIST, block: int = BLOCK) -> DataFrame:
-    """id_col, n_shingles and component_id (smallest id that links reach) of each row.
-
-    Rows link when the Jaccard similarity of their sets of `width` word shingles is 0.75 or
-    more. A text of fewer words is one shingle; null texts and texts without words have none
-    and link with nothing, so their component is their own id. Rows of the same id and null
-    ids keep a row each; a null id never names a component others with an id belong to.
-    """
-    texts = _texts(docs, id_col, text_col)
+def _multiplied(texts: DataFrame, width: int, heavy: int, heavy_list: int, block: int) -> tuple[DataFrame, DataFrame, DataFrame, int]:
+    """The texts, their rows with nodes, the product's pairs and hot sets, and the salt of the nodes' names."""
     for salt in range(0, 100, 2):
         profile = materialize(_profile(texts, salt, width))
         rows = profile.where("often IS NULL").select("id", "n", "node", "guard")
@@ -391,6 +429,18 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     blocks = max(1, math.ceil(total / block), int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     index = _index(texts, often, blocks, salt, width)
     product = materialize(index.groupBy("block").applyInArrow(_multiply, "a long, b long, m int, n int, shared int, shingles binary"))
+    return texts, rows, product, salt
+
+
+def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", width: int = WORDS, heavy: int = HEAVY, heavy_list: int = HEAVY_LIST, block: int = BLOCK) -> DataFrame:
+    """id_col, n_shingles and component_id (smallest id that links reach) of each row.
+
+    Rows link when the Jaccard similarity of their sets of `width` word shingles is 0.75 or
+    more. A text of fewer words is one shingle; null texts and texts without words have none
+    and link with nothing, so their component is their own id. Rows of the same id and null
+    ids keep a row each; a null id never names a component others with an id belong to.
+    """
+    texts, rows, product, salt = _multiplied(_texts(docs, id_col, text_col), width, heavy, heavy_list, block)
     hot = product.where("a = b").select(F.col("a").alias("node"), "shingles")
     links, more = _pair_links(texts, rows, product, salt, width), _hot_links(hot)
     roots = components(links if more is None else links.union(more))
@@ -399,6 +449,28 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     return rows.join(least, "root", "left").select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.coalesce("least", "id").alias("component_id"))
 
 
+def link_counts(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", width: int = WORDS, heavy: int = HEAVY, heavy_list: int = HEAVY_LIST, block: int = BLOCK) -> DataFrame:
+    """id_col, n_shingles and n_links of each row: the number of other rows that it links with, as near_duplicates defines links.
+
+    Every pair of similar nodes counts, also those that other links connect. Pairs with a node
+    that isn't hot are verified on full sets; hot nodes count one another in dense blocks
+    without emitting pairs. A node counts for as many rows as have its set.
+    """
+    texts, rows, product, salt = _multiplied(_texts(docs, id_col, text_col), width, heavy, heavy_list, block)
+    sizes = materialize(rows.where("node IS NOT NULL").groupBy("node").agg(F.count("*").alias("size")))
+    hot = materialize(product.where("a = b").groupBy(F.col("a").alias("node")).agg(F.first("shingles").alias("shingles")).join(sizes, "node"))
+    is_hot = lambda c: hot.select(F.col("node").alias(c), F.lit(True).alias(f"hot_{c}"))
+    pairs = materialize(_candidates(product).join(is_hot("a"), "a", "left").join(is_hot("b"), "b", "left").where("hot_a IS NULL OR hot_b IS NULL").select("a", "b"))
+    nodes = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
+    links = materialize(_verify(pairs, _sets(texts, rows, nodes, salt, width)))
+    ends = links.select(F.col("a").alias("node"), F.col("b").alias("other")).union(links.select("b", "a"))
+    counts = ends.join(sizes.select(F.col("node").alias("other"), F.col("size").alias("links")), "other").select("node", "links")
+    among = _hot_counts(hot)
+    counts = (counts if among is None else counts.union(among)).groupBy("node").agg(F.sum("links").alias("links"))
+    known = sizes.join(counts, "node", "left").select("node", (F.col("size") - 1 + F.coalesce("links", F.lit(0))).alias("links"))
+    return rows.join(known, "node", "left").select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.coalesce("links", F.lit(0)).cast("long").alias("n_links"))
+
+
 def drop_near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", **options) -> DataFrame:
     """docs with one row of each component, the one of smallest id, and all rows that link with nothing; ids must be unique."""
     gone = near_duplicates(docs, id_col=id_col, **options).where(F.col(id_col) != F.col("component_id")).select(F.col(id_col).alias("__near"))

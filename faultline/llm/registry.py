@@ -10,7 +10,7 @@ from .chat import chat_digests, format_chats, turns_of_rows
 from .decontaminate import contamination
 from .exact_dedup import exact_dedup
 from .language import language_id
-from .ngram_join import near_duplicates
+from .ngram_join import link_counts, near_duplicates
 from .pii import find_pii
 from .quality import classify
 from .token_counts import token_counts
@@ -106,6 +106,11 @@ def op6_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"))
 
 
+@query
+def op6_ngram_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return link_counts(table(spark, sf_dir, "documents"))
+
+
 _LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
 ORACLES["op4_decontaminate"] = (
@@ -134,3 +139,13 @@ reach AS (SELECT doc_id AS x, doc_id AS y FROM s UNION SELECT r.x, l.y FROM reac
 SELECT doc_id, CAST(len(sh) AS BIGINT) AS n_shingles, component_id FROM s JOIN (SELECT x AS doc_id, min(y) AS component_id FROM reach GROUP BY 1) USING (doc_id)
 """.replace("LOWER", _LOWER)
 )
+
+ORACLES["op6_ngram_links"] = (
+    r"""
+WITH d AS (SELECT doc_id, regexp_extract_all(LOWER, '[^\x20\x09-\x0D]+') AS ws FROM documents),
+s AS (SELECT doc_id, CASE WHEN len(ws) = 0 THEN [] ELSE list_distinct(list_transform(range(1, greatest(len(ws) - 4, 1) + 1), lambda k: array_to_string(list_slice(ws, k, k + 4), ' '))) END AS sh FROM d),
+one AS (SELECT doc_id, len(sh) AS n, unnest(sh) AS g FROM s),
+links AS (SELECT a.doc_id AS x, b.doc_id AS y FROM one a JOIN one b ON a.g = b.g AND a.doc_id <> b.doc_id GROUP BY 1, 2 HAVING 100 * count(*) >= 75 * (any_value(a.n) + any_value(b.n) - count(*)))
+SELECT doc_id, CAST(len(sh) AS BIGINT) AS n_shingles, CAST(coalesce(n_links, 0) AS BIGINT) AS n_links FROM s LEFT JOIN (SELECT x AS doc_id, count(*) AS n_links FROM links GROUP BY 1) USING (doc_id)
+""".replace("LOWER", _LOWER)
+)

@@ -89,3 +89,24 @@ def test_components_of_chains_and_stars(spark):
     got = {r.node: r.root for r in components(spark.createDataFrame(links, "a long, b long")).collect()}
     assert got == {k: 0 for k in range(1, 61)} | {k: 100 for k in range(101, 150)} | {k: 300 for k in range(301, 307)}
     assert components(spark.createDataFrame([], "a long, b long")).collect() == []
+
+
+def brute_links(rows):
+    """(doc, set size, number of other rows with a similar set), by comparing all pairs."""
+    sets = [nj.shingles(t) for _, t in rows]
+    links = [0] * len(rows)
+    for i, j in nj.similar_pairs(sets, sets):
+        links[i] += i != j
+    return sorted((d, len(s), n) for (d, _), s, n in zip(rows, sets, links, strict=True))
+
+
+@pytest.mark.parametrize(("seed", "options", "sent"), [(5, {}, nj.SENT), (6, {"heavy": 3, "block": 200}, 3000)])
+def test_link_counts_equal_brute_force(spark, monkeypatch, seed, options, sent):
+    monkeypatch.setattr(nj, "SENT", sent)
+    w = [f"t{k}" for k in range(60)]
+    triangle = [(900, " ".join(w)), (901, " ".join(w[:-1])), (902, " ".join(w[1:])), (903, " ".join(w[1:]))]
+    rows = corpus(seed) + triangle
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = sorted(tuple(r) for r in nj.link_counts(docs, **options).collect())
+    assert got == brute_links(rows)
+    assert {r[0]: r[2] for r in got if r[0] >= 900} == {900: 3, 901: 3, 902: 3, 903: 3}
