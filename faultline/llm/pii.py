@@ -40,10 +40,12 @@ INVISIBLE = frozenset("\u00ad\u200b\u200c\u200d\u2060\ufeff")
 SPELLED = {"zero": "0", "oh": "0", "one": "1", "two": "2", "three": "3", "four": "4", "five": "5", "six": "6", "seven": "7", "eight": "8", "nine": "9", "plus": "+"}
 
 _D = "zero|one|two|three|four|five|six|seven|eight|nine"
-#: Three spelled digits or more, perhaps with a plus ahead; digits may be written among them.
-RUN = re.compile(rf"(?i)\b(?:plus[\x20-]+)?(?:(?:{_D}|oh|[0-9]+)[\x20,-]+)*(?:{_D})(?:[\x20,-]+(?:{_D}|oh|[0-9]+))+\b")
-ITEM = re.compile(rf"(?i)({_D}|oh|plus)|([0-9]+)")
-AT = re.compile(r"(?i)[\x20]*[\[({<][\x20]*at[\x20]*[\])}>][\x20]*|[\x20]*[\[({<][\x20]*@[\x20]*[\])}>][\x20]*|(?<=[a-z0-9])[\x20]+at[\x20]+(?=[a-z0-9-]+(?:[\x20]+dot[\x20]+|[\x20]*[\[({<][\x20]*dot[\x20]*[\])}>][\x20]*)[a-z0-9])|(?<=[a-z0-9])[\x20]+@[\x20]*(?=[a-z0-9-]+\.[a-z])|(?<=[a-z0-9])@[\x20]+(?=[a-z0-9-]+\.[a-z])")
+#: A spelled digit, a plus or written digits. Letters of other scripts that ignoring case takes for these words are folded by _folded().
+ITEM = re.compile(rf"(?i)\b(?:({_D}|oh)|(plus))\b|[0-9]+")
+#: What may part the digits of one run; commas part runs as well.
+BETWEEN = re.compile(r"[\x20,-]+"), re.compile(r"[\x20-]+")
+AFTER = re.compile(r"(?i)[\x20]*+(?:[\[({<][\x20]*+)?(?:dot\b|\.)")
+AT = re.compile(r"(?i)[\x20]*[\[({<][\x20]*at[\x20]*[\])}>][\x20]*|[\x20]*[\[({<][\x20]*@[\x20]*[\])}>][\x20]*|(?<=[a-z0-9])[\x20]+at[\x20]+(?=[a-z0-9-]+(?:[\x20]+dot[\x20]+|[\x20]*[\[({<][\x20]*dot[\x20]*[\])}>][\x20]*|\.)[a-z0-9])|(?<=[a-z0-9])[\x20]+@[\x20]*(?=[a-z0-9-]+\.[a-z])|(?<=[a-z0-9])@[\x20]+(?=[a-z0-9-]+\.[a-z])")
 DOT = re.compile(r"(?i)[\x20]*[\[({<][\x20]*(?:dot|\.)[\x20]*[\])}>][\x20]*|(?<=[a-z0-9])[\x20]+dot[\x20]+(?=[a-z0-9])")
 
 
@@ -152,41 +154,85 @@ class Rewritten:
         return out
 
 
-def rewrite(text: str) -> Rewritten | None:
-    """The text after all transducers; None if none of them has anything to change."""
-    now, changed = Rewritten(text), False
+def _folded(text: str) -> str:
+    """Lower case, with what ignoring case takes for s and i: U+017F, U+0130 and U+0131."""
+    low = text.lower()
+    return low if low.isascii() else low.replace("\u017f", "s").replace("\u0131", "i").replace("i\u0307", "i")
 
-    def step(edits: list[tuple[int, int, str]]) -> None:
-        nonlocal now, changed
-        if edits:
-            now, changed = now.apply(edits), True
 
+def _dot_before(text: str, k: int) -> bool:
+    """Whether a dot, written or spelled, perhaps in brackets, ends at k but for spaces."""
+    while k and text[k - 1] == " ":
+        k -= 1
+    if k and text[k - 1] in "])}>":
+        k -= 1
+        while k and text[k - 1] == " ":
+            k -= 1
+    return text[k - 1 : k] == "." or (text[max(0, k - 3) : k].lower() == "dot" and not text[max(0, k - 4) : k - 3].isalnum())
+
+
+def _spelled(text: str, between: re.Pattern) -> list[tuple[int, int, str]]:
+    """Edits that write spelled digits as digits, where three stand together or one stands by a digit, a plus or a dot.
+
+    Digits with nothing but `between` between them are one run, written without it.
+    """
+    edits: list[tuple[int, int, str]] = []
+    run: list[re.Match] = []
+
+    def close() -> None:
+        words = sum(i[1] is not None for i in run)
+        if not words:
+            return
+        start, end = run[0].start(), run[-1].end()
+        edge = start
+        while edge and text[edge - 1] == " ":
+            edge -= 1
+        plus = text[edge - 1 : edge] == "+"
+        if words < 3 and words == len(run) and not plus and not AFTER.match(text, end) and not _dot_before(text, start):
+            return
+        # One stretch for each digit, the separator before it included.
+        edge = edge if plus else start
+        for i in run:
+            edits.append((edge, i.end(), SPELLED[_folded(i[0])] if i[1] or i[2] else i[0]))
+            edge = i.end()
+
+    for i in ITEM.finditer(text):
+        if run and (i[2] or not between.fullmatch(text, run[-1].end(), i.start())):
+            close()
+            run = []
+        run.append(i)
+    close()
+    return edits
+
+
+def rewrite(text: str) -> Iterator[Rewritten]:
+    """The text after all transducers, with each way to part runs of spelled digits and with these left as they are. Nothing if nothing changes."""
+    now, changed = Rewritten(text), False
     if not text.isascii():
-        step([(m.start(), m.end(), plain(m[0])) for m in SINGLE.finditer(text)])
-    low = now.text.lower()
-    if len(low) == len(now.text) and sum(w in low for w in SPELLED) > 1 or changed:
-        edits = []
-        for m in RUN.finditer(now.text):
-            items = list(ITEM.finditer(m[0]))
-            if sum(i[1] is not None for i in items) >= 3:
-                # One stretch for each digit, the separator before it included.
-                edge = m.start()
-                for i in items:
-                    edits.append((edge, m.start() + i.end(), SPELLED[i[1].lower()] if i[1] else i[2]))
-                    edge = m.start() + i.end()
-        step(edits)
-    low = now.text.lower()
-    if any(x in low for x in ("dot", "@", "(", "[", "{", "<")):
-        step([(m.start(), m.end(), "@") for m in AT.finditer(now.text)])
-        step([(m.start(), m.end(), ".") for m in DOT.finditer(now.text)])
-    return now if changed else None
+        edits = [(m.start(), m.end(), plain(m[0])) for m in SINGLE.finditer(text)]
+        if edits:
+            now, changed = now.apply(edits), True
+    low = _folded(now.text)
+    ways: list[list[tuple[int, int, str]]] = [[]]
+    if any(w in low for w in SPELLED if w != "plus"):
+        for between in BETWEEN:
+            if (edits := _spelled(now.text, between)) not in ways:
+                ways.append(edits)
+    dotted = any(x in low for x in ("dot", "@", "(", "[", "{", "<", " at "))
+    for way in ways:
+        this, edited = (now.apply(way), True) if way else (now, changed)
+        for pattern, new in ((AT, "@"), (DOT, ".")) if dotted else ():
+            edits = [(m.start(), m.end(), new) for m in pattern.finditer(this.text)]
+            if edits:
+                this, edited = this.apply(edits), True
+        if edited:
+            yield this
 
 
 def all_spans(text: str, base: list[tuple[str, int, int]]) -> list[tuple[str, int, int]]:
     """Base spans and those that rewriting brings to light, by kind and start."""
-    now = rewrite(text)
     found = set(base)
-    if now:
+    for now in rewrite(text):
         for kind, start, end in base_spans(now.text):
             first, last, changed = now.span(start, end)
             if changed:

@@ -86,3 +86,32 @@ def test_table_and_redaction(spark):
 def test_long_texts_take_linear_time():
     for t in ("1" * 300_000, "a" * 300_000 + "@", "@" * 100_000, "+1" + " " * 200_000, "one " * 50_000, " at" * 60_000, "1." * 100_000):
         pii.all_spans(t, pii.base_spans(t))
+
+
+@pytest.mark.parametrize(("text", "kind", "part"), [
+    ("host 192 dot one six eight dot zero dot one there", "ip", "192 dot one six eight dot zero dot one"),
+    ("host 10 dot zero dot 0 dot 1 there", "ip", "10 dot zero dot 0 dot 1"),
+    ("host 10.0.zero.1 there", "ip", "10.0.zero.1"),
+    ("host ten[.]one, 10[.]0[.]zero[.]one there", "ip", "10[.]0[.]zero[.]one"),
+    ("call +49 one seven 0 1234567 now", "phone", "+49 one seven 0 1234567"),
+    ("call + four nine 170 1234567 now", "phone", "+ four nine 170 1234567"),
+    ("card 4 one one one 1111 1111 1111 then", "card", "4 one one one 1111 1111 1111"),
+    ("card 4 one one one 1111 1111 1111 1111 then", "card", None),
+    ("\u0130 call plus one five five five zero one two three four five six please", "phone", "plus one five five five zero one two three four five six"),
+    ("call plus one \u017fix five five zero one two three four five six please", "phone", "plus one \u017fix five five zero one two three four five six"),
+    ("write to jane.doe at example.com now", "email", "jane.doe at example.com"),
+    ("host 10 dot 0 dot 0 dot 1 one", "ip", "10 dot 0 dot 0 dot 1"),
+])
+def test_single_spelled_digits_and_dots(text, kind, part):
+    spans = pii.all_spans(text, pii.base_spans(text))
+    assert ((kind, text.index(part), text.index(part) + len(part)) in spans) if part else spans == []
+
+
+def test_prose_with_spelled_digits_stays_clean():
+    for t in ("one. Two, or three. Four", "the only one", "chapter 4, one of 12 parts", "plus one", "at one dot two", "look at this. one more"):
+        assert pii.all_spans(t, pii.base_spans(t)) == [], t
+
+
+def test_mixed_runs_take_linear_time():
+    for t in ("1 " * 100_000 + "x one", "one 1 " * 50_000, "plus " * 50_000 + "one", "." + " " * 100_000 + "one", "one" + " " * 100_000, "a at b." * 30_000, "one. " * 40_000):
+        pii.all_spans(t, pii.base_spans(t))
