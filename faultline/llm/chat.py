@@ -18,6 +18,7 @@ from __future__ import annotations
 
 import dataclasses
 
+import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -94,19 +95,30 @@ LAYOUTS = (
 )
 
 
+def _nested(value: Column) -> Column:
+    """The variant schema of an array or object, with a colon ahead; empty for other values."""
+    kind = F.schema_of_variant(value)
+    return F.when(kind.startswith("ARRAY") | kind.startswith("OBJECT"), F.concat(F.lit(":"), kind)).otherwise(F.lit(""))
+
+
 def record_paths(record: Column) -> Column:
     """Sorted nested field paths of a variant record, joined by commas: objects to their second
-    level and the objects in their arrays. Null values have paths as others do."""
+    level and the objects in their arrays. What is nested deeper ends its path with its variant
+    schema, to full depth, so no layout that reads plain values there has such a path. Null
+    values have paths as others do."""
     top = F.map_entries(F.try_variant_get(record, "$", "map<string,variant>"))
 
+    def keys(x: Column) -> Column:
+        return F.transform(F.map_entries(F.try_variant_get(x, "$", "map<string,variant>")), lambda f: F.concat(F.lit("."), f["key"], _nested(f["value"])))
+
     def below(e: Column) -> Column:
         items = F.try_variant_get(e["value"], "$", "array<variant>")
-        fields = F.array_distinct(F.flatten(F.transform(items, lambda x: F.coalesce(F.map_keys(F.try_variant_get(x, "$", "map<string,variant>")), F.array(F.lit(""))))))
-        inner = F.map_keys(F.try_variant_get(e["value"], "$", "map<string,variant>"))
+        fields = F.array_distinct(F.flatten(F.transform(items, lambda x: F.coalesce(keys(x), F.array(_nested(x))))))
+        inner = keys(e["value"])
         return (
-            F.when(F.schema_of_variant(e["value"]).startswith("ARRAY"), F.transform(fields, lambda k: F.concat(e["key"], F.lit("[]"), F.when(k == "", "").otherwise(F.concat(F.lit("."), k)))))
-            .when(F.schema_of_variant(e["value"]).startswith("OBJECT"), F.transform(inner, lambda k: F.concat(e["key"], F.lit("."), k)))
-            .otherwise(F.array(e["key"]))
+            F.when(F.size(fields) > 0, F.transform(fields, lambda k: F.concat(e["key"], F.lit("[]"), k)))
+            .when(F.size(inner) > 0, F.transform(inner, lambda k: F.concat(e["key"], k)))
+            .otherwise(F.array(F.concat(e["key"], _nested(e["value"]))))
         )
 
     return F.array_join(F.array_sort(F.array_distinct(F.flatten(F.transform(top, below)))), ",")
@@ -116,6 +128,12 @@ def fingerprint(paths: Column) -> Column:
     return F.xxhash64(paths)
 
 
+def schema_fingerprint(schema: T.DataType) -> int:
+    """What fingerprint() gives for the field paths of a schema."""
+    h = xxhash.xxh64_intdigest(",".join(field_paths(schema)).encode(), seed=42)
+    return h - (h >> 63 << 64)
+
+
 def canonical_turns(records: DataFrame, *, json_col: str = "json", layouts: tuple[Layout, ...] = LAYOUTS, keep: tuple[str, ...] = ()) -> DataFrame:
     """`keep` columns, fingerprint and turns of JSON records; turns are null where no layout fits or the text is no JSON object.
 
@@ -131,29 +149,48 @@ def canonical_turns(records: DataFrame, *, json_col: str = "json", layouts: tupl
     return parsed.select(*keep, F.col("__fingerprint").alias("fingerprint"), turns.alias("turns"))
 
 
-#: Tables with a row for each turn: columns by the fingerprint of the schema.
-TURN_TABLES = {
-    ("conv_id", "role", "text", "turn"): ("conv_id", "turn", "role", "text"),
-    ("content", "conversation_id", "index", "role"): ("conversation_id", "index", "role", "content"),
-    ("from", "id", "turn", "value"): ("id", "turn", "from", "value"),
-}
+@dataclasses.dataclass(frozen=True)
+class TurnTable:
+    """Which columns of a table with a row for each turn say what; `named` if roles go by the names in ROLES."""
+
+    conv: str
+    turn: str
+    role: str
+    text: str
+    named: bool = False
+
+    @property
+    def fingerprint(self) -> int:
+        return schema_fingerprint(T.StructType([T.StructField(c, T.StringType()) for c in (self.conv, self.turn, self.role, self.text)]))
+
+    def expression(self) -> Column:
+        """Turn number, role and text of a row."""
+        role = _role(F.col(self.role)) if self.named else F.coalesce(F.col(self.role).cast("string"), F.lit(""))
+        return F.struct(F.col(self.turn).cast("long").alias("turn"), role.alias("role"), F.coalesce(F.col(self.text).cast("string"), F.lit("")).alias("text"))
+
+
+#: Mappings of tables with a row for each turn, by the fingerprint of the schema.
+TURN_TABLES = {t.fingerprint: t for t in (
+    TurnTable("conv_id", "turn", "role", "text"),
+    TurnTable("conversation_id", "index", "role", "content"),
+    TurnTable("id", "turn", "from", "value", named=True),
+)}
 
 
 def turns_of_rows(rows: DataFrame, *, columns: tuple[str, str, str, str] | None = None) -> DataFrame:
     """conv_id and turns (by turn, then role and text) of a table with a row for each turn.
 
-    The columns follow from the schema's field paths, or are given where there are others beside
-    them. Null roles and texts count as empty; rows that are the same are turns of their own.
-    A conversation's turns come together in one row, as its text does.
+    The mapping follows from the fingerprint of the schema's field paths, or columns are given where
+    there are others beside them. Null roles and texts count as empty; rows that are the same are
+    turns of their own. A conversation's turns come together in one row, as its text does.
     """
     if columns is None:
-        columns = TURN_TABLES.get(tuple(field_paths(rows.schema)))
-        if columns is None:
+        layout = TURN_TABLES.get(schema_fingerprint(rows.schema))
+        if layout is None:
             raise ValueError(f"no mapping for a table with the fields {field_paths(rows.schema)}")
-    conv, turn, role, text = columns
-    name = _role(F.col(role)) if role == "from" else F.coalesce(F.col(role).cast("string"), F.lit(""))
-    one = F.struct(F.col(turn).cast("long").alias("turn"), name.alias("role"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text"))
-    got = rows.groupBy(F.col(conv).alias("conv_id")).agg(F.array_sort(F.collect_list(one)).alias("turns"))
+    else:
+        layout = TurnTable(*columns, named=columns[2] == "from")
+    got = rows.groupBy(F.col(layout.conv).alias("conv_id")).agg(F.array_sort(F.collect_list(layout.expression())).alias("turns"))
     return got.select("conv_id", F.transform("turns", lambda x: F.struct(x["role"], x["text"])).alias("turns"))
 
 

@@ -74,3 +74,25 @@ def test_loss_spans_are_places_in_the_text(spark):
     df = spark.createDataFrame([(1, [("user", "é"), ("assistant", "ab</s>"), ("assistant", "c")])], f"conv_id long, turns {chat.TURNS}")
     r = chat.format_chats(df).select("formatted", chat.loss_spans(F.col("formatted")).alias("spans")).first()
     assert [r.formatted[s.start : s.end] for s in r.spans] == ["ab<\\/s>", "c"]
+
+
+def test_deeper_layouts_have_other_fingerprints(spark):
+    def record(content):
+        return {"messages": [{"role": "user", "content": "q"}, {"role": "assistant", "content": content}]}
+
+    contents = ["a", [{"type": "text", "text": "a"}], {"text": "a"}, {"body": "a"}, ["a"], [["a"]], []]
+    records = [*map(record, contents), {"messages": [[{"role": "user", "content": "q"}]]}, {"messages": []}, {"prompt": "q", "response": "a"}, {"prompt": "q", "response": "a", "messages": []}]
+    df = spark.createDataFrame([(i, json.dumps(r)) for i, r in enumerate(records)], "conv_id long, json string")
+    got = {r.conv_id: r for r in chat.canonical_turns(df, keep=("conv_id",)).collect()}
+    assert len({r.fingerprint for r in got.values()}) == len(records)
+    assert {i for i, r in got.items() if r.turns is not None} == {0, 9}
+
+
+def test_tables_are_mapped_by_hash(spark):
+    table = spark.createDataFrame([(1, 0, "human", "q")], "id long, turn long, `from` string, value string")
+    own = chat.schema_fingerprint(table.schema)
+    assert own == spark.range(1).select(chat.fingerprint(F.lit(",".join(chat.field_paths(table.schema))))).first()[0]
+    assert own in chat.TURN_TABLES and [tuple(t) for t in chat.turns_of_rows(table).first().turns] == [("user", "q")]
+    deep = spark.createDataFrame([], "conv_id long, turn long, role string, text struct<a:string>")
+    with pytest.raises(ValueError, match="no mapping"):
+        chat.turns_of_rows(deep)
