@@ -19,6 +19,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .rows import id_type
+from .workers import claim
+
 KINDS = ("email", "ip", "card", "phone")
 LOCAL = re.compile(r"[A-Za-z0-9._%+-]*\Z")
 DOMAIN = re.compile(r"[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++")
@@ -45,8 +48,10 @@ ITEM = re.compile(rf"(?i)\b(?:({_D}|oh)|(plus))\b|[0-9]+")
 #: What may part the digits of one run; commas part runs as well.
 BETWEEN = re.compile(r"[\x20,-]+"), re.compile(r"[\x20-]+")
 AFTER = re.compile(r"(?i)[\x20]*+(?:[\[({<][\x20]*+)?(?:dot\b|\.)")
-AT = re.compile(r"(?i)[\x20]*[\[({<][\x20]*at[\x20]*[\])}>][\x20]*|[\x20]*[\[({<][\x20]*@[\x20]*[\])}>][\x20]*|(?<=[a-z0-9])[\x20]+at[\x20]+(?=[a-z0-9-]+(?:[\x20]+dot[\x20]+|[\x20]*[\[({<][\x20]*dot[\x20]*[\])}>][\x20]*|\.)[a-z0-9])|(?<=[a-z0-9])[\x20]+@[\x20]*(?=[a-z0-9-]+\.[a-z])|(?<=[a-z0-9])@[\x20]+(?=[a-z0-9-]+\.[a-z])")
-DOT = re.compile(r"(?i)[\x20]*[\[({<][\x20]*(?:dot|\.)[\x20]*[\])}>][\x20]*|(?<=[a-z0-9])[\x20]+dot[\x20]+(?=[a-z0-9])")
+#: Spaces before a bracket, taken from their first one on: tried from every space of a long run they would cost its square.
+_OPEN = r"(?:(?<![\x20])[\x20]*+)?+[\[({<][\x20]*+"
+AT = re.compile(rf"(?i){_OPEN}at[\x20]*+[\])}}>][\x20]*+|{_OPEN}@[\x20]*+[\])}}>][\x20]*+|(?<=[a-z0-9])[\x20]++at[\x20]++(?=[a-z0-9-]++(?:[\x20]++dot[\x20]++|[\x20]*+[\[({{<][\x20]*+dot[\x20]*+[\])}}>][\x20]*+|\.)[a-z0-9])|(?<=[a-z0-9])[\x20]++@[\x20]*+(?=[a-z0-9-]++\.[a-z])|(?<=[a-z0-9])@[\x20]++(?=[a-z0-9-]++\.[a-z])")
+DOT = re.compile(rf"(?i){_OPEN}(?:dot|\.)[\x20]*+[\])}}>][\x20]*+|(?<=[a-z0-9])[\x20]++dot[\x20]++(?=[a-z0-9])")
 
 
 def _character_class() -> str:
@@ -248,12 +253,15 @@ def find_pii(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text")
     """id_col, n_email, n_ip, n_card, n_phone, base_sha256 and spans for each row.
 
     Null counts as empty: no spans. Texts are searched whole; every pattern runs in time
-    proportional to the text. Repeated rows get a result each; other columns are ignored.
+    proportional to the text. Repeated rows get a result each; ids are of any type; other
+    columns are ignored.
     """
     counts = [f"n_{k}" for k in KINDS]
-    out = pa.schema([("id", pa.int64()), *[(c, pa.int64()) for c in counts], ("base_sha256", pa.string()), ("spans", pa.string())])
+    kind, name = id_type(docs, id_col)
+    out = pa.schema([("id", kind), *[(c, pa.int64()) for c in counts], ("base_sha256", pa.string()), ("spans", pa.string())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        claim("pii")
         for b in batches:
             rows = []
             for text in b.column(1).to_pylist():
@@ -263,8 +271,8 @@ def find_pii(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text")
             columns = list(zip(*rows, strict=True)) or [()] * 6
             yield pa.RecordBatch.from_arrays([b.column(0), *[pa.array(c, t) for c, t in zip(columns, out.types[1:], strict=True)]], schema=out)
 
-    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
-    return rows.mapInArrow(run, f"id long, {', '.join(c + ' long' for c in counts)}, base_sha256 string, spans string").withColumnRenamed("id", id_col)
+    rows = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
+    return rows.mapInArrow(run, f"id {name}, {', '.join(c + ' long' for c in counts)}, base_sha256 string, spans string").withColumnRenamed("id", id_col)
 
 
 def redact(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -273,6 +281,7 @@ def redact(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -
     at = names.index(text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        claim("pii")
         for b in batches:
             texts = []
             for text in b.column(at).to_pylist():

@@ -115,3 +115,58 @@ def test_prose_with_spelled_digits_stays_clean():
 def test_mixed_runs_take_linear_time():
     for t in ("1 " * 100_000 + "x one", "one 1 " * 50_000, "plus " * 50_000 + "one", "." + " " * 100_000 + "one", "one" + " " * 100_000, "a at b." * 30_000, "one. " * 40_000):
         pii.all_spans(t, pii.base_spans(t))
+
+
+def plain_rewriting(text):
+    """The rewritten texts, character by character: (character, first and last source place, whether rewritten)."""
+
+    def applied(chars, edits):
+        out, here = [], 0
+        for start, end, new in edits:
+            out += chars[here:start]
+            own = chars[start:end]
+            out += [(c, own[0][1], own[-1][2], True) for c in new]
+            here = end
+        return out + chars[here:]
+
+    string = lambda chars: "".join(c[0] for c in chars)
+    first = [(c, k, k + 1, False) for k, c in enumerate(text)]
+    single = applied(first, [(m.start(), m.end(), pii.plain(m[0])) for m in pii.SINGLE.finditer(text)])
+    for edits in [[], *[pii._spelled(string(single), b) for b in pii.BETWEEN]]:
+        now = applied(single, edits)
+        for pattern, new in ((pii.AT, "@"), (pii.DOT, ".")):
+            now = applied(now, [(m.start(), m.end(), new) for m in pattern.finditer(string(now))])
+        yield now
+
+
+def brute_all(text):
+    found = set(brute(text))
+    for now in plain_rewriting(text):
+        for kind, a, b in brute("".join(c[0] for c in now)):
+            own = now[a:b]
+            # Something in it was rewritten, or characters between two of its own were left out.
+            if any(c[3] for c in own) or any(x[2] != y[1] for x, y in zip(own, own[1:], strict=False)):
+                found.add((kind, own[0][1], own[-1][2]))
+    return sorted(found, key=lambda s: (list(BASE).index(s[0]), s[1], s[2]))
+
+
+def test_added_spans_equal_plain_rewriting():
+    rng = random.Random(21)
+    bits = ["one", "two", "zero", " dot ", " at ", "(at)", " [dot] ", "@", ".", " ", "  ", "1", "49", "+", "plus ", "a", "jane", "host", "org", "а", "е", "​", "４", "４１１１", "4111", "-", "(", ")", ",", "é", "ſix"]
+    texts = ["".join(rng.choice(bits) for _ in range(rng.randint(1, 25))) for _ in range(6000)]
+    assert sum(len(brute_all(t)) > len(list(brute(t))) for t in texts) > 200
+    for t in texts:
+        assert pii.all_spans(t, pii.base_spans(t)) == brute_all(t), t
+
+
+def test_time_is_in_proportion_to_the_text():
+    import time
+
+    def took(t):
+        began = time.process_time()
+        pii.all_spans(t, pii.base_spans(t))
+        return time.process_time() - began
+
+    for make in (lambda n: "(" + " " * n, lambda n: "x (at) " + " " * n + "y", lambda n: " " * n + "[dot", lambda n: "( " * n, lambda n: "a at " * n, lambda n: "a @" + " " * n, lambda n: "." * n + " dot ", lambda n: "( " + "at " * n, lambda n: " (at) (dot)" * n, lambda n: "one dot " * n):
+        small, large = took(make(40_000)), took(make(160_000))
+        assert large < 8 * small + 0.3, (make(3), small, large)
