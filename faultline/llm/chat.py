@@ -128,10 +128,14 @@ def fingerprint(paths: Column) -> Column:
     return F.xxhash64(paths)
 
 
+def _hashed(paths: list[str]) -> int:
+    h = xxhash.xxh64_intdigest(",".join(sorted(paths)).encode(), seed=42)
+    return h - (h >> 63 << 64)
+
+
 def schema_fingerprint(schema: T.DataType) -> int:
     """What fingerprint() gives for the field paths of a schema."""
-    h = xxhash.xxh64_intdigest(",".join(field_paths(schema)).encode(), seed=42)
-    return h - (h >> 63 << 64)
+    return _hashed(field_paths(schema))
 
 
 def canonical_turns(records: DataFrame, *, json_col: str = "json", layouts: tuple[Layout, ...] = LAYOUTS, keep: tuple[str, ...] = ()) -> DataFrame:
@@ -161,7 +165,7 @@ class TurnTable:
 
     @property
     def fingerprint(self) -> int:
-        return schema_fingerprint(T.StructType([T.StructField(c, T.StringType()) for c in (self.conv, self.turn, self.role, self.text)]))
+        return _hashed([self.conv, self.turn, self.role, self.text])
 
     def expression(self) -> Column:
         """Turn number, role and text of a row."""
@@ -180,12 +184,17 @@ TURN_TABLES = {t.fingerprint: t for t in (
 def turns_of_rows(rows: DataFrame, *, columns: tuple[str, str, str, str] | None = None) -> DataFrame:
     """conv_id and turns (by turn, then role and text) of a table with a row for each turn.
 
-    The mapping follows from the fingerprint of the schema's field paths, or columns are given where
-    there are others beside them. Null roles and texts count as empty; rows that are the same are
-    turns of their own. A conversation's turns come together in one row, as its text does.
+    The mapping follows from the fingerprint of the schema's field paths: that of all of them, or
+    the first one whose fingerprint those of its own names have, where there are other columns;
+    or columns are given. Nested fields have paths of their own, so they match no mapping. Null
+    roles and texts count as empty; rows that are the same are turns of their own. A
+    conversation's turns come together in one row, as its text does: one of 100 million
+    characters is what a row of Spark can hold with room to spare.
     """
     if columns is None:
-        layout = TURN_TABLES.get(schema_fingerprint(rows.schema))
+        paths = field_paths(rows.schema)
+        some = [t for f, t in TURN_TABLES.items() if f == _hashed([p for p in paths if p in (t.conv, t.turn, t.role, t.text)])]
+        layout = TURN_TABLES.get(schema_fingerprint(rows.schema), some[0] if some else None)
         if layout is None:
             raise ValueError(f"no mapping for a table with the fields {field_paths(rows.schema)}")
     else:

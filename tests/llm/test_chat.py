@@ -33,9 +33,11 @@ def test_round_trip_of_rows(spark):
     assert got == {c: digests(t) for c, t in CONVERSATIONS.items()}
     assert chat.chat_digests(chat.format_chats(chat.turns_of_rows(table.where("false")))).collect() == []
     with pytest.raises(ValueError, match="no mapping"):
-        chat.turns_of_rows(table.withColumn("formatted", F.lit(1)))
+        chat.turns_of_rows(table.drop("turn").withColumn("formatted", F.lit(1)))
     more = table.withColumn("formatted", F.lit(1)).withColumn("turns", F.lit(2))
     assert chat.turns_of_rows(more, columns=("conv_id", "turn", "role", "text")).count() == 4
+    got = {r.conv_id: tuple(r)[1:5] for r in chat.chat_digests(chat.format_chats(chat.turns_of_rows(more))).collect()}
+    assert got == {c: digests(t) for c, t in CONVERSATIONS.items()}
 
 
 def test_random_control_strings_round_trip(spark):
