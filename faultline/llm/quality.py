@@ -4,8 +4,10 @@ One dictionary is trained on good labelled text and one on bad. A text is cut in
 each block is compressed on its own with either: what the dictionaries know weighs more than
 what a long text says of itself. The sums over all blocks of the whole text give the
 normalised difference (bad - good) / (bad + good) of the compressed sizes; a logistic curve
-over it, and over how well the text compresses at all, is calibrated on labelled texts that
-the dictionaries haven't seen, with the classes weighted as they are in the labels.
+over it is calibrated on labelled texts that the dictionaries haven't seen, with the classes
+weighted as they are in the labels. Texts that repeat themselves compress alike under both
+dictionaries, so by default the curve also sees how well the text compresses at all; with
+share=False it sees the difference alone.
 
 The fit takes a bounded sample of the labelled rows: `sample_docs` of each class, half for the
 dictionaries and half for the calibration. Scores cover every row.
@@ -23,6 +25,9 @@ import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .rows import id_type
+from .workers import claim
+
 #: Bytes that are compressed at once, size of a dictionary, level of compression.
 BLOCK = 512
 DICTIONARY = 64 * 1024
@@ -39,6 +44,7 @@ class Model:
     weights: tuple[float, ...]
     center: tuple[float, ...]
     scale: tuple[float, ...]
+    share: bool = True
 
     @property
     def ready(self) -> bool:
@@ -70,12 +76,13 @@ class Sizes:
 
 
 def _inputs(d: np.ndarray, c: np.ndarray) -> np.ndarray:
+    """What the curve sees of differences and log shares; without shares (zeros) the difference."""
     return np.stack([d, c, d * c, c * c], axis=1)
 
 
 def scores(model: Model, features: np.ndarray, empty: np.ndarray) -> np.ndarray:
     """Calibrated probability of label 1; an empty text has what the average text has."""
-    x = (_inputs(features[:, 0], features[:, 1]) - model.center) / model.scale
+    x = (_inputs(features[:, 0], features[:, 1] * model.share) - model.center) / model.scale
     x[empty] = 0
     z = x @ np.array(model.weights[1:]) + model.weights[0]
     return 1 / (1 + np.exp(-np.clip(z, -30, 30)))
@@ -105,16 +112,17 @@ def logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray, ridge: float = 1e
     return w
 
 
-def fit(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", sample_docs: int = SAMPLE_DOCS) -> Model:
+def fit(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", sample_docs: int = SAMPLE_DOCS, share: bool = True) -> Model:
     """A model from labels (id_col, label_col of 0 or 1) of docs.
 
-    Ids labelled both ways are left out. Without labels of both classes there are no
+    Ids labelled both ways are left out; of the rows of one id the one with the smallest hash of
+    its text is learned from. Without labels of both classes there are no
     dictionaries: every text then gets the (smoothed) share of label 1.
     """
     own = labels.where(F.col(id_col).isNotNull() & F.col(label_col).isin(0, 1)).groupBy(id_col).agg(F.min(label_col).cast("int").alias("label"), F.max(label_col).cast("int").alias("most"))
     own = own.where("label = most").select(F.col(id_col).alias("id"), "label", F.xxhash64(F.col(id_col), F.lit(17)).alias("h"))
-    share = {r.label: r.n for r in own.groupBy("label").agg(F.count("*").alias("n")).collect()}
-    n0, n1 = share.get(0, 0), share.get(1, 0)
+    count = {r.label: r.n for r in own.groupBy("label").agg(F.count("*").alias("n")).collect()}
+    n0, n1 = count.get(0, 0), count.get(1, 0)
     prior = math.log((n1 + 1) / (n0 + 1))
     none = Model(b"", b"", (prior, 0.0, 0.0, 0.0, 0.0), (0.0,) * 4, (1.0,) * 4)
     if not (n0 and n1):
@@ -122,6 +130,7 @@ def fit(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col:
     picked = own.where("label = 0").orderBy("h", "id").limit(sample_docs).union(own.where("label = 1").orderBy("h", "id").limit(sample_docs))
     # At most 2 * sample_docs ids are broadcast, and SAMPLE_BLOCKS blocks of each come back.
     rows = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text")).join(F.broadcast(picked), "id")
+    rows = rows.groupBy("id", "label").agg(F.min(F.struct(F.xxhash64("text").alias("h"), "text")).alias("x")).select("id", "label", "x.text")
     teach = F.pmod(F.xxhash64("id", F.lit(5)), F.lit(2)) == 0
     raw = rows.where(teach).select("id", "label", F.encode("text", "utf-8").alias("b"))
     blocks = raw.select("id", "label", F.explode(F.slice(F.array_sort(F.transform(
@@ -134,6 +143,7 @@ def fit(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col:
     schema = pa.schema([("label", pa.int32()), ("d", pa.float64()), ("c", pa.float64())])
 
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        claim("quality")
         sizes = Sizes(model)
         for b in batches:
             got = [sizes.features(t) for t in b.column(1).to_pylist()]
@@ -143,11 +153,11 @@ def fit(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col:
     y = seen["label"].to_numpy(float)
     if len(set(y)) < 2:
         return none
-    x = _inputs(seen["d"].to_numpy(), seen["c"].to_numpy())
+    x = _inputs(seen["d"].to_numpy(), seen["c"].to_numpy() * share)
     center, scale = x.mean(axis=0), np.maximum(x.std(axis=0), 1e-9)
     weight = np.where(y == 1, n1 / y.sum(), n0 / (len(y) - y.sum())) * len(y) / (n0 + n1)
     w = logistic((x - center) / scale, y, weight)
-    return Model(good, bad, tuple(w.tolist()), tuple(center.tolist()), tuple(scale.tolist()))
+    return Model(good, bad, tuple(w.tolist()), tuple(center.tolist()), tuple(scale.tolist()), share)
 
 
 def score(docs: DataFrame, model: Model, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -156,17 +166,19 @@ def score(docs: DataFrame, model: Model, *, id_col: str = "doc_id", text_col: st
     Every row is scored by its whole text, block after block; a null text counts as empty and
     has the score of the average text. Other columns are ignored.
     """
-    out = pa.schema([("id", pa.int64()), ("score", pa.float64())])
+    kind, name = id_type(docs, id_col)
+    out = pa.schema([("id", kind), ("score", pa.float64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        claim("quality")
         sizes = Sizes(model) if model.ready else None
         for b in batches:
             texts = b.column(1).to_pylist()
             f = np.array([sizes.features(t) if sizes else (0.0, 0.0) for t in texts]).reshape(-1, 2)
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(scores(model, f, np.array([not t for t in texts], bool)))], schema=out)
 
-    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
-    return rows.mapInArrow(run, "id long, score double").select(F.col("id").alias(id_col), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+    rows = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
+    return rows.mapInArrow(run, f"id {name}, score double").select(F.col("id").alias(id_col), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
 def held_out(id_col: Column, folds: int = 3, fold: int = 1) -> Column:
@@ -174,19 +186,20 @@ def held_out(id_col: Column, folds: int = 3, fold: int = 1) -> Column:
     return F.coalesce(F.crc32(id_col.cast("string").cast("binary")) % folds == fold, F.lit(False))
 
 
-def classify(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", sample_docs: int = SAMPLE_DOCS) -> DataFrame:
+def classify(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", sample_docs: int = SAMPLE_DOCS, share: bool = True) -> DataFrame:
     """Scores of docs with held_out; the model learns from the labels of the other rows only."""
-    model = fit(docs, labels.where(~held_out(F.col(id_col))), id_col=id_col, text_col=text_col, label_col=label_col, sample_docs=sample_docs)
+    model = fit(docs, labels.where(~held_out(F.col(id_col))), id_col=id_col, text_col=text_col, label_col=label_col, sample_docs=sample_docs, share=share)
     got = score(docs, model, id_col=id_col, text_col=text_col)
     return got.select(id_col, held_out(F.col(id_col)).alias("held_out"), "score", "predicted")
 
 
-def keep_good(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", sample_docs: int = SAMPLE_DOCS) -> DataFrame:
+def keep_good(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", sample_docs: int = SAMPLE_DOCS, share: bool = True) -> DataFrame:
     """The rows of docs that aren't predicted bad, with all their columns. Scored and filtered where they are read: no text is shuffled."""
-    model = fit(docs, labels.where(~held_out(F.col(id_col))), id_col=id_col, text_col=text_col, label_col=label_col, sample_docs=sample_docs)
+    model = fit(docs, labels.where(~held_out(F.col(id_col))), id_col=id_col, text_col=text_col, label_col=label_col, sample_docs=sample_docs, share=share)
     at = docs.columns.index(text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        claim("quality")
         sizes = Sizes(model) if model.ready else None
         for b in batches:
             texts = [t or "" for t in b.column(at).to_pylist()]
