@@ -22,6 +22,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .quality import held_out
+from .rows import id_type
+from .workers import claim
 
 #: Bytes of a window, size of the embedding, filter widths and filters of each.
 LENGTH = 192
@@ -56,6 +58,35 @@ def _log_softmax(z: np.ndarray) -> np.ndarray:
     return z - np.log(np.exp(z).sum(axis=1, keepdims=True))
 
 
+def gradients(p: dict[str, np.ndarray], x: np.ndarray, y: np.ndarray) -> tuple[float, dict[str, np.ndarray]]:
+    """Mean cross entropy of windows x with languages y, and its gradient by every parameter."""
+    n = len(x)
+    e = p["e"][x]
+    pooled, places = [], []
+    for w in WIDTHS:
+        span = np.lib.stride_tricks.sliding_window_view(e, w, axis=1).transpose(0, 1, 3, 2).reshape(n, LENGTH - w + 1, w * EMBEDDING)
+        h = span @ p[f"w{w}"]
+        at = h.argmax(axis=1)
+        places.append(at)
+        pooled.append(np.take_along_axis(h, at[:, None], 1)[:, 0] + p[f"b{w}"])
+    a = np.concatenate(pooled, axis=1)
+    r = np.maximum(a, 0)
+    z = _log_softmax(r @ p["v"] + p["c"])
+    d = np.exp(z)
+    d[np.arange(n), y] -= 1
+    d /= n
+    g = {"v": r.T @ d, "c": d.sum(axis=0), "e": np.zeros_like(p["e"])}
+    da = (d @ p["v"].T) * (a > 0)
+    for k, w in enumerate(WIDTHS):
+        dk, at = da[:, k * FILTERS : (k + 1) * FILTERS], places[k]
+        took = x[np.arange(n)[:, None, None], at[:, :, None] + np.arange(w)]  # (n, filters, w)
+        g[f"w{w}"] = np.einsum("nf,nfi->if", dk, p["e"][took].reshape(n, FILTERS, w * EMBEDDING))
+        g[f"b{w}"] = dk.sum(axis=0)
+        back = dk[:, :, None, None] * p[f"w{w}"].T.reshape(FILTERS, w, EMBEDDING)
+        np.add.at(g["e"], took.ravel(), back.reshape(-1, EMBEDDING))
+    return -float(z[np.arange(n), y].mean()), g
+
+
 def train(x: np.ndarray, y: np.ndarray, languages: list[str], *, epochs: int = 8, batch: int = 64, rate: float = 0.01, seed: int = 7) -> Net:
     """Fits by Adam on cross entropy. x: windows (n, LENGTH); y: numbers of languages."""
     rng = np.random.default_rng(seed)
@@ -71,32 +102,9 @@ def train(x: np.ndarray, y: np.ndarray, languages: list[str], *, epochs: int = 8
         order = rng.permutation(len(x))
         for s in range(0, len(x), batch):
             own = order[s : s + batch]
-            bx, by, n = x[own], y[own], len(own)
             # Some windows are cut short, as the last one of a text is.
-            cut = np.where(rng.random(n) < 0.3, rng.integers(12, LENGTH, n), LENGTH)
-            bx = np.where(np.arange(LENGTH) < cut[:, None], bx, 0)
-            e = p["e"][bx]
-            pooled, places = [], []
-            for w in WIDTHS:
-                span = np.lib.stride_tricks.sliding_window_view(e, w, axis=1).transpose(0, 1, 3, 2).reshape(n, LENGTH - w + 1, w * EMBEDDING)
-                h = span @ p[f"w{w}"]
-                at = h.argmax(axis=1)
-                places.append(at)
-                pooled.append(np.take_along_axis(h, at[:, None], 1)[:, 0] + p[f"b{w}"])
-            a = np.concatenate(pooled, axis=1)
-            r = np.maximum(a, 0)
-            d = np.exp(_log_softmax(r @ p["v"] + p["c"]))
-            d[np.arange(n), by] -= 1
-            d /= n
-            g = {"v": r.T @ d, "c": d.sum(axis=0), "e": np.zeros_like(p["e"])}
-            da = (d @ p["v"].T) * (a > 0)
-            for k, w in enumerate(WIDTHS):
-                dk, at = da[:, k * FILTERS : (k + 1) * FILTERS], places[k]
-                took = bx[np.arange(n)[:, None, None], at[:, :, None] + np.arange(w)]  # (n, filters, w)
-                g[f"w{w}"] = np.einsum("nf,nfi->if", dk, p["e"][took].reshape(n, FILTERS, w * EMBEDDING))
-                g[f"b{w}"] = dk.sum(axis=0)
-                back = dk[:, :, None, None] * p[f"w{w}"].T.reshape(FILTERS, w, EMBEDDING)
-                np.add.at(g["e"], took.ravel(), back.reshape(-1, EMBEDDING))
+            cut = np.where(rng.random(len(own)) < 0.3, rng.integers(12, LENGTH, len(own)), LENGTH)
+            _, g = gradients(p, np.where(np.arange(LENGTH) < cut[:, None], x[own], 0), y[own])
             step += 1
             for k in p:
                 m[k] = 0.9 * m[k] + 0.1 * g[k]
@@ -162,18 +170,18 @@ class Predictor:
 def fit(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", sample_docs: int = SAMPLE_DOCS) -> Net | None:
     """A network from the rows whose language isn't null; None if there are no such texts.
 
-    A hash of id and length picks about `sample_docs` rows of each language, by a share that
-    follows from the language's count; what comes back to the driver is SAMPLE_WINDOWS windows
-    of each.
+    A hash of id and text picks about `sample_docs` different rows of each language, by a share
+    that follows from the language's count; rows that are the same in both count once. What
+    comes back to the driver is SAMPLE_WINDOWS windows of each.
     """
-    rows = docs.where(F.col(lang_col).isNotNull() & (F.length(text_col) > 0)).select(F.col(lang_col).cast("string").alias("lang"), F.col(text_col).alias("text"), F.xxhash64(id_col, F.octet_length(text_col)).alias("h"))
+    rows = docs.where(F.col(lang_col).isNotNull() & (F.length(text_col) > 0)).select(F.col(lang_col).cast("string").alias("lang"), F.col(text_col).alias("text"), F.xxhash64(id_col, text_col).alias("h"))
     counts = {r.lang: r.n for r in rows.groupBy("lang").agg(F.count("*").alias("n")).collect()}
     languages = sorted(counts)
     if not languages:
         return None
     share = F.element_at(F.create_map(*[F.lit(x) for lang in languages for x in (lang, sample_docs / counts[lang])]), F.col("lang"))
     b, n = F.encode("text", "utf-8"), F.greatest(F.lit(1), F.ceil(F.octet_length("text") / F.lit(LENGTH)).cast("int"))
-    picked = rows.where(F.pmod("h", F.lit(1_000_003)) / 1_000_003.0 < share).select("lang", F.transform(F.sequence(F.lit(1), F.lit(SAMPLE_WINDOWS)), lambda k: F.substring(b, F.pmod(F.xxhash64("h", k), n).cast("int") * LENGTH + 1, F.lit(LENGTH))).alias("w"))
+    picked = rows.where(F.pmod("h", F.lit(1_000_003)) / 1_000_003.0 < share).select("lang", F.transform(F.sequence(F.lit(1), F.lit(SAMPLE_WINDOWS)), lambda k: F.substring(b, F.pmod(F.xxhash64("h", k), n).cast("int") * LENGTH + 1, F.lit(LENGTH))).alias("w"), "h").groupBy("lang", "h").agg(F.min("w").alias("w"))
     sample = sorted((r.lang, bytes(w)) for r in picked.collect() for w in r.w)
     if len(languages) == 1:
         sample.append((languages[0], b""))
@@ -186,11 +194,14 @@ def identify(docs: DataFrame, net: Net | None, *, id_col: str = "doc_id", text_c
     """id_col, lang_pred and score for each row, from its whole text.
 
     und with score 0: null texts, texts without any letter, and every text if there was
-    nothing to learn from. Repeated rows get a result each; other columns are ignored.
+    nothing to learn from. Repeated rows get a result each; ids are of any type; other columns
+    are ignored.
     """
-    out = pa.schema([("id", pa.int64()), ("lang_pred", pa.string()), ("score", pa.float64())])
+    kind, name = id_type(docs, id_col)
+    out = pa.schema([("id", kind), ("lang_pred", pa.string()), ("score", pa.float64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        claim("language")
         own = Predictor(net) if net else None
         for b in batches:
             got = [(UNDETERMINED, 0.0)] * b.num_rows
@@ -198,7 +209,7 @@ def identify(docs: DataFrame, net: Net | None, *, id_col: str = "doc_id", text_c
                 got = own.predict(b.column(1).to_pylist())
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array([g[0] for g in got], pa.string()), pa.array([g[1] for g in got], pa.float64())], schema=out)
 
-    return docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string")).mapInArrow(run, "id long, lang_pred string, score double").withColumnRenamed("id", id_col)
+    return docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string")).mapInArrow(run, f"id {name}, lang_pred string, score double").withColumnRenamed("id", id_col)
 
 
 def language_id(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", sample_docs: int = SAMPLE_DOCS) -> DataFrame:
