@@ -5,9 +5,11 @@ and their place in that order is their integer name. Adjacent names of a documen
 paired, distinct pairs are sorted and named in turn, and so on until each document holds a
 single name. Two documents that need the same number of levels have the same last name if
 and only if their texts are equal: every level maps distinct inputs to distinct names, so
-there is no fingerprint whose collision could merge different texts.
+there is no fingerprint whose collision could merge different texts. A name is a rank in the
+whole table's order, so it doesn't depend on how rows are dealt to tasks.
 
-Level 0 moves the block texts once. A block travels back to its document by a 64-bit hash;
+Level 0 sorts blocks by their 64-bit hash, blocks of one hash by their text, and moves the block
+texts once. A block travels back to its document by a 64-bit hash;
 the few hashes that more than one distinct block has (none are expected below 10^9 blocks,
 some 70 at 10^11) are told apart by the rank of the block text among the blocks of that hash.
 Only DataFrame functions are used.
@@ -18,7 +20,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .storage import materialize
+from .rows import digest, without
+from .storage import materialize, release
 
 #: What the normalised text leaves out: space, tab, line feed, vertical tab, form feed, return.
 SPACES = " \t\n\x0b\x0c\r"
@@ -31,22 +34,26 @@ def without_spaces(text: Column) -> Column:
 
 
 def _named(df: DataFrame, *keys: str) -> DataFrame:
-    """Distinct keys with an integer name each: their place in the sorted partitions.
+    """Distinct keys with an integer name each: their place in the order of all of them.
 
-    The table is written at once, so that every reader sees the same names.
+    Sorted ranges are written; a place is that in its range and the keys of all ranges before,
+    a table with a row for each range.
     """
-    distinct = df.select(*keys).distinct().sortWithinPartitions(*keys)
-    return materialize(distinct.select(*keys, F.monotonically_increasing_id().alias("name")))
+    place = F.monotonically_increasing_id()  # the range, and above it the place in it
+    ranges = materialize(df.select(*keys).distinct().repartitionByRange(*keys).sortWithinPartitions(*keys).select(*keys, F.shiftright(place, 33).alias("range"), place.bitwiseAND((1 << 33) - 1).alias("place")))
+    ahead = ranges.groupBy("range").agg(F.count("*").alias("n"))
+    ahead = ahead.select("range", (F.sum("n").over(Window.orderBy("range")) - F.col("n")).alias("ahead"))
+    return ranges.join(F.broadcast(ahead), "range").select(*keys, (F.col("ahead") + F.col("place")).alias("name"))
 
 
 def block_names(docs: DataFrame, *, text_col: str = "text", id_col: str = "doc_id", block_bytes: int = 2048, hash_bits: int = 64) -> tuple[DataFrame, DataFrame]:
     """(profile, identity): a row for each input row, and its collision-free identity.
 
-    profile: row, id, n_chars, sha256 (binary), hashes. identity: row, level, name.
+    profile: row, id, digest, n_chars, sha256 (binary), hashes. identity: row, level, name.
     `hash_bits` below 64 is for tests that want colliding block hashes.
     """
-    text = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("t"))
-    text = text.select("id", F.length("t").alias("n_chars"), without_spaces(F.col("t")).cast("binary").alias("b"))
+    text = docs.select(F.col(id_col).alias("id"), digest(F.col(text_col)).alias("digest"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("t"))
+    text = text.select("id", "digest", F.length("t").alias("n_chars"), without_spaces(F.col("t")).cast("binary").alias("b"))
 
     def block_hash(block: Column) -> Column:
         h = F.xxhash64(block)
@@ -66,7 +73,7 @@ def block_names(docs: DataFrame, *, text_col: str = "text", id_col: str = "doc_i
     odd = F.transform(cut, lambda x: F.when(block_hash(x).isin(shared), x)) if shared else F.lit(None).cast("array<binary>")
     profile = materialize(
         text.select(
-            F.monotonically_increasing_id().alias("row"), "id", "n_chars",
+            F.monotonically_increasing_id().alias("row"), "id", "digest", "n_chars",
             F.unhex(F.sha2("b", 256)).alias("sha256"), hashes.alias("hashes"), odd.alias("odd"),
         )
     )
@@ -93,6 +100,15 @@ def block_names(docs: DataFrame, *, text_col: str = "text", id_col: str = "doc_i
     return profile, done
 
 
+def _groups(docs: DataFrame, **options) -> tuple[DataFrame, DataFrame]:
+    """Rows (row, id, digest, n_chars, sha256, level, name), and of each identity the group's size and the row that stays."""
+    profile, identity = block_names(docs, **options)
+    rows = profile.select("row", "id", "digest", "n_chars", "sha256").join(identity, "row")
+    order = F.struct(-F.col("n_chars"), F.col("id"), F.col("row"))
+    # Written, so that the join back is of two plain shuffles, which Spark can split where one group has very many rows.
+    return rows, materialize(rows.groupBy("level", "name").agg(F.count("*").alias("group_size"), F.min_by(F.struct("row", "id", "digest"), order).alias("keep")))
+
+
 def exact_dedup(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", block_bytes: int = 2048, hash_bits: int = 64) -> DataFrame:
     """One row for each input row: id_col, keep_id, group_size, kept, text_sha256.
 
@@ -100,12 +116,9 @@ def exact_dedup(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
     the row with the most code points stays, then the one with the smallest id (null first),
     then any single one of rows that are the same in both. A null text counts as empty; all
     empty texts are one group. Other columns of docs are ignored, so their names can't clash.
-    An empty table gives an empty result.
+    Ids are of any type that has an order. An empty table gives an empty result.
     """
-    profile, identity = block_names(docs, text_col=text_col, id_col=id_col, block_bytes=block_bytes, hash_bits=hash_bits)
-    rows = profile.select("row", "id", "n_chars", "sha256").join(identity, "row")
-    order = F.struct(-F.col("n_chars"), F.col("id"), F.col("row"))
-    groups = rows.groupBy("level", "name").agg(F.count("*").alias("group_size"), F.min_by(F.struct("row", "id"), order).alias("keep"))
+    rows, groups = _groups(docs, text_col=text_col, id_col=id_col, block_bytes=block_bytes, hash_bits=hash_bits)
     return rows.join(groups, ["level", "name"]).select(
         F.col("id").alias(id_col), F.col("keep.id").alias("keep_id"), "group_size",
         (F.col("row") == F.col("keep.row")).alias("kept"), F.lower(F.hex("sha256")).alias("text_sha256"),
@@ -113,6 +126,10 @@ def exact_dedup(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
 
 
 def drop_exact_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", block_bytes: int = 2048) -> DataFrame:
-    """The rows of docs that stay, with all their columns; ids must be unique."""
-    kept = exact_dedup(docs, id_col=id_col, text_col=text_col, block_bytes=block_bytes).where("kept").select(F.col(id_col).alias("__kept"))
-    return docs.join(kept, docs[id_col].eqNullSafe(kept["__kept"]), "left_semi")
+    """The rows of docs that stay, with all their columns. Rows are told apart by id and text; of rows equal in both one stays at most."""
+    rows, groups = _groups(docs, text_col=text_col, id_col=id_col, block_bytes=block_bytes)
+    other = ~(F.col("id").eqNullSafe(F.col("keep.id")) & (F.col("digest") == F.col("keep.digest")))
+    gone = materialize(rows.join(groups, ["level", "name"]).where(other).select("id", "digest").distinct())
+    once = materialize(rows.groupBy("id", "digest").agg(F.count("*").alias("n")).where("n > 1").select("id", "digest"))
+    release(groups)
+    return without(docs, gone, once, id_col=id_col, text_col=text_col)
