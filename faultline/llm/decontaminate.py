@@ -21,8 +21,11 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
-from .storage import materialize
+from .rows import digest, without
+from .storage import materialize, release
+from .workers import claim
 
 #: Consecutive item words that make a window.
 WINDOW = 10
@@ -35,7 +38,7 @@ GAP = 1 << 10
 #: A-Z to a-z; every other ASCII character that is no digit or letter to a space. Bytes from 0x80 on belong to words.
 TABLE = bytes(b + 32 if 65 <= b <= 90 else b if 48 <= b <= 57 or 97 <= b <= 122 or b >= 128 else 32 for b in range(256))
 
-INDEX = "shard long, doc_ids binary, doc_null binary, n_words binary, terms binary, offsets binary, positions binary"
+COLUMNS = ("n_words", "terms", "offsets", "positions")
 
 
 class _Numbers(dict):
@@ -52,10 +55,14 @@ def words(text: str | None) -> list[bytes]:
 
 
 def build_index(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", shard_words: int = SHARD_WORDS) -> DataFrame:
-    """The index, a row for each shard. Every row of docs is in one shard, null and empty texts with no words."""
-    out = pa.schema([(n.split()[0], pa.int64() if n.endswith("long") else pa.binary()) for n in INDEX.split(", ")])
+    """The index, a row for each shard: number, ids and digests of its documents, and binary COLUMNS.
 
-    def shard(name: int, ids: list, counts: list[int], tokens: list[bytes]) -> pa.RecordBatch:
+    Every row of docs is in one shard, null and empty texts with no words. Ids are of any type.
+    """
+    kind = docs.select(id_col).schema[0].dataType
+    out = pa.schema([("shard", pa.int64()), ("doc_ids", pa.list_(to_arrow_type(kind))), ("digests", pa.list_(pa.int64())), *[(c, pa.binary()) for c in COLUMNS]])
+
+    def shard(name: int, ids: list, digests: list[int], counts: list[int], tokens: list[bytes]) -> pa.RecordBatch:
         number = _Numbers()
         codes = np.fromiter(map(number.__getitem__, tokens), np.uint32, len(tokens))
         terms = sorted(number)
@@ -66,35 +73,38 @@ def build_index(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
         place = np.arange(len(tokens)) + np.repeat(np.arange(len(n)) * GAP, n)
         order = np.argsort(codes, kind="stable")
         offsets = np.concatenate([[0], np.cumsum(np.bincount(codes, minlength=len(terms)))])
-        row = [np.array([i or 0 for i in ids], "<i8"), np.array([i is None for i in ids], np.uint8), n.astype("<i8"), b"\n".join(terms), offsets.astype("<i8"), place[order].astype("<i8" if len(place) and place[-1] >= 1 << 31 else "<i4")]
-        return pa.RecordBatch.from_arrays([pa.array([name], pa.int64()), *[pa.array([x if isinstance(x, bytes) else x.tobytes()], pa.binary()) for x in row]], schema=out)
+        row = [n.astype("<i8"), b"\n".join(terms), offsets.astype("<i8"), place[order].astype("<i8" if len(place) and place[-1] >= 1 << 31 else "<i4")]
+        return pa.RecordBatch.from_arrays([pa.array([name], pa.int64()), pa.array([ids], out.types[1]), pa.array([digests], out.types[2]), *[pa.array([x if isinstance(x, bytes) else x.tobytes()], pa.binary()) for x in row]], schema=out)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        claim("decontaminate")
         name = TaskContext.get().partitionId() << 33
         ids: list = []
+        digests: list[int] = []
         counts: list[int] = []
         tokens: list[bytes] = []
         for b in batches:
-            for i, text in zip(b.column(0).to_pylist(), b.column(1), strict=True):
+            for i, d, text in zip(b.column(0).to_pylist(), b.column(2).to_pylist(), b.column(1), strict=True):
                 got = words(text.as_py())
                 if ids and len(tokens) + len(got) > shard_words:
-                    yield shard(name, ids, counts, tokens)
-                    name, ids, counts, tokens = name + 1, [], [], []
+                    yield shard(name, ids, digests, counts, tokens)
+                    name, ids, digests, counts, tokens = name + 1, [], [], [], []
                 ids.append(i)
+                digests.append(d)
                 counts.append(len(got))
                 tokens += got
         if ids:
-            yield shard(name, ids, counts, tokens)
+            yield shard(name, ids, digests, counts, tokens)
 
-    return docs.select(F.col(id_col).cast("long"), F.col(text_col).cast("string")).mapInArrow(run, INDEX)
+    texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"), digest(F.col(text_col)).alias("digest"))
+    return texts.mapInArrow(run, f"shard long, doc_ids array<{kind.simpleString()}>, digests array<long>, {', '.join(c + ' binary' for c in COLUMNS)}")
 
 
 class Shard:
     """A shard of the index in a worker's memory."""
 
     def __init__(self, row: dict):
-        null = np.frombuffer(row["doc_null"], np.uint8)
-        self.ids = [None if x else i for i, x in zip(np.frombuffer(row["doc_ids"], "<i8").tolist(), null, strict=True)]
+        self.ids, self.digests = row["doc_ids"], row["digests"]
         self.n_words = np.frombuffer(row["n_words"], "<i8")
         self.offsets = np.frombuffer(row["offsets"], "<i8")
         self.starts = np.cumsum(self.n_words) - self.n_words + np.arange(len(self.ids)) * GAP
@@ -173,14 +183,16 @@ def _query_blocks(items: DataFrame, id_col: str, text_col: str, most: int) -> It
 
 def find_windows(index: DataFrame, items: DataFrame, *, width: int = WINDOW, item_id: str = "item_id", item_text: str = "text", query_words: int = QUERY_WORDS) -> DataFrame:
     """Exact phrase matches, a row for each document and block of queries with a match:
-    shard_doc (id), n_words, items (ids with a window in it) and hits (ascending word places that a window covers)."""
+    id, digest (of the text), n_words, items (ids with a window in it) and hits (ascending word places that a window covers)."""
     spark = index.sparkSession
-    out = pa.schema([("row", pa.string()), ("id", pa.int64()), ("n_words", pa.int64()), ("items", pa.list_(pa.int64())), ("hits", pa.list_(pa.int32()))])
+    kinds = index.schema["doc_ids"].dataType.elementType, items.select(item_id).schema[0].dataType
+    out = pa.schema([("row", pa.string()), ("id", to_arrow_type(kinds[0])), ("digest", pa.int64()), ("n_words", pa.int64()), ("items", pa.list_(to_arrow_type(kinds[1]))), ("hits", pa.list_(pa.int32()))])
     result = None
     for number, block in enumerate(_query_blocks(items, item_id, item_text, query_words)):
         sent = spark.sparkContext.broadcast(_windows(block, width))
 
         def run(batches: Iterator[pa.RecordBatch], sent=sent, whole=number == 0) -> Iterator[pa.RecordBatch]:
+            claim("decontaminate")
             vocabulary, by = sent.value
             for b in batches:
                 for row in b.to_pylist():
@@ -199,14 +211,14 @@ def find_windows(index: DataFrame, items: DataFrame, *, width: int = WINDOW, ite
                     docs = range(len(shard.ids)) if whole else sorted(hits)
                     yield pa.RecordBatch.from_arrays(
                         [
-                            pa.array([f"{row['shard']}:{d}" for d in docs], pa.string()), pa.array([shard.ids[d] for d in docs], pa.int64()), pa.array([int(shard.n_words[d]) for d in docs], pa.int64()),
-                            pa.array([sorted(found.get(d, ()), key=str) for d in docs], pa.list_(pa.int64())), pa.array([np.unique(np.concatenate([h.ravel() for h in hits[d]])) if d in hits else [] for d in docs], pa.list_(pa.int32())),
+                            pa.array([f"{row['shard']}:{d}" for d in docs], pa.string()), pa.array([shard.ids[d] for d in docs], out.types[1]), pa.array([shard.digests[d] for d in docs], pa.int64()), pa.array([int(shard.n_words[d]) for d in docs], pa.int64()),
+                            pa.array([sorted(found.get(d, ()), key=str) for d in docs], out.types[4]), pa.array([np.unique(np.concatenate([h.ravel() for h in hits[d]])) if d in hits else [] for d in docs], pa.list_(pa.int32())),
                         ], schema=out)
 
-        part = index.mapInArrow(run, "row string, id long, n_words long, items array<long>, hits array<int>")
+        part = index.mapInArrow(run, f"row string, id {kinds[0].simpleString()}, digest long, n_words long, items array<{kinds[1].simpleString()}>, hits array<int>")
         result = part if result is None else result.unionByName(part)
     if number:  # several blocks: put together what each has found in a document
-        result = result.groupBy("row").agg(F.first("id").alias("id"), F.first("n_words").alias("n_words"), F.array_distinct(F.flatten(F.collect_list("items"))).alias("items"), F.array_distinct(F.flatten(F.collect_list("hits"))).alias("hits"))
+        result = result.groupBy("row").agg(F.first("id").alias("id"), F.first("digest").alias("digest"), F.first("n_words").alias("n_words"), F.array_distinct(F.flatten(F.collect_list("items"))).alias("items"), F.array_distinct(F.flatten(F.collect_list("hits"))).alias("hits"))
     return result.drop("row")
 
 
@@ -214,9 +226,11 @@ def find_near(index: DataFrame, queries: list[str], span: int) -> DataFrame:
     """Proximity matches: query, doc_id and place (of the query's rarest term in the shard) where all its terms stand within `span` words of it."""
     if span >= GAP:
         raise ValueError(f"a span is below {GAP} words")
-    out = pa.schema([("query", pa.string()), ("doc_id", pa.int64()), ("place", pa.int64())])
+    kind = index.schema["doc_ids"].dataType.elementType
+    out = pa.schema([("query", pa.string()), ("doc_id", to_arrow_type(kind)), ("place", pa.int64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        claim("decontaminate")
         for b in batches:
             for row in b.to_pylist():
                 shard = Shard(row)
@@ -225,9 +239,9 @@ def find_near(index: DataFrame, queries: list[str], span: int) -> DataFrame:
                     if len(codes) and (codes >= 0).all():
                         at = shard.near(codes, span)
                         doc = shard.document(at)
-                        yield pa.RecordBatch.from_arrays([pa.array([q] * len(at), pa.string()), pa.array([shard.ids[d] for d in doc], pa.int64()), pa.array(at - shard.starts[doc], pa.int64())], schema=out)
+                        yield pa.RecordBatch.from_arrays([pa.array([q] * len(at), pa.string()), pa.array([shard.ids[d] for d in doc], out.types[1]), pa.array(at - shard.starts[doc], pa.int64())], schema=out)
 
-    return index.mapInArrow(run, "query string, doc_id long, place long")
+    return index.mapInArrow(run, f"query string, doc_id {kind.simpleString()}, place long")
 
 
 def contamination(docs: DataFrame, items: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", item_id: str = "item_id", item_text: str = "text", width: int = WINDOW, shard_words: int = SHARD_WORDS, query_words: int = QUERY_WORDS) -> DataFrame:
@@ -235,7 +249,8 @@ def contamination(docs: DataFrame, items: DataFrame, *, id_col: str = "doc_id",
 
     Items of fewer than `width` words are one window, those without words none. Null texts have
     no words. An item id that several rows share counts once; a null item id is left out of
-    items_sha256 and n_items but its windows count as hits. No items: nothing is hit.
+    items_sha256 and n_items but its windows count as hits. No items: nothing is hit. Ids of
+    either table are of any type; other columns are ignored.
     """
     index = materialize(build_index(docs, id_col=id_col, text_col=text_col, shard_words=shard_words))
     found = find_windows(index, items, width=width, item_id=item_id, item_text=item_text, query_words=query_words)
@@ -246,12 +261,15 @@ def contamination(docs: DataFrame, items: DataFrame, *, id_col: str = "doc_id",
     )
 
 
-def drop_contaminated(docs: DataFrame, items: DataFrame, *, id_col: str = "doc_id", **options) -> DataFrame:
-    """The rows of docs without any hit, with all their columns; ids must be unique."""
-    bad = contamination(docs, items, id_col=id_col, **options).where("contaminated").select(F.col(id_col).alias("__hit"))
-    return docs.join(bad, docs[id_col].eqNullSafe(bad["__hit"]), "left_anti")
+def drop_contaminated(docs: DataFrame, items: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", item_id: str = "item_id", item_text: str = "text", width: int = WINDOW, shard_words: int = SHARD_WORDS, query_words: int = QUERY_WORDS) -> DataFrame:
+    """The rows of docs without any hit, with all their columns. A text goes by itself, whatever other rows of its id hold."""
+    index = materialize(build_index(docs, id_col=id_col, text_col=text_col, shard_words=shard_words))
+    found = find_windows(index, items, width=width, item_id=item_id, item_text=item_text, query_words=query_words)
+    gone = materialize(found.where(F.size("hits") > 0).select("id", "digest").distinct())
+    release(index)
+    return without(docs, gone, id_col=id_col, text_col=text_col)
 
 
 def load_index(spark: SparkSession, path: str) -> DataFrame:
     """An index written with `build_index(...).write.parquet(path)`."""
-    return spark.read.schema(INDEX).parquet(path)
+    return spark.read.parquet(path)
