@@ -4,32 +4,47 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .evaluate import distance
 from .ordered import running
 
-#: Columns that name or place rows and are no features.
-STRUCTURAL = frozenset({"id", "batch_id", "cycle_id", "run_seq", "scored_at_utc", "decision", "auto_reject", "manual_inspect"})
+#: Columns that name or place rows and are no features, in any case.
+STRUCTURAL = frozenset({"id", "row_id", "index", "batch_id", "cycle_id", "run_seq", "scored_at_utc", "decision", "auto_reject", "manual_inspect"})
 
 
 def temporal_split(rows: DataFrame, order: str, share: int = 70, key: str = "id") -> DataFrame:
     """rows with is_current: false for the first `share` percent in the order, at least one row on either side."""
     n = rows.count()
     cut = max(1, min(n * share // 100, n - 1))
-    return running(rows, F.col(order).cast("double"), [F.col(order), F.col(key)]).withColumn("is_current", F.col("pos") >= cut).drop("pos")
+    return running(rows, [F.col(order), F.col(key)]).withColumn("is_current", F.col("pos") >= cut).drop("pos")
 
 
 def drift_table(reference: DataFrame, current: DataFrame, columns: Sequence[str], threshold: float = 0.1) -> DataFrame:
-    """column_name, distance (Wasserstein over the reference's deviation), ks and flagged for integer columns."""
+    """column_name, distance (Wasserstein over the reference's deviation), ks, p_value (of the KS statistic) and drifted, for numeric columns.
+
+    Structural columns are left out. A column drifts if its distance is above the threshold;
+    p_drifted says the same of a p-value below 0.05. Nothing but structural columns: no rows.
+    """
     out = None
     for c in columns:
         if c.lower() in STRUCTURAL:
             continue
-        got = distance(reference.select(F.col(c).alias("q")), current.select(F.col(c).alias("q"))).select(F.lit(c).alias("column_name"), F.col("normalized").alias("distance"), "ks")
+        got = distance(reference, current, c).select(F.lit(c).alias("column_name"), F.col("normalized").alias("distance"), "ks")
         out = got if out is None else out.unionByName(got)
-    return out.withColumn("drifted", F.col("distance") > threshold)
+    if out is None:
+        out = reference.sparkSession.createDataFrame([], "column_name string, distance double, ks double")
+    n, m = reference.count(), current.count()
+    out = out.withColumn("p_value", ks_p_value(F.col("ks"), n * m / max(1, n + m)))
+    return out.withColumns({"drifted": F.col("distance") > threshold, "p_drifted": F.col("p_value") < 0.05})
+
+
+def ks_p_value(ks: Column, n: float, terms: int = 20) -> Column:
+    """Asymptotic p-value of a two-sample Kolmogorov-Smirnov statistic with an effective size of n."""
+    x = ks**2 * F.lit(-2.0 * n)
+    total = sum((F.lit(2.0 * (-1) ** (k - 1)) * F.exp(x * k * k) for k in range(2, terms + 1)), F.lit(2.0) * F.exp(x))
+    return F.when(ks**2 * n < 0.04, F.lit(1.0)).otherwise(F.greatest(F.lit(0.0), F.least(F.lit(1.0), total)))  # the series needs more terms near 0, where it is 1
 
 
 def drift_summary(table: DataFrame, score: str = "q") -> DataFrame:

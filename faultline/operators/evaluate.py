@@ -2,7 +2,9 @@
 
 Scores are integers q on a fixed grid (pred = q / scale), so every engine and every cut agrees.
 One grouped pass counts rows and positives at each score; all tables that need an order work on
-these counts, of which there are at most scale + 1, never on the rows.
+these counts, of which there are at most scale + 1, never on the rows. Ranking statistics and
+distances take any other score or column as well (`score`, grid=False): distinct values are
+then as many as there may be, and are put in order by ranges.
 """
 
 from __future__ import annotations
@@ -13,15 +15,24 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from faultline.functions.exprs import balance, budget_rows, cost, mcc, ratio
+from faultline.sources.scratch import materialize
 
-from .ordered import running
+from .ordered import lagged, running
 
 SCALE = 10_000
 
 
-def score_counts(scored: DataFrame, label: str = "response", *by: str) -> DataFrame:
-    """q, n, pos (and by): rows and positives at each score."""
-    return scored.groupBy(*by, "q").agg(F.count("*").alias("n"), F.sum(label).cast("long").alias("pos"))
+def score_counts(scored: DataFrame, label: str = "response", *by: str, score: str = "q") -> DataFrame:
+    """score, n, pos (and by): rows and positives at each score."""
+    return scored.groupBy(*by, score).agg(F.count("*").alias("n"), F.sum(label).cast("long").alias("pos"))
+
+
+def cumulated(counts: DataFrame, *by: str, score: str = "q", grid: bool = True) -> DataFrame:
+    """counts with tp and m: positives and rows at the score or above."""
+    if grid:  # the grid bounds the number of rows
+        w = Window.partitionBy(*by).orderBy(F.desc(score))
+        return counts.withColumns({"tp": F.sum("pos").over(w), "m": F.sum("n").over(w)})
+    return running(counts, [F.desc(score)], {"tp": F.col("pos"), "m": F.col("n")}, None, by)
 
 
 def with_metrics(df: DataFrame) -> DataFrame:
@@ -55,21 +66,33 @@ def best_threshold(scored: DataFrame, label: str = "response") -> DataFrame:
 
 def ranked(scored: DataFrame, key: str = "id") -> DataFrame:
     """scored with rank (1 for the highest score, ties by key)."""
-    return running(scored, (-F.col("q")).cast("double"), [F.desc("q"), F.col(key)], position="rank").withColumn("rank", F.col("rank") + 1)
+    return running(scored, [F.desc("q"), F.col(key)], position="rank").withColumn("rank", F.col("rank") + 1)
+
+
+def top_counts(scored: DataFrame, sizes: Sequence[int], label: str = "response", key: str = "id") -> DataFrame:
+    """For each size k of at least 1: k, q (the score of the k-th row, ties by key) and tp (positives among the first k).
+
+    Counts at each score tell where the k-th row is; only the rows of those few scores are put in order.
+    """
+    spark = scored.sparkSession
+    grid = spark.createDataFrame([(int(k),) for k in set(sizes)], "k long")
+    counts = cumulated(score_counts(scored, label))
+    cuts = materialize(counts.join(F.broadcast(grid), (F.col("m") >= F.col("k")) & (F.col("m") - F.col("n") < F.col("k"))).select("k", "q", (F.col("tp") - F.col("pos")).alias("above"), (F.col("k") - F.col("m") + F.col("n")).alias("need")))
+    # As many cuts as sizes.
+    tied = running(scored.select(key, "q", label).join(F.broadcast(cuts.select("q").distinct()), "q"), [F.col(key)], {"__tp": F.col(label).cast("long")}, "__r", ["q"])
+    at = tied.join(F.broadcast(cuts.select("k", "q", "need")), "q").where(F.col("__r") + 1 == F.col("need")).select("k", "__tp")
+    return cuts.join(F.broadcast(at), "k").select("k", "q", (F.col("above") + F.col("__tp")).alias("tp"))
 
 
 def budget_curve(scored: DataFrame, percents: Sequence[int] = range(1, 11), label: str = "response") -> DataFrame:
     """What inspecting the top p percent of rows finds; ties by id."""
-    n = scored.count()
-    placed = ranked(scored)
-    spark = scored.sparkSession
-    grid = spark.createDataFrame([(float(p), min(max(0, -(-n * p // 100)), n)) for p in percents], "inspection_budget_pct double, selected_rows long")
-    most = max((-(-n * p // 100) for p in percents), default=0)
-    top = placed.where(F.col("rank") <= most).select("rank", "q", label)
-    got = grid.join(top, F.col("rank") <= F.col("selected_rows"), "left").groupBy("inspection_budget_pct", "selected_rows").agg(
-        F.coalesce(F.sum(label), F.lit(0)).cast("long").alias("tp"), (F.coalesce(F.min("q"), F.lit(SCALE)) / float(SCALE)).alias("score_cutoff"))
-    all_pos = scored.agg(F.sum(label)).first()[0] or 0
-    got = got.select("inspection_budget_pct", "selected_rows", "score_cutoff", "tp", (F.col("selected_rows") - F.col("tp")).alias("fp"), (F.lit(all_pos) - F.col("tp")).alias("fn"), (F.lit(n - all_pos) - F.col("selected_rows") + F.col("tp")).alias("tn"))
+    n, all_pos = scored.agg(F.count("*"), F.coalesce(F.sum(label), F.lit(0))).first()
+    sizes = [(float(p), min(max(0, -(-n * p // 100)), n)) for p in percents]
+    grid = scored.sparkSession.createDataFrame(sizes, "inspection_budget_pct double, selected_rows long")
+    top = top_counts(scored, [k for _, k in sizes if k], label)
+    got = grid.join(F.broadcast(top), F.col("k") == F.col("selected_rows"), "left")
+    got = got.select("inspection_budget_pct", "selected_rows", (F.coalesce("q", F.lit(SCALE)) / float(SCALE)).alias("score_cutoff"), F.coalesce("tp", F.lit(0)).cast("long").alias("tp"))
+    got = got.select("*", (F.col("selected_rows") - F.col("tp")).alias("fp"), (F.lit(all_pos) - F.col("tp")).alias("fn"), (F.lit(n - all_pos) - F.col("selected_rows") + F.col("tp")).alias("tn"))
     return with_metrics(got)
 
 
@@ -124,20 +147,16 @@ def recall_at_precision(sweep: DataFrame, targets: Sequence[float]) -> DataFrame
     return got.withColumn("__r", F.row_number().over(w)).where("__r = 1").drop("__r").withColumn("available", F.col("threshold").isNotNull())
 
 
-def roc_auc(scored: DataFrame, *by: str, label: str = "response") -> DataFrame:
+def roc_auc(scored: DataFrame, *by: str, label: str = "response", score: str = "q", grid: bool = True) -> DataFrame:
     """Area under the ROC curve; ties count half. Null with one class only."""
-    c = score_counts(scored, label, *by)
-    above = Window.partitionBy(*by).orderBy(F.desc("q")) if by else Window.orderBy(F.desc("q"))
-    c = c.withColumn("tp", F.sum("pos").over(above))
+    c = cumulated(score_counts(scored, label, *by, score=score), *by, score=score, grid=grid)
     got = c.groupBy(*by).agg(F.sum((F.col("n") - F.col("pos")) * (F.col("tp") - F.col("pos") / 2.0)).alias("u"), F.sum("pos").alias("p"), F.sum("n").alias("n"))
     return got.withColumn("auc", F.when((F.col("p") > 0) & (F.col("n") > F.col("p")), F.col("u") / (F.col("p") * (F.col("n") - F.col("p"))).cast("double"))).drop("u")
 
 
-def average_precision(scored: DataFrame, label: str = "response") -> DataFrame:
+def average_precision(scored: DataFrame, label: str = "response", *, score: str = "q", grid: bool = True) -> DataFrame:
     """Average precision over distinct scores, prevalence and lift."""
-    c = score_counts(scored, label)
-    w = Window.orderBy(F.desc("q"))
-    c = c.withColumns({"tp": F.sum("pos").over(w), "m": F.sum("n").over(w)})
+    c = cumulated(score_counts(scored, label, score=score), score=score, grid=grid)
     got = c.agg(F.sum(F.col("pos") * (F.col("tp") / F.col("m"))).alias("s"), F.sum("pos").alias("p"), F.sum("n").alias("n"))
     got = got.select(ratio(F.col("s"), F.col("p")).alias("average_precision"), ratio(F.col("p"), F.col("n")).alias("prevalence"))
     return got.withColumn("lift", ratio(F.col("average_precision"), F.col("prevalence")))
@@ -146,10 +165,9 @@ def average_precision(scored: DataFrame, label: str = "response") -> DataFrame:
 def top_lift(scored: DataFrame, permille: Sequence[int], label: str = "response") -> DataFrame:
     """Precision, recall and lift of the top rows; at least one row is taken."""
     n, p = scored.agg(F.count("*"), F.sum(label)).first()
-    ks = [(m / 10.0, max(1, -(-n * m // 1000))) for m in permille]
-    top = ranked(scored).where(F.col("rank") <= max(k for _, k in ks))
+    ks = [(m / 10.0, min(n, max(1, -(-n * m // 1000)))) for m in permille] if n else []
     grid = scored.sparkSession.createDataFrame(ks, "top_pct double, k long")
-    got = grid.join(top, F.col("rank") <= F.col("k")).groupBy("top_pct", "k").agg(F.sum(label).cast("long").alias("tp"))
+    got = grid.join(F.broadcast(top_counts(scored, [k for _, k in ks], label)), "k").select("top_pct", "k", F.col("tp").cast("long").alias("tp"))
     got = got.withColumns({"precision": ratio(F.col("tp"), F.col("k")), "recall": ratio(F.col("tp"), F.lit(p or 0))})
     return got.withColumn("lift", ratio(F.col("precision"), F.lit((p or 0) / n if n else 0.0)))
 
@@ -168,18 +186,20 @@ def brier(scored: DataFrame, label: str = "response") -> DataFrame:
     return c.agg((s / F.sum("n") / float(SCALE) ** 2).alias("brier"), F.sum("n").alias("n"))
 
 
-def distance(reference: DataFrame, current: DataFrame) -> DataFrame:
-    """Wasserstein distance (and over the reference's standard deviation) and Kolmogorov-Smirnov distance of q in two tables."""
-    both = reference.groupBy("q").agg(F.count("*").alias("a"), F.lit(0).cast("long").alias("b")).unionByName(current.groupBy("q").agg(F.lit(0).cast("long").alias("a"), F.count("*").alias("b")))
-    both = both.groupBy("q").agg(F.sum("a").alias("a"), F.sum("b").alias("b"))
-    w = Window.orderBy("q")
-    every = w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    gap = F.abs(F.sum("a").over(w) / F.sum("a").over(every) - F.sum("b").over(w) / F.sum("b").over(every))
-    both = both.withColumns({"gap": gap, "step": (F.lead("q").over(w) - F.col("q"))})
-    std = F.sqrt(F.sum(F.col("a") * F.col("q").cast("double") ** 2) / F.sum("a") - (F.sum(F.col("a") * F.col("q")) / F.sum("a")) ** 2)
-    got = both.agg((F.sum(F.col("gap") * F.coalesce("step", F.lit(0))) / float(SCALE)).alias("wasserstein"), F.max("gap").alias("ks"), (std / float(SCALE)).alias("reference_std"))
-    return got.withColumn("normalized", ratio(F.col("wasserstein"), F.col("reference_std")))
+def distance(reference: DataFrame, current: DataFrame, column: str = "q", scale: float = SCALE) -> DataFrame:
+    """Wasserstein distance (and over the reference's standard deviation) and Kolmogorov-Smirnov distance of a numeric column in two tables, in units of 1 / scale.
 
-
-def labelled(values: Sequence[tuple], schema: str, spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame(list(values), schema)
+    Nulls and NaN are left out. Both tables are summed up by distinct values, which are put in
+    order by ranges, however many there are.
+    """
+    def of(df: DataFrame, name: str, other: str) -> DataFrame:
+        return df.where(F.col(column).isNotNull() & ~F.isnan(F.col(column).cast("double"))).groupBy(F.col(column).alias("v")).agg(F.count("*").alias(name)).withColumn(other, F.lit(0).cast("long"))
+
+    both = of(reference, "a", "b").unionByName(of(current, "b", "a")).groupBy("v").agg(F.sum("a").alias("a"), F.sum("b").alias("b"))
+    placed = materialize(lagged(running(both, [F.col("v")], {"ca": F.col("a"), "cb": F.col("b")}), "pos", {"after": (F.col("v"), -1)}))
+    n = F.broadcast(placed.agg(F.sum("a").alias("na"), F.sum("b").alias("nb")))
+    gap = F.abs(F.col("ca") / F.col("na") - F.col("cb") / F.col("nb"))
+    x = F.col("v").cast("double")
+    std = F.sqrt(F.sum(F.col("a") * x**2) / F.sum("a") - (F.sum(F.col("a") * x) / F.sum("a")) ** 2)
+    got = placed.join(n).agg((F.sum(gap * F.coalesce(F.col("after") - F.col("v"), F.lit(0))) / float(scale)).alias("wasserstein"), F.max(gap).alias("ks"), (std / float(scale)).alias("reference_std"))
+    return got.withColumn("normalized", ratio(F.col("wasserstein"), F.col("reference_std")))

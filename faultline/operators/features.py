@@ -8,29 +8,36 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from faultline.functions.exprs import pairs, smoothed, tokens, transitions
+from faultline.sources.scratch import materialize
 
-from .ordered import asof_backward, lagged_mean, running, time_counts
+from .ordered import asof_backward, joined, lagged, lagged_mean, running, sorted_rows, time_counts
 
 
 def filled_start(parts: DataFrame, t: str = "start_time", key: str = "id") -> DataFrame:
     """parts with missing times one unit before the first; without any time, places in the order of the key."""
     first = parts.agg(F.min(t)).first()[0]
     if first is None:
-        return running(parts, F.col(key).cast("double"), [F.col(key)], position="__pos").withColumn(t, F.col("__pos").cast("double")).drop("__pos")
+        return running(parts, [F.col(key)], position="__pos").withColumn(t, F.col("__pos").cast("double")).drop("__pos")
     return parts.withColumn(t, F.coalesce(F.col(t), F.lit(first - 1.0)))
 
 
 def time_blocks(parts: DataFrame, size: int, t: str = "start_time", key: str = "id") -> DataFrame:
     """time_block: blocks of `size` rows in the order of (t, key); and block_size."""
-    placed = running(parts, F.col(t).cast("double"), [F.col(t), F.col(key)], position="__pos")
-    return placed.withColumn("time_block", F.floor(F.col("__pos") / size).cast("int")).withColumn("block_size", F.count("*").over(Window.partitionBy("time_block"))).drop("__pos")
+    return _blocked(running(parts, [F.col(t), F.col(key)], position="__pos"), size, parts.count())
+
+
+def _blocked(placed: DataFrame, size: int, n: int) -> DataFrame:
+    """All blocks but the last are full."""
+    block = F.floor(F.col("__pos") / size).cast("int")
+    return placed.withColumn("time_block", block).withColumn("block_size", F.least(F.lit(size), F.lit(n) - F.col("time_block") * size).cast("long")).drop("__pos")
 
 
 def core_features(parts: DataFrame, *, block: int = 10_000) -> DataFrame:
     """The eight core features: times, mean, sliding counts of 1 and 24 units, their ratio, time block."""
-    timed = time_counts(filled_start(parts), "start_time", "id", {"records_last_1hr": 1.0, "records_last_24hr": 24.0})
+    parts = materialize(parts)
+    timed = time_counts(filled_start(parts), "start_time", "id", {"records_last_1hr": 1.0, "records_last_24hr": 24.0}, "__pos")
     timed = timed.withColumn("density_ratio", F.col("records_last_1hr") / F.greatest(F.col("records_last_24hr"), F.lit(1)))
-    return time_blocks(timed, block)
+    return _blocked(timed, block, parts.count())
 
 
 def station_means(readings: DataFrame, stations: Sequence[str]) -> DataFrame:
@@ -105,7 +112,7 @@ def target_encoded(rows: DataFrame, fit: DataFrame, by: str, name: str, label: s
 
 def rolling_rate(train: DataFrame, probes: DataFrame, overall: float, *, rows: int = 10_000, t: str = "start_time", key: str = "id", label: str = "response", name: str = "rolling_fail_rate", by: Sequence[str] = ()) -> DataFrame:
     """probes with the rate over the `rows` train rows before the last one at or before their time; else the overall rate."""
-    past = lagged_mean(train.where(F.col(t).isNotNull()).select(*by, t, key, label), F.col(t), [F.col(t), F.col(key)], F.col(label), rows, name, by)
+    past = lagged_mean(train.where(F.col(t).isNotNull()).select(*by, t, key, label), [F.col(t), F.col(key)], F.col(label), rows, name, by)
     past = past.withColumn(name, F.coalesce(name, F.lit(overall)))
     return asof_backward(probes, past.select(*by, t, key, name).withColumnRenamed(key, "__key"), t, [name], F.col("__key"), {name: F.lit(overall)}, by)
 
@@ -113,19 +120,15 @@ def rolling_rate(train: DataFrame, probes: DataFrame, overall: float, *, rows: i
 def since_failures(parts: DataFrame, ks: Sequence[int] = (1, 5, 10), *, t: str = "end_time", key: str = "id", label: str = "response", failure_t: str = "end_time") -> DataFrame:
     """parts with since_k: their time less the mean time of the last k failures strictly before it; null with fewer.
 
-    Failures are few against the rows: they are numbered and summed up in time order, and each
-    part looks up how many came before it.
+    Failures are few against the rows: they are numbered and summed up in time order, each gets
+    the mean of the k that end with it, and each part looks up the last one before it.
     """
     failed = parts.where((F.col(label) == 1) & F.col(failure_t).isNotNull()).select(F.col(failure_t).alias("__t"), F.col(key).alias("__key"))
-    summed = running(failed, F.col("__t"), [F.col("__t"), F.col("__key")], {"__sum": F.col("__t")}, "__i").withColumn("__i", F.col("__i") + 1)
-    at = summed.groupBy(F.col("__t").alias(t)).agg(F.max("__i").alias("__n"))
-    got = asof_backward(parts, at, t, ["__n"], F.col("__n"), {"__n": F.lit(0)}, strict=True)
-    sums = summed.select("__i", "__sum")
-    got = got.join(sums.select(F.col("__i").alias("__n"), F.col("__sum").alias("__hi")), "__n", "left")
-    for k in ks:
-        low = sums.select((F.col("__i") + k).alias("__n"), F.col("__sum").alias(f"__lo{k}"))
-        got = got.join(low, "__n", "left").withColumn(f"since_{k}", F.when(F.col("__n") >= k, F.col(t) - (F.col("__hi") - F.coalesce(f"__lo{k}", F.lit(0.0))) / k))
-    return got.drop("__n", "__hi", *[f"__lo{k}" for k in ks])
+    summed = lagged(running(failed, [F.col("__t"), F.col("__key")], {"__sum": F.col("__t")}, "__i"), "__i", {f"__s{k}": (F.col("__sum"), k) for k in ks})
+    means = [F.when(F.col("__i") >= k - 1, (F.col("__sum") - F.coalesce(f"__s{k}", F.lit(0.0))) / k).alias(f"__m{k}") for k in ks]
+    names = [f"__m{k}" for k in ks]
+    got = asof_backward(parts, summed.select(F.col("__t").alias(t), "__i", *means), t, names, F.col("__i"), strict=True)
+    return got.withColumns({f"since_{k}": F.col(t) - F.col(f"__m{k}") for k in ks}).drop(*names)
 
 
 def median_filled(rows: DataFrame, columns: Sequence[str], fit: DataFrame | None = None) -> DataFrame:
@@ -150,18 +153,32 @@ def aligned(rows: DataFrame, contract: Sequence[tuple[str, str, object]]) -> Dat
 def duplicate_runs(rows: DataFrame, same: Sequence[str], t: str, key: str) -> DataFrame:
     """rows with dup_run (1-based number of the run of equal `same` in the order of (t, key), nulls last), its size, and ranks from both ends.
 
-    The first row of each range of the order sees the last one of the range before.
+    Rows are sorted once. The first row of a range sees the last one of the range before; a
+    range's runs, places and ends go on in those beside it by a table with a row for each range.
     """
-    from .ordered import ranges_of
-
-    packed = F.struct(*same)
-    cut = rows.withColumn("__range", ranges_of(rows, F.col(t).cast("double"))).withColumn("__same", packed)
-    order = [F.col(t).asc_nulls_last(), F.col(key)]
-    w = Window.partitionBy("__range").orderBy(*order)
-    cut = cut.withColumns({"__prev": F.lag("__same").over(w), "__first": F.row_number().over(w) == 1})
-    ends = cut.groupBy("__range").agg(F.max_by("__same", F.struct(F.col(t).isNull(), F.col(t), F.col(key))).alias("__end"))
-    ends = ends.withColumn("__before", F.lag("__end").over(Window.orderBy("__range"))).select("__range", "__before")
-    cut = cut.join(F.broadcast(ends), "__range").withColumn("__new", (~F.col("__same").eqNullSafe(F.when(F.col("__first"), F.col("__before")).otherwise(F.col("__prev")))).cast("long"))
-    numbered = running(cut, F.col(t).cast("double"), order, {"dup_run": F.col("__new")}, None).drop("__range", "__same", "__prev", "__first", "__before", "__new")
-    run = Window.partitionBy("dup_run")
-    return numbered.withColumns({"run_size": F.count("*").over(run), "run_rank": F.row_number().over(run.orderBy(*order)), "run_rank_desc": F.row_number().over(run.orderBy(F.col(t).desc_nulls_first(), F.col(key).desc()))})
+    got = sorted_rows(rows.withColumn("__same", F.struct(*same)), [F.col(t).asc_nulls_last(), F.col(key)])
+    ranges, w = Window.orderBy("__range"), Window.partitionBy("__range").orderBy("__place")
+    ends = got.groupBy("__range").agg(F.max_by("__same", "__place").alias("__end"), F.count("*").alias("__n"))
+    ends = ends.select("__range", F.lag("__end").over(ranges).alias("__before"), (F.sum("__n").over(ranges) - F.col("__n")).alias("__ahead"), F.sum("__n").over(Window.partitionBy()).alias("__all"))
+    got = joined(got, ends, ["__range"]).withColumn("__pos", F.col("__ahead") + F.col("__place"))
+    before = F.when(F.col("__place") == 0, F.col("__before")).otherwise(F.lag("__same").over(w))
+    got = materialize(got.withColumn("__new", (F.col("__pos") == 0) | ~F.col("__same").eqNullSafe(before)).drop("__same", "__before", "__ahead"))
+    start = F.when(F.col("__new"), F.col("__pos"))
+    runs = got.groupBy("__range").agg(F.count_if("__new").alias("__n"), F.min(start).alias("__low"), F.max(start).alias("__high"))
+    past, ahead = ranges.rowsBetween(Window.unboundedPreceding, -1), ranges.rowsBetween(1, Window.unboundedFollowing)
+    runs = runs.select("__range", F.coalesce(F.sum("__n").over(past), F.lit(0)).alias("__n"), F.max("__high").over(past).alias("__high"), F.min("__low").over(ahead).alias("__low"))
+    upto, after = w.rowsBetween(Window.unboundedPreceding, 0), w.rowsBetween(1, Window.unboundedFollowing)
+    got = joined(got.withColumns({"dup_run": F.sum(F.col("__new").cast("long")).over(upto), "__start": F.max(start).over(upto), "__next": F.min(start).over(after)}), runs, ["__range"])
+    first, end = F.coalesce("__start", "__high"), F.coalesce("__next", "__low", "__all")
+    got = got.withColumns({"dup_run": F.col("dup_run") + F.col("__n"), "run_size": end - first, "run_rank": F.col("__pos") - first + 1, "run_rank_desc": end - F.col("__pos")})
+    return got.select(*rows.columns, "dup_run", "run_size", "run_rank", "run_rank_desc")
+
+
+def run_neighbours(rows: DataFrame, by: str, key: str, value: str, size: str) -> DataFrame:
+    """rows with what their group of `by` says in the order of the key: pos, n, prev and next value, past_mean of `size` (integers), position_ratio; and value_rank by size, largest first."""
+    counts = materialize(rows.groupBy(by).agg(F.count("*").alias("n")))
+    placed = running(rows, [F.col(key)], {"__sum": F.col(size).cast("long")}, by=[by])
+    placed = lagged(placed, "pos", {"prev": (F.col(value), 1), "next": (F.col(value), -1), "__past": (F.col("__sum"), 1)}, [by])
+    ranked = running(placed, [F.desc(size), F.col(key)], position="__rank", by=[by])
+    got = joined(ranked, counts, [by])
+    return got.withColumns({"past_mean": F.col("__past") / F.col("pos"), "position_ratio": F.col("pos") / F.greatest(F.col("n") - 1, F.lit(1)), "value_rank": F.col("__rank") + 1}).drop("__sum", "__past", "__rank")

@@ -1,104 +1,125 @@
 """Operators over one global order, without moving all rows to one task.
 
-Rows are cut into ranges of the leading sort key (bounds from approximate quantiles). Within a
-range, windows do the work; what ranges owe each other - counts and sums of those before - is
-a table with a row for each range, which is broadcast: its size is the number of ranges.
+Rows are cut into ranges of the whole sort key, ties included, so a value that very many rows
+share is cut as well. The sorted rows are written once; their places in it, and running sums
+within a range, need no further order. What ranges owe each other - counts and sums of those
+before - is a table with a row for each range (and group). Rows some places before or after
+are seen in blocks of places, each with a margin of its neighbours' rows.
 """
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from faultline.sources.scratch import materialize
 
-def ranges_of(df: DataFrame, lead: Column, n: int | None = None) -> Column:
-    """Number of the range in which `lead` (a double) falls; nulls come last."""
-    n = n or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    bounds = df.select(lead.alias("x")).approxQuantile("x", [k / n for k in range(1, n)], 1 / (4 * n)) if n > 1 else []
-    bounds = sorted(set(bounds))
-    if not bounds:
-        return F.when(lead.isNull(), 1).otherwise(0)
-    return F.when(lead.isNull(), len(bounds) + 1).otherwise(F.size(F.filter(F.array(*map(F.lit, bounds)), lambda b: b < lead)))
+#: Places in a block of rows that see each other.
+BLOCK = 50_000
 
 
-def running(df: DataFrame, lead: Column, order: Sequence[Column], sums: dict[str, Column] | None = None, position: str | None = "pos", by: Sequence[str] = ()) -> DataFrame:
-    """df with its 0-based place in the order and running sums (own row included), in each group of `by`.
-
-    `order` sorts as `lead` ascending does first, and ends in a unique key.
-    """
-    sums = sums or {}
-    cut = df.withColumn("__range", ranges_of(df, lead))
-    w = Window.partitionBy(*by, "__range").orderBy(*order)
-    ahead = Window.partitionBy(*by).orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)
-    totals = cut.groupBy(*by, "__range").agg(F.count("*").alias("__n"), *[F.sum(c).alias(f"__s_{k}") for k, c in sums.items()])
-    totals = totals.select(*by, "__range", F.coalesce(F.sum("__n").over(ahead), F.lit(0)).alias("__n"), *[F.coalesce(F.sum(f"__s_{k}").over(ahead), F.lit(0)).alias(f"__s_{k}") for k in sums])
-    out = cut
-    if position:
-        out = out.withColumn(position, F.row_number().over(w) - 1)
-    for k, c in sums.items():
-        out = out.withColumn(k, F.coalesce(F.sum(c).over(w.rowsBetween(Window.unboundedPreceding, 0)), F.lit(0)))
-    out = out.join(F.broadcast(totals), [*by, "__range"])
-    if position:
-        out = out.withColumn(position, F.col(position) + F.col("__n"))
-    for k in sums:
-        out = out.withColumn(k, F.col(k) + F.col(f"__s_{k}"))
-    return out.drop("__range", "__n", *[f"__s_{k}" for k in sums])
+def sorted_rows(df: DataFrame, order: Sequence[Column], by: Sequence[str] = ()) -> DataFrame:
+    """df as written in the order of (by, order): __range and __place in it. `order` ends in a unique key."""
+    keys = [*map(F.col, by), *order]
+    at = F.monotonically_increasing_id()  # the range, and below it the place
+    ordered = df.repartitionByRange(*keys).sortWithinPartitions(*keys)
+    return materialize(ordered.withColumns({"__range": F.shiftright(at, 33), "__place": at.bitwiseAND((1 << 33) - 1)}))
 
 
-def time_counts(df: DataFrame, t: str, key: str, widths: dict[str, float]) -> DataFrame:
-    """For each width w: rows at or before the own place in the order of (t, key) with time >= t - w.
+def joined(rows: DataFrame, table: DataFrame, keys: Sequence[str], how: str = "inner") -> DataFrame:
+    """rows with the other columns of table, whose keys are unique; null keys meet as well. A table without group keys is as small as the number of ranges."""
+    named = table.withColumnsRenamed({k: f"__k_{k}" for k in keys})
+    on = [F.col(k).eqNullSafe(F.col(f"__k_{k}")) for k in keys]
+    return rows.join(F.broadcast(named) if keys == ["__range"] else named, on, how).drop(*[f"__k_{k}" for k in keys])
 
-    Time is cut into spans of the largest width; each span also sees the rows of the one before.
-    """
-    span = max(widths.values())
-    own = F.floor(F.col(t) / F.lit(span)).cast("long")
-    seen = df.select("*", F.explode(F.array(F.struct(own.alias("span"), F.lit(True).alias("own")), F.struct((own + 1).alias("span"), F.lit(False).alias("own")))).alias("__at"))
-    same = Window.partitionBy("__at.span", t)
-    later = F.count("*").over(same) - F.row_number().over(same.orderBy(key))
-    for name, w in widths.items():
-        seen = seen.withColumn(name, F.expr(f"count(*) OVER (PARTITION BY __at.span ORDER BY {t} RANGE BETWEEN {float(w)}D PRECEDING AND CURRENT ROW)") - later)
-    return seen.where("__at.own").drop("__at")
 
-
-def centered_counts(df: DataFrame, t: str, name: str, reach: float, span: float) -> DataFrame:
-    """Other rows with a time within `reach` on either side; span is at least reach."""
-    own = F.floor(F.col(t) / F.lit(span)).cast("long")
-    seen = df.select("*", F.explode(F.array(*[F.struct((own + k).alias("span"), F.lit(k == 0).alias("own")) for k in (-1, 0, 1)])).alias("__at"))
-    seen = seen.withColumn(name, F.expr(f"count(*) OVER (PARTITION BY __at.span ORDER BY {t} RANGE BETWEEN {float(reach)}D PRECEDING AND {float(reach)}D FOLLOWING)") - 1)
-    return seen.where("__at.own").drop("__at")
-
-
-def lagged_mean(df: DataFrame, lead: Column, order: Sequence[Column], value: Column, rows: int, name: str, by: Sequence[str] = ()) -> DataFrame:
-    """Mean of `value` (of integers) over the previous `rows` rows of the order, null for the first.
-
-    The running sum at a place less that `rows` places before: an equi-join on places.
-    """
-    got = running(df, lead, order, {"__sum": value.cast("long")}, "__pos", by)
-    before = got.select(*by, (F.col("__pos") + 1).alias("__pos"), F.col("__sum").alias("__hi"))
-    old = got.select(*by, (F.col("__pos") + 1 + rows).alias("__pos"), F.col("__sum").alias("__lo"))
-    out = got.join(before, [*by, "__pos"], "left").join(old, [*by, "__pos"], "left")
+def running(df: DataFrame, order: Sequence[Column], sums: Mapping[str, Column] | None = None, position: str | None = "pos", by: Sequence[str] = ()) -> DataFrame:
+    """df with its 0-based place in the order and running sums (own row included), in each group of `by`."""
+    sums, keys = dict(sums or {}), [*by, "__range"]
+    rows = sorted_rows(df, order, by)
+    ahead = Window.partitionBy(*by).orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)
+    totals = rows.groupBy(*keys).agg(F.count("*").alias("__n"), F.min("__place").alias("__first"), *[F.sum(c).alias(f"__s_{k}") for k, c in sums.items()])
+    totals = totals.select(*keys, (F.coalesce(F.sum("__n").over(ahead), F.lit(0)) - F.col("__first")).alias("__n"), *[F.coalesce(F.sum(f"__s_{k}").over(ahead), F.lit(0)).alias(f"__s_{k}") for k in sums])
+    w = Window.partitionBy(*keys).orderBy("__place").rowsBetween(Window.unboundedPreceding, 0)
+    out = joined(rows.withColumns({k: F.coalesce(F.sum(c).over(w), F.lit(0)) for k, c in sums.items()}) if sums else rows, totals, keys)
+    if position:
+        out = out.withColumn(position, F.col("__place") + F.col("__n"))
+    return out.withColumns({k: F.col(k) + F.col(f"__s_{k}") for k in sums}).drop("__range", "__place", "__n", *[f"__s_{k}" for k in sums])
+
+
+def lagged(rows: DataFrame, position: str, found: Mapping[str, tuple[Column, int]], by: Sequence[str] = (), block: int = BLOCK) -> DataFrame:
+    """rows with, for each name: (value, k), the value k places before (after, if k is negative) in the group; null where there is none."""
+    before, after = max(0, *[k for _, k in found.values()]), max(0, *[-k for _, k in found.values()])
+    block = max(block, before, after, 1)
+    own = F.floor(F.col(position) / block).cast("long")
+    inside = F.col(position) - own * block
+    at = lambda k: F.struct((own + k).alias("block"), F.lit(k == 0).alias("own"))
+    places = F.array_compact(F.array(at(0), F.when(inside >= block - before, at(1)), F.when(inside < after, at(-1))))
+    w = Window.partitionBy(*by, "__at.block").orderBy(position)
+    seen = rows.withColumn("__at", F.explode(places))
+    return seen.withColumns({name: F.lag(c, k).over(w) if k >= 0 else F.lead(c, -k).over(w) for name, (c, k) in found.items()}).where("__at.own").drop("__at")
+
+
+def lagged_mean(df: DataFrame, order: Sequence[Column], value: Column, rows: int, name: str, by: Sequence[str] = (), block: int = BLOCK) -> DataFrame:
+    """Mean of `value` (of integers) over the previous `rows` rows of the order, null for the first: the running sums of two rows before."""
+    got = lagged(running(df, order, {"__sum": value.cast("long")}, "__pos", by), "__pos", {"__hi": (F.col("__sum"), 1), "__lo": (F.col("__sum"), rows + 1)}, by, block)
     n = F.least(F.col("__pos"), F.lit(rows))
-    return out.withColumn(name, F.when(n > 0, (F.col("__hi") - F.coalesce("__lo", F.lit(0))) / n)).drop("__pos", "__sum", "__hi", "__lo")
+    return got.withColumn(name, F.when(n > 0, (F.col("__hi") - F.coalesce("__lo", F.lit(0))) / n)).drop("__pos", "__sum", "__hi", "__lo")
 
 
-def asof_backward(probes: DataFrame, keys: DataFrame, on: str, values: Sequence[str], tie: Column, default: dict[str, Column] | None = None, by: Sequence[str] = (), strict: bool = False) -> DataFrame:
+def asof_backward(probes: DataFrame, keys: DataFrame, on: str, values: Sequence[str], tie: Column, default: Mapping[str, Column] | None = None, by: Sequence[str] = (), strict: bool = False) -> DataFrame:
     """probes with `values` of the last row of keys (of the same `by`) whose `on` is at or before the probe's; with `strict`, before it.
 
     Of keys with the same `on`, the one of largest `tie` counts. Null probes find nothing. Both
-    sides are cut into the same ranges of `on`; a range's last key is handed on to those after it.
+    sides are sorted together; the last key of a range is handed on to those after it.
     """
     packed = keys.where(F.col(on).isNotNull()).groupBy(*by, F.col(on).cast("double").alias("__k")).agg(F.max_by(F.struct(*values), tie).alias("__v"))
-    bucket = ranges_of(packed, F.col("__k"))
     right = packed.select(*by, "__k", "__v", F.lit(0).alias("__side"), F.lit(None).cast(probes.schema).alias("__p"))
     left = probes.select(*by, F.col(on).cast("double").alias("__k"), F.lit(None).cast(packed.schema["__v"].dataType).alias("__v"), F.lit(1).alias("__side"), F.struct(*probes.columns).alias("__p"))
-    both = right.unionByName(left).withColumn("__range", bucket)
-    ends = packed.withColumn("__range", bucket).groupBy(*by, "__range").agg(F.max_by("__v", "__k").alias("__end"))
-    ranges = both.select(*by, "__range").distinct().join(ends, [*by, "__range"], "left")
-    ranges = ranges.select(*by, "__range", F.last("__end", True).over(Window.partitionBy(*by).orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)).alias("__end"))
-    w = Window.partitionBy(*by, "__range").orderBy("__k", F.desc("__side") if strict else "__side").rowsBetween(Window.unboundedPreceding, 0)
-    got = both.withColumn("__found", F.last("__v", True).over(w)).where("__side = 1").join(F.broadcast(ranges), [*by, "__range"], "left")
+    # A hash parts equal probes into ranges; it doesn't matter which comes first.
+    order = [F.col("__k").asc_nulls_first(), F.desc("__side") if strict else F.asc("__side"), F.xxhash64("__p")]
+    both, group = sorted_rows(right.unionByName(left), order, by), [*by, "__range"]
+    ends = both.groupBy(*group).agg(F.max_by("__v", F.when(F.col("__side") == 0, F.col("__place"))).alias("__end"))
+    before = Window.partitionBy(*by).orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)
+    ends = ends.select(*group, F.last("__end", True).over(before).alias("__end"))
+    w = Window.partitionBy(*group).orderBy("__place").rowsBetween(Window.unboundedPreceding, 0)
+    got = joined(both.withColumn("__found", F.last("__v", True).over(w)).where("__side = 1"), ends, group)
     got = got.withColumn("__found", F.when(F.col("__k").isNotNull(), F.coalesce("__found", "__end")))
     default = default or {}
     return got.select("__p.*", *[F.coalesce(F.col("__found")[v], default[v]).alias(v) if v in default else F.col("__found")[v].alias(v) for v in values])
+
+
+def _counted_times(df: DataFrame, t: str) -> DataFrame:
+    """Distinct times and how many rows are at or before each: counts before order."""
+    return running(df.where(F.col(t).isNotNull()).groupBy(F.col(t).cast("double").alias("__t")).agg(F.count("*").alias("__n")), [F.col("__t")], {"__upto": F.col("__n")}, None)
+
+
+def _upto(times: DataFrame, bounds: Mapping[str, Column], strict: bool) -> DataFrame:
+    """__t and, for each name: bound (of __t), the number of rows at or before it; with `strict`, before it."""
+    probes = times.select("__t", F.explode(F.array(*[F.struct(F.lit(k).alias("name"), c.alias("at")) for k, c in bounds.items()])).alias("x")).select("__t", "x.name", "x.at")
+    got = asof_backward(probes, times.select(F.col("__t").alias("at"), "__upto"), "at", ["__upto"], F.col("__upto"), {"__upto": F.lit(0)}, strict=strict)
+    return got.groupBy("__t").agg(*[F.max(F.when(F.col("name") == k, F.col("__upto"))).alias(k) for k in bounds])
+
+
+def time_counts(df: DataFrame, t: str, key: str, widths: Mapping[str, float], position: str | None = None) -> DataFrame:
+    """For each width w: rows at or before the own place in the order of (t, key) with time >= t - w; null for null times.
+
+    The own place less the number of rows before t - w. The latter follows from counts of
+    distinct times, so only places are found by sorting rows; `position` names them in the result.
+    """
+    placed = running(df, [F.col(t).asc_nulls_last(), F.col(key)], position="__pos")
+    times = materialize(_counted_times(placed, t))
+    before = materialize(_upto(times, {f"__b_{k}": F.col("__t") - F.lit(float(w)) for k, w in widths.items()}, True))
+    got = placed.join(before, F.col(t).cast("double") == F.col("__t"), "left")
+    got = got.withColumns({k: F.col("__pos") + 1 - F.col(f"__b_{k}") for k in widths}).drop("__t", *[f"__b_{k}" for k in widths])
+    return got.withColumnRenamed("__pos", position) if position else got.drop("__pos")
+
+
+def centered_counts(df: DataFrame, t: str, name: str, reach: float) -> DataFrame:
+    """Other rows with a time within `reach` on either side; null for null times."""
+    times = materialize(_counted_times(df, t))
+    high, low = _upto(times, {"__high": F.col("__t") + F.lit(float(reach))}, False), _upto(times, {"__low": F.col("__t") - F.lit(float(reach))}, True)
+    got = df.join(materialize(high.join(low, "__t")), F.col(t).cast("double") == F.col("__t"), "left")
+    return got.withColumn(name, F.col("__high") - F.col("__low") - 1).drop("__t", "__high", "__low")

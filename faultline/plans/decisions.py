@@ -135,7 +135,7 @@ REPLAY = f"""replay AS (SELECT batch_id, {COUNTS}, {METRICS}, {q6('m')} AS pred_
 
 def batched(spark: SparkSession, sf_dir: str, label: bool = True) -> DataFrame:
     s = V.scored(spark, sf_dir)
-    got = running(s, F.col("id").cast("double"), [F.col("id")]).withColumn("batch_id", F.floor(F.col("pos") / BATCH)).drop("pos")
+    got = running(s, [F.col("id")]).withColumn("batch_id", F.floor(F.col("pos") / BATCH)).drop("pos")
     return got if label else got.drop(V.LABEL)
 
 
@@ -236,7 +236,7 @@ def rolling_origin_features(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     rows = ops.filled_start(V.parts(spark, sf_dir))
     n = rows.count()
-    rows = running(rows, F.col("start_time"), [F.col("start_time"), F.col("id")]).withColumn("part", F.floor(F.col("pos") * (ORIGINS + 1) / n).cast("int")).select("id", "part", "path_signature", "response")
+    rows = running(rows, [F.col("start_time"), F.col("id")]).withColumn("part", F.floor(F.col("pos") * (ORIGINS + 1) / n).cast("int")).select("id", "part", "path_signature", "response")
     out = None
     for k in range(1, ORIGINS + 1):  # expanding windows: each learns from another set of rows
         train = rows.where(F.col("part") < k)

@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from faultline.functions import exprs as X
 from faultline.operators import features as ops
-from faultline.operators.ordered import centered_counts, running
+from faultline.operators.ordered import centered_counts, joined, running
 from faultline.sources import views as V
+from faultline.sources.scratch import materialize
 from faultline.sources.views import q6, with_views
 
 from .book import Book
@@ -91,7 +92,8 @@ def path_signature_numeric(spark: SparkSession, sf_dir: str) -> DataFrame:
 @Q.query(with_views("SELECT id, path_signature, count(*) OVER (PARTITION BY path_signature) AS path_count FROM parts", "parts"))
 def path_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = V.parts(spark, sf_dir).select("id", "path_signature")
-    return p.join(p.groupBy("path_signature").agg(F.count("*").alias("path_count")), "path_signature")  # counts are combined before they move: a hot path doesn't gather
+    counts = materialize(p.groupBy("path_signature").agg(F.count("*").alias("path_count")))  # written: a join of two plain shuffles can be split at a hot path
+    return p.join(counts, "path_signature")
 
 
 @Q.query(with_views(f"SELECT path_signature, count(*) AS n, {q6('(count(*) * avg(response) + 10 * (SELECT avg(response) FROM parts)) / (count(*) + 10)')} AS rate FROM parts GROUP BY path_signature", "parts"))
@@ -212,7 +214,7 @@ def since_last_failure(spark: SparkSession, sf_dir: str) -> DataFrame:
 @Q.query("SELECT event_id, count(*) OVER (ORDER BY s RANGE BETWEEN 60 PRECEDING AND 60 FOLLOWING) - 1 AS same_window FROM (SELECT event_id, CAST(epoch_us(CAST(ts AS TIMESTAMP)) AS DOUBLE) / CAST(1000000 AS DOUBLE) AS s FROM events)")
 def same_window_count(spark: SparkSession, sf_dir: str) -> DataFrame:
     s = F.unix_micros(F.col("ts").cast("timestamp")) / 1000000.0
-    return centered_counts(V.table(spark, sf_dir, "events").select("event_id", s.alias("s")), "s", "same_window", 60.0, 3600.0).select("event_id", "same_window")
+    return centered_counts(V.table(spark, sf_dir, "events").select("event_id", s.alias("s")), "s", "same_window", 60.0).select("event_id", "same_window")
 
 
 @Q.query(with_views("""SELECT id, """ + ", ".join(f"least(row_number() OVER (ORDER BY id), {w}) AS last_{w}, least(count(*) OVER () - row_number() OVER (ORDER BY id) + 1, {w}) AS next_{w}" for w in (25, 240, 1680)) +
@@ -220,7 +222,7 @@ def same_window_count(spark: SparkSession, sf_dir: str) -> DataFrame:
 def legacy_time(spark: SparkSession, sf_dir: str) -> DataFrame:
     ids = V.table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("id"))
     n = ids.count()
-    got = running(ids, F.col("id").cast("double"), [F.col("id")])
+    got = running(ids, [F.col("id")])
     windows = [c for w in (25, 240, 1680) for c in (F.least(F.col("pos") + 1, F.lit(w)).cast("long").alias(f"last_{w}"), F.least(F.lit(n) - F.col("pos"), F.lit(w)).cast("long").alias(f"next_{w}"))]
     return got.select("id", *windows, F.pmod("id", F.lit(1680)).cast("int").alias("week_part"), X.shift_bucket(F.pmod(F.floor(F.col("id") / 10), F.lit(24))).alias("shift"))
 
@@ -252,8 +254,8 @@ VALUES = "sv AS (SELECT id, station, avg(value) AS v FROM readings GROUP BY id,
 @Q.query(with_views("SELECT id, station, count(*) OVER (PARTITION BY station, v) AS same, row_number() OVER (PARTITION BY station, v ORDER BY id) AS occurrence FROM sv", "readings", more=VALUES))
 def station_dups(spark: SparkSession, sf_dir: str) -> DataFrame:
     sv = V.readings(spark, sf_dir).groupBy("id", "station").agg(F.avg("value").alias("v"))
-    w = Window.partitionBy("station", "v")
-    return sv.select("id", "station", F.count("*").over(w).alias("same"), F.row_number().over(w.orderBy("id")).cast("long").alias("occurrence"))
+    placed = running(sv, [F.col("id")], by=["station", "v"])
+    return joined(placed, materialize(sv.groupBy("station", "v").agg(F.count("*").alias("same"))), ["station", "v"]).select("id", "station", "same", (F.col("pos") + 1).alias("occurrence"))
 
 
 @Q.query(with_views(f"""SELECT id, n AS concat_count, gated, {q6('ln(1 + n) + ln(1 + gated)')} AS log_counts FROM (SELECT id, count(*) OVER (PARTITION BY c) AS n,
@@ -273,14 +275,10 @@ def concat_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
   {q6('(row_number() OVER w - 1) / CAST(greatest(count(*) OVER (PARTITION BY path_signature) - 1, 1) AS DOUBLE)')} AS position_ratio, CAST(row_number() OVER w = 1 AS INTEGER) AS is_start, CAST(row_number() OVER w = count(*) OVER (PARTITION BY path_signature) AS INTEGER) AS is_end
 FROM (SELECT id, path_signature, {q6('feature_mean')} AS feature_mean, n_values FROM parts) WINDOW w AS (PARTITION BY path_signature ORDER BY id)""", "parts"))
 def run_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
-    p = quantized(V.parts(spark, sf_dir), "feature_mean")
-    w, every = Window.partitionBy("path_signature").orderBy("id"), Window.partitionBy("path_signature")
-    prev, nxt, n = F.lag("feature_mean").over(w), F.lead("feature_mean").over(w), F.count("*").over(every)
-    past = F.avg("n_values").over(w.rowsBetween(Window.unboundedPreceding, -1))
-    return p.select(
-        "id", F.coalesce(prev, F.lit(-1.0)).alias("prev_value"), F.coalesce(nxt, F.lit(-1.0)).alias("next_value"), prev.isNull().cast("int").alias("no_prev"), X.quantized(F.coalesce(past, F.lit(0.0))).alias("past_mean"),
-        F.row_number().over(every.orderBy(F.desc("n_values"), "id")).cast("long").alias("value_rank"), X.quantized((F.row_number().over(w) - 1) / F.greatest(n - 1, F.lit(1))).alias("position_ratio"),
-        (F.row_number().over(w) == 1).cast("int").alias("is_start"), (F.row_number().over(w) == n).cast("int").alias("is_end"),
+    p = quantized(V.parts(spark, sf_dir).select("id", "path_signature", "feature_mean", "n_values"), "feature_mean")
+    return ops.run_neighbours(p, "path_signature", "id", "feature_mean", "n_values").select(
+        "id", F.coalesce("prev", F.lit(-1.0)).alias("prev_value"), F.coalesce("next", F.lit(-1.0)).alias("next_value"), F.col("prev").isNull().cast("int").alias("no_prev"), X.quantized(F.coalesce("past_mean", F.lit(0.0))).alias("past_mean"),
+        "value_rank", X.quantized(F.col("position_ratio")).alias("position_ratio"), (F.col("pos") == 0).cast("int").alias("is_start"), (F.col("pos") == F.col("n") - 1).cast("int").alias("is_end"),
     )
 
 

@@ -18,6 +18,7 @@ from faultline.operators.feature_pipeline import FeaturePipeline
 from faultline.operators.models import oof_predictions, two_stage
 from faultline.sources import ingest as I
 from faultline.sources import views as V
+from faultline.sources.scratch import shared_dir
 from faultline.sources.views import q6, with_views
 from faultline.streaming.scorer import score_stream, windowed_counts
 
@@ -83,7 +84,7 @@ def batch_growth(spark: SparkSession, sf_dir: str) -> DataFrame:
     from faultline.operators.ordered import running
 
     by = production_batches(spark, sf_dir).groupBy("batch_id").agg(F.count("*").alias("n"), F.sum("decision").alias("flagged"), F.min("id").alias("first_id"))
-    got = running(by, F.col("batch_id").cast("double"), [F.col("batch_id")], {"cumulative_rows": F.col("n")}, None)
+    got = running(by, [F.col("batch_id")], {"cumulative_rows": F.col("n")}, None)
     return quantized(got.withColumn("flagged_pct", 100 * F.col("flagged") / F.col("n").cast("double")), "flagged_pct")
 
 
@@ -157,7 +158,7 @@ def bootstrap_ci(spark: SparkSession, sf_dir: str) -> DataFrame:
 @Q.query(with_views("SELECT count(*) AS n, CAST(sum(auto_reject) AS BIGINT) AS autos, CAST(sum(decision) AS BIGINT) AS flagged FROM (" + hybrid_sql(9200, 10.0, "batch_id") + ")", "scored", more="rows AS (SELECT *, id % 4 AS batch_id FROM scored)"))
 def stream_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Four files come one by one; each is a micro-batch of the label-free scorer."""
-    base = I.shared_dir(spark)
+    base = shared_dir(spark)
     s = V.scored(spark, sf_dir).drop(V.LABEL)
     for k in range(4):
         s.where(F.col("id") % 4 == k).coalesce(1).write.mode("append").parquet(f"{base}/in")

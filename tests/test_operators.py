@@ -36,7 +36,7 @@ def test_time_counts_random_against_two_pointers(spark):
 def test_centered_counts(spark):
     t = [0.0, 0.004, 0.0051, 1.0, 1.0]
     df = spark.createDataFrame(list(enumerate(t)), "id long, t double")
-    assert sorted(rows(centered_counts(df, "t", "n", 0.005, 0.5), "id", "n")) == [(0, 1), (1, 2), (2, 1), (3, 1), (4, 1)]
+    assert sorted(rows(centered_counts(df, "t", "n", 0.005), "id", "n")) == [(0, 1), (1, 2), (2, 1), (3, 1), (4, 1)]
 
 
 @pytest.mark.parametrize("partitions", [1, 7])
@@ -45,12 +45,12 @@ def test_running_and_lagged_mean(spark, partitions):
     data = [(i, float(rng.randint(0, 20)), rng.randint(0, 1)) for i in range(200)]
     df = spark.createDataFrame(data, "id long, t double, y int").repartition(partitions)
     order = sorted(data, key=lambda r: (r[1], r[0]))
-    got = {r.id: (r.pos, r.s) for r in running(df, F.col("t"), [F.col("t"), F.col("id")], {"s": F.col("y")}).collect()}
+    got = {r.id: (r.pos, r.s) for r in running(df, [F.col("t"), F.col("id")], {"s": F.col("y")}).collect()}
     total = 0
     for k, (i, _, y) in enumerate(order):
         total += y
         assert got[i] == (k, total)
-    mean = {r.id: r.m for r in lagged_mean(df, F.col("t"), [F.col("t"), F.col("id")], F.col("y"), 5, "m").collect()}
+    mean = {r.id: r.m for r in lagged_mean(df, [F.col("t"), F.col("id")], F.col("y"), 5, "m", block=11).collect()}
     for k, (i, _, _) in enumerate(order):
         past = [y for _, _, y in order[max(0, k - 5) : k]]
         assert mean[i] == (pytest.approx(sum(past) / len(past)) if past else None)
