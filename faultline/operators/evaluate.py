@@ -9,7 +9,7 @@ then as many as there may be, and are put in order by ranges.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -203,3 +203,54 @@ def distance(reference: DataFrame, current: DataFrame, column: str = "q", scale:
     std = F.sqrt(F.sum(F.col("a") * x**2) / F.sum("a") - (F.sum(F.col("a") * x) / F.sum("a")) ** 2)
     got = placed.join(n).agg((F.sum(gap * F.coalesce(F.col("after") - F.col("v"), F.lit(0))) / float(scale)).alias("wasserstein"), F.max(gap).alias("ks"), (std / float(scale)).alias("reference_std"))
     return got.withColumn("normalized", ratio(F.col("wasserstein"), F.col("reference_std")))
+
+
+def nearest_row(grid: DataFrame, column: str, value: float) -> DataFrame:
+    """The row of a table of few rows whose column is nearest to a value, the smaller one of equals."""
+    return grid.where(F.col(column).isNotNull()).orderBy(F.abs(F.col(column) - F.lit(float(value))), column).limit(1)
+
+
+def source_scores(sources: Mapping[str, DataFrame], threshold: float, score: str = "pred", label: str = "response") -> DataFrame:
+    """source, place (in the order given) and MCC at the threshold, of each source of scores."""
+    out = None
+    for k, (name, rows) in enumerate(sources.items()):
+        got = with_metrics(confusion(rows, (F.col(score) >= threshold).cast("int"), label=label)).select(F.lit(name).alias("source"), F.lit(k).alias("place"), "mcc")
+        out = got if out is None else out.unionByName(got)
+    return out
+
+
+def best_source(sources: Mapping[str, DataFrame], threshold: float = 0.74, score: str = "pred", label: str = "response") -> tuple[str, float]:
+    """Name and MCC of the source of highest MCC at the threshold, the first of equals; an error without any source."""
+    if not sources:
+        raise FileNotFoundError("there are no scores to pick from")
+    best = source_scores(sources, threshold, score, label).orderBy(F.desc("mcc"), "place").first()
+    return best.source, best.mcc
+
+
+def checked_policy(threshold: float, percent: float) -> tuple[float, float]:
+    """Threshold (0 to 1) and budget in percent (0 to 100), or an error."""
+    if not 0 <= threshold <= 1:
+        raise ValueError(f"threshold {threshold} isn't within 0 and 1")
+    if not 0 <= percent <= 100:
+        raise ValueError(f"budget {percent} isn't within 0 and 100 percent")
+    return threshold, percent
+
+
+def predict_actions(scores: DataFrame, threshold: float, score: str = "pred") -> DataFrame:
+    """scores with decision and action at the threshold; an error if a score isn't within 0 and 1 (this runs a job)."""
+    checked_policy(threshold, 0)
+    bad = scores.where(F.col(score).isNull() | F.isnan(score) | (F.col(score) < 0) | (F.col(score) > 1)).count()
+    if bad:
+        raise ValueError(f"{bad} scores aren't within 0 and 1")
+    d = (F.col(score) >= threshold).cast("int")
+    return scores.withColumns({"decision": d, "action": F.when(d == 1, "auto_reject").otherwise("pass")})
+
+
+def batch_predict(scored: DataFrame, threshold: float, percent: float, key: str = "id") -> tuple[DataFrame, DataFrame]:
+    """(decisions of the hybrid policy, one row of its counts) for scores q on the grid; an error for an empty table."""
+    checked_policy(threshold, percent)
+    if scored.isEmpty():
+        raise ValueError("there are no scores")
+    got = hybrid(scored, round(threshold * SCALE), percent, key=key)
+    counts = got.agg(F.count("*").alias("rows"), F.sum("auto_reject").alias("auto_reject_count"), F.sum("manual_inspect").alias("manual_inspection_count"))
+    return got, counts.select(F.lit(float(threshold)).alias("threshold_high"), F.lit(float(percent)).alias("inspection_budget_pct"), "*")

@@ -13,18 +13,18 @@ def leaks(rows: DataFrame, group: str, fold: str) -> DataFrame:
     return by.withColumn("leaks", F.col("folds") > 1)
 
 
-def group_folds(rows: DataFrame, group: str, label: str, folds: int = 5, seed: int = 42) -> DataFrame:
+def group_folds(rows: DataFrame, group: str, label: str, folds: int = 5) -> DataFrame:
     """rows with cv_fold: whole groups, dealt so that folds have about as many positives and rows each.
 
-    Groups are time blocks, a few hundred for any table; their counts are dealt on the driver,
-    largest number of positives first, to the fold that is then the most even.
+    Groups are blocks of rows. Their counts, a row for each group, are dealt on the driver, largest
+    number of positives first (then of rows, then by group), to the fold that is then the most even.
     """
-    counts = rows.groupBy(group).agg(F.sum(label).alias("pos"), F.count("*").alias("n"), F.xxhash64(F.col(group), F.lit(seed)).alias("h")).collect()
+    counts = rows.groupBy(group).agg(F.sum(label).alias("pos"), F.count("*").alias("n")).collect()
     if len(counts) < folds:
         raise ValueError(f"{folds} folds need as many groups; there are {len(counts)}")
     have, dealt = [[0, 0] for _ in range(folds)], []
     pos, n = max(1, sum(r.pos for r in counts)), max(1, sum(r.n for r in counts))
-    for r in sorted(counts, key=lambda r: (-r.pos, -r.n, r.h)):
+    for r in sorted(counts, key=lambda r: (-r.pos, -r.n, r[group])):
         k = min(range(folds), key=lambda f: ((have[f][0] + r.pos) / pos + (have[f][1] + r.n) / n, f))
         have[k] = [have[k][0] + r.pos, have[k][1] + r.n]
         dealt.append((r[group], k))

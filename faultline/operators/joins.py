@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -44,3 +46,38 @@ def refuse(df: DataFrame, *columns: str) -> DataFrame:
     if there:
         raise ValueError(f"columns that this track may not read: {there}")
     return df
+
+
+def with_scores(rows: DataFrame, predictions: DataFrame, key: str = "id", score: str = "pred", *, check: bool = True) -> DataFrame:
+    """All rows with their score, 0 where there is none, in the order of the key; with `check`, keys must be unique on both sides."""
+    predictions = predictions.select(key, score)
+    if check:
+        bad = [r.side for r in key_repeats(rows, predictions, key).collect() if r.repeated_keys]
+        if bad:
+            raise ValueError(f"{key} isn't unique on the {' and the '.join(bad)} side")
+    got = rows.drop(score).join(predictions, key, "left")
+    return got.withColumn(score, F.coalesce(score, F.lit(0.0))).orderBy(key)
+
+
+def same_count(joined: DataFrame, rows: DataFrame) -> DataFrame:
+    """joined, or an error if a join has lost or repeated rows (this runs two counts)."""
+    n, m = rows.count(), joined.count()
+    if n != m:
+        raise ValueError(f"the join has {m} rows, not {n}")
+    return joined
+
+
+def null_counts(rows: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """column_name and nulls (NaN included) of each of the columns, counted in one pass."""
+    kinds = dict(rows.dtypes)
+    null = lambda c: F.col(c).isNull() | F.isnan(c) if kinds[c] in ("float", "double") else F.col(c).isNull()
+    one = rows.agg(*[F.count_if(null(c)).alias(c) for c in columns])
+    return one.select(F.explode(F.array(*[F.struct(F.lit(c).alias("column_name"), F.col(c).alias("nulls")) for c in columns])).alias("x")).select("x.*")
+
+
+def no_nulls(rows: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """rows, or an error that lists the columns with nulls (this runs a job)."""
+    bad = {r.column_name: r.nulls for r in null_counts(rows, columns).collect() if r.nulls}
+    if bad:
+        raise ValueError(f"nulls in {bad}")
+    return rows

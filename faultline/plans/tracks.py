@@ -18,13 +18,13 @@ from faultline.operators.feature_pipeline import FeaturePipeline
 from faultline.operators.models import oof_predictions, two_stage
 from faultline.sources import ingest as I
 from faultline.sources import views as V
-from faultline.sources.scratch import shared_dir
+from faultline.sources.scratch import materialize, shared_dir
 from faultline.sources.views import q6, with_views
 from faultline.streaming.scorer import score_stream, windowed_counts
 
 from .book import Book
 from .decisions import BATCHES, batched, hybrid_sql
-from .features import core_features, folded, quantized
+from .features import BLOCK, core_features, folded, quantized
 
 Q = Book()
 
@@ -126,7 +126,7 @@ def two_stage_routing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @Q.query(with_views("SELECT id, pred AS score, CASE WHEN q >= 9100 THEN 'auto_reject' ELSE 'pass' END AS action FROM scored", "scored"))
 def predict_actions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return V.scored(spark, sf_dir).select("id", F.col("pred").alias("score"), F.when(F.col("q") >= 9100, "auto_reject").otherwise("pass").alias("action"))
+    return E.predict_actions(V.scored(spark, sf_dir), 0.91).select("id", F.col("pred").alias("score"), "action")
 
 
 @Q.query("SELECT time_bucket(INTERVAL 1 HOUR, CAST(ts AS TIMESTAMP)) AS start, event_type, count(*) AS n, " + q6("sum(value)") + " AS value FROM events GROUP BY 1, 2")
@@ -135,19 +135,29 @@ def event_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quantized(windowed_counts(V.table(spark, sf_dir, "events")), "value").withColumn("start", F.col("start").cast("timestamp_ntz"))
 
 
-@Q.query()
+#: Groups dealt one after the other, most positives first, to the fold that is then the most even: lists of what the folds have.
+DEALT = f"""filled AS (SELECT * REPLACE (coalesce(start_time, min(start_time) OVER () - 1) AS start_time) FROM parts),
+counts AS (SELECT g, sum(response) AS pos, count(*) AS n FROM (SELECT (row_number() OVER (ORDER BY start_time, id) - 1) // {BLOCK} AS g, response FROM filled) GROUP BY g),
+blocks AS (SELECT row_number() OVER (ORDER BY pos DESC, n DESC, g) AS k, CAST(pos AS BIGINT) AS pos, n, CAST(greatest(1, sum(pos) OVER ()) AS DOUBLE) AS p, CAST(greatest(1, sum(n) OVER ()) AS DOUBLE) AS m FROM counts),
+dealt AS (SELECT CAST(0 AS BIGINT) AS k, 0 AS fold, [CAST(0 AS BIGINT), 0, 0, 0, 0] AS hp, [CAST(0 AS BIGINT), 0, 0, 0, 0] AS hn UNION ALL
+  SELECT k, fold, list_transform(hp, lambda x, i: x + CASE WHEN i = fold THEN pos ELSE 0 END), list_transform(hn, lambda x, i: x + CASE WHEN i = fold THEN n ELSE 0 END) FROM (
+    SELECT k, hp, hn, pos, n, CAST(list_position(s, list_min(s)) AS INTEGER) AS fold FROM (
+      SELECT b.k, hp, hn, b.pos, b.n, list_transform(hp, lambda x, i: (x + b.pos) / b.p + (hn[i] + b.n) / b.m) AS s FROM dealt d JOIN blocks b ON b.k = d.k + 1)))"""
+
+
+@Q.query(with_views("SELECT CAST(fold - 1 AS INTEGER) AS cv_fold, CAST(sum(n) AS BIGINT) AS n, CAST(sum(pos) AS BIGINT) AS pos, count(*) AS blocks FROM blocks JOIN dealt USING (k) GROUP BY 1", "parts", more=DEALT).replace("WITH ", "WITH RECURSIVE ", 1))
 def group_kfold(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Five folds of whole time blocks, some 50 of them."""
+    """Five folds of whole time blocks."""
     parts = filled_start(V.parts(spark, sf_dir)).select("id", "response", "start_time")
-    rows = group_folds(time_blocks(parts, max(1, parts.count() // 50)), "time_block", "response", 5)
+    rows = group_folds(time_blocks(parts, BLOCK), "time_block", "response", 5)
     return rows.groupBy("cv_fold").agg(F.count("*").alias("n"), F.sum("response").alias("pos"), F.countDistinct("time_block").alias("blocks"))
 
 
 @Q.query()
 def gbt_oof(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Out-of-fold scores of boosted trees on the core features."""
-    rows = core_features(spark, sf_dir).withColumn("cv_fold", F.col("id") % 3)
-    return oof_predictions(rows, ["start_time", "duration", "feature_mean", "records_last_1hr", "records_last_24hr", "density_ratio"], folds=3, iterations=3, depth=3)[0]
+    """Out-of-fold scores of boosted trees on the core features, five folds of whole time blocks."""
+    rows = group_folds(core_features(spark, sf_dir), "time_block", "response", 5)
+    return oof_predictions(rows, ["start_time", "duration", "feature_mean", "records_last_1hr", "records_last_24hr", "density_ratio"])[0]
 
 
 @Q.query()
@@ -178,11 +188,11 @@ def durability(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quantized(got, "retained_pct", "delta_incv", "delta_oot", "durability_pct")
 
 
-@Q.query("SELECT feature, CAST(a.r AS INTEGER) AS rank_before, CAST(b.r AS INTEGER) AS rank_after, CAST(b.r - a.r AS INTEGER) AS rank_change FROM (SELECT n_name AS feature, row_number() OVER (ORDER BY n_nationkey % 7 DESC, n_name) AS r FROM nation WHERE n_nationkey < 20) a FULL JOIN (SELECT n_name AS feature, row_number() OVER (ORDER BY n_nationkey % 5 DESC, n_name) AS r FROM nation WHERE n_nationkey > 3) b USING (feature)")
+@Q.query("SELECT feature, CAST(a.r AS INTEGER) AS rank_before, CAST(b.r AS INTEGER) AS rank_after, CAST(b.r - a.r AS INTEGER) AS rank_change FROM (SELECT n_name AS feature, row_number() OVER (ORDER BY n_nationkey % 7 DESC, n_name) AS r FROM nation) a FULL JOIN (SELECT n_name AS feature, row_number() OVER (ORDER BY n_nationkey % 5 DESC, n_name) AS r FROM nation) b USING (feature)")
 def importance_rank_change(spark: SparkSession, sf_dir: str) -> DataFrame:
     n = V.table(spark, sf_dir, "nation")
-    side = lambda rows, m: rows.select(F.col("n_name").alias("feature"), (F.col("n_nationkey") % m).alias("importance"))
-    return R.rank_change(side(n.where("n_nationkey < 20"), 7), side(n.where("n_nationkey > 3"), 5))
+    side = lambda m: n.select(F.col("n_name").alias("feature"), (F.col("n_nationkey") % m).alias("importance"))
+    return R.rank_change(side(7), side(5))
 
 
 @Q.query()
@@ -193,8 +203,11 @@ def feature_pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fitted.transform(parts.where("id % 2 = 1"), parts.where("id % 2 = 0"))
 
 
-@Q.query(with_views("SELECT count(*) AS rows, 0 AS missing, 0 AS different FROM parts", "parts"))
+@Q.query(with_views("SELECT state, count(*) AS rows, CASE state WHEN 'broken' THEN count(*) FILTER (WHERE id % 101 = 3) ELSE 0 END AS missing, CASE state WHEN 'broken' THEN count(*) FILTER (WHERE id % 97 = 5 AND id % 101 <> 3) ELSE 0 END AS different FROM parts, (VALUES ('kept'), ('broken')) s(state) GROUP BY state", "parts"))
 def fold_verification(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Folds computed twice are the same."""
-    rows = folded(spark, sf_dir)
-    return R.fold_mismatches(rows, folded(spark, sf_dir).repartition(3))
+    """Stored folds against folds computed anew: as they were stored, and with some rows lost and some moved to another fold."""
+    stored = materialize(folded(spark, sf_dir).select("id", "cv_fold"))
+    broken = stored.where("id % 101 <> 3").withColumn("cv_fold", F.when(F.col("id") % 97 == 5, (F.col("cv_fold") + 1) % 5).otherwise(F.col("cv_fold")))
+    now = folded(spark, sf_dir).select("id", "cv_fold")
+    kept = R.fold_mismatches(now, stored).withColumn("state", F.lit("kept"))
+    return kept.unionByName(R.fold_mismatches(now, broken).withColumn("state", F.lit("broken")))

@@ -62,12 +62,14 @@ def coerced(rows: DataFrame, types: Mapping[str, str], label: str | None = None)
 
 
 def csv_to_parquet(spark: SparkSession, csv: str, parquet: str, schema: T.StructType | str, *, overwrite: bool = False, first: int | None = None, order: str | None = None) -> tuple[int, str]:
-    """(rows, action): generated, or skipped where the target is there. The first rows are those of the given order."""
+    """(rows, action): generated, or skipped where the target is there. `first` rows need an `order`, without which they would be any."""
+    if first is not None and not order:
+        raise ValueError("the first rows of what order?")
     if exists(spark, parquet) and not overwrite:
         return spark.read.parquet(parquet).count(), "skipped"
     df = spark.read.csv(csv, schema=schema, header=True)
     if first is not None:
-        df = (df.orderBy(order) if order else df).limit(first)
+        df = df.orderBy(order).limit(first)
     df.write.mode("overwrite").parquet(parquet)
     return spark.read.parquet(parquet).count(), "generated"
 
@@ -97,6 +99,76 @@ def upsert_summary(path: str | Path, key: str, entry: Mapping) -> dict:
     return held
 
 
+#: Statuses of files that are known to be samples.
+SAMPLES = ("generated_sample", "sampled")
+
+
+def sample_evidence(path: str | Path) -> dict[str, int]:
+    """Files that a former manifest calls samples, with their rows. Claims of full data are never carried on; without a readable manifest there is no evidence."""
+    try:
+        told = json.loads(Path(path).read_text())
+    except (OSError, ValueError):
+        return {}
+    files = told.get("files") if isinstance(told, dict) else None
+    if isinstance(files, dict):
+        return {n: f["rows"] for n, f in files.items() if isinstance(f, dict) and f.get("full_data_status") in SAMPLES and isinstance(f.get("rows"), int)}
+    if isinstance(told, dict) and told.get("is_full_data") is False and isinstance(told.get("row_counts"), dict):  # an older form
+        return {n: k for n, k in told["row_counts"].items() if isinstance(k, int)}
+    return {}
+
+
+def write_manifest(spark: SparkSession, path: str | Path, files: Mapping[str, tuple[int, str]], sample_rows: int | None = None, tag: str | None = None) -> dict:
+    """Writes and returns what is known of each file (rows, action) and of all together, by the statuses above and the former manifest."""
+    known = sample_evidence(path)
+    rows = [(n, k, a, sample_rows is not None, known.get(n)) for n, (k, a) in files.items()]
+    t = spark.createDataFrame(rows, "name string, rows long, action string, sample boolean, known long")
+    t = t.withColumn("status", file_status(F.col("action"), F.col("sample"), F.col("rows"), F.col("known")))
+    overall = overall_status(t).first().overall
+    held = {"requested_sample_rows": sample_rows, "sample_tag": tag, "status": overall, "is_full_data": {"full_data": True, "sample": False}.get(overall), "files": {r.name: {"rows": r.rows, "action": r.action, "full_data_status": r.status} for r in t.collect()}}
+    p = Path(path)
+    p.parent.mkdir(parents=True, exist_ok=True)
+    new = p.with_name(p.name + ".new")
+    new.write_text(json.dumps(held, indent=2, sort_keys=True))
+    new.replace(p)
+    return held
+
+
+def append_locked(rows: DataFrame, path: str) -> None:
+    """Appends rows to a Parquet table in its own columns, order and types; other columns, or values that can't be cast, are an error."""
+    spark = rows.sparkSession
+    if exists(spark, path):
+        schema = spark.read.parquet(path).schema
+        if sorted(schema.names) != sorted(rows.columns):
+            raise ValueError(f"columns {sorted(rows.columns)} aren't those of the table, {sorted(schema.names)}")
+        lost = rows.agg(*[F.count_if(F.col(f.name).isNotNull() & F.col(f.name).try_cast(f.dataType).isNull()).alias(f.name) for f in schema]).first().asDict()
+        if bad := {k: n for k, n in lost.items() if n}:
+            raise ValueError(f"values that don't fit the table's types: {bad}")
+        rows = rows.select(*[F.col(f.name).try_cast(f.dataType).alias(f.name) for f in schema])
+    rows.write.mode("append").parquet(path)
+
+
+def append_log(rows: DataFrame, path: str) -> None:
+    """Appends rows to a log of CSV files, none of which is read or written again."""
+    rows.write.mode("append").csv(path, header=True)
+
+
+def load_all(spark: SparkSession, paths: Mapping[str, str], schema: T.StructType | str) -> dict[str, DataFrame]:
+    """All the named CSV tables; an error that lists the missing ones if any is."""
+    missing = [n for n, p in paths.items() if not exists(spark, p)]
+    if missing:
+        raise FileNotFoundError(f"missing tables: {missing}")
+    return {n: spark.read.csv(p, schema=schema, header=True) for n, p in paths.items()}
+
+
+#: Fixed value: how the files of committed production batches are named below their base.
+BATCH_KEY = r"^predictions/cycle=[0-9]+/batch=[0-9]+/predictions\.parquet$"
+
+
+def batch_keys(keys: DataFrame, column: str = "key") -> DataFrame:
+    """The keys that name production batches, sorted."""
+    return keys.where(F.col(column).rlike(BATCH_KEY)).orderBy(column)
+
+
 def write_submission(rows: DataFrame, path: str, key: str = "Id", label: str = "Response") -> None:
     """CSV of key and label in the order of the key."""
     rows.select(key, label).orderBy(key).write.mode("errorifexists").csv(path, header=True)
@@ -116,11 +188,26 @@ def write_partition(rows: DataFrame, base: str, parts: Mapping[str, int]) -> boo
     return True
 
 
-def read_partitions(spark: SparkSession, base: str, label: Iterable[str] = ("Response", "response")) -> DataFrame:
-    """All committed partitions with their keys as columns; labels are refused."""
+def read_partitions(spark: SparkSession, base: str, label: Iterable[str] = ("Response", "response"), order: str = "run_seq") -> DataFrame:
+    """All committed partitions with their keys as columns, in the order of `order` if there is such a column; labels are refused.
+
+    Folders of a partition without _SUCCESS are what a lost driver has left, and aren't read.
+    """
     from faultline.operators.joins import refuse
 
-    return refuse(spark.read.parquet(base), *label)
+    fs, root = _hadoop(spark, base)
+    done, left = [], [root]
+    while left:
+        here = left.pop()
+        found = fs.listStatus(here)
+        below = [f.getPath() for f in found if f.isDirectory() and "=" in f.getPath().getName()]
+        if not below and any(f.getPath().getName() == "_SUCCESS" for f in found):
+            done.append(here.toString())
+        left += below
+    if not done:
+        raise FileNotFoundError(f"no committed partition below {base}")
+    got = refuse(spark.read.option("basePath", base).parquet(*sorted(done)), *label)
+    return got.orderBy(order) if order in got.columns else got
 
 
 def save_lookup(lookup: Mapping[str, DataFrame], path: str, overall: float, fingerprint: str) -> None:

@@ -3,11 +3,13 @@
 from __future__ import annotations
 
 import dataclasses
+import json
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from faultline.operators.evaluate import hybrid
+from faultline.operators.evaluate import confusion, hybrid, with_metrics
 from faultline.operators.joins import refuse, require
 from faultline.sources.ingest import write_partition
 
@@ -33,6 +35,38 @@ def next_state(state: State, batch_rows: int, dataset_rows: int) -> State:
     return State(pointer + batch_rows, state.cycle_id, state.batch_id + 1, state.run_seq + 1, dataset_rows)
 
 
+def load_state(path: str | Path) -> State:
+    """The state in a file; a missing or unreadable one, or one that lacks something, is a fresh state."""
+    try:
+        told = json.loads(Path(path).read_text())
+        return State(**{f.name: int(told[f.name]) for f in dataclasses.fields(State)})
+    except (OSError, ValueError, TypeError, KeyError):
+        return State()
+
+
+def save_state(state: State, path: str | Path) -> None:
+    """Writes the state by a new file that replaces the old one."""
+    p = Path(path)
+    new = p.with_name(p.name + ".new")
+    new.write_text(json.dumps(dataclasses.asdict(state)))
+    new.replace(p)
+
+
+def replay_window(placed: DataFrame, pointer: int, batch: int, *, threshold: int, percent: float, position: str = "pos", n: int | None = None) -> tuple[DataFrame, int]:
+    """(one row of what the hybrid policy does to the next `batch` rows of labelled scores, the next pointer).
+
+    placed: rows with their place. A pointer outside the table starts at 0, and so does the one after its end.
+    """
+    n = placed.count() if n is None else n
+    start = pointer if 0 <= pointer < n else 0
+    end = min(n, start + batch)
+    got = hybrid(placed.where(F.col(position).between(start, end - 1)), threshold, percent)
+    row = with_metrics(confusion(got, F.col("decision"))).select(
+        F.lit(start).cast("long").alias("start"), F.lit(end).cast("long").alias("end"), F.lit(end - start).cast("long").alias("rows"), F.lit(end >= n).alias("reset"),
+        "recall", "precision", F.col("positives_pct").alias("flagged_pct"), "tp", "fp", "fn", "tn")
+    return row, 0 if end >= n else end
+
+
 def score_stream(spark: SparkSession, source: str, target: str, checkpoint: str, *, schema: str = "id long, q int, pred double", threshold: int = 9200, percent: float = 10.0, cycle: int = 0, files_per_batch: int = 1) -> None:
     """Scores all files that have come to `source` since the last call, a partition of `target` for each micro-batch.
 
