@@ -225,7 +225,7 @@ def prevalence_feasibility(spark: SparkSession, sf_dir: str) -> DataFrame:
     return got.withColumn("status", F.when((F.col("neg") == 0) | (F.col("pos") == 0), "one_class").when(F.col("need") < 1, "none_left").when(F.col("need") > F.col("pos"), "too_few").otherwise("feasible"))
 
 
-ORIGINS = 4
+ORIGINS = 5
 
 
 @Q.query(with_views(" UNION ALL ".join(f"SELECT {k} AS fold_idx, id, f{k}.* FROM (SELECT * FROM blocked WHERE part = {k}) JOIN f{k} USING (path_signature)" for k in range(1, ORIGINS + 1)), "parts",

@@ -19,6 +19,8 @@ STATIONS = [f"L{x}_S{s}" for x in range(4) for s in (0, 5, 10)]
 LINES = [f"L{x}" for x in range(4)]
 FILLED = "filled AS (SELECT * REPLACE (coalesce(start_time, min(start_time) OVER () - 1) AS start_time) FROM parts)"
 BLOCK = 1000
+#: Rows that a rolling rate looks back.
+WINDOW = 10_000
 
 
 def quantized(df: DataFrame, *columns: str) -> DataFrame:
@@ -145,14 +147,15 @@ f{tag} AS (SELECT p.path_signature, {q6(f'coalesce(ft.a, {overall})')} AS transi
   FROM p{tag} p LEFT JOIN ft{tag} ft USING (path_signature) LEFT JOIN fs{tag} fs USING (path_signature) LEFT JOIN fp{tag} fp USING (path_signature) LEFT JOIN s{tag} s USING (path_signature))"""
 
 
-@Q.query(with_views("SELECT id, fa.* FROM probe JOIN fa USING (path_signature)", "parts", more="train AS (SELECT * FROM parts WHERE id % 2 = 0), probe AS (SELECT * FROM parts WHERE id % 2 = 1), g AS (SELECT avg(response) AS g FROM train)," + path_sql("train", "probe", "(SELECT g FROM g)", "a")))
+@Q.query(with_views("SELECT id, f0.* FROM even JOIN f0 USING (path_signature) UNION ALL SELECT id, f1.* FROM odd JOIN f1 USING (path_signature)", "parts", more="even AS (SELECT * FROM parts WHERE id % 2 = 0), odd AS (SELECT * FROM parts WHERE id % 2 = 1)," + path_sql("odd", "even", "(SELECT avg(response) FROM odd)", "0") + "," + path_sql("even", "odd", "(SELECT avg(response) FROM even)", "1")))
 def dataset_h_lookup_apply(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """What the parts of even ids say of the paths of the others."""
-    parts = V.parts(spark, sf_dir)
-    train, probe = parts.where("id % 2 = 0"), parts.where("id % 2 = 1")
-    overall = train.agg(F.avg("response")).first()[0]
-    got = ops.path_features(probe.select("id", "path_signature"), ops.path_lookup(train), overall)
-    return quantized(got, *PATH_COLUMNS)
+    """What a fitted lookup says of parts that it hasn't seen: each half of the parts by the other half."""
+    parts, out = materialize(V.parts(spark, sf_dir).select("id", "path_signature", "response")), None
+    for k in range(2):
+        train = parts.where(F.col("id") % 2 != k)
+        got = ops.path_features(parts.where(F.col("id") % 2 == k).select("id", "path_signature"), ops.path_lookup(train), train.agg(F.avg("response")).first()[0])
+        out = got if out is None else out.unionByName(got)
+    return quantized(out, *PATH_COLUMNS)
 
 
 FOLDED = f"folded AS (SELECT *, CAST(floor((row_number() OVER (ORDER BY start_time, id) - 1) / {BLOCK}) AS INTEGER) AS time_block, CAST(CAST(floor((row_number() OVER (ORDER BY start_time, id) - 1) / {BLOCK}) AS INTEGER) % 5 AS INTEGER) AS cv_fold FROM filled), g AS (SELECT avg(response) AS g FROM parts)"
@@ -178,14 +181,14 @@ ROLL = """past{k} AS (SELECT start_time, arg_max(r, id) AS r FROM (SELECT start_
 
 @Q.query(with_views(" UNION ALL ".join(f"""SELECT id, cv_fold, {q6('coalesce(r, (SELECT g FROM g))')} AS rolling_fail_rate, {q6('coalesce(s, (SELECT g FROM g))')} AS signature_failure_rate, {q6('duration * coalesce(s, (SELECT g FROM g))')} AS duration_x_path_failure_rate, {q6('feature_mean * duration')} AS feature_mean_x_duration
   FROM (SELECT * FROM folded WHERE cv_fold = {k}) v ASOF LEFT JOIN past{k} p ON v.start_time >= p.start_time LEFT JOIN (SELECT path_signature, avg(response) AS s FROM folded WHERE cv_fold <> {k} GROUP BY 1) USING (path_signature)""" for k in range(5)), "parts",
-    more=FILLED + ", " + FOLDED + "".join(", " + ROLL.format(k=k, w=2000, train=f"(SELECT * FROM folded WHERE cv_fold <> {k})") for k in range(5))))
+    more=FILLED + ", " + FOLDED + "".join(", " + ROLL.format(k=k, w=WINDOW, train=f"(SELECT * FROM folded WHERE cv_fold <> {k})") for k in range(5))))
 def dataset_g_oof(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Rates of the last 2,000 parts and of the path, from the parts of the other folds, and products."""
+    """Rates of the last 10,000 parts and of the path, from the parts of the other folds, and products."""
     rows = folded(spark, sf_dir).select("id", "cv_fold", "path_signature", "response", "start_time", "duration", "feature_mean")
     overall = rows.agg(F.avg("response")).first()[0]
 
     train = ops.other_folds(rows.select("id", "cv_fold", "response", "start_time"), "cv_fold", 5)
-    got = ops.rolling_rate(train, rows.drop("response"), overall, rows=2000, by=["cv_fold"])
+    got = ops.rolling_rate(train, rows.drop("response"), overall, rows=WINDOW, by=["cv_fold"])
     rate = ops.path_lookup(rows, fold="cv_fold", folds=5)["path"].select("cv_fold", "path_signature", (F.col("pos") / F.col("n")).alias("signature_failure_rate"))
     got = got.join(rate, ["cv_fold", "path_signature"], "left").withColumn("signature_failure_rate", F.coalesce("signature_failure_rate", F.lit(overall)))
     got = got.withColumns({"duration_x_path_failure_rate": F.col("duration") * F.col("signature_failure_rate"), "feature_mean_x_duration": F.col("feature_mean") * F.col("duration")})
@@ -193,12 +196,13 @@ def dataset_g_oof(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quantized(got, *names).select("id", "cv_fold", *names)
 
 
-@Q.query(with_views(f"SELECT id, {q6('coalesce(r, (SELECT g FROM g))')} AS rolling_fail_rate FROM (SELECT * FROM parts WHERE id % 3 = 1) v ASOF LEFT JOIN past p ON v.start_time >= p.start_time", "parts",
-    more="g AS (SELECT avg(response) AS g FROM parts), " + ROLL.format(k="", w=500, train="(SELECT * FROM parts WHERE id % 3 <> 1 AND start_time IS NOT NULL)")))
+@Q.query(with_views(" UNION ALL ".join(f"SELECT id, {q6('coalesce(r, (SELECT g FROM g))')} AS rolling_fail_rate FROM (SELECT * FROM parts WHERE id % 3 = {k}) v ASOF LEFT JOIN past{k} p ON v.start_time >= p.start_time" for k in range(3)), "parts",
+    more="g AS (SELECT avg(response) AS g FROM parts)" + "".join(", " + ROLL.format(k=k, w=WINDOW, train=f"(SELECT * FROM parts WHERE id % 3 <> {k} AND start_time IS NOT NULL)") for k in range(3))))
 def rolling_fail_rate_asof(spark: SparkSession, sf_dir: str) -> DataFrame:
-    parts = V.parts(spark, sf_dir).select("id", "response", "start_time")
+    """Each third of the parts by the other two."""
+    parts = materialize(V.parts(spark, sf_dir).select("id", "response", "start_time", (F.col("id") % 3).cast("int").alias("third")))
     overall = parts.agg(F.avg("response")).first()[0]
-    got = ops.rolling_rate(parts.where("id % 3 <> 1"), parts.where("id % 3 = 1").drop("response"), overall, rows=500)
+    got = ops.rolling_rate(ops.other_folds(parts, "third", 3), parts.drop("response"), overall, rows=WINDOW, by=["third"])
     return quantized(got.select("id", "rolling_fail_rate"), "rolling_fail_rate")
 
 
@@ -259,12 +263,12 @@ def station_dups(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @Q.query(with_views(f"""SELECT id, n AS concat_count, gated, {q6('ln(1 + n) + ln(1 + gated)')} AS log_counts FROM (SELECT id, count(*) OVER (PARTITION BY c) AS n,
-  CASE WHEN (SELECT count(DISTINCT c) FROM cc) / CAST((SELECT count(*) FROM cc) AS DOUBLE) >= CAST(0.01 AS DOUBLE) THEN count(*) OVER (PARTITION BY c) ELSE 0 END AS gated FROM cc)""", "readings", more=VALUES + """, cc AS (SELECT id, string_agg(station || ':' || CAST(CAST(floor(v * 100 + 0.5) AS BIGINT) AS VARCHAR), ',' ORDER BY station) AS c FROM sv GROUP BY id)"""))
+  CASE WHEN (SELECT count(DISTINCT c) FROM cc) / CAST((SELECT count(*) FROM cc) AS DOUBLE) >= CAST(0.01 AS DOUBLE) THEN count(*) OVER (PARTITION BY c) ELSE 0 END AS gated FROM cc)""", "readings", more=VALUES + """, cc AS (SELECT id, string_agg(station || ':' || CAST(CAST(floor(v * 1000000 + 0.5) AS BIGINT) AS VARCHAR), ',' ORDER BY station) AS c FROM sv GROUP BY id)"""))
 def concat_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """How many parts have the same rounded values at all stations, gated by how distinct they are."""
     sv = V.readings(spark, sf_dir).groupBy("id", "station").agg(F.avg("value").alias("v"))
-    cc = sv.groupBy("id").agg(F.array_join(F.array_sort(F.collect_list(F.concat("station", F.lit(":"), F.floor(F.col("v") * 100 + 0.5).cast("string")))), ",").alias("c"))
-    counts = cc.groupBy("c").agg(F.count("*").alias("n"))
+    cc = sv.groupBy("id").agg(F.array_join(F.array_sort(F.collect_list(F.concat("station", F.lit(":"), F.floor(F.col("v") * 1000000 + 0.5).cast("string")))), ",").alias("c"))
+    counts = materialize(cc.groupBy("c").agg(F.count("*").alias("n")))
     share = counts.agg(F.count("*") / F.sum("n").cast("double")).first()[0]
     got = cc.join(counts, "c").withColumn("gated", F.col("n") if share is not None and share >= 0.01 else F.lit(0).cast("long"))
     return got.select("id", F.col("n").alias("concat_count"), "gated", X.quantized(F.log1p("n") + F.log1p("gated")).alias("log_counts"))
@@ -289,11 +293,22 @@ def run_aggregates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quantized(got, "mean", "std")
 
 
-@Q.query(with_views(f"SELECT id, {q6('coalesce(r, (SELECT avg(response) FROM parts WHERE id % 2 = 0))')} AS path_target_enc FROM (SELECT * FROM parts WHERE id % 2 = 1) LEFT JOIN (SELECT path_signature, avg(response) AS r FROM parts WHERE id % 2 = 0 GROUP BY 1) USING (path_signature)", "parts"))
+@Q.query(with_views(" UNION ALL ".join(f"SELECT id, {q6(f'coalesce(r, (SELECT avg(response) FROM parts WHERE id % 2 <> {k}))')} AS path_target_enc FROM (SELECT * FROM parts WHERE id % 2 = {k}) LEFT JOIN (SELECT path_signature, avg(response) AS r FROM parts WHERE id % 2 <> {k} GROUP BY 1) USING (path_signature)" for k in range(2)), "parts"))
 def target_encode(spark: SparkSession, sf_dir: str) -> DataFrame:
-    parts = V.parts(spark, sf_dir)
-    got = ops.target_encoded(parts.where("id % 2 = 1"), parts.where("id % 2 = 0"), "path_signature", "path_target_enc")
-    return quantized(got.select("id", "path_target_enc"), "path_target_enc")
+    """Each half of the parts by the labels of the other half."""
+    parts = materialize(V.parts(spark, sf_dir).select("id", "path_signature", "response"))
+    a, b = (ops.target_encoded(parts.where(F.col("id") % 2 == k), parts.where(F.col("id") % 2 != k), "path_signature", "path_target_enc") for k in range(2))
+    return quantized(a.unionByName(b).select("id", "path_target_enc"), "path_target_enc")
+
+
+@Q.query(with_views(f"SELECT id, mean, max, std, range, CAST(rank() OVER (PARTITION BY path_signature ORDER BY n_values DESC) AS BIGINT) AS value_rank FROM parts JOIN (SELECT path_signature, {q6('avg(n_values)')} AS mean, max(n_values) AS max, {q6('coalesce(stddev_samp(n_values), 0)')} AS std, max(n_values) - min(n_values) AS range FROM parts GROUP BY path_signature) USING (path_signature)", "parts"))
+def run_values(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the group of a part's path says, for each part, and the rank of its own value in it."""
+    p = materialize(V.parts(spark, sf_dir).select("id", "path_signature", "n_values"))
+    # Ranks from counts at each value: few, whatever the number of parts.
+    at = running(p.groupBy("path_signature", "n_values").agg(F.count("*").alias("n")), [F.desc("n_values")], {"upto": F.col("n")}, None, ["path_signature"])
+    got = p.join(materialize(at.select("path_signature", "n_values", (F.col("upto") - F.col("n") + 1).alias("value_rank"))), ["path_signature", "n_values"])
+    return got.join(materialize(run_aggregates(spark, sf_dir)), "path_signature").select("id", "mean", "max", "std", "range", "value_rank")
 
 
 @Q.query(with_views("SELECT id, coalesce(start_time, (SELECT median(start_time) FROM parts)) AS start_time, coalesce(end_time, (SELECT median(end_time) FROM parts)) AS end_time FROM parts", "parts"))
