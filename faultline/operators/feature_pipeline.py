@@ -10,8 +10,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from faultline.sources.ingest import fingerprint, load_lookup, save_lookup
+from faultline.sources.scratch import materialize
 
-from .features import aligned, core_features, path_features, path_lookup, since_failures
+from .features import LEGACY, aligned, core_features, date_features, duplicate_runs, duration_stats, legacy_features, path_features, path_lookup, since_failures
 from .joins import refuse, require
 
 #: Features may look back only; names that begin so are refused.
@@ -19,50 +20,91 @@ FORBIDDEN = "till_next_"
 CORE = ("start_time", "duration", "feature_mean", "records_last_1hr", "records_last_24hr", "density_ratio")
 PATH = ("transition_fail_rate_mean", "transition_fail_rate_max", "transition_fail_rate_std", "station_risk_mean", "path_count", "pair_cooccur_mean", "pair_cooccur_max", "pair_cooccur_std")
 HISTORY = ("since_1", "since_5", "since_10")
+DUPLICATES = ("run_size", "run_rank", "run_rank_desc")
+DATES = ("in_week", "day", "hour", "log_duration", "z_duration", "is_long", "is_short")
+#: Of the legacy block only what looks back, and what a part's own id says.
+OLD = (*(f"last_{w}" for w in LEGACY), "week_part", "shift")
+#: Feature lists of models. The rolling rate and the rates of paths join the core features, sensors the path features.
+DATASET_G = (*CORE, "block_size", "rolling_fail_rate", "signature_failure_rate", "path_failure_rate", "duration_x_path_failure_rate", "feature_mean_x_duration")
+DATASET_H = (*CORE, "time_block", "block_size", *PATH)
+META = ("mean", "std", "max", "agreement", "pred", "pred_b", "pred_c")
+WHOLE = frozenset({"records_last_1hr", "records_last_24hr", "path_count", *DUPLICATES, "day", "hour", "is_long", "is_short", *OLD})
+
+
+def dataset_e1(stations: Sequence[str]) -> tuple[str, ...]:
+    """The features of the sensor model for the given stations."""
+    return (*DATASET_H, "sensor_nonull_count", "sensor_std", *(f"sensor_mean_{s}" for s in stations))
 
 
 @dataclasses.dataclass
 class FeaturePipeline:
-    """fit learns path lookups, the overall rate and medians from labelled parts; transform never reads a label of its input.
+    """fit learns path lookups, rates of categories, medians and the spread of durations from labelled parts; transform never reads a label of its input.
 
-    History features need the failures of a `context`. Without a context, or one without
-    failures, they have their fitted medians - or transform raises, if `need_history`.
+    Blocks: numeric columns as they are (nulls: fitted medians), categories by their fitted rate
+    (unknown ones: the overall rate), runs of equal neighbours in time, core and path features,
+    dates, the legacy block, and history. History needs the failures of a `context`. Without a
+    context, or one without failures, it has its fitted medians - or transform raises, if
+    `need_history`.
     """
 
     lookup: dict[str, DataFrame]
     overall: float
     medians: dict[str, float]
     mark: str
+    stats: dict[str, float]
+    numeric: tuple[str, ...] = ()
+    categorical: tuple[str, ...] = ()
+    same: tuple[str, ...] = ("path_signature", "feature_mean")
 
     @classmethod
-    def fit(cls, parts: DataFrame, label: str = "response") -> FeaturePipeline:
-        require(parts, "id", label, "start_time", "end_time", "duration", "feature_mean", "path_signature")
+    def fit(cls, parts: DataFrame, label: str = "response", *, numeric: Sequence[str] = (), categorical: Sequence[str] = (), same: Sequence[str] = ("path_signature", "feature_mean")) -> FeaturePipeline:
+        require(parts, "id", label, "start_time", "end_time", "duration", "feature_mean", "path_signature", *numeric, *categorical, *same)
+        parts = materialize(parts)
         past = since_failures(parts.select("id", label, "end_time"), label=label)
-        m = past.agg(*[F.percentile(c, F.lit(0.5)).alias(c) for c in HISTORY]).first()
+        medians = lambda df, columns: df.agg(*[F.percentile(c, F.lit(0.5)).alias(c) for c in columns]).first().asDict() if columns else {}
+        m = medians(past, HISTORY) | medians(parts, numeric)
         overall = parts.agg(F.avg(label)).first()[0] or 0.0
-        return cls(path_lookup(parts, label=label), float(overall), {c: float(m[c] or 0.0) for c in HISTORY}, fingerprint(parts, [*CORE, *PATH, *HISTORY], label=label))
+        lookup = path_lookup(parts, label=label)
+        for c in categorical:
+            lookup[f"category_{c}"] = materialize(parts.where(F.col(c).isNotNull()).groupBy(F.col(c).cast("string").alias("value")).agg(F.avg(label).alias("rate")))
+        names = [*CORE, *PATH, *HISTORY, *DUPLICATES, *DATES, *OLD, *numeric, *categorical]
+        return cls(lookup, float(overall), {c: float(x or 0.0) for c, x in m.items()}, fingerprint(parts, names, label=label), duration_stats(parts), tuple(numeric), tuple(categorical), tuple(same))
+
+    @property
+    def contract(self) -> list[tuple[str, str, object]]:
+        """Name, type and fill of every column that transform gives, in its order."""
+        fill = {c: self.medians[c] for c in (*self.numeric, *HISTORY)} | {f"{c}_target_enc": self.overall for c in self.categorical}
+        names = (*self.numeric, *(f"{c}_target_enc" for c in self.categorical), *DUPLICATES, *CORE, *PATH, *DATES, *OLD, *HISTORY)
+        return [("id", "bigint", 0), *[(c, "bigint" if c in WHOLE else "double", fill.get(c, 0.0)) for c in names]]
 
     def transform(self, parts: DataFrame, context: DataFrame | None = None, *, need_history: bool = False, label: str = "response") -> DataFrame:
         """id and all features of parts, in the order and types of the contract."""
-        parts = parts.drop(label)
+        parts = materialize(parts.drop(label))
         if any(c.startswith(FORBIDDEN) for c in parts.columns):
             raise ValueError(f"columns that look ahead: {[c for c in parts.columns if c.startswith(FORBIDDEN)]}")
+        require(parts, "id", "start_time", "end_time", "duration", "feature_mean", "path_signature", *self.numeric, *self.categorical, *self.same)
         failures = None if context is None else context.where(F.col(label) == 1).where(F.col("end_time").isNotNull())
         known = failures is not None and not failures.isEmpty()
         if need_history and not known:
             raise ValueError("there is no failure to look back to")
         got = path_features(core_features(parts), self.lookup, self.overall)
+        for c in self.categorical:
+            rates = self.lookup[f"category_{c}"].select(F.col("value").alias("__value"), F.col("rate").alias(f"{c}_target_enc"))
+            got = got.join(rates, F.col(c).cast("string") == F.col("__value"), "left").drop("__value")
+        got = date_features(got, self.stats)
+        for block, names in ((duplicate_runs(parts.select("id", "start_time", *[c for c in self.same if c not in ("id", "start_time")]), self.same, "start_time", "id"), DUPLICATES), (legacy_features(parts.select("id")), OLD)):
+            got = got.join(block.select("id", *names), "id")
         if known:
             both = parts.select("id", "end_time", F.lit(0).alias(label), F.lit(True).alias("__own")).unionByName(failures.select((-1 - F.col("id")).alias("id"), "end_time", F.lit(1).alias(label), F.lit(False).alias("__own")))
             got = got.join(since_failures(both, label=label).where("__own").select("id", *HISTORY), "id", "left")
-        contract = [("id", "bigint", 0), *[(c, "bigint" if c in ("records_last_1hr", "records_last_24hr", "path_count") else "double", 0.0) for c in (*CORE, *PATH)], *[(c, "double", self.medians[c]) for c in HISTORY]]
-        return refuse(aligned(got, contract), label)
+        return refuse(aligned(got, self.contract), label)
 
     def save(self, path: str) -> None:
-        save_lookup(self.lookup, path, self.overall, json.dumps({"mark": self.mark, "medians": self.medians}, sort_keys=True))
+        told = {"mark": self.mark, "medians": self.medians, "stats": self.stats, "numeric": self.numeric, "categorical": self.categorical, "same": self.same}
+        save_lookup(self.lookup, path, self.overall, json.dumps(told, sort_keys=True))
 
     @classmethod
     def load(cls, spark: SparkSession, path: str, names: Sequence[str] = ("station", "transition", "pair", "path")) -> FeaturePipeline:
-        lookup, overall = load_lookup(spark, path, names=names)
         told = json.loads(spark.read.schema("overall double, fingerprint string").json(f"{path}/meta").first().fingerprint)
-        return cls(lookup, overall, told["medians"], told["mark"])
+        lookup, overall = load_lookup(spark, path, names=(*names, *(f"category_{c}" for c in told["categorical"])))
+        return cls(lookup, overall, told["medians"], told["mark"], told["stats"], tuple(told["numeric"]), tuple(told["categorical"]), tuple(told["same"]))

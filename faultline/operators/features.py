@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from faultline.functions.exprs import pairs, smoothed, tokens, transitions
+from faultline.functions.exprs import pairs, shift_bucket, smoothed, tokens, transitions
 from faultline.sources.scratch import materialize
 
 from .ordered import asof_backward, joined, lagged, lagged_mean, running, sorted_rows, time_counts
@@ -40,6 +40,34 @@ def core_features(parts: DataFrame, *, block: int = 10_000) -> DataFrame:
     return _blocked(timed, block, parts.count())
 
 
+#: Units of the time proxies, and row windows of the legacy block.
+WEEK, DAY, HOUR, HOURS = 1680, 240, 10, 24
+LEGACY = (25, 240, 1680)
+
+
+def duration_stats(parts: DataFrame, column: str = "duration") -> dict[str, float]:
+    """Mean, sample deviation (1 where it isn't positive), 10th and 90th percentile of a column; 0 without a value."""
+    r = parts.agg(F.avg(column).alias("m"), F.stddev_samp(column).alias("s"), F.percentile(column, F.array(F.lit(0.1), F.lit(0.9))).alias("q")).first()
+    return {"mean": float(r.m or 0.0), "std": float(r.s) if r.s and r.s > 0 else 1.0, "low": float((r.q or [0.0])[0] or 0.0), "high": float((r.q or [0.0])[-1] or 0.0)}
+
+
+def date_features(parts: DataFrame, stats: Mapping[str, float], t: str = "start_time", column: str = "duration") -> DataFrame:
+    """parts with the place of their time in the week, day and hour of the time proxies, and what fitted stats say of their duration."""
+    at, d = F.col(t), F.col(column)
+    return parts.withColumns({
+        "in_week": F.pmod(at, F.lit(float(WEEK))), "day": F.pmod(F.floor(at / DAY), F.lit(7)).cast("int"), "hour": F.pmod(F.floor(at / HOUR), F.lit(HOURS)).cast("int"), "log_duration": F.log1p(column),
+        "z_duration": (d - F.lit(stats["mean"])) / F.lit(stats["std"]), "is_long": (d > F.lit(stats["high"])).cast("int"), "is_short": (d < F.lit(stats["low"])).cast("int"),
+    })
+
+
+def legacy_features(rows: DataFrame, key: str = "id") -> DataFrame:
+    """rows with the legacy block, which takes ids for times: rows in windows before and after, place in the week, shift."""
+    n = rows.count()
+    got = running(rows, [F.col(key)], position="__pos")
+    windows = {k: c for w in LEGACY for k, c in ((f"last_{w}", F.least(F.col("__pos") + 1, F.lit(w)).cast("long")), (f"next_{w}", F.least(F.lit(n) - F.col("__pos"), F.lit(w)).cast("long")))}
+    return got.withColumns(windows | {"week_part": F.pmod(key, F.lit(WEEK)).cast("int"), "shift": shift_bucket(F.pmod(F.floor(F.col(key) / HOUR), F.lit(HOURS)))}).drop("__pos")
+
+
 def station_means(readings: DataFrame, stations: Sequence[str]) -> DataFrame:
     """A column for each station with the mean of a part's readings there; null where it wasn't."""
     return readings.groupBy("id").pivot("station", list(stations)).agg(F.avg("value"))

@@ -224,11 +224,7 @@ def same_window_count(spark: SparkSession, sf_dir: str) -> DataFrame:
 @Q.query(with_views("""SELECT id, """ + ", ".join(f"least(row_number() OVER (ORDER BY id), {w}) AS last_{w}, least(count(*) OVER () - row_number() OVER (ORDER BY id) + 1, {w}) AS next_{w}" for w in (25, 240, 1680)) +
     """, CAST(id % 1680 AS INTEGER) AS week_part, CASE WHEN (id // 10) % 24 = 0 THEN NULL WHEN (id // 10) % 24 <= 8 THEN 1 WHEN (id // 10) % 24 <= 16 THEN 2 ELSE 3 END AS shift FROM parts""", "parts"))
 def legacy_time(spark: SparkSession, sf_dir: str) -> DataFrame:
-    ids = V.table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("id"))
-    n = ids.count()
-    got = running(ids, [F.col("id")])
-    windows = [c for w in (25, 240, 1680) for c in (F.least(F.col("pos") + 1, F.lit(w)).cast("long").alias(f"last_{w}"), F.least(F.lit(n) - F.col("pos"), F.lit(w)).cast("long").alias(f"next_{w}"))]
-    return got.select("id", *windows, F.pmod("id", F.lit(1680)).cast("int").alias("week_part"), X.shift_bucket(F.pmod(F.floor(F.col("id") / 10), F.lit(24))).alias("shift"))
+    return ops.legacy_features(V.table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("id")))
 
 
 @Q.query(with_views(f"""SELECT id, start_time - 1680 * floor(start_time / 1680) AS in_week, CAST(floor(start_time / 240) - 7 * floor(floor(start_time / 240) / 7) AS INTEGER) AS day, CAST(floor(start_time / 10) - 24 * floor(floor(start_time / 10) / 24) AS INTEGER) AS hour,
@@ -236,13 +232,8 @@ def legacy_time(spark: SparkSession, sf_dir: str) -> DataFrame:
   CAST(duration > (SELECT quantile_cont(duration, 0.9) FROM parts) AS INTEGER) AS is_long, CAST(duration < (SELECT quantile_cont(duration, 0.1) FROM parts) AS INTEGER) AS is_short FROM parts""", "parts"))
 def cyclic_time(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = V.parts(spark, sf_dir)
-    s = p.agg(F.avg("duration").alias("m"), F.stddev_samp("duration").alias("s"), F.percentile("duration", F.array(F.lit(0.1), F.lit(0.9))).alias("q")).first()
-    t = F.col("start_time")
-    got = p.select(
-        "id", F.pmod(t, F.lit(1680.0)).alias("in_week"), F.pmod(F.floor(t / 240), F.lit(7)).cast("int").alias("day"), F.pmod(F.floor(t / 10), F.lit(24)).cast("int").alias("hour"), F.log1p("duration").alias("log_duration"),
-        ((F.col("duration") - s.m) / (s.s if s.s and s.s > 0 else 1.0)).alias("z_duration"), (F.col("duration") > s.q[1]).cast("int").alias("is_long"), (F.col("duration") < s.q[0]).cast("int").alias("is_short"),
-    )
-    return quantized(got, "log_duration", "z_duration")
+    got = ops.date_features(p.select("id", "start_time", "duration"), ops.duration_stats(p))
+    return quantized(got.drop("start_time", "duration"), "log_duration", "z_duration")
 
 
 @Q.query(with_views("""SELECT id, dup_run, count(*) OVER (PARTITION BY dup_run) AS run_size, row_number() OVER (PARTITION BY dup_run ORDER BY start_time NULLS LAST, id) AS run_rank, row_number() OVER (PARTITION BY dup_run ORDER BY start_time DESC NULLS FIRST, id DESC) AS run_rank_desc

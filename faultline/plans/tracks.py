@@ -201,7 +201,7 @@ def feature_pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     parts, out = materialize(V.parts(spark, sf_dir)), None
     for k in range(2):
         known = parts.where(F.col("id") % 2 == k)
-        got = FeaturePipeline.fit(known).transform(parts.where(F.col("id") % 2 != k), known)
+        got = FeaturePipeline.fit(known, numeric=["n_values"], categorical=["path_signature"]).transform(parts.where(F.col("id") % 2 != k), known)
         out = got if out is None else out.unionByName(got)
     return out
 

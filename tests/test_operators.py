@@ -11,7 +11,8 @@ from faultline.operators import evaluate as E
 from faultline.operators import features as ops
 from faultline.operators import joins as J
 from faultline.operators.folds import group_folds, leaks
-from faultline.operators.ordered import asof_backward, centered_counts, lagged_mean, running, time_counts
+from faultline.operators.drift import drift_table
+from faultline.operators.ordered import asof_backward, centered_counts, lagged, lagged_mean, running, time_counts
 
 
 def rows(df, *cols):
@@ -217,3 +218,85 @@ def test_group_folds_are_whole_and_even(spark):
     assert len(sizes) == 5 and max(sizes) - min(sizes) <= 30
     with pytest.raises(ValueError, match="groups"):
         group_folds(df.where("g < 3"), "g", "y", 5)
+
+
+def test_ties_and_groups_are_cut_as_well(spark):
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "7")
+    try:
+        df = spark.createDataFrame([(i, 1.0 if i % 3 else float(i % 5), i % 2 or None, i) for i in range(300)], "id long, t double, g long, v long").repartition(5)
+        got = {r.id: (r.pos, r.s) for r in running(df, [F.col("t"), F.col("id")], {"s": F.col("v")}, by=["g"]).collect()}
+        for g in (None, 1):
+            total = 0
+            for k, (_, i) in enumerate(sorted((1.0 if i % 3 else float(i % 5), i) for i in range(300) if (i % 2 or None) == g)):
+                total += i
+                assert got[i] == (k, total)
+        placed = running(df, [F.col("t"), F.col("id")], by=["g"])
+        by = {(r.g, r.pos): r.v for r in placed.collect()}
+        for r in lagged(placed, "pos", {"a": (F.col("v"), 3), "b": (F.col("v"), -2)}, ["g"], block=10).collect():
+            assert (r.a, r.b) == (by.get((r.g, r.pos - 3)), by.get((r.g, r.pos + 2)))
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+
+
+def test_float_scores_and_columns(spark):
+    rng = random.Random(5)
+    data = [(i, rng.choice([rng.random(), 0.5]), int(rng.random() < 0.4)) for i in range(200)]
+    s = spark.createDataFrame(data, "id long, x double, response int")
+    pos, neg = [x for _, x, y in data if y], [x for _, x, y in data if not y]
+    assert E.roc_auc(s, score="x", grid=False).first().auc == pytest.approx(sum((p > n) + 0.5 * (p == n) for p in pos for n in neg) / (len(pos) * len(neg)))
+    ap = sum(sum(p == q for p in pos) * sum(p >= q for p in pos) / sum(x >= q for _, x, _ in data) for q in set(pos)) / len(pos)
+    assert E.average_precision(s, score="x", grid=False).first().average_precision == pytest.approx(ap)
+    a, b = s.where("id < 120"), s.where("id >= 120")
+    got = E.distance(a, b, "x", 1.0).first()
+    xs, ys = sorted(x for i, x, _ in data if i < 120), sorted(x for i, x, _ in data if i >= 120)
+    grid = sorted({*xs, *ys})
+    gap = [abs(sum(x <= v for x in xs) / len(xs) - sum(y <= v for y in ys) / len(ys)) for v in grid]
+    assert got.ks == pytest.approx(max(gap)) and got.wasserstein == pytest.approx(sum(g * (w - v) for g, v, w in zip(gap, grid, grid[1:], strict=False)))
+    table = drift_table(a, a.withColumn("ROW_ID", F.lit(1)), ["x", "ROW_ID"]).collect()
+    assert [(r.column_name, r.drifted, r.p_drifted, r.p_value) for r in table] == [("x", False, False, 1.0)]
+    far = drift_table(a, b.withColumn("x", F.col("x") + 0.4), ["x"]).first()
+    assert far.drifted and far.p_drifted and 0 <= far.p_value < 0.01
+    assert drift_table(a, b, ["id"]).count() == 0
+
+
+def test_top_counts_with_many_ties(spark):
+    s = scored(spark, [(i, 500 if i % 2 else 900, int(i % 3 == 0)) for i in range(40)])
+    order = sorted((-(500 if i % 2 else 900), i) for i in range(40))
+    got = {r.k: (r.q, r.tp) for r in E.top_counts(s, [1, 5, 20, 21, 33, 40]).collect()}
+    for k in (1, 5, 20, 21, 33, 40):
+        assert got[k] == (-order[k - 1][0], sum(i % 3 == 0 for _, i in order[:k]))
+
+
+def test_score_joins_and_null_counts(spark):
+    rows, pred = spark.createDataFrame([(2, 1), (1, 0)], "id long, response int"), spark.createDataFrame([(2, 0.5)], "id long, pred double")
+    assert [tuple(r) for r in J.with_scores(rows, pred).collect()] == [(1, 0, 0.0), (2, 1, 0.5)]
+    with pytest.raises(ValueError, match="right"):
+        J.with_scores(rows, pred.union(pred))
+    assert J.with_scores(rows, pred.union(pred), check=False).count() == 3
+    with pytest.raises(ValueError, match="3 rows, not 2"):
+        J.same_count(J.with_scores(rows, pred.union(pred), check=False), rows)
+    df = spark.createDataFrame([(1, None, float("nan")), (2, "x", 1.0)], "id long, a string, b double")
+    assert {r.column_name: r.nulls for r in J.null_counts(df, ["id", "a", "b"]).collect()} == {"id": 0, "a": 1, "b": 1}
+    assert J.no_nulls(df, ["id"]) is df
+    with pytest.raises(ValueError, match="'b': 1"):
+        J.no_nulls(df, ["a", "b"])
+
+
+def test_sources_policies_and_grids(spark):
+    s = scored(spark)
+    same = {"a": s, "b": s}
+    assert E.best_source(same)[0] == "a"
+    with pytest.raises(FileNotFoundError):
+        E.best_source({})
+    for bad in ((1.5, 5), (0.5, 101), (-0.1, 5)):
+        with pytest.raises(ValueError, match="isn't within"):
+            E.checked_policy(*bad)
+    with pytest.raises(ValueError, match="aren't within"):
+        E.predict_actions(s.withColumn("pred", F.lit(1.2)), 0.5)
+    with pytest.raises(ValueError, match="no scores"):
+        E.batch_predict(s.where("false"), 0.5, 5.0)
+    decisions, counts = E.batch_predict(s, 0.9, 50.0)
+    assert counts.first()[2:] == (6, 2, 1) and decisions.where("decision = 1").count() == 3
+    grid = spark.createDataFrame([(0.2,), (0.4,), (None,)], "threshold double")
+    assert E.nearest_row(grid, "threshold", 0.3).first().threshold == 0.2 and E.nearest_row(grid, "threshold", 0.35).first().threshold == 0.4

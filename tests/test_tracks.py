@@ -95,7 +95,7 @@ def test_bootstrap(spark):
 
 def test_models(spark):
     df = spark.createDataFrame([(i, int(i % 3 == 0), float(i % 3 == 0) + (i % 5) / 50, i % 2) for i in range(120)], "id long, response int, x double, cv_fold int")
-    pred, importance = oof_predictions(df, ["x"], folds=2, iterations=2, depth=2)
+    pred, importance = oof_predictions(df, ["x"], folds=2, iterations=2, depth=2, leaf=5)
     got = pred.collect()
     assert len(got) == 120 and len({r.id for r in got}) == 120 and importance.first().feature == "x"
     assert min(r.oof_pred for r in got if r.response) > max(r.oof_pred for r in got if not r.response)
@@ -166,3 +166,104 @@ def test_feature_pipeline(spark, tmp_path):
         fitted.transform(new, parts.where("response = 0"), need_history=True)
     with pytest.raises(ValueError, match="look ahead"):
         fitted.transform(new.withColumn("till_next_1", F.lit(1)))
+
+
+def test_feature_pipeline_blocks(spark, tmp_path):
+    from faultline.operators.feature_pipeline import DATASET_G, DATASET_H, FeaturePipeline, dataset_e1
+
+    rows = [(i, int(i % 4 == 0), float(i), float(i + 2), 2.0 + i % 5, i // 2 / 10, "a|b" if i % 2 else "a", None if i % 7 == 0 else float(i), "xyz"[i % 3]) for i in range(1, 41)]
+    parts = spark.createDataFrame(rows, "id long, response int, start_time double, end_time double, duration double, feature_mean double, path_signature string, s1 double, kind string")
+    fitted = FeaturePipeline.fit(parts.where("id <= 30"), numeric=["s1"], categorical=["kind"], same=["feature_mean"])
+    fitted.save(f"file://{tmp_path}/p")
+    new = parts.where("id > 30").withColumn("kind", F.when(F.col("id") == 31, "new").otherwise(F.col("kind")))
+    got = fitted.transform(new, parts).orderBy("id").collect()
+    assert got == FeaturePipeline.load(spark, f"file://{tmp_path}/p").transform(new.withColumn("response", F.lit(1)), parts).orderBy("id").collect()
+    by = {r.id: r for r in got}
+    assert list(got[0].asDict()) == [c for c, _, _ in fitted.contract] and by[35].s1 == fitted.medians["s1"] and by[36].s1 == 36.0
+    rate = [y for _, y, *_, k in rows[:30] if k == "z"]
+    assert by[31].kind_target_enc == fitted.overall and by[32].kind_target_enc == pytest.approx(sum(rate) / len(rate))
+    assert (by[32].run_size, by[32].run_rank, by[32].run_rank_desc, by[31].run_size) == (2, 1, 2, 1)
+    assert (by[33].last_25, by[33].week_part, by[33].shift) == (3, 33, 1) and by[33].in_week == 33.0 and not any(c.startswith("next") for c in by[33].asDict())
+    assert (len(DATASET_G), len(DATASET_H), len(dataset_e1(["L0_S0"] * 50))) == (12, 16, 68)
+
+
+def test_manifests_carry_only_doubts_on(spark, tmp_path):
+    p = tmp_path / "PROVENANCE.json"
+    assert I.sample_evidence(p) == {}
+    p.write_text("no json")
+    assert I.sample_evidence(p) == {}
+    p.write_text(json.dumps({"is_full_data": False, "row_counts": {"a": 5, "b": "x"}}))
+    assert I.sample_evidence(p) == {"a": 5}
+    held = I.write_manifest(spark, p, {"a": (5, "skipped"), "b": (9, "generated")})
+    assert held["status"] == "mixed" and held["is_full_data"] is None and held["files"]["a"]["full_data_status"] == "sampled"
+    assert I.sample_evidence(p) == {"a": 5}
+    assert I.write_manifest(spark, p, {"a": (6, "skipped")})["status"] == "unknown"
+    assert I.write_manifest(spark, p, {"a": (6, "generated")}, sample_rows=6, tag="t")["is_full_data"] is False
+    assert I.write_manifest(spark, p, {"a": (7, "generated")})["is_full_data"] is True and I.sample_evidence(p) == {}
+
+
+def test_appends_keep_to_the_schema(spark, tmp_path):
+    base = f"file://{tmp_path}"
+    I.append_locked(spark.createDataFrame([(1, 2.5)], "id long, x float"), f"{base}/t")
+    I.append_locked(spark.createDataFrame([("3.5", 2)], "x string, id int"), f"{base}/t")
+    assert sorted(tuple(r) for r in spark.read.parquet(f"{base}/t").collect()) == [(1, 2.5), (2, 3.5)]
+    with pytest.raises(ValueError, match="aren't those"):
+        I.append_locked(spark.createDataFrame([(1,)], "id long"), f"{base}/t")
+    with pytest.raises(ValueError, match="don't fit"):
+        I.append_locked(spark.createDataFrame([(1, "x")], "id long, x string"), f"{base}/t")
+    for k in range(2):
+        I.append_log(spark.createDataFrame([(k, "a,b")], "n long, s string"), f"{base}/log")
+    assert sorted(tuple(r) for r in spark.read.csv(f"{base}/log", schema="n long, s string", header=True).collect()) == [(0, "a,b"), (1, "a,b")]
+    (tmp_path / "a.csv").write_text("x\n1\n")
+    assert I.load_all(spark, {"a": f"{base}/a.csv"}, "x int")["a"].count() == 1
+    with pytest.raises(FileNotFoundError, match="b"):
+        I.load_all(spark, {"a": f"{base}/a.csv", "b": f"{base}/b.csv"}, "x int")
+    with pytest.raises(ValueError, match="order"):
+        I.csv_to_parquet(spark, f"{base}/a.csv", f"{base}/p", "x int", first=1)
+
+
+def test_uncommitted_partitions_are_not_read(spark, tmp_path):
+    base = f"file://{tmp_path}/out"
+    df = lambda k: spark.createDataFrame([(k, 10 - k)], "id long, run_seq long")
+    for k in range(3):
+        I.write_partition(df(k), base, {"cycle": 0, "batch": k})
+    (tmp_path / "out/cycle=0/batch=1/_SUCCESS").unlink()
+    assert [r.id for r in I.read_partitions(spark, base).collect()] == [2, 0]
+    (tmp_path / "none").mkdir()
+    with pytest.raises(FileNotFoundError):
+        I.read_partitions(spark, f"file://{tmp_path}/none")
+
+
+def test_stored_states(tmp_path):
+    from faultline.streaming.scorer import load_state, save_state
+
+    p = tmp_path / "s.json"
+    assert load_state(p) == State()
+    save_state(State(5, 1, 2, 3, 25), p)
+    assert load_state(p) == State(5, 1, 2, 3, 25)
+    for bad in ("{", "[]", '{"pointer": 5}', '{"pointer": "x", "cycle_id": 0, "batch_id": 0, "run_seq": 0, "dataset_rows": 1}'):
+        p.write_text(bad)
+        assert load_state(p) == State()
+
+
+def test_sliding_windows_start_over(spark):
+    from faultline.streaming.scorer import replay_window
+
+    placed = spark.createDataFrame([(i, i * 1000, int(i > 6), i) for i in range(10)], "id long, q int, response int, pos long")
+    row, pointer = replay_window(placed, 8, 4, threshold=9000, percent=50.0)
+    assert pointer == 0 and row.first()[:4] == (8, 10, 2, True) and row.first().tp == 1
+    row, pointer = replay_window(placed, 99, 4, threshold=9000, percent=50.0)
+    assert pointer == 4 and (row.first().start, row.first().flagged_pct) == (0, 50.0)
+
+
+def test_wide_tables(spark):
+    from faultline.operators import wide as W
+
+    df = spark.createDataFrame([(1, 2.0, None, 4.0, "x", 7.0, 3.0), (2, None, None, None, "y", None, None)], "id long, L0_S2_F1 double, L0_S2_F3 double, L0_S10_F1 double, L1_S0_F0 string, L0_S2_D5 double, L0_S10_D1 double")
+    assert W.sensor_columns(df) == ["L0_S2_F1", "L0_S2_F3", "L0_S10_F1"] and W.date_columns(df) == ["L0_S2_D5", "L0_S10_D1"]
+    assert W.stations(W.sensor_columns(df)) == ["L0_S2", "L0_S10"] and W.stations(W.sensor_columns(df), numeric=False) == ["L0_S10", "L0_S2"]
+    assert sorted(tuple(r) for r in W.wide_station_means(df, prefix="m_").collect()) == [(1, 2.0, 4.0), (2, None, None)]
+    assert sorted(tuple(r) for r in W.wide_times(df).collect()) == [(1, 3.0, 7.0), (2, None, None)]
+    assert sorted(tuple(r) for r in W.to_readings(df).collect()) == [(1, "L0", "L0_S10", "L0_S10_F1", 4.0), (1, "L0", "L0_S2", "L0_S2_F1", 2.0)]
+    assert W.to_readings(df.select("id")).count() == 0 and W.wide_times(df.select("id")).first().start_time is None
+    assert W.without_suffix(["a_target_enc", "b"]) == ["a", "b"] and W.with_prefix(["x"]) == ["sensor_mean_x"]
