@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .storage import materialize
+from faultline.sources.scratch import materialize, release
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -15,20 +15,24 @@ def components(links: DataFrame) -> DataFrame:
     neighbours and hands its larger, then its smaller neighbours over to it, until the links
     are stars around roots. Rounds grow with the logarithm of the longest chain. Each round is
     written, so a lost executor costs one round at most; the links never meet in one place.
+    Smallest neighbours are written too: joins are of two plain shuffles then, which Spark
+    splits where a star is very large. What a round has read is deleted after it.
     """
     star = materialize(links.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a <> b").distinct())
     mark = _state(star)
-    while True:
+    while mark[0]:
         both = star.union(star.select("b", "a"))
-        least = both.groupBy(F.col("a").alias("u")).agg(F.min("b").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.join(least, both["a"] == least["u"]).where("b > a AND b <> m").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
-        least = large.groupBy(F.col("a").alias("u")).agg(F.min("b").alias("m"))
-        small = large.join(least, large["a"] == least["u"]).select(F.explode(F.array(F.struct("a", F.col("m").alias("b")), F.struct(F.col("b").alias("a"), F.col("m").alias("b")))).alias("x")).select("x.a", "x.b")
-        star = materialize(small.where("a <> b").distinct())
-        now = _state(star)
+        least = materialize(both.groupBy(F.col("a").alias("u")).agg(F.min("b").alias("m")).select("u", F.least("u", "m").alias("m")))
+        large = materialize(both.join(least, both["a"] == least["u"]).where("b > a AND b <> m").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct())
+        own = materialize(large.groupBy(F.col("a").alias("u")).agg(F.min("b").alias("m")))
+        small = large.join(own, large["a"] == own["u"]).select(F.explode(F.array(F.struct("a", F.col("m").alias("b")), F.struct(F.col("b").alias("a"), F.col("m").alias("b")))).alias("x")).select("x.a", "x.b")
+        after = materialize(small.where("a <> b").distinct())
+        release(star, least, large, own)
+        star, now = after, _state(after)
         if now == mark:
-            return star.select(F.col("a").alias("node"), F.col("b").alias("root"))
+            break
         mark = now
+    return star.select(F.col("a").alias("node"), F.col("b").alias("root"))
 
 
 def _state(star: DataFrame) -> tuple:

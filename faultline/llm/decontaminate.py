@@ -23,8 +23,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
+from faultline.sources.scratch import materialize, release
+
 from .rows import digest, without
-from .storage import materialize, release
 from .workers import claim
 
 #: Consecutive item words that make a window.

@@ -20,8 +20,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from faultline.sources.scratch import materialize, release
+
 from .rows import digest, without
-from .storage import materialize, release
 
 #: What the normalised text leaves out: space, tab, line feed, vertical tab, form feed, return.
 SPACES = " \t\n\x0b\x0c\r"

@@ -1,19 +1,32 @@
 """What Python workers remember from task to task.
 
 Workers are reused, also by other operators. Whoever starts a task says what it remembers;
-what others have left behind goes, so a worker holds the memory of one operator at a time.
+what others have left behind goes, and goes back to the system, so a worker holds the memory
+of one operator at a time.
 """
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
+import gc
 from collections.abc import Callable
 
-_HELD: dict[str, Callable[[], None]] = {}
+import pyarrow as pa
+
+_HELD: dict[str, Callable[[], None] | None] = {}
 
 
 def claim(owner: str, forget: Callable[[], None] | None = None) -> None:
     """Registers `owner`, whose memory `forget` drops if it has any, and drops that of all others."""
-    for other in [k for k in _HELD if k != owner]:
-        _HELD.pop(other)()
-    if forget:
-        _HELD[owner] = forget
+    others = [k for k in _HELD if k != owner]
+    for other in others:
+        drop = _HELD.pop(other)
+        if drop:
+            drop()
+    _HELD[owner] = forget
+    if others:
+        gc.collect()
+        pa.default_memory_pool().release_unused()
+        with contextlib.suppress(OSError, AttributeError):  # other systems than Linux with glibc keep what is free
+            ctypes.CDLL("libc.so.6").malloc_trim(0)
