@@ -25,10 +25,17 @@ from tokenizers.pre_tokenizers import ByteLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .rows import id_type
+from .workers import claim
+
 #: How byte-level BPE files cut a text into words (public pattern).
 WORDS = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-#: Pieces in a generation of what a worker remembers; it keeps two. Bounds its memory, not the results.
-MEMO = 400_000
+#: Bytes of pieces and what they give in a generation of what a worker remembers, about; it keeps two. Bounds its memory, not the results.
+MEMO = 70 << 20
+#: Bytes that an entry takes besides its strings, about.
+ENTRY = 330
+#: Answers of may_follow() that a worker remembers at most.
+FITS = 500_000
 #: Code points below it are of the same class in all releases of Unicode that the libraries use.
 SETTLED = "\u0530"
 #: ASCII characters that are neither letters nor digits nor white space.
@@ -153,6 +160,7 @@ class Coder:
         self.head: dict[str, tuple[int, str, str]] = {}
         self.rest: dict[str, tuple[int, str, str]] = {}
         self.older: dict[str, tuple[int, str, str]] = {}
+        self.held = 0
 
     def _cut(self, text: str) -> list[str]:
         """Words of a text without special strings."""
@@ -198,12 +206,13 @@ class Coder:
 
         rest.update([(p, joined(ws)) for p, ws in cut.items() if len(ws) > 1])
         head.update([(p, joined(ws)) for p, ws in whole.items()])
+        self.held += 4 * (sum(map(len, rests)) + sum(map(len, heads))) + ENTRY * (len(rests) + len(heads) + len(words))
 
     def forget(self) -> None:
-        if len(self.rest) > MEMO:
-            self.older, self.rest = self.rest, {}
-        if len(self.head) > MEMO:
-            self.head = {}
+        if self.held > MEMO:
+            self.older, self.rest, self.head, self.held = self.rest, {}, {}, 0
+        if len(self.vocabulary.fits) > FITS:
+            self.vocabulary.fits.clear()
 
     def batch(self, texts: list[str]) -> Iterator[tuple[int, str, str]]:
         """Of each text: number of ids, ids joined by commas, decoded text."""
@@ -226,56 +235,60 @@ _CODERS: dict[str, Coder] = {}
 
 
 def coder(path: str) -> Coder:
-    """One coder for each worker process."""
+    """One coder for each worker process that works at this operator."""
+    claim("bpe", _CODERS.clear)
     if path not in _CODERS:
         _CODERS[path] = Coder(path)
     return _CODERS[path]
 
 
-def groups(texts: list[str], chars: int = 2_000_000) -> Iterator[tuple[int, int]]:
+def groups(lengths: list[int], chars: int = 2_000_000) -> Iterator[tuple[int, int]]:
     """Ranges of texts with about so many characters each; a longer text stands alone."""
     start = size = 0
-    for k, x in enumerate(texts):
-        if k > start and size + len(x) > chars:
+    for k, n in enumerate(lengths):
+        if k > start and size + n > chars:
             yield start, k
             start, size = k, 0
-        size += len(x)
-    if texts:
-        yield start, len(texts)
+        size += n
+    if lengths:
+        yield start, len(lengths)
 
 
 def _rows(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    return docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
+    return docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
 
 
 def encode(docs: DataFrame, path: str, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """id_col and token_ids (array of int) for each row. Null and empty texts have no ids.
 
-    Rows keep their number, repeated ids and null ids included; other columns are ignored.
+    Rows keep their number, repeated ids and null ids included; ids are of any type; other
+    columns are ignored.
     """
-    out = pa.schema([("id", pa.int64()), ("token_ids", pa.list_(pa.int32()))])
+    kind, name = id_type(docs, id_col)
+    out = pa.schema([("id", kind), ("token_ids", pa.list_(pa.int32()))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = coder(path)
         for b in batches:
             texts, ids = b.column(1).to_pylist(), b.column(0)
-            for i, j in groups(texts):
+            for i, j in groups([len(x) for x in texts]):
                 got = [[int(x) for x in g[1].split(",")] if g[0] else [] for g in own.batch(texts[i:j])]
                 yield pa.RecordBatch.from_arrays([ids.slice(i, j - i), pa.array(got, out.field(1).type)], schema=out)
 
-    return _rows(docs, id_col, text_col).mapInArrow(run, "id long, token_ids array<int>").withColumnRenamed("id", id_col)
+    return _rows(docs, id_col, text_col).mapInArrow(run, f"id {name}, token_ids array<int>").withColumnRenamed("id", id_col)
 
 
 def decode(tokens: DataFrame, path: str, *, id_col: str = "doc_id", ids_col: str = "token_ids") -> DataFrame:
     """id_col and text for each row of ids; null ids give an empty text."""
-    out = pa.schema([("id", pa.int64()), ("text", pa.string())])
+    kind, name = id_type(tokens, id_col)
+    out = pa.schema([("id", kind), ("text", pa.string())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = coder(path)
         for b in batches:
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array([own.decode(x or []) for x in b.column(1).to_pylist()], pa.string())], schema=out)
 
-    return tokens.select(F.col(id_col).cast("long").alias("id"), F.col(ids_col).cast("array<int>")).mapInArrow(run, "id long, text string").withColumnRenamed("id", id_col)
+    return tokens.select(F.col(id_col).alias("id"), F.col(ids_col).cast("array<int>")).mapInArrow(run, f"id {name}, text string").withColumnRenamed("id", id_col)
 
 
 def round_trip(docs: DataFrame, path: str, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -284,7 +297,8 @@ def round_trip(docs: DataFrame, path: str, *, id_col: str = "doc_id", text_col:
     A null text counts as empty: no ids, the digests of an empty string. Very long texts and
     words are encoded whole; the state is one token for each byte of the longest word.
     """
-    out = pa.schema([("id", pa.int64()), ("n_tokens", pa.int64()), ("ids_sha256", pa.string()), ("decoded_sha256", pa.string())])
+    kind, name = id_type(docs, id_col)
+    out = pa.schema([("id", kind), ("n_tokens", pa.int64()), ("ids_sha256", pa.string()), ("decoded_sha256", pa.string())])
 
     def digest(b: bytes) -> str:
         return hashlib.sha256(b).hexdigest()
@@ -293,11 +307,11 @@ def round_trip(docs: DataFrame, path: str, *, id_col: str = "doc_id", text_col:
         own = coder(path)
         for b in batches:
             texts, n, ids, text = b.column(1).to_pylist(), [], [], []
-            for i, j in groups(texts):
+            for i, j in groups([len(x) for x in texts]):
                 for count, joined, decoded in own.batch(texts[i:j]):
                     n.append(count)
                     ids.append(digest(joined.encode()))
                     text.append(digest(decoded.encode()))
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64()), pa.array(ids, pa.string()), pa.array(text, pa.string())], schema=out)
 
-    return _rows(docs, id_col, text_col).mapInArrow(run, "id long, n_tokens long, ids_sha256 string, decoded_sha256 string").withColumnRenamed("id", id_col)
+    return _rows(docs, id_col, text_col).mapInArrow(run, f"id {name}, n_tokens long, ids_sha256 string, decoded_sha256 string").withColumnRenamed("id", id_col)

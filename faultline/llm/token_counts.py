@@ -17,12 +17,16 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .bpe import groups
+from .rows import id_type
+from .workers import claim
 
 MARK = "▁"
 #: Scores below the lowest of the vocabulary that a character without a token of its own gets.
 UNKNOWN_PENALTY = 10.0
-#: Words in a generation of what a worker remembers; it keeps two. Bounds its memory, not the results.
-MEMO = 600_000
+#: Bytes of words in a generation of what a worker remembers, about; it keeps two. Bounds its memory, not the results.
+MEMO = 100 << 20
+#: Bytes that an entry takes besides its characters, about.
+ENTRY = 150
 
 
 def piece_vocabulary(path: str) -> dict[str, float]:
@@ -30,7 +34,9 @@ def piece_vocabulary(path: str) -> dict[str, float]:
 
     The public file lists pieces by the rank of their merge and has no probabilities; a model
     of this kind trained elsewhere can be given to `Counter` instead. Control pieces and
-    single-byte pieces are left out: bytes are what unknown characters fall back to.
+    single-byte pieces are left out: bytes are what unknown characters fall back to. Counts
+    under it tell how long documents are and serve to plan budgets and mixtures; they aren't
+    the lengths of a certain model's ids.
     """
     from sentencepiece import SentencePieceProcessor
 
@@ -49,6 +55,7 @@ class Counter:
         self.unknown = min(vocabulary.values(), default=0.0) - UNKNOWN_PENALTY
         self.known: dict[str, int] = {}
         self.older: dict[str, int] = {}
+        self.held = 0
 
     def terminal_counts(self, words: Iterable[str]) -> Iterator[tuple[str, int]]:
         """Token counts of distinct words in sorted order, sharing the forward scores of common prefixes."""
@@ -80,8 +87,9 @@ class Counter:
         known.update((w, older[w]) for w in new if w in older)
         known.update(self.terminal_counts(sorted(w for w in new if w not in older)))
         got = [(len(ws), sum(map(known.__getitem__, ws))) for ws in cut]
-        if len(known) > MEMO:
-            self.older, self.known = known, {}
+        self.held += sum(map(len, new)) + ENTRY * len(new)
+        if self.held > MEMO:
+            self.older, self.known, self.held = known, {}, 0
         return got
 
 
@@ -92,18 +100,21 @@ def token_counts(docs: DataFrame, path: str, *, id_col: str = "doc_id", text_col
     """id_col, n_pretokens and n_tokens for each row, under the vocabulary in the file at `path`.
 
     Null, empty and blank texts have 0 of both. Repeated rows are counted each; other columns
-    are ignored. A word of any length is scored whole.
+    are ignored; ids are of any type. A word of any length is scored whole. Pre-tokens are what
+    white space of any kind in Unicode separates.
     """
-    out = pa.schema([("id", pa.int64()), ("n_pretokens", pa.int64()), ("n_tokens", pa.int64())])
+    kind, name = id_type(docs, id_col)
+    out = pa.schema([("id", kind), ("n_pretokens", pa.int64()), ("n_tokens", pa.int64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        claim("token_counts", _COUNTERS.clear)
         if path not in _COUNTERS:
             _COUNTERS[path] = Counter(piece_vocabulary(path))
         own = _COUNTERS[path]
         for b in batches:
             texts = b.column(1).to_pylist()
-            got = [g for i, j in groups(texts) for g in own.batch(texts[i:j])]
+            got = [g for i, j in groups([len(x) for x in texts]) for g in own.batch(texts[i:j])]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array([g[0] for g in got], pa.int64()), pa.array([g[1] for g in got], pa.int64())], schema=out)
 
-    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
-    return rows.mapInArrow(run, "id long, n_pretokens long, n_tokens long").withColumnRenamed("id", id_col)
+    rows = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
+    return rows.mapInArrow(run, f"id {name}, n_pretokens long, n_tokens long").withColumnRenamed("id", id_col)

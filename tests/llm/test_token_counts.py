@@ -46,7 +46,7 @@ def test_table(spark):
 
 
 def test_memory_is_bounded(monkeypatch):
-    monkeypatch.setattr(tc, "MEMO", 3)
+    monkeypatch.setattr(tc, "MEMO", 400)
     own = tc.Counter({"a": -1.0, tc.MARK: -1.0})
     assert [own.batch([t]) for t in ("a aa aaa aaaa", "a b", "aa")] == [[(4, 14)], [(2, 4)], [(1, 3)]]
     assert len(own.known) <= 4

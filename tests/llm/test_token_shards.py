@@ -2,6 +2,7 @@ import zlib
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from tokenizers import Tokenizer
 
@@ -57,13 +58,53 @@ def test_grammar_round_trip_and_gain():
 
 
 def test_encoder_equals_the_library(monkeypatch):
-    monkeypatch.setattr(ts, "MEMO", 40)
+    monkeypatch.setattr(ts, "TEXT", 40)
     own, lib = ts.Encoder(PATH), Tokenizer.from_file(PATH)
-    texts = ["", " ", "the cat, the dog", "naïve  façade\n\tx", "don't we'll <|endoftext|> it's", "'s 's a' 'b", "日本 ՘ cat՘ a՘. 1a a1 a.b a..", "one two two, one", "x" * 99, "x a.\nThe b!\nÉa c.\n\nd e.\nf\ng the\nThe."]
-    assert [np.frombuffer(b, "<u2").tolist() for t in texts * 3 for b in own.batch([t, "one two"])[:1]] == [lib.encode(t, add_special_tokens=False).ids for t in texts * 3]
+    texts = ["", " ", "the cat, the dog", "naïve  façade\n\tx", "don't we'll <|endoftext|> it's", "'s 's a' 'b", "日本 ՘ cat՘ a՘. 1a a1 a.b a..", "one two two, one", "x" * 99, "x a.\nThe b!\nÉa c.\n\nd e.\nf\ng the\nThe.", "dogs' a.b. ...x y... z.\n\nq \x01 a.", "a.\x01b c,", "end. ", "end.", ",", "a, b, c,, 'd' e\n.f", "x.\né.\n ö"]
+    assert [np.frombuffer(b, "<u2").tolist() for t in texts * 3 for b in own.batch(pa.array([t, "one two"]))[:1]] == [lib.encode(t, add_special_tokens=False).ids for t in texts * 3]
     import random
 
     rng = random.Random(5)
     texts = ["".join(rng.choice("abcdeèß🤖\n\t  ' 0129.,!-日क्֋") for _ in range(rng.randint(0, 40))) for _ in range(600)]
     for k in range(0, 600, 20):
-        assert [np.frombuffer(b, "<u2").tolist() for b in own.batch(texts[k : k + 20])] == [lib.encode(t, add_special_tokens=False).ids for t in texts[k : k + 20]]
+        assert [np.frombuffer(b, "<u2").tolist() for b in own.batch(pa.array(texts[k : k + 20]))] == [lib.encode(t, add_special_tokens=False).ids for t in texts[k : k + 20]]
+
+
+def left_over(symbols, sizes):
+    """The most uses, without overlaps, that a pair still has."""
+    uses, at = {}, 0
+    for n in sizes.tolist():
+        own, seen = symbols[at : at + n].tolist(), {}
+        for k, pair in enumerate(zip(own, own[1:], strict=False)):
+            if seen.get(pair, -2) < k - 1:
+                seen[pair] = k
+                uses[pair] = uses.get(pair, 0) + 1
+        at += n
+    return max(uses.values(), default=0)
+
+
+@pytest.mark.parametrize(("base", "kind"), [(50257, "<u2"), (70000, "<u4"), (300, "<u2")])
+def test_replacement_goes_on_to_the_end(base, kind):
+    rng = np.random.default_rng(base)
+    phrases = [rng.integers(0, base, rng.integers(1, 30)) for _ in range(60)]
+    docs = [np.concatenate([phrases[k] for k in rng.integers(0, 60, rng.integers(1, 40))]) for _ in range(80)] + [np.full(999, 7), np.empty(0, np.int64), np.array([7])]
+    ids, lengths = np.concatenate(docs).astype(kind), np.array([len(d) for d in docs], "<u4")
+    for symbols, least in ((1 << 31, 4), (1 << 31, 2), (base + 50, 4), (base, 4)):
+        coded, sizes, rules = ts.compress(ids, lengths, base, symbols, least)
+        n = ts.expansion_lengths(rules, base)
+        pool, starts = ts.expansions(rules, base, n)
+        assert (ts.expand(coded, pool, starts, n, base) == ids).all() and base + len(rules) <= symbols
+        assert coded.itemsize == (2 if base + len(rules) <= 1 << 16 else 4) and sizes.sum() == len(coded)
+        if symbols > base + 50:
+            assert left_over(coded, sizes) < least
+        own, at = np.concatenate([np.ones(base, np.int64), n]), 0
+        for k, m in zip(sizes.tolist(), lengths.tolist(), strict=True):
+            assert own[coded[at : at + k]].sum() == m
+            at += k
+
+
+def test_wide_symbols_round_trip(spark, tmp_path):
+    docs = spark.createDataFrame([(i, t) for i, t in ROWS], "doc_id long, text string")
+    path = f"file://{tmp_path}/wide"
+    ts.write_token_shards(docs, PATH, path, symbols=1 << 31, least_uses=2)
+    assert {(r.doc_id, r.start, tuple(r.token_ids)) for r in ts.read_token_shards(spark, path).collect()} == {(i, s, tuple(ids)) for i, s, ids in expected(ROWS)}
