@@ -31,7 +31,7 @@ from .workers import claim
 #: Consecutive item words that make a window.
 WINDOW = 10
 #: Words of a shard, about; a longer document makes a shard of its own.
-SHARD_WORDS = 600_000
+SHARD_WORDS = 300_000
 #: Words of queries that are broadcast at once (about 50 MB in a worker).
 QUERY_WORDS = 500_000
 #: Positions between two documents of a shard, so that phrases and proximity stay within one.
@@ -101,6 +101,13 @@ def build_index(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
     return texts.mapInArrow(run, f"shard long, doc_ids array<{kind.simpleString()}>, digests array<long>, {', '.join(c + ' binary' for c in COLUMNS)}")
 
 
+def _rows(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
+    """One shard after the other: a batch holds as many as Arrow's bound on bytes allows."""
+    for b in batches:
+        for k in range(b.num_rows):
+            yield b.slice(k, 1).to_pylist()[0]
+
+
 class Shard:
     """A shard of the index in a worker's memory."""
 
@@ -195,26 +202,25 @@ def find_windows(index: DataFrame, items: DataFrame, *, width: int = WINDOW, ite
         def run(batches: Iterator[pa.RecordBatch], sent=sent, whole=number == 0) -> Iterator[pa.RecordBatch]:
             claim("decontaminate")
             vocabulary, by = sent.value
-            for b in batches:
-                for row in b.to_pylist():
-                    shard = Shard(row)
-                    codes = shard.codes(vocabulary)
-                    hits: dict[int, list[np.ndarray]] = {}
-                    found: dict[int, set] = {}
-                    for n, (rows, owners) in by.items():
-                        there = codes[rows]
-                        for k in np.flatnonzero((there >= 0).all(axis=1)):
-                            at = shard.phrase(there[k])
-                            doc = shard.document(at)
-                            for d in np.unique(doc).tolist():
-                                hits.setdefault(d, []).append((at[doc == d] - shard.starts[d])[:, None] + np.arange(n))
-                                found.setdefault(d, set()).update(owners[k])
-                    docs = range(len(shard.ids)) if whole else sorted(hits)
-                    yield pa.RecordBatch.from_arrays(
-                        [
-                            pa.array([f"{row['shard']}:{d}" for d in docs], pa.string()), pa.array([shard.ids[d] for d in docs], out.types[1]), pa.array([shard.digests[d] for d in docs], pa.int64()), pa.array([int(shard.n_words[d]) for d in docs], pa.int64()),
-                            pa.array([sorted(found.get(d, ()), key=str) for d in docs], out.types[4]), pa.array([np.unique(np.concatenate([h.ravel() for h in hits[d]])) if d in hits else [] for d in docs], pa.list_(pa.int32())),
-                        ], schema=out)
+            for row in _rows(batches):
+                shard = Shard(row)
+                codes = shard.codes(vocabulary)
+                hits: dict[int, list[np.ndarray]] = {}
+                found: dict[int, set] = {}
+                for n, (rows, owners) in by.items():
+                    there = codes[rows]
+                    for k in np.flatnonzero((there >= 0).all(axis=1)):
+                        at = shard.phrase(there[k])
+                        doc = shard.document(at)
+                        for d in np.unique(doc).tolist():
+                            hits.setdefault(d, []).append((at[doc == d] - shard.starts[d])[:, None] + np.arange(n))
+                            found.setdefault(d, set()).update(owners[k])
+                docs = range(len(shard.ids)) if whole else sorted(hits)
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        pa.array([f"{row['shard']}:{d}" for d in docs], pa.string()), pa.array([shard.ids[d] for d in docs], out.types[1]), pa.array([shard.digests[d] for d in docs], pa.int64()), pa.array([int(shard.n_words[d]) for d in docs], pa.int64()),
+                        pa.array([sorted(found.get(d, ()), key=str) for d in docs], out.types[4]), pa.array([np.unique(np.concatenate([h.ravel() for h in hits[d]])) if d in hits else [] for d in docs], pa.list_(pa.int32())),
+                    ], schema=out)
 
         part = index.mapInArrow(run, f"row string, id {kinds[0].simpleString()}, digest long, n_words long, items array<{kinds[1].simpleString()}>, hits array<int>")
         result = part if result is None else result.unionByName(part)
@@ -232,15 +238,14 @@ def find_near(index: DataFrame, queries: list[str], span: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         claim("decontaminate")
-        for b in batches:
-            for row in b.to_pylist():
-                shard = Shard(row)
-                for q in queries:
-                    codes = shard.codes(sorted(set(words(q))))
-                    if len(codes) and (codes >= 0).all():
-                        at = shard.near(codes, span)
-                        doc = shard.document(at)
-                        yield pa.RecordBatch.from_arrays([pa.array([q] * len(at), pa.string()), pa.array([shard.ids[d] for d in doc], out.types[1]), pa.array(at - shard.starts[doc], pa.int64())], schema=out)
+        for row in _rows(batches):
+            shard = Shard(row)
+            for q in queries:
+                codes = shard.codes(sorted(set(words(q))))
+                if len(codes) and (codes >= 0).all():
+                    at = shard.near(codes, span)
+                    doc = shard.document(at)
+                    yield pa.RecordBatch.from_arrays([pa.array([q] * len(at), pa.string()), pa.array([shard.ids[d] for d in doc], out.types[1]), pa.array(at - shard.starts[doc], pa.int64())], schema=out)
 
     return index.mapInArrow(run, f"query string, doc_id {kind.simpleString()}, place long")
 

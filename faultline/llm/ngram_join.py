@@ -62,14 +62,14 @@ MARKS = 256
 #: Index entries of a block of columns, about.
 BLOCK = 400_000
 #: Shingles that a task holds before it hands on counts or index entries.
-FLUSH = 1_000_000
+FLUSH = 500_000
 #: Pairs that a task holds before it hands on their partial counts.
 PAIRS = 1_000_000
 #: Bytes of pivots' sets that are broadcast at once, and pivots of a block at most.
 SENT = 8 << 20
 PIVOTS = 4096
 #: Words whose hashes a worker remembers, and names of sets that a task does, at most.
-MEMO = 300_000
+MEMO = 150_000
 
 #: ASCII white space is what separates words; A-Z become a-z.
 TABLE = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))

@@ -18,7 +18,7 @@ _HELD: dict[str, Callable[[], None] | None] = {}
 
 
 def claim(owner: str, forget: Callable[[], None] | None = None) -> None:
-    """Registers `owner`, whose memory `forget` drops if it has any, and drops that of all others."""
+    """Registers `owner`, whose memory `forget` drops if it has any, drops that of all others, and gives back what is free."""
     others = [k for k in _HELD if k != owner]
     for other in others:
         drop = _HELD.pop(other)
@@ -27,6 +27,6 @@ def claim(owner: str, forget: Callable[[], None] | None = None) -> None:
     _HELD[owner] = forget
     if others:
         gc.collect()
-        pa.default_memory_pool().release_unused()
-        with contextlib.suppress(OSError, AttributeError):  # other systems than Linux with glibc keep what is free
-            ctypes.CDLL("libc.so.6").malloc_trim(0)
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # other systems than Linux with glibc keep what is free
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
