@@ -188,7 +188,7 @@ def test_feature_pipeline_blocks(spark, tmp_path):
 
 
 def test_manifests_carry_only_doubts_on(spark, tmp_path):
-    p = tmp_path / "PROVENANCE.json"
+    p = tmp_path / "manifest.json"
     assert I.sample_evidence(p) == {}
     p.write_text("no json")
     assert I.sample_evidence(p) == {}
