@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from .bpe import round_trip
 from .chat import chat_digests, format_chats, turns_of_rows
 from .decontaminate import contamination
+from .divergence import source_divergence
 from .exact_dedup import exact_dedup
 from .language import language_id
 from .ngram_join import link_counts, near_duplicates
@@ -101,6 +102,11 @@ SELECT conv_id, CAST(n_turns AS BIGINT) AS n_turns, sha256(turns) AS turns_sha25
 """
 
 
+@query
+def op12_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return source_divergence(table(spark, sf_dir, "documents"))
+
+
 @query
 def op6_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"))
@@ -149,3 +155,24 @@ links AS (SELECT a.doc_id AS x, b.doc_id AS y FROM one a JOIN one b ON a.g = b.g
 SELECT doc_id, CAST(len(sh) AS BIGINT) AS n_shingles, CAST(coalesce(n_links, 0) AS BIGINT) AS n_links FROM s LEFT JOIN (SELECT x AS doc_id, count(*) AS n_links FROM links GROUP BY 1) USING (doc_id)
 """.replace("LOWER", _LOWER)
 )
+
+ORACLES["op12_source_divergence"] = (
+    r"""
+WITH d AS (SELECT row_number() OVER () AS r, coalesce(lang, '') AS lang, coalesce(source, '') AS source, regexp_extract_all(LOWER, '[^\x00-\x40\x5B-\x60\x7B-\x7F]+') AS ws FROM documents),
+g AS (SELECT DISTINCT lang, source FROM d),
+o AS (SELECT r, lang, source, unnest(ws) AS term FROM d),
+kept AS (SELECT lang, term FROM o GROUP BY lang, term HAVING count(DISTINCT r) >= 30),
+v AS (SELECT lang, count(*) AS v FROM kept GROUP BY lang),
+c AS (SELECT lang, source, term, count(*) AS n FROM o JOIN kept USING (lang, term) GROUP BY lang, source, term),
+e AS (SELECT lang, source, term, coalesce(n, 0) AS n FROM g JOIN kept USING (lang) LEFT JOIN c USING (lang, source, term)),
+p AS (SELECT lang, source, term, n, 1 + (CAST(1000000000 AS HUGEINT) * (n + 5)) // (CAST(sum(n) OVER (PARTITION BY lang, source) AS HUGEINT) + 5 * v) AS p FROM e JOIN v USING (lang)),
+w AS (SELECT lang, term, CAST(sum(n) AS HUGEINT) AS n FROM e GROUP BY lang, term),
+q AS (SELECT lang, term, 1 + (CAST(1000000000 AS HUGEINT) * (n + 5)) // (CAST(sum(n) OVER (PARTITION BY lang) AS HUGEINT) + 5 * v) AS q FROM w JOIN v USING (lang)),
+apart AS (SELECT a.lang, a.source, b.source AS item, sum(abs(a.p - b.p)) AS value FROM p a JOIN p b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source GROUP BY 1, 2, 3),
+parts AS (
+  SELECT a.lang, a.source, 'pair' AS part, b.source AS item, CAST(coalesce(x.value, 0) AS BIGINT) AS value FROM g a JOIN g b ON a.lang = b.lang AND a.source <> b.source LEFT JOIN apart x ON x.lang = a.lang AND x.source = a.source AND x.item = b.source
+  UNION ALL SELECT lang, source, 'term', term, CAST(p - q AS BIGINT) FROM p JOIN q USING (lang, term) WHERE n > 0 AND p > q
+), ranked AS (SELECT *, CAST(row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item) AS INTEGER) AS rank FROM parts)
+SELECT lang, source, part, item, value, rank FROM ranked WHERE part = 'pair' OR rank <= 50
+""".replace("LOWER", _LOWER)
+)
