@@ -20,12 +20,12 @@ from faultline.sources.scratch import materialize
 BLOCK = 50_000
 
 
-def sorted_rows(df: DataFrame, order: Sequence[Column], by: Sequence[str] = ()) -> DataFrame:
-    """df as written in the order of (by, order): __range and __place in it. `order` ends in a unique key."""
+def sorted_rows(df: DataFrame, order: Sequence[Column], by: Sequence[str] = (), keep: Sequence[str] | None = None) -> DataFrame:
+    """df as written in the order of (by, order): __range and __place in it. `order` ends in a unique key. Of the columns only those in `keep` are written, if it is given."""
     keys = [*map(F.col, by), *order]
     at = F.monotonically_increasing_id()  # the range, and below it the place
     ordered = df.repartitionByRange(*keys).sortWithinPartitions(*keys)
-    return materialize(ordered.withColumns({"__range": F.shiftright(at, 33), "__place": at.bitwiseAND((1 << 33) - 1)}))
+    return materialize(ordered.select(*(df.columns if keep is None else keep), F.shiftright(at, 33).alias("__range"), at.bitwiseAND((1 << 33) - 1).alias("__place")))
 
 
 def joined(rows: DataFrame, table: DataFrame, keys: Sequence[str], how: str = "inner") -> DataFrame:
@@ -35,10 +35,10 @@ def joined(rows: DataFrame, table: DataFrame, keys: Sequence[str], how: str = "i
     return rows.join(F.broadcast(named) if keys == ["__range"] else named, on, how).drop(*[f"__k_{k}" for k in keys])
 
 
-def running(df: DataFrame, order: Sequence[Column], sums: Mapping[str, Column] | None = None, position: str | None = "pos", by: Sequence[str] = ()) -> DataFrame:
-    """df with its 0-based place in the order and running sums (own row included), in each group of `by`."""
+def running(df: DataFrame, order: Sequence[Column], sums: Mapping[str, Column] | None = None, position: str | None = "pos", by: Sequence[str] = (), keep: Sequence[str] | None = None) -> DataFrame:
+    """df with its 0-based place in the order and running sums (own row included), in each group of `by`; of the columns those in `keep` (all, if it isn't given), with which `by` and sums must do."""
     sums, keys = dict(sums or {}), [*by, "__range"]
-    rows = sorted_rows(df, order, by)
+    rows = sorted_rows(df, order, by, keep)
     ahead = Window.partitionBy(*by).orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)
     totals = rows.groupBy(*keys).agg(F.count("*").alias("__n"), F.min("__place").alias("__first"), *[F.sum(c).alias(f"__s_{k}") for k, c in sums.items()])
     totals = totals.select(*keys, (F.coalesce(F.sum("__n").over(ahead), F.lit(0)) - F.col("__first")).alias("__n"), *[F.coalesce(F.sum(f"__s_{k}").over(ahead), F.lit(0)).alias(f"__s_{k}") for k in sums])
