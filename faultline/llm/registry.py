@@ -13,6 +13,7 @@ from .exact_dedup import exact_dedup
 from .language import language_id
 from .ngram_join import link_counts, near_duplicates
 from .pii import find_pii
+from .prefix_trie import prefix_trie
 from .quality import classify
 from .token_counts import token_counts
 from .token_shards import token_shards
@@ -107,6 +108,11 @@ def op12_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return source_divergence(table(spark, sf_dir, "documents"))
 
 
+@query
+def op13_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_trie(table(spark, sf_dir, "conversations"))
+
+
 @query
 def op6_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"))
@@ -176,3 +182,30 @@ parts AS (
 SELECT lang, source, part, item, value, rank FROM ranked WHERE part = 'pair' OR rank <= 50
 """.replace("LOWER", _LOWER)
 )
+
+#: The CRC-32 of a decimal number, bit by bit; a string that stands for a prefix holds a digest for each turn.
+ORACLES["op13_prefix_trie"] = r"""
+WITH t AS (
+  SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, coalesce(role, ''), coalesce(text, '')) AS k, coalesce(role, '') AS role, coalesce(text, '') AS text
+  FROM conversations WHERE conv_id IS NOT NULL
+), ids AS (
+  SELECT DISTINCT conv_id, xor(4294967295, list_reduce(list_prepend(CAST(4294967295 AS BIGINT), flatten(list_transform(string_split(CAST(conv_id AS VARCHAR), ''), lambda ch: list_prepend(CAST(ord(ch) AS BIGINT), [CAST(0 AS BIGINT) for i in range(7)])))),
+    lambda a, x: xor(xor(a, x) >> 1, CAST(3988292384 AS BIGINT) * (xor(a, x) & 1)))) % 9 AS h FROM t
+), r AS (
+  SELECT i.conv_id, 0 AS part, k, role, text FROM ids i JOIN t b ON b.conv_id = i.conv_id - i.conv_id % 5 AND b.k <= i.h
+  UNION ALL SELECT i.conv_id, 1, k, role, text FROM ids i JOIN t USING (conv_id) WHERE k > i.h
+), p AS (
+  SELECT conv_id, row_number() OVER w AS depth, string_agg(sha256(length(role) || ',' || role || text), '') OVER w AS key, octet_length(encode(text)) AS bytes FROM r WINDOW w AS (PARTITION BY conv_id ORDER BY part, k)
+), lengths AS (SELECT conv_id, coalesce(max(depth), 0) AS n FROM ids LEFT JOIN p USING (conv_id) GROUP BY conv_id),
+members AS (
+  SELECT conv_id, depth, key, bytes, depth = n AS last FROM p JOIN lengths USING (conv_id)
+  UNION ALL SELECT conv_id, 0, '', 0, n = 0 FROM lengths
+), nodes AS (
+  SELECT key, any_value(depth) AS depth, min(conv_id) AS conv_id, count(*) AS n_convs, any_value(bytes) AS bytes, sha256(coalesce(string_agg(CAST(conv_id AS VARCHAR), ',' ORDER BY conv_id) FILTER (WHERE last), '')) AS ends_sha256 FROM members GROUP BY key
+), linked AS (SELECT c.key, p.key AS parent, p.conv_id AS parent_conv_id FROM nodes c JOIN nodes p ON c.depth = p.depth + 1 AND p.key = left(c.key, 64 * p.depth)),
+degrees AS (SELECT parent AS key, count(*) AS n_children FROM linked GROUP BY parent),
+one AS (SELECT nodes.*, parent_conv_id, coalesce(n_children, 0) AS n_children FROM nodes LEFT JOIN linked USING (key) LEFT JOIN degrees USING (key)),
+below AS (SELECT a.key, count(*) FILTER (WHERE b.n_children = 0) AS n_leaves, sum((b.n_convs - 1) * b.bytes) AS saved_tokens FROM one a JOIN one b ON starts_with(b.key, a.key) GROUP BY a.key)
+SELECT conv_id, CAST(depth AS BIGINT) AS depth, parent_conv_id, CAST(n_convs AS BIGINT) AS n_convs, CAST(n_children AS BIGINT) AS n_children, CAST(n_leaves AS BIGINT) AS n_leaves, CAST(saved_tokens AS BIGINT) AS saved_tokens, ends_sha256
+FROM one JOIN below USING (key)
+"""
