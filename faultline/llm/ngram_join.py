@@ -408,7 +408,7 @@ def _sets(texts: DataFrame, rows: DataFrame, nodes: DataFrame, salt: int, width:
     return made
 
 
-def _verify(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+def _verify(pairs: DataFrame, sets: DataFrame, bound: tuple[int, int] = SIMILAR) -> DataFrame:
     """The pairs (a, b) whose full sets are similar."""
     left = sets.select(F.col("node").alias("a"), F.col("shingles").alias("x"))
     right = sets.select(F.col("node").alias("b"), F.col("shingles").alias("y"))
@@ -419,7 +419,7 @@ def _verify(pairs: DataFrame, sets: DataFrame) -> DataFrame:
             ok = []
             for x, y in zip(b.column(2), b.column(3), strict=True):
                 s, t = (np.frombuffer(v.as_buffer(), np.uint64) for v in (x, y))
-                ok.append(similar(len(np.intersect1d(s, t, assume_unique=True)), len(s), len(t)))
+                ok.append(similar(len(np.intersect1d(s, t, assume_unique=True)), len(s), len(t), *bound))
             yield b.select([0, 1]).filter(pa.array(ok, pa.bool_())).cast(out)
 
     return pairs.select("a", "b").join(left, "a").join(right, "b").select("a", "b", "x", "y").mapInArrow(run, "a long, b long")
@@ -447,7 +447,7 @@ def _shared(blob: pa.Scalar, names: np.ndarray, sizes: np.ndarray, columns: np.n
     return shared, len(s) + sizes - shared
 
 
-def _to_pivots(hot: DataFrame, chosen: list[tuple[int, bytes]]) -> DataFrame:
+def _to_pivots(hot: DataFrame, chosen: list[tuple[int, bytes]], bound: tuple[int, int] = SIMILAR) -> DataFrame:
     """Links node, pivot of hot nodes and the chosen ones that they are similar to: a block product of incidence rows.
 
     What a task has already joined is one label, so a node gives a link for each label that it
@@ -455,7 +455,7 @@ def _to_pivots(hot: DataFrame, chosen: list[tuple[int, bytes]]) -> DataFrame:
     """
     sent = hot.sparkSession.sparkContext.broadcast(_by_column(chosen))
     out = pa.schema([("node", pa.int64()), ("pivot", pa.int64())])
-    num, den = SIMILAR
+    num, den = bound
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = sent.value[0]
@@ -476,11 +476,11 @@ def _to_pivots(hot: DataFrame, chosen: list[tuple[int, bytes]]) -> DataFrame:
     return hot.select("node", "shingles").mapInArrow(run, "node long, pivot long")
 
 
-def _near_pivots(nodes: DataFrame, chosen: list[tuple[int, bytes]], roots: list[int]) -> DataFrame:
+def _near_pivots(nodes: DataFrame, chosen: list[tuple[int, bytes]], roots: list[int], bound: tuple[int, int] = SIMILAR) -> DataFrame:
     """Those of the nodes (node, shingles, root) that something similar to chosen ones of another component may be similar to."""
     sent = nodes.sparkSession.sparkContext.broadcast((_by_column(chosen), np.array(roots, np.int64)))
     out = pa.schema([("node", pa.int64())])
-    num, den = SIMILAR
+    num, den = bound
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         block, root = sent.value
@@ -527,7 +527,7 @@ def _hot_counts(hot: DataFrame) -> DataFrame | None:
     return found
 
 
-def _hot_links(hot: DataFrame) -> DataFrame | None:
+def _hot_links(hot: DataFrame, bound: tuple[int, int] = SIMILAR) -> DataFrame | None:
     """Links a, b that connect all similar ones of the hot nodes (node, shingles, n, rare).
 
     Pivots are picked among nodes that no pivot is similar to yet, those with the fewest rare
@@ -545,7 +545,7 @@ def _hot_links(hot: DataFrame) -> DataFrame | None:
 
     while picked := _some(left.orderBy("share", F.xxhash64("node"), "node").limit(most).select("node", "bytes").collect(), SENT):
         blocks.append(picked)
-        part = materialize(_to_pivots(hot, sets(picked)))
+        part = materialize(_to_pivots(hot, sets(picked), bound))
         found, most, before = part if found is None else found.union(part), min(PIVOTS, 4 * most), left
         # A pivot is similar to itself, so it goes as well.
         left = materialize(left.join(part.select("node").distinct(), "node", "left_anti"))
@@ -565,12 +565,12 @@ def _hot_links(hot: DataFrame) -> DataFrame | None:
     for picked in blocks:
         names = F.broadcast(spark.createDataFrame([(x,) for x in picked], "node long"))
         chosen = rooted.join(names, "node", "left_semi").collect()
-        part = _near_pivots(outside, [(r["node"], bytes(r["shingles"])) for r in chosen], [r["root"] for r in chosen])
+        part = _near_pivots(outside, [(r["node"], bytes(r["shingles"])) for r in chosen], [r["root"] for r in chosen], bound)
         near = part if near is None else near.union(part)
     near = materialize(near.distinct().join(hot.select("node", F.octet_length("shingles").alias("bytes")), "node"))
     last = -1  # names are not negative
     while picked := _some(near.where(F.col("node") > last).orderBy("node").limit(PIVOTS).collect(), SENT):
-        part = materialize(_to_pivots(hot, sets(picked)))
+        part = materialize(_to_pivots(hot, sets(picked), bound))
         links, last = links.union(part.where("node <> pivot").select(F.col("node").alias("a"), F.col("pivot").alias("b"))), picked[-1]
     release(rooted, near)
     return links

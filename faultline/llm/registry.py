@@ -11,6 +11,7 @@ from .decontaminate import contamination
 from .divergence import source_divergence
 from .exact_dedup import exact_dedup
 from .language import language_id
+from .minhash import minhash_classes
 from .ngram_join import link_counts, near_duplicates
 from .pii import find_pii
 from .prefix_trie import prefix_trie
@@ -103,6 +104,11 @@ SELECT conv_id, CAST(n_turns AS BIGINT) AS n_turns, sha256(turns) AS turns_sha25
 """
 
 
+@query
+def op11_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash_classes(table(spark, sf_dir, "documents"))
+
+
 @query
 def op12_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return source_divergence(table(spark, sf_dir, "documents"))
@@ -152,6 +158,17 @@ SELECT doc_id, CAST(len(sh) AS BIGINT) AS n_shingles, component_id FROM s JOIN (
 """.replace("LOWER", _LOWER)
 )
 
+ORACLES["op11_minhash_dedup"] = (
+    r"""
+WITH RECURSIVE d AS (SELECT doc_id, regexp_extract_all(LOWER, '[^\x20\x09-\x0D]+') AS ws FROM documents),
+s AS (SELECT doc_id, CASE WHEN len(ws) = 0 THEN [] ELSE list_distinct(list_transform(range(1, greatest(len(ws) - 2, 1) + 1), lambda k: array_to_string(list_slice(ws, k, k + 2), ' '))) END AS sh FROM d),
+one AS (SELECT doc_id, len(sh) AS n, unnest(sh) AS g FROM s),
+links AS (SELECT a.doc_id AS x, b.doc_id AS y FROM one a JOIN one b ON a.g = b.g AND a.doc_id <> b.doc_id GROUP BY 1, 2 HAVING 100 * count(*) >= 85 * (any_value(a.n) + any_value(b.n) - count(*))),
+reach AS (SELECT doc_id AS x, doc_id AS y FROM s UNION SELECT r.x, l.y FROM reach r JOIN links l ON l.x = r.y)
+SELECT doc_id, CAST(len(sh) AS BIGINT) AS n_shingles, component_id, doc_id = component_id AS kept FROM s JOIN (SELECT x AS doc_id, min(y) AS component_id FROM reach GROUP BY 1) USING (doc_id)
+""".replace("LOWER", _LOWER)
+)
+
 ORACLES["op6_ngram_links"] = (
     r"""
 WITH d AS (SELECT doc_id, regexp_extract_all(LOWER, '[^\x20\x09-\x0D]+') AS ws FROM documents),
