@@ -73,33 +73,35 @@ def top_counts(scored: DataFrame, sizes: Sequence[int], label: str = "response",
     """For each size k of at least 1: k, q (the score of the k-th row, ties by key) and tp (positives among the first k).
 
     Counts at each score tell where the k-th row is; only the rows of those few scores are put in order.
+    Rows without a score come last.
     """
     spark = scored.sparkSession
     grid = spark.createDataFrame([(int(k),) for k in set(sizes)], "k long")
     counts = cumulated(score_counts(scored, label))
     cuts = materialize(counts.join(F.broadcast(grid), (F.col("m") >= F.col("k")) & (F.col("m") - F.col("n") < F.col("k"))).select("k", "q", (F.col("tp") - F.col("pos")).alias("above"), (F.col("k") - F.col("m") + F.col("n")).alias("need")))
     # As many cuts as sizes.
-    tied = running(scored.select(key, "q", label).join(F.broadcast(cuts.select("q").distinct()), "q"), [F.col(key)], {"__tp": F.col(label).cast("long")}, "__r", ["q"])
-    at = tied.join(F.broadcast(cuts.select("k", "q", "need")), "q").where(F.col("__r") + 1 == F.col("need")).select("k", "__tp")
+    at_cut = scored.select(key, "q", label).join(F.broadcast(cuts.select(F.col("q").alias("__q")).distinct()), F.col("q").eqNullSafe(F.col("__q")), "left_semi")
+    tied = running(at_cut, [F.col(key)], {"__tp": F.col(label).cast("long")}, "__r", ["q"])
+    at = tied.join(F.broadcast(cuts.select("k", F.col("q").alias("__q"), "need")), F.col("q").eqNullSafe(F.col("__q"))).where(F.col("__r") + 1 == F.col("need")).select("k", "__tp")
     return cuts.join(F.broadcast(at), "k").select("k", "q", (F.col("above") + F.col("__tp")).alias("tp"))
 
 
 def budget_curve(scored: DataFrame, percents: Sequence[int] = range(1, 11), label: str = "response") -> DataFrame:
-    """What inspecting the top p percent of rows finds; ties by id."""
+    """What inspecting the top p percent of rows finds; ties by id. Rows without a score come last; a budget that ends among them has no cut-off (null)."""
     n, all_pos = scored.agg(F.count("*"), F.coalesce(F.sum(label), F.lit(0))).first()
     sizes = [(float(p), min(max(0, -(-n * p // 100)), n)) for p in percents]
     grid = scored.sparkSession.createDataFrame(sizes, "inspection_budget_pct double, selected_rows long")
     top = top_counts(scored, [k for _, k in sizes if k], label)
     got = grid.join(F.broadcast(top), F.col("k") == F.col("selected_rows"), "left")
-    got = got.select("inspection_budget_pct", "selected_rows", (F.coalesce("q", F.lit(SCALE)) / float(SCALE)).alias("score_cutoff"), F.coalesce("tp", F.lit(0)).cast("long").alias("tp"))
+    got = got.select("inspection_budget_pct", "selected_rows", (F.when(F.col("k").isNull(), F.lit(SCALE)).otherwise(F.col("q")) / float(SCALE)).alias("score_cutoff"), F.coalesce("tp", F.lit(0)).cast("long").alias("tp"))
     got = got.select("*", (F.col("selected_rows") - F.col("tp")).alias("fp"), (F.lit(all_pos) - F.col("tp")).alias("fn"), (F.lit(n - all_pos) - F.col("selected_rows") + F.col("tp")).alias("tn"))
     return with_metrics(got)
 
 
 def hybrid(scored: DataFrame, threshold: int, percent: float, *by: str, key: str = "id") -> DataFrame:
     """auto_reject, manual_inspect and decision in each group of `by`: all at the threshold or above,
-    then the best of the rest as far as the budget goes that the first have left."""
-    auto = (F.col("q") >= threshold).cast("int")
+    then the best of the rest as far as the budget goes that the first have left. Rows without a score come last."""
+    auto = F.coalesce(F.col("q") >= threshold, F.lit(False)).cast("int")
     got = scored.withColumn("auto_reject", auto)
     if by:
         w = Window.partitionBy(*by)

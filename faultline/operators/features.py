@@ -193,9 +193,10 @@ def duplicate_runs(rows: DataFrame, same: Sequence[str], t: str, key: str) -> Da
     got = materialize(got.withColumn("__new", (F.col("__pos") == 0) | ~F.col("__same").eqNullSafe(before)).drop("__same", "__before", "__ahead"))
     start = F.when(F.col("__new"), F.col("__pos"))
     runs = got.groupBy("__range").agg(F.count_if("__new").alias("__n"), F.min(start).alias("__low"), F.max(start).alias("__high"))
-    past, ahead = ranges.rowsBetween(Window.unboundedPreceding, -1), ranges.rowsBetween(1, Window.unboundedFollowing)
+    # What follows is seen in descending order: a frame that shrinks from row to row would be gone through anew for each.
+    past, ahead = ranges.rowsBetween(Window.unboundedPreceding, -1), Window.orderBy(F.desc("__range")).rowsBetween(Window.unboundedPreceding, -1)
     runs = runs.select("__range", F.coalesce(F.sum("__n").over(past), F.lit(0)).alias("__n"), F.max("__high").over(past).alias("__high"), F.min("__low").over(ahead).alias("__low"))
-    upto, after = w.rowsBetween(Window.unboundedPreceding, 0), w.rowsBetween(1, Window.unboundedFollowing)
+    upto, after = w.rowsBetween(Window.unboundedPreceding, 0), Window.partitionBy("__range").orderBy(F.desc("__place")).rowsBetween(Window.unboundedPreceding, -1)
     got = joined(got.withColumns({"dup_run": F.sum(F.col("__new").cast("long")).over(upto), "__start": F.max(start).over(upto), "__next": F.min(start).over(after)}), runs, ["__range"])
     first, end = F.coalesce("__start", "__high"), F.coalesce("__next", "__low", "__all")
     got = got.withColumns({"dup_run": F.col("dup_run") + F.col("__n"), "run_size": end - first, "run_rank": F.col("__pos") - first + 1, "run_rank_desc": end - F.col("__pos")})

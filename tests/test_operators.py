@@ -300,3 +300,34 @@ def test_sources_policies_and_grids(spark):
     assert counts.first()[2:] == (6, 2, 1) and decisions.where("decision = 1").count() == 3
     grid = spark.createDataFrame([(0.2,), (0.4,), (None,)], "threshold double")
     assert E.nearest_row(grid, "threshold", 0.3).first().threshold == 0.2 and E.nearest_row(grid, "threshold", 0.35).first().threshold == 0.4
+
+
+def test_duplicate_runs_take_linear_time(spark):
+    """All rows in one range: four times the rows take less than eight times as long."""
+    import time
+
+    took = []
+    for n in (20_000, 20_000, 80_000):  # the first also compiles
+        df = spark.range(n).select("id", F.floor(F.col("id") / 7).cast("double").alias("t"), (F.col("id") % 50 < 25).cast("int").alias("v")).coalesce(1)
+        spark.conf.set("spark.sql.shuffle.partitions", "1")
+        began = time.time()
+        got = ops.duplicate_runs(df, ["v"], "t", "id").agg(F.sum("run_size").alias("s"), F.max("dup_run").alias("r")).first()
+        took.append(time.time() - began)
+        spark.conf.set("spark.sql.shuffle.partitions", "4")
+        assert got.s == n * 25 and got.r == n // 25
+    assert took[2] < 8 * took[1] + 2
+
+
+def test_budgets_with_null_scores(spark):
+    """Rows without a score come last, and count as any others in budgets that reach them."""
+    rows_ = [(k, 1 if k % 2 else 0, 1000 * k if k < 5 else None) for k in range(10)]
+    df = spark.createDataFrame(rows_, "id long, response int, q int")
+    got = {int(r.inspection_budget_pct): (r.selected_rows, r.score_cutoff, r.tp, r.fn) for r in E.budget_curve(df, [0, 20, 50, 60, 100]).collect()}
+    order = sorted(rows_, key=lambda r: (r[2] is None, -(r[2] or 0), r[0]))
+    for p, (k, cut, tp, fn) in got.items():
+        top = order[:k]
+        assert (k, tp, fn) == (p // 10, sum(r[1] for r in top), 5 - sum(r[1] for r in top))
+        assert cut == (1.0 if not k else None if top[-1][2] is None else top[-1][2] / 10000)
+    assert [r.tp for r in E.top_lift(df, [1000]).collect()] == [5]
+    h = {r.id: r.decision for r in E.hybrid(df, 3000, 60.0).collect()}
+    assert sum(h.values()) == 6 and h[3] == h[4] == h[5] == 1 and h[6] == 0
