@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from faultline.sources.ingest import fingerprint, load_lookup, save_lookup
 from faultline.sources.scratch import materialize
 
-from .features import LEGACY, aligned, core_features, date_features, duplicate_runs, duration_stats, legacy_features, path_features, path_lookup, since_failures
+from .features import LEGACY, aligned, core_features, date_features, duplicate_runs, duration_stats, legacy_features, medians, path_features, path_lookup, since_failures
 from .joins import refuse, require
 
 #: Features may look back only; names that begin so are refused.
@@ -61,14 +61,13 @@ class FeaturePipeline:
         require(parts, "id", label, "start_time", "end_time", "duration", "feature_mean", "path_signature", *numeric, *categorical, *same)
         parts = materialize(parts)
         past = since_failures(parts.select("id", label, "end_time"), label=label)
-        medians = lambda df, columns: df.agg(*[F.percentile(c, F.lit(0.5)).alias(c) for c in columns]).first().asDict() if columns else {}
         m = medians(past, HISTORY) | medians(parts, numeric)
         overall = parts.agg(F.avg(label)).first()[0] or 0.0
         lookup = path_lookup(parts, label=label)
         for c in categorical:
             lookup[f"category_{c}"] = materialize(parts.where(F.col(c).isNotNull()).groupBy(F.col(c).cast("string").alias("value")).agg(F.avg(label).alias("rate")))
         names = [*CORE, *PATH, *HISTORY, *DUPLICATES, *DATES, *OLD, *numeric, *categorical]
-        return cls(lookup, float(overall), {c: float(x or 0.0) for c, x in m.items()}, fingerprint(parts, names, label=label), duration_stats(parts), tuple(numeric), tuple(categorical), tuple(same))
+        return cls(lookup, float(overall), m, fingerprint(parts, names, label=label), duration_stats(parts), tuple(numeric), tuple(categorical), tuple(same))
 
     @property
     def contract(self) -> list[tuple[str, str, object]]:

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from faultline.functions.exprs import pairs, shift_bucket, smoothed, tokens, transitions
 from faultline.sources.scratch import materialize
 
-from .ordered import asof_backward, joined, lagged, lagged_mean, running, sorted_rows, time_counts
+from .ordered import asof_backward, joined, lagged, lagged_mean, quantiles, running, sorted_rows, time_counts
 
 
 def filled_start(parts: DataFrame, t: str = "start_time", key: str = "id") -> DataFrame:
@@ -45,10 +45,17 @@ WEEK, DAY, HOUR, HOURS = 1680, 240, 10, 24
 LEGACY = (25, 240, 1680)
 
 
+def medians(rows: DataFrame, columns: Sequence[str]) -> dict[str, float]:
+    """Exact medians of columns, 0 for one without a value."""
+    known = {r.column_name: r.value for r in quantiles(rows, columns, [0.5]).collect()} if columns else {}
+    return {c: float(known.get(c, 0.0)) for c in columns}
+
+
 def duration_stats(parts: DataFrame, column: str = "duration") -> dict[str, float]:
     """Mean, sample deviation (1 where it isn't positive), 10th and 90th percentile of a column; 0 without a value."""
-    r = parts.agg(F.avg(column).alias("m"), F.stddev_samp(column).alias("s"), F.percentile(column, F.array(F.lit(0.1), F.lit(0.9))).alias("q")).first()
-    return {"mean": float(r.m or 0.0), "std": float(r.s) if r.s and r.s > 0 else 1.0, "low": float((r.q or [0.0])[0] or 0.0), "high": float((r.q or [0.0])[-1] or 0.0)}
+    r = parts.agg(F.avg(column).alias("m"), F.stddev_samp(column).alias("s")).first()
+    q = {x.share: float(x.value) for x in quantiles(parts, [column], [0.1, 0.9]).collect()}
+    return {"mean": float(r.m or 0.0), "std": float(r.s) if r.s and r.s > 0 else 1.0, "low": q.get(0.1, 0.0), "high": q.get(0.9, 0.0)}
 
 
 def date_features(parts: DataFrame, stats: Mapping[str, float], t: str = "start_time", column: str = "duration") -> DataFrame:
@@ -161,9 +168,8 @@ def since_failures(parts: DataFrame, ks: Sequence[int] = (1, 5, 10), *, t: str =
 
 def median_filled(rows: DataFrame, columns: Sequence[str], fit: DataFrame | None = None) -> DataFrame:
     """rows with nulls replaced by the exact medians of fit (or of rows); 0 where a column has no value."""
-    fit = rows if fit is None else fit
-    m = fit.agg(*[F.percentile(c, F.lit(0.5)).alias(c) for c in columns]).first()
-    return rows.withColumns({c: F.coalesce(F.col(c), F.lit(0.0 if m[c] is None else float(m[c]))) for c in columns})
+    m = medians(rows if fit is None else fit, columns)
+    return rows.withColumns({c: F.coalesce(F.col(c), F.lit(m[c])) for c in columns})
 
 
 def aligned(rows: DataFrame, contract: Sequence[tuple[str, str, object]]) -> DataFrame:

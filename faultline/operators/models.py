@@ -4,45 +4,20 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.ml import Pipeline
-from pyspark.ml.classification import GBTClassifier
-from pyspark.ml.feature import VectorAssembler
-from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from faultline.sources.scratch import materialize
+from . import boosting
 
 
-def _weighted(train: DataFrame, label: str) -> DataFrame:
-    """train with balanced class weights."""
-    n, p = train.agg(F.count("*"), F.sum(label)).first()
-    p = p or 0
-    return train.withColumn("__weight", F.when(F.col(label) == 1, F.lit(n / (2.0 * max(1, p)))).otherwise(F.lit(n / (2.0 * max(1, n - p)))))
-
-
-def gbt(features: Sequence[str], label: str, iterations: int, depth: int, seed: int, step: float = 0.1, tolerance: float = 0.001, leaf: int = 50) -> Pipeline:
-    """Boosting ends early when the rows marked __valid gain less than the tolerance."""
-    trees = GBTClassifier(featuresCol="__x", labelCol=label, weightCol="__weight", maxIter=iterations, maxDepth=depth, seed=seed, stepSize=step, validationTol=tolerance, validationIndicatorCol="__valid", minInstancesPerNode=leaf, subsamplingRate=0.8)
-    return Pipeline(stages=[VectorAssembler(inputCols=list(features), outputCol="__x", handleInvalid="keep"), trees])
-
-
-def oof_predictions(rows: DataFrame, features: Sequence[str], *, label: str = "response", fold: str = "cv_fold", folds: int = 5, key: str = "id", iterations: int = 20, depth: int = 4, seed: int = 42, leaf: int = 50) -> tuple[DataFrame, DataFrame]:
+def oof_predictions(rows: DataFrame, features: Sequence[str], *, label: str = "response", fold: str = "cv_fold", folds: int = 5, key: str = "id", params: boosting.Params = boosting.Params()) -> tuple[DataFrame, DataFrame]:
     """(key, label, oof_pred, fold) of every row by a model that hasn't learned from its fold, only ended early by it; and mean feature importances.
 
     Classes are balanced by weights. Folds are given, as whole groups where groups may not leak.
     """
-    clean = materialize(rows.select(key, label, fold, *[F.coalesce(F.col(c).cast("double"), F.lit(0.0)).alias(c) for c in features]))  # every fold reads it many times
-    out, weights = None, []
-    for k in range(folds):
-        held = F.col(fold) == k
-        model = gbt(features, label, iterations, depth, seed + k, leaf=leaf).fit(_weighted(clean.where(~held), label).withColumn("__valid", F.lit(False)).unionByName(clean.where(held).withColumns({"__weight": F.lit(1.0), "__valid": F.lit(True)})))
-        got = model.transform(clean.where(F.col(fold) == k)).select(key, label, vector_to_array("probability")[1].alias("oof_pred"), fold)
-        out = got if out is None else out.unionByName(got)
-        weights.append(model.stages[-1].featureImportances.toArray())
-    spark = rows.sparkSession
-    mean = sum(weights) / max(1, len(weights))
-    return out, spark.createDataFrame([(f, float(w)) for f, w in zip(features, mean, strict=True)], "feature string, importance double").orderBy(F.desc("importance"), "feature")
+    models = boosting.fit(rows, features, label=label, fold=fold, folds=folds, key=key, params=params)
+    out = boosting.out_of_fold(models, rows, key, label, fold).select(key, label, "oof_pred", fold)
+    return out, rows.sparkSession.createDataFrame(models.importances(), "feature string, importance double").orderBy(F.desc("importance"), "feature")
 
 
 def ensemble(rows: DataFrame, by_fold: Sequence[Sequence[str]], name: str = "pred") -> DataFrame:

@@ -123,3 +123,28 @@ def centered_counts(df: DataFrame, t: str, name: str, reach: float) -> DataFrame
     high, low = _upto(times, {"__high": F.col("__t") + F.lit(float(reach))}, False), _upto(times, {"__low": F.col("__t") - F.lit(float(reach))}, True)
     got = df.join(materialize(high.join(low, "__t")), F.col(t).cast("double") == F.col("__t"), "left")
     return got.withColumn(name, F.col("__high") - F.col("__low") - 1).drop("__t", "__high", "__low")
+
+
+def quantiles(rows: DataFrame, columns: Sequence[str], shares: Sequence[float], by_range: int | None = None) -> DataFrame:
+    """column_name, share, value: exact quantiles of numeric columns, between two values in proportion; no row for a column without a value.
+
+    Distinct values are counted and put in order by ranges, for all columns at once. How many rows
+    each range holds says which range has the rows that a share falls between; only that range's
+    values are added up. Nulls are left out, NaN is the largest value.
+    """
+    cells = rows.select(F.explode(F.array(*[F.struct(F.lit(c).alias("column_name"), F.col(c).cast("double").alias("v")) for c in columns])).alias("x")).select("x.column_name", "x.v")
+    counts = cells.where("v IS NOT NULL").groupBy("column_name", "v").agg(F.count("*").alias("n"))
+    ordered = sorted_rows(counts, [F.col("v")], ["column_name"])
+    # A row for each column and range; then one for each column and share.
+    ranges = ordered.groupBy("column_name", "__range").agg(F.sum("n").alias("n"))
+    w = Window.partitionBy("column_name")
+    ranges = ranges.select("column_name", "__range", "n", (F.sum("n").over(w.orderBy("__range")) - F.col("n")).alias("ahead"), F.sum("n").over(w).alias("all"))
+    at = F.lit(0.0) + (F.col("all") - 1) * F.col("share")
+    wanted = ranges.withColumn("share", F.explode(F.array(*[F.lit(float(s)) for s in shares])))
+    wanted = wanted.withColumn("k", F.explode(F.array_distinct(F.array(F.floor(at), F.ceil(at))))).where("k >= ahead AND k < ahead + n")
+    wanted = wanted.select("column_name", "__range", "share", (F.col("k") - F.col("ahead")).alias("k"), F.when(F.col("k") > F.floor(at), at - F.floor(at)).otherwise(F.floor(at) + 1 - at).alias("weight"))
+    few = F.broadcast(wanted)  # two rows for each column and share at most
+    some = ordered.join(F.broadcast(wanted.select("column_name", "__range").distinct()), ["column_name", "__range"], "left_semi")
+    upto = F.sum("n").over(Window.partitionBy("column_name", "__range").orderBy("__place"))
+    found = some.withColumn("upto", upto).withColumnRenamed("n", "m").join(few, ["column_name", "__range"]).where("k < upto AND k >= upto - m")
+    return found.groupBy("column_name", "share").agg(F.when(F.min("v") == F.max("v"), F.max("v")).otherwise(F.sum(F.col("v") * F.col("weight"))).alias("value"))

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from faultline.functions import exprs as X
 from faultline.operators import features as ops
-from faultline.operators.ordered import centered_counts, joined, running
+from faultline.operators.ordered import centered_counts, joined, quantiles, running
 from faultline.sources import views as V
 from faultline.sources.scratch import materialize
 from faultline.sources.views import q6, with_views
@@ -310,3 +310,14 @@ def median_impute(spark: SparkSession, sf_dir: str) -> DataFrame:
 @Q.query(with_views("SELECT id, CAST(round_even(coalesce(feature_mean, 0), 0) AS INTEGER) AS feature_mean, CAST(-1 AS DOUBLE) AS missing_column, coalesce(start_time, CAST(-9 AS DOUBLE)) AS start_time, path_signature FROM parts", "parts"))
 def contract_align(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ops.aligned(V.parts(spark, sf_dir), [("id", "bigint", 0), ("feature_mean", "int", 0), ("missing_column", "double", -1.0), ("start_time", "double", -9.0), ("path_signature", "string", "unknown_path")])
+
+
+SHARES = (0.0, 0.1, 0.5, 0.9, 0.999, 1.0)
+MEASURES = ("value", "t", "price")
+
+
+@Q.query(with_views(" UNION ALL ".join(f"SELECT '{c}' AS column_name, CAST({s} AS DOUBLE) AS share, {q6(f'quantile_cont({c}, {s})')} AS value FROM measured" for c in MEASURES for s in SHARES), "readings", more="measured AS (SELECT value, t, CAST(NULL AS DOUBLE) AS price FROM readings UNION ALL SELECT NULL, NULL, o_totalprice FROM orders)"))
+def exact_quantiles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Exact quantiles of three columns: from places, not from all values in one aggregate."""
+    r = V.readings(spark, sf_dir).select("value", "t").unionByName(V.table(spark, sf_dir, "orders").select(F.col("o_totalprice").alias("price")), allowMissingColumns=True)
+    return quantized(quantiles(r, MEASURES, SHARES), "value")

@@ -5,9 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from faultline.operators import boosting
 from faultline.operators import evaluate as E
 from faultline.operators import joins as J
 from faultline.operators.bootstrap import bootstrap_interval
+from faultline.operators.drift import drift_report as report_of
 from faultline.operators.drift import drift_summary as summary_of
 from faultline.operators.drift import drift_table
 from faultline.operators.drift import temporal_split as split_of
@@ -70,6 +72,28 @@ def drift_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return summary_of(quantized(drift(spark, sf_dir), "distance"))
 
 
+#: Columns of line items that are compared between those shipped early and late, with their SQL.
+NUMBERS = ("l_partkey", "l_suppkey", "l_linenumber", "l_quantity", "l_extendedprice", "l_discount", "l_tax")
+CATEGORIES = {"l_returnflag": "l_returnflag", "l_linestatus": "l_linestatus", "line": "'L' || CAST(l_suppkey % 4 AS VARCHAR)", "month": "substr(CAST(l_shipdate AS VARCHAR), 1, 7)", "taxed": "CASE WHEN l_tax > 0.04 THEN l_returnflag END", "discounted": "CAST(l_discount > 0.05 AS VARCHAR)"}
+ITEMS = f"split AS (SELECT {', '.join(NUMBERS)}, {', '.join(f'{v} AS {k}' for k, v in CATEGORIES.items() if k != v)}, l_returnflag, l_linestatus, l_shipdate >= TIMESTAMP '1997-01-01' AS is_current FROM lineitem)"
+
+
+def _category_sql(c: str) -> str:
+    return f"""SELECT '{c}' AS column_name, 'category' AS kind, {q6('sqrt(greatest(0, sum(js)))')} AS distance, CAST(NULL AS DOUBLE) AS ks, {q6('sum(square)')} AS chi_square, count(*) - 1 AS degrees, count(*) FILTER (WHERE a = 0) AS unseen, sqrt(greatest(0, sum(js))) > 0.1 AS drifted FROM (
+  SELECT a, (CASE WHEN p > 0 THEN p * log2(2 * p / (p + q)) ELSE 0 END + CASE WHEN q > 0 THEN q * log2(2 * q / (p + q)) ELSE 0 END) / 2 AS js, (a - na * m) * (a - na * m) / (na * m) + (b - nb * m) * (b - nb * m) / (nb * m) AS square FROM (
+    SELECT a, b, na, nb, CAST(a AS DOUBLE) / na AS p, CAST(b AS DOUBLE) / nb AS q, CAST(a + b AS DOUBLE) / (na + nb) AS m FROM (
+      SELECT a, b, sum(a) OVER () AS na, sum(b) OVER () AS nb FROM (SELECT count(*) FILTER (WHERE NOT is_current) AS a, count(*) FILTER (WHERE is_current) AS b FROM split GROUP BY {c}))))"""
+
+
+@Q.query(f"WITH {ITEMS} " + " UNION ALL ".join([*(f"SELECT '{c}' AS column_name, 'numeric' AS kind, {q6('w / s')} AS distance, {q6('ks')} AS ks, CAST(NULL AS DOUBLE) AS chi_square, CAST(NULL AS BIGINT) AS degrees, CAST(NULL AS BIGINT) AS unseen, w / s > 0.1 AS drifted FROM {distance_sql(c)}" for c in NUMBERS), *map(_category_sql, CATEGORIES)]))
+def drift_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Drift of thirteen columns, numbers and categories, in one pass over each table."""
+    t = V.table(spark, sf_dir, "lineitem")
+    made = {"line": F.concat(F.lit("L"), (F.col("l_suppkey") % 4).cast("string")), "month": F.date_format("l_shipdate", "yyyy-MM"), "taxed": F.when(F.col("l_tax") > 0.04, F.col("l_returnflag")), "discounted": F.col("l_discount") > 0.05}
+    rows = t.withColumns(made).select(*NUMBERS, *CATEGORIES, (F.col("l_shipdate") >= F.lit("1997-01-01").cast("timestamp")).alias("is_current"))
+    return quantized(report_of(rows.where("NOT is_current").drop("is_current"), rows.where("is_current").drop("is_current")), "distance", "ks", "chi_square")
+
+
 PRODUCTION = f"SELECT batch_id, id, q, auto_reject, manual_inspect, decision FROM ({hybrid_sql(9200, 10.0, 'batch_id')})"
 
 
@@ -153,11 +177,34 @@ def group_kfold(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.groupBy("cv_fold").agg(F.count("*").alias("n"), F.sum("response").alias("pos"), F.countDistinct("time_block").alias("blocks"))
 
 
+MODEL = ("start_time", "duration", "feature_mean", "records_last_1hr", "records_last_24hr", "density_ratio")
+#: Steps are larger than the operator's own, and patience shorter, so that small tables are done in some ten rounds; there is no other end of rounds.
+GBT = boosting.Params(rate=0.3, depth=3, patience=5)
+
+
+def dealt_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Core features with five folds of whole time blocks."""
+    return materialize(group_folds(core_features(spark, sf_dir), "time_block", "response", 5))
+
+
 @Q.query()
 def gbt_oof(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Out-of-fold scores of boosted trees on the core features, five folds of whole time blocks."""
-    rows = group_folds(core_features(spark, sf_dir), "time_block", "response", 5)
-    return oof_predictions(rows, ["start_time", "duration", "feature_mean", "records_last_1hr", "records_last_24hr", "density_ratio"])[0]
+    return oof_predictions(dealt_parts(spark, sf_dir), MODEL, params=GBT)[0]
+
+
+@Q.query()
+def stored_model_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Scores and decisions of all parts by fold models that were stored and loaded again, without labels; `same` compares them with the scores before."""
+    rows = dealt_parts(spark, sf_dir)
+    path = shared_dir(spark)
+    models = boosting.described(boosting.fit(rows, MODEL, params=GBT), rows, "core")
+    boosting.save(models, spark, path)
+    loaded = boosting.load(spark, path, MODEL)
+    unlabelled = rows.drop(V.LABEL)
+    before = boosting.scores(models, unlabelled, "id", name="before")
+    got = boosting.scores(loaded, unlabelled, "id").join(before, "id")
+    return got.select("id", "pred", (F.col("pred") >= loaded.meta["threshold"]).cast("int").alias("decision"), (F.col("pred") == F.col("before")).alias("same"))
 
 
 @Q.query()

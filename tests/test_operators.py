@@ -11,8 +11,8 @@ from faultline.operators import evaluate as E
 from faultline.operators import features as ops
 from faultline.operators import joins as J
 from faultline.operators.folds import group_folds, leaks
-from faultline.operators.drift import drift_table
-from faultline.operators.ordered import asof_backward, centered_counts, lagged, lagged_mean, running, time_counts
+from faultline.operators.drift import drift_report, drift_table
+from faultline.operators.ordered import asof_backward, centered_counts, lagged, lagged_mean, quantiles, running, time_counts
 
 
 def rows(df, *cols):
@@ -331,3 +331,41 @@ def test_budgets_with_null_scores(spark):
     assert [r.tp for r in E.top_lift(df, [1000]).collect()] == [5]
     h = {r.id: r.decision for r in E.hybrid(df, 3000, 60.0).collect()}
     assert sum(h.values()) == 6 and h[3] == h[4] == h[5] == 1 and h[6] == 0
+
+
+def test_exact_quantiles(spark):
+    """Equal to sorting all values, whatever the ranges; nulls are left out, NaN is largest, a column without values has no row."""
+    rng = random.Random(3)
+    a = [rng.choice([None, 0.5, 1.5, rng.gauss(0, 1)]) for _ in range(500)]
+    b = [float(rng.randint(0, 3)) for _ in range(500)]
+    df = spark.createDataFrame([(x, y, None) for x, y in zip(a, b, strict=True)], "a double, b double, c double").repartition(7)
+    shares = [0.0, 0.1, 1 / 3, 0.5, 0.77, 1.0]
+    got = {(r.column_name, r.share): r.value for r in quantiles(df, ["a", "b", "c"], shares).collect()}
+    want = {}
+    for name, xs in (("a", sorted(x for x in a if x is not None)), ("b", sorted(b))):
+        for s in shares:
+            k = (len(xs) - 1) * s
+            want[name, s] = xs[math.floor(k)] + (xs[math.ceil(k)] - xs[math.floor(k)]) * (k - math.floor(k))
+    assert got.keys() == want.keys() and all(got[k] == pytest.approx(want[k], abs=1e-12) for k in want)
+    nan = spark.createDataFrame([(1.0,), (float("nan"),), (2.0,)], "x double")
+    assert math.isnan(quantiles(nan, ["x"], [1.0]).first().value) and quantiles(nan, ["x"], [0.5]).first().value == 2.0
+    assert quantiles(nan.where("x = 7"), ["x"], [0.5]).count() == 0
+    assert ops.duration_stats(spark.createDataFrame([], "duration double")) == {"mean": 0.0, "std": 1.0, "low": 0.0, "high": 0.0}
+
+
+def test_drift_of_categories(spark):
+    a = [("x", 1, True)] * 6 + [("y", 2, None)] * 3 + [(None, 3, False)]
+    b = [("x", 1, True)] * 2 + [("z", 9, None)] * 3
+    ref, cur = (spark.createDataFrame(v, "c string, n int, flag boolean") for v in (a, b))
+    got = {r.column_name: r for r in drift_report(ref, cur).collect()}
+    p, q = {"x": 0.6, "y": 0.3, None: 0.1}, {"x": 0.4, "z": 0.6}
+    mean = {k: (p.get(k, 0) + q.get(k, 0)) / 2 for k in {*p, *q}}
+    js = sum(d.get(k, 0) * math.log2(d.get(k, 0) / mean[k]) for d in (p, q) for k in d) / 2
+    chi = sum((m * d.get(k, 0) - m * e) ** 2 / (m * e) for k in mean for e in [(10 * p.get(k, 0) + 5 * q.get(k, 0)) / 15] for m, d in ((10, p), (5, q)))
+    assert got["c"].kind == "category" and got["c"].distance == pytest.approx(math.sqrt(js)) and got["c"].chi_square == pytest.approx(chi) and (got["c"].degrees, got["c"].unseen, got["c"].drifted) == (3, 1, True)
+    assert got["n"].kind == "numeric" and got["n"].degrees is None and got["flag"].unseen == 0
+    same = {r.column_name: (r.distance, r.drifted) for r in drift_report(ref, ref).collect()}
+    assert same == {"c": (0.0, False), "n": (0.0, False), "flag": (0.0, False)}
+    none = {r.column_name: (r.distance, r.drifted) for r in drift_report(ref, cur.where("n > 99")).collect()}
+    assert none == {"c": (None, False), "n": (None, False), "flag": (None, False)}
+    assert drift_report(ref.withColumnRenamed("n", "Row_ID").select("Row_ID"), cur.withColumnRenamed("n", "Row_ID").select("Row_ID")).count() == 0
