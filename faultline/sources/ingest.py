@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import json
+import time
+import uuid
 import zipfile
 from collections.abc import Iterable, Mapping, Sequence
 from pathlib import Path
@@ -174,17 +176,91 @@ def write_submission(rows: DataFrame, path: str, key: str = "Id", label: str = "
     rows.select(key, label).orderBy(key).write.mode("errorifexists").csv(path, header=True)
 
 
-def write_partition(rows: DataFrame, base: str, parts: Mapping[str, int]) -> bool:
-    """Writes rows to base/key=value/... unless that partition was committed before; True if it was written.
+def put_new(spark: SparkSession, path: str, data: bytes) -> None:
+    """Writes a file that must not be there yet; FileExistsError if it is. Of writers that race for a path one succeeds.
 
-    Spark's committer renames what tasks have written in one step and leaves _SUCCESS; a
-    partition without that mark is what a lost driver has left and is written anew.
+    The file system decides, by creating without overwriting, which a name node or an object
+    store with conditional writes does in one step; so does the operating system for local paths.
+    Errors of the store are raised, never taken for a missing file.
     """
-    spark = rows.sparkSession
-    path = "/".join([base.rstrip("/"), *[f"{k}={v}" for k, v in parts.items()]])
+    fs, p = _hadoop(spark, path)
+    if not fs.exists(p.getParent()):
+        fs.mkdirs(p.getParent())
+    if p.toUri().getScheme() in (None, "file") and fs.getScheme() == "file":  # Hadoop's local file system looks, then creates
+        with open(p.toUri().getPath(), "xb") as f:
+            f.write(data)
+        return
+    try:
+        out = fs.create(p, False)
+    except Exception as e:
+        if fs.exists(p):
+            raise FileExistsError(path) from e
+        raise
+    try:
+        out.write(data)
+    finally:
+        out.close()
+
+
+def upload_new(spark: SparkSession, source: str, target: str) -> None:
+    """Copies a local file to a path that must not be there yet, of any store; FileExistsError if it is."""
+    put_new(spark, target, Path(source).read_bytes())
+
+
+def _move_in(spark: SparkSession, staged: str, path: str) -> None:
+    """Renames a folder that was written in full to its final name, in one step. Whoever finds it unmoved may do it."""
+    fs, to = _hadoop(spark, path)
     if exists(spark, f"{path}/_SUCCESS"):
+        return
+    if fs.exists(to):  # no writer makes this folder but by the rename below; what is there without a mark is of an older form
+        fs.delete(to, True)
+    fs.mkdirs(to.getParent())
+    try:
+        fs.rename(_hadoop(spark, staged)[1], to)
+    except Exception:
+        if not exists(spark, f"{path}/_SUCCESS"):  # someone else has moved it meanwhile, or it is a fault
+            raise
+    if not exists(spark, f"{path}/_SUCCESS"):
+        raise OSError(f"{staged} couldn't be moved to {path}")
+
+
+def write_partition(rows: DataFrame, base: str, parts: Mapping[str, int], *, must_be_new: bool = False) -> bool:
+    """Writes rows to base/key=value/... unless that partition was committed before; True if it was written.
+
+    Rows are staged under a hidden name first. The claim is a small file, made without
+    overwriting, that names the staged folder: of writers that race for a partition one makes it, the others
+    delete what they have staged. The staged folder is then renamed. A claim whose rename a lost driver
+    has not come to is carried out by whoever meets it next, so a claimed partition is never lost
+    or written twice. With `must_be_new`, a partition that another writer has is a FileExistsError.
+    """
+    spark, base = rows.sparkSession, base.rstrip("/")
+    name = "/".join(f"{k}={v}" for k, v in parts.items())
+    path, claim = f"{base}/{name}", f"{base}/.claims/{name.replace('/', ',')}"
+
+    def taken() -> bool:
+        if exists(spark, claim):
+            winner = spark.read.text(claim, wholetext=True).first()[0]
+            if exists(spark, winner):
+                _move_in(spark, winner, path)
+        if exists(spark, f"{path}/_SUCCESS") and must_be_new:
+            raise FileExistsError(path)
+        return exists(spark, f"{path}/_SUCCESS")
+
+    if taken():
         return False
-    rows.write.mode("overwrite").parquet(path)
+    staged = f"{base}/.staged-{uuid.uuid4().hex}"
+    rows.write.parquet(staged)
+    try:
+        put_new(spark, claim, staged.encode())
+    except FileExistsError:
+        fs, mine = _hadoop(spark, staged)
+        fs.delete(mine, True)
+        for _ in range(100):  # the winner, or this writer for it, moves its folder in
+            if taken():
+                return False
+            time.sleep(0.1)
+        raise OSError(f"{claim} names rows that aren't there") from None
+    _move_in(spark, staged, path)
     return True
 
 

@@ -2,12 +2,14 @@
 
 import json
 import zipfile
+from concurrent.futures import ThreadPoolExecutor
 
 import pytest
 from pyspark.sql import functions as F
 
 from faultline.functions import exprs as X
 from faultline.operators.bootstrap import bootstrap_interval, bootstrap_replicates
+from faultline.operators.boosting import Params
 from faultline.operators.models import ensemble, oof_predictions, two_stage
 from faultline.sources import ingest as I
 from faultline.streaming.scorer import State, next_state, score_stream, windowed_counts
@@ -95,7 +97,7 @@ def test_bootstrap(spark):
 
 def test_models(spark):
     df = spark.createDataFrame([(i, int(i % 3 == 0), float(i % 3 == 0) + (i % 5) / 50, i % 2) for i in range(120)], "id long, response int, x double, cv_fold int")
-    pred, importance = oof_predictions(df, ["x"], folds=2, iterations=2, depth=2, leaf=5)
+    pred, importance = oof_predictions(df, ["x"], folds=2, params=Params(rounds=4, rate=0.5, depth=2, leaf=5, bins=16))
     got = pred.collect()
     assert len(got) == 120 and len({r.id for r in got}) == 120 and importance.first().feature == "x"
     assert min(r.oof_pred for r in got if r.response) > max(r.oof_pred for r in got if not r.response)
@@ -267,3 +269,40 @@ def test_wide_tables(spark):
     assert sorted(tuple(r) for r in W.to_readings(df).collect()) == [(1, "L0", "L0_S10", "L0_S10_F1", 4.0), (1, "L0", "L0_S2", "L0_S2_F1", 2.0)]
     assert W.to_readings(df.select("id")).count() == 0 and W.wide_times(df.select("id")).first().start_time is None
     assert W.without_suffix(["a_target_enc", "b"]) == ["a", "b"] and W.with_prefix(["x"]) == ["sensor_mean_x"]
+
+
+def test_put_only_once(spark, tmp_path):
+    path = f"file://{tmp_path}/a/b.txt"
+    I.put_new(spark, path, b"one")
+    with pytest.raises(FileExistsError):
+        I.put_new(spark, path, b"two")
+    assert (tmp_path / "a/b.txt").read_bytes() == b"one"
+    with pytest.raises(FileExistsError):
+        I.upload_new(spark, str(tmp_path / "a/b.txt"), path)
+    I.upload_new(spark, str(tmp_path / "a/b.txt"), path + "2")
+    assert (tmp_path / "a/b.txt2").read_bytes() == b"one"
+
+
+def test_racing_writers(spark, tmp_path):
+    """Of several writers of one partition one wins; its rows are there once, the others' not at all, and nothing staged is left."""
+    base = f"file://{tmp_path}/out"
+    df = lambda k: spark.range(100).select("id", F.lit(k).alias("writer"))
+    with ThreadPoolExecutor(4) as pool:
+        won = list(pool.map(lambda k: I.write_partition(df(k), base, {"cycle": 0, "batch": 1}), range(4)))
+    assert sum(won) == 1
+    got = I.read_partitions(spark, base, order="id").collect()
+    assert sorted(r.id for r in got) == list(range(100)) and {r.writer for r in got} == {won.index(True)}
+    assert not list((tmp_path / "out").glob(".staged-*"))
+    with pytest.raises(FileExistsError):
+        I.write_partition(df(9), base, {"cycle": 0, "batch": 1}, must_be_new=True)
+
+
+def test_claim_of_a_lost_writer_is_carried_out(spark, tmp_path):
+    base = f"file://{tmp_path}/out"
+    spark.range(5).write.parquet(f"{base}/.staged-lost")
+    I.put_new(spark, f"{base}/.claims/cycle=0,batch=3", f"{base}/.staged-lost".encode())
+    assert not I.write_partition(spark.range(7), base, {"cycle": 0, "batch": 3})
+    assert I.read_partitions(spark, base).count() == 5
+    (tmp_path / "out/cycle=0/batch=4").mkdir(parents=True)  # an unmarked folder of an older form
+    (tmp_path / "out/cycle=0/batch=4/part-0.parquet").write_bytes(b"junk")
+    assert I.write_partition(spark.range(2), base, {"cycle": 0, "batch": 4}) and I.read_partitions(spark, base).count() == 7
