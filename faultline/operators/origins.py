@@ -91,3 +91,17 @@ def regime(intervals: DataFrame, high: Sequence[int] = (1, 2), low: Sequence[int
     auc, lift = F.coalesce("auc_over", F.lit(False)), F.coalesce("lift_over", F.lit(False))
     rule = F.when(auc & lift, "B").when(~lift | F.coalesce(F.col("auc_drop") > drop, F.lit(False)), "C").otherwise("mixed")
     return pairs.join(F.broadcast(falls)).select(rule.alias("regime"), "auc_over", "lift_over", "auc_drop", "lift_drop")
+
+
+def out_of_fold_path_rates(rows: DataFrame, fold: str, m: float = 10.0, label: str = "response", signature: str = "path_signature") -> DataFrame:
+    """rows with pred: the score of path_rates by all rows of other folds; counts of a fold are taken from those of all, so rows aren't repeated."""
+    y = F.coalesce(F.sum(label), F.lit(0)).cast("long")
+    by = rows.groupBy(F.col(signature).alias("__s"), F.col(fold).alias("__f")).agg(F.count("*").alias("n"), y.alias("pos"))
+    all_ = by.groupBy(F.col("__s").alias("__t")).agg(F.sum("n").alias("all_n"), F.sum("pos").alias("all_pos"))
+    folds = by.groupBy(F.col("__f").alias("__g")).agg(F.sum("n").alias("fold_n"), F.sum("pos").alias("fold_pos"))
+    whole = folds.agg(F.sum("fold_n").alias("whole_n"), F.sum("fold_pos").alias("whole_pos"))  # one row
+    got = by.join(all_, F.col("__s").eqNullSafe(F.col("__t"))).join(folds, F.col("__f").eqNullSafe(F.col("__g"))).join(F.broadcast(whole))
+    n, overall = F.col("all_n") - F.col("n"), F.coalesce(F.try_divide(F.col("whole_pos") - F.col("fold_pos"), F.col("whole_n") - F.col("fold_n")), F.lit(0.0))
+    rate = F.when(n > 0, smoothed(n, F.try_divide(F.col("all_pos") - F.col("pos"), n), overall, m)).otherwise(overall)
+    known = got.select("__s", "__f", rate.alias("pred"))
+    return rows.join(known, F.col(signature).eqNullSafe(F.col("__s")) & F.col(fold).eqNullSafe(F.col("__f"))).drop("__s", "__f")

@@ -198,22 +198,6 @@ def decision_ceiling(spark: SparkSession, sf_dir: str) -> DataFrame:
     return measured(E.with_metrics(out)).withColumn("total_cost", X.cost(F.col("fp"), F.col("fn")).cast("double"))
 
 
-#: Fixed cases of confidence intervals: (name, low and high of AUC, lift and precision against the base fold, has intervals, AUC drop).
-CASES = [("stable", 0.5, 0.6, 1.0, 2.0, 0.01, 0.05, True, 0.01), ("ranking_lost", 0.5, 0.6, 3.0, 4.0, 0.01, 0.05, True, 0.01), ("no_interval", 0.5, 0.6, 1.0, 2.0, 0.01, 0.05, False, 0.0), ("auc_drop", 0.7, 0.8, 1.0, 2.0, 0.01, 0.05, True, 0.06), ("mixed", 0.7, 0.8, 1.0, 2.0, 0.01, 0.05, True, 0.01)]
-BASE = (0.55, 0.65, 1.5, 2.5, 0.02, 0.06)
-
-
-@Q.query(f"""SELECT name, CASE WHEN has_ci AND auc_over AND lift_over THEN 'B' WHEN NOT has_ci OR NOT lift_over OR auc_drop > 0.05 THEN 'C' ELSE 'mixed' END AS regime, auc_over, lift_over FROM (
-SELECT *, auc_lo <= {BASE[1]} AND auc_hi >= {BASE[0]} AS auc_over, lift_lo <= {BASE[3]} AND lift_hi >= {BASE[2]} AS lift_over FROM (VALUES {", ".join(str(c).replace("True", "true").replace("False", "false") for c in CASES)}) t(name, auc_lo, auc_hi, lift_lo, lift_hi, p_lo, p_hi, has_ci, auc_drop))""")
-def ci_regime_classify(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """B: intervals of AUC and lift overlap with the base; C: lift is lost, without interval, or AUC has dropped; else mixed."""
-    t = spark.createDataFrame(CASES, "name string, auc_lo double, auc_hi double, lift_lo double, lift_hi double, p_lo double, p_hi double, has_ci boolean, auc_drop double")
-    auc = (F.col("auc_lo") <= BASE[1]) & (F.col("auc_hi") >= BASE[0])
-    lift = (F.col("lift_lo") <= BASE[3]) & (F.col("lift_hi") >= BASE[2])
-    regime = F.when(F.col("has_ci") & auc & lift, "B").when(~F.col("has_ci") | ~lift | (F.col("auc_drop") > 0.05), "C").otherwise("mixed")
-    return t.select("name", regime.alias("regime"), auc.alias("auc_over"), lift.alias("lift_over"))
-
-
 @Q.query(with_views(f"""SELECT k, neg, pos, CAST(floor(neg * pi / (1 - pi) + CAST(0.5 AS DOUBLE)) AS BIGINT) AS need, CASE WHEN neg = 0 OR pos = 0 THEN 'one_class' WHEN floor(neg * pi / (1 - pi) + CAST(0.5 AS DOUBLE)) < 1 THEN 'none_left' WHEN floor(neg * pi / (1 - pi) + CAST(0.5 AS DOUBLE)) > pos THEN 'too_few' ELSE 'feasible' END AS status
 FROM (SELECT CAST(id % 5 AS INTEGER) AS k, count(*) FILTER (WHERE response = 0) AS neg, count(*) FILTER (WHERE response = 1) AS pos FROM scored GROUP BY 1), (SELECT CAST(sum(response) AS DOUBLE) / CAST(count(*) AS DOUBLE) AS pi FROM scored WHERE id % 5 = 0)""", "scored"))
 def prevalence_feasibility(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -246,18 +230,6 @@ def rolling_origin_features(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quantized(out, *PATH_COLUMNS)
 
 
-@Q.query(with_views(f"""SELECT {q6('avg(auc)')} AS mean, {q6('stddev_samp(auc)')} AS std, {q6('avg(auc) - 2.776 * stddev_samp(auc) / sqrt(CAST(5 AS DOUBLE))')} AS ci_lo, {q6('avg(auc) + 2.776 * stddev_samp(auc) / sqrt(CAST(5 AS DOUBLE))')} AS ci_hi, {q6('min(auc)')} AS min, {q6('max(auc)')} AS max, {q6('corr(k, auc)')} AS corr, {q6('arg_min(auc, k) - arg_max(auc, k)')} AS degradation
-FROM (SELECT k, sum((n - pos) * (tp - pos / CAST(2 AS DOUBLE))) / (CAST(sum(pos) AS DOUBLE) * CAST(sum(n) - sum(pos) AS DOUBLE)) AS auc FROM (SELECT k, q, n, pos, sum(pos) OVER (PARTITION BY k ORDER BY q DESC) AS tp FROM
-  (SELECT CAST((id // 8) % 5 AS INTEGER) AS k, q, count(*) AS n, sum(response) AS pos FROM scored GROUP BY 1, 2)) GROUP BY k)""", "scored"))
-def rolling_origin_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Mean, spread, interval and trend of the AUC of five folds."""
-    s = V.scored(spark, sf_dir).withColumn("k", F.pmod(F.floor(F.col("id") / 8), F.lit(5)).cast("int"))
-    a, k = F.col("auc"), F.col("k")
-    half = F.lit(2.776) * F.stddev_samp(a) / F.sqrt(F.lit(5.0))
-    got = E.roc_auc(s, "k").agg(F.avg(a).alias("mean"), F.stddev_samp(a).alias("std"), (F.avg(a) - half).alias("ci_lo"), (F.avg(a) + half).alias("ci_hi"), F.min(a).alias("min"), F.max(a).alias("max"), F.corr(k, a).alias("corr"), (F.min_by(a, k) - F.max_by(a, k)).alias("degradation"))
-    return quantized(got, *got.columns)
-
-
 @Q.query(with_views(f"SELECT CAST(time_block % 5 AS INTEGER) AS cv_fold, count(*) AS n, CAST(sum(response) AS BIGINT) AS pos, {q6('avg(response)')} AS rate FROM (SELECT response, (row_number() OVER (ORDER BY start_time, id) - 1) // {BLOCK} AS time_block FROM (SELECT * REPLACE (coalesce(start_time, min(start_time) OVER () - 1) AS start_time) FROM parts)) GROUP BY 1", "parts"))
 def fold_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .features import folded
@@ -265,15 +237,6 @@ def fold_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quantized(folded(spark, sf_dir).groupBy("cv_fold").agg(F.count("*").alias("n"), F.sum("response").alias("pos"), F.avg("response").alias("rate")), "rate")
 
 
-@Q.query(with_views(f"SELECT time_block, count(DISTINCT cv_fold) AS folds, count(DISTINCT cv_fold) > 1 AS leaks FROM (SELECT CAST((row_number() OVER (ORDER BY start_time, id) - 1) // {BLOCK} AS INTEGER) AS time_block, ((row_number() OVER (ORDER BY start_time, id) - 1) // {BLOCK}) % 5 AS cv_fold FROM (SELECT * REPLACE (coalesce(start_time, min(start_time) OVER () - 1) AS start_time) FROM parts)) GROUP BY 1", "parts"))
-def fold_leakage_check(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from faultline.operators.folds import leaks
-
-    from .features import folded
-
-    return leaks(folded(spark, sf_dir), "time_block", "cv_fold")
-
-
 @Q.query(with_views(f"SELECT id, {q6('(pred + pred_b + pred_c) / 3')} AS mean, {q6('sqrt(greatest(0, (pred * pred + pred_b * pred_b + pred_c * pred_c) / 3 - ((pred + pred_b + pred_c) / 3) * ((pred + pred_b + pred_c) / 3)))')} AS std, greatest(pred, pred_b, pred_c) AS max, CAST(pred >= 0.5 AS INTEGER) + CAST(pred_b >= 0.9 AS INTEGER) + CAST(pred_c >= 0.91 AS INTEGER) AS agreement FROM scored3", "scored3"))
 def meta_features(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Mean, population deviation and maximum of three models' scores, and how many reach their thresholds."""

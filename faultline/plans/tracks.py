@@ -129,16 +129,6 @@ def one_to_one_check(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 #: Fixed cases of manifests: (manifest, file, action, sample, rows, rows on record of an earlier sample).
-MANIFESTS = [("full", "a", "generated", False, 10, None), ("full", "b", "generated", False, 5, None), ("mixed", "a", "generated", False, 10, None), ("mixed", "b", "generated", True, 5, None), ("doubt", "a", "skipped", False, 10, 9), ("doubt", "b", "generated", False, 5, None), ("sample", "a", "skipped", False, 10, 10), ("sample", "b", "generated", True, 10, None)]
-
-
-@Q.query("SELECT manifest, CASE WHEN bool_or(s = 'generated_full') AND bool_or(s IN ('generated_sample', 'sampled')) THEN 'mixed' WHEN bool_or(s = 'unverified') THEN 'unknown' WHEN bool_or(s = 'generated_full') THEN 'full_data' WHEN bool_or(s IN ('generated_sample', 'sampled')) THEN 'sample' ELSE 'unknown' END AS overall FROM (SELECT manifest, CASE WHEN action = 'generated' THEN CASE WHEN sample THEN 'generated_sample' ELSE 'generated_full' END WHEN known = rows THEN 'sampled' ELSE 'unverified' END AS s FROM (VALUES "
-    + ", ".join(f"('{m}', '{f}', '{a}', {str(s).lower()}, {n}, {'NULL' if k is None else k})" for m, f, a, s, n, k in MANIFESTS) + ") t(manifest, file, action, sample, rows, known)) GROUP BY manifest")
-def provenance_status(spark: SparkSession, sf_dir: str) -> DataFrame:
-    t = spark.createDataFrame(MANIFESTS, "manifest string, file string, action string, sample boolean, rows long, known long")
-    return I.overall_status(t.withColumn("status", I.file_status(F.col("action"), F.col("sample"), F.col("rows"), F.col("known"))), "status", "manifest")
-
-
 @Q.query(with_views("SELECT id, CASE WHEN run_size > 1 THEN pred_b ELSE pred END AS pred FROM (SELECT id, pred, pred_b, count(*) OVER (PARTITION BY path_signature) AS run_size FROM scored3 JOIN (SELECT id, path_signature FROM parts) USING (id))", "scored3", "parts"))
 def two_stage_routing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The second model's score for parts that share their path with others."""
@@ -224,17 +214,6 @@ def stream_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     return got.agg(F.count("*").alias("n"), F.sum("auto_reject").alias("autos"), F.sum("decision").alias("flagged"))
 
 
-#: Arms of an experiment, with MCC in cross-validation and out of time.
-ARMS = [("base", 0.15337, 0.11679), ("presence", 0.16141, 0.1185), ("value", 0.15977, 0.11954)]
-ARM_SQL = "(VALUES " + ", ".join(f"('{a}', CAST({i} AS DOUBLE), CAST({o} AS DOUBLE))" for a, i, o in ARMS) + ") t(arm, incv, oot)"
-
-
-@Q.query(f"SELECT arm, {q6('oot / incv * 100')} AS retained_pct, {q6('incv - bi')} AS delta_incv, {q6('oot - bo')} AS delta_oot, CASE WHEN abs(incv - bi) > 1e-8 THEN {q6('(oot - bo) / (incv - bi) * 100')} END AS durability_pct FROM {ARM_SQL}, (SELECT incv AS bi, oot AS bo FROM {ARM_SQL} WHERE arm = 'base')")
-def durability(spark: SparkSession, sf_dir: str) -> DataFrame:
-    got = R.durability(spark.createDataFrame(ARMS, "arm string, incv double, oot double"), "base").drop("incv", "oot")
-    return quantized(got, "retained_pct", "delta_incv", "delta_oot", "durability_pct")
-
-
 @Q.query("SELECT feature, CAST(a.r AS INTEGER) AS rank_before, CAST(b.r AS INTEGER) AS rank_after, CAST(b.r - a.r AS INTEGER) AS rank_change FROM (SELECT n_name AS feature, row_number() OVER (ORDER BY n_nationkey % 7 DESC, n_name) AS r FROM nation) a FULL JOIN (SELECT n_name AS feature, row_number() OVER (ORDER BY n_nationkey % 5 DESC, n_name) AS r FROM nation) b USING (feature)")
 def importance_rank_change(spark: SparkSession, sf_dir: str) -> DataFrame:
     n = V.table(spark, sf_dir, "nation")

@@ -102,8 +102,9 @@ def label_replay(events: DataFrame, *, width: int, cycle_rows: int, threshold: i
 
     def run(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         line = Line(tuple(state.get) if state.exists else None, width, cycle_rows, threshold)
-        for f in frames:
-            line.add(f)
+        came = list(frames)  # a line's events of one micro-batch, which maxFilesPerTrigger bounds; they count in the order of all of them
+        if came:
+            line.add(pd.concat(came))
         watermark = state.getCurrentWatermarkMs()
         done = line.settle(watermark)
         state.update(line.state)
