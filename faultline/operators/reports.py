@@ -10,6 +10,8 @@ from pathlib import Path
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from faultline.sources.scratch import materialize
+
 
 def durability(arms: DataFrame, base: str) -> DataFrame:
     """arms (arm, incv, oot) with what each gains over the base in cross-validation and out of time, and the share of the gain that lasts, in percent (null without a gain)."""
@@ -66,3 +68,36 @@ MODEL_CHECKS = (
 def model_problems(meta: Mapping) -> list[str]:
     """Names of the checks that the metadata of a stored model fails."""
     return [name for name, ok in MODEL_CHECKS if name not in meta or not ok(meta[name])]
+
+
+def walk(reports: DataFrame, text: str, *keep: str) -> DataFrame:
+    """keep, path, parent, name and value (as a string) of every leaf of JSON texts of any depth.
+
+    Names are of the key, or null in a list; a path names keys and places from $ on. Each level of
+    all texts is one pass; there are as many as the deepest text has. Texts that aren't JSON, and nulls, have no leaves;
+    nor do empty objects and lists.
+    """
+    spark = reports.sparkSession
+    level = materialize(reports.select(*keep, F.lit("$").alias("path"), F.lit(None).cast("string").alias("parent"), F.lit(None).cast("string").alias("name"), F.try_parse_json(text).alias("v")).where("v IS NOT NULL"))
+    inner, out = F.schema_of_variant("v").rlike("^(OBJECT|ARRAY)<"), None
+    while True:
+        leaves = level.where(~inner).select(*keep, "path", "parent", "name", F.try_variant_get("v", "$", "string").alias("value"))
+        out = leaves if out is None else out.union(leaves)
+        level = level.where(inner)
+        if level.isEmpty():
+            return out
+        at = level.select(*keep, F.col("path").alias("__path"), "v").withColumnRenamed("v", "__v")
+        got = at.lateralJoin(spark.tvf.variant_explode(F.col("__v").outer()))
+        step = F.when(F.col("key").isNotNull(), F.concat(F.lit("."), "key")).otherwise(F.concat(F.lit("["), F.col("pos").cast("string"), F.lit("]")))
+        level = materialize(got.select(*keep, F.concat("__path", step).alias("path"), F.col("__path").alias("parent"), F.col("key").alias("name"), F.col("value").alias("v")).where("v IS NOT NULL"))
+
+
+#: Keys that name what a value in a report is of, the first that there is.
+NAMED = ("column", "column_name", "metric_name", "name")
+
+
+def measures(leaves: DataFrame, *keep: str) -> DataFrame:
+    """keep, path, name, value, threshold and exceeded of every object of walked reports that has a numeric value."""
+    of = lambda n: F.max(F.when(F.col("name") == n, F.col("value")))
+    got = leaves.where("parent IS NOT NULL").groupBy(*keep, F.col("parent").alias("path")).agg(F.coalesce(*map(of, NAMED)).alias("name"), of("value").try_cast("double").alias("value"), of("threshold").try_cast("double").alias("threshold"))
+    return got.where("value IS NOT NULL").withColumn("exceeded", F.col("value") > F.col("threshold"))

@@ -160,3 +160,17 @@ def label_replay_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     got = label_replay(spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(f"{base}/in"), width=WIDTH, cycle_rows=CYCLE)
     got.writeStream.format("parquet").outputMode("append").option("checkpointLocation", f"{base}/checkpoint").option("path", f"{base}/out").trigger(availableNow=True).start().awaitTermination()
     return spark.read.parquet(f"{base}/out")
+
+
+@Q.query("""WITH e AS (SELECT event_type, count(*) AS n, sum(value) AS total, max(value) AS most FROM events GROUP BY 1)
+SELECT event_type, path, name, value, threshold, value > threshold AS exceeded FROM (
+  SELECT event_type, '$' AS path, 'rows' AS name, CAST(n AS DOUBLE) AS value, CAST(NULL AS DOUBLE) AS threshold FROM e
+  UNION ALL SELECT event_type, '$.parts[0]', 'total', """ + q6("total") + """, CAST(1000 AS DOUBLE) FROM e
+  UNION ALL SELECT event_type, '$.parts[1].inner.deep[0]', 'value', """ + q6("most") + """, CAST(0.5 AS DOUBLE) FROM e)""")
+def report_walk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Values and thresholds of nested reports on the events, at whatever depth they are."""
+    e = quantized(V.table(spark, sf_dir, "events").groupBy("event_type").agg(F.count("*").alias("n"), F.sum("value").alias("total"), F.max("value").alias("most")), "total", "most")
+    deep = F.struct(F.struct(F.array(F.struct(F.lit("value").alias("column"), F.col("most").alias("value"), F.lit(0.5).alias("threshold"))).alias("deep")).alias("inner"), F.lit("no number").alias("value"))
+    flat = F.struct(F.lit("total").alias("metric_name"), F.col("total").alias("value"), F.lit(1000).alias("threshold"))
+    texts = e.select("event_type", F.concat(F.lit('{"name": "rows", "empty": {}, "value": '), F.col("n").cast("string"), F.lit(', "parts": ['), F.to_json(flat), F.lit(", "), F.to_json(deep), F.lit("]}")).alias("report"))
+    return R.measures(R.walk(texts, "report", "event_type"), "event_type")

@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
+import contextlib
 import tempfile
 import uuid
+from collections.abc import Iterator
 
 from pyspark.sql import DataFrame, SparkSession
 
 #: Folders of intermediate tables begin so; release() deletes no others.
 PREFIX = "faultline-"
+#: Folders made within each open scratch().
+_OPEN: list[list[str]] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -34,6 +38,8 @@ def materialize(df: DataFrame) -> DataFrame:
     """
     spark = df.sparkSession
     path = shared_dir(spark)
+    for made in _OPEN:
+        made.append(path)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
@@ -43,6 +49,26 @@ def release(*tables: DataFrame | None) -> None:
     for df in tables:
         for folder in {f.rsplit("/", 1)[0] for f in df.inputFiles()} if df is not None else ():
             if folder.rsplit("/", 1)[1].startswith(PREFIX):
-                sc = df.sparkSession.sparkContext
-                path = sc._jvm.org.apache.hadoop.fs.Path(folder)
-                path.getFileSystem(sc._jsc.hadoopConfiguration()).delete(path, True)
+                _delete(df.sparkSession, folder)
+
+
+def _delete(spark: SparkSession, folder: str) -> None:
+    sc = spark.sparkContext
+    path = sc._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(sc._jsc.hadoopConfiguration()).delete(path, True)
+
+
+@contextlib.contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """Deletes at its end all intermediate tables that were written within, also those that operators have made for their results.
+
+    Write what is wanted of a result before the end: `with scratch(spark): operator(rows).write.parquet(path)`.
+    """
+    made: list[str] = []
+    _OPEN.append(made)
+    try:
+        yield
+    finally:
+        _OPEN.remove(made)
+        for folder in made:
+            _delete(spark, folder)

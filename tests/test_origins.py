@@ -103,3 +103,43 @@ def test_control_equals_plain_draws(spark):
             r = got[fold, m]
             assert (r.valid, r.need, r.status) == (40, need, "feasible")
             assert (r.mean, r.low, r.high) == pytest.approx((np.mean(xs), np.percentile(xs, 2.5), np.percentile(xs, 97.5)))
+
+
+def test_many_groups_are_dealt_in_ranges(spark):
+    """Without the driver: whole groups, and as even as the text says."""
+    from faultline.operators.folds import group_folds, leaks
+
+    rows = spark.range(300_000).select((F.col("id") % 120_000).alias("g"), (F.xxhash64("id") % 7 == 0).cast("int").alias("y"))
+    got = group_folds(rows, "g", "y", 5, one_by_one=1000)
+    assert leaks(got, "g", "cv_fold").where("leaks").count() == 0
+    by = got.groupBy("cv_fold").agg(F.sum("y").alias("pos"), F.count("*").alias("n"), F.countDistinct("g").alias("g")).collect()
+    assert len(by) == 5 and sum(r.n for r in by) == 300_000 and {r.g for r in by} == {24_000}
+    assert max(r.pos for r in by) - min(r.pos for r in by) <= 3 and max(r.n for r in by) - min(r.n for r in by) <= 3 * 4
+    few = spark.createDataFrame([(None, 1), (None, 0), ("a", 0), ("b", 1)], "g string, y int")
+    for bound in (0, 100):
+        assert sorted(r.n for r in group_folds(few, "g", "y", 3, one_by_one=bound).groupBy("cv_fold").agg(F.count("*").alias("n")).collect()) == [1, 1, 2]
+
+
+def test_walk_of_reports(spark):
+    from faultline.operators import reports as R
+
+    texts = [(1, '{"a": [1, {"name": "x", "value": "2.5", "threshold": 2, "more": [[{"value": 7}]]}], "b": {"c": null, "d": true}, "e": {}}'), (2, "not json"), (3, None), (4, '"leaf"'), (5, "[]")]
+    df = spark.createDataFrame(texts, "id int, text string")
+    got = sorted((r.id, r.path, r.name, r.value) for r in R.walk(df, "text", "id").collect())
+    assert got == [(1, "$.a[0]", None, "1"), (1, "$.a[1].more[0][0].value", "value", "7"), (1, "$.a[1].name", "name", "x"), (1, "$.a[1].threshold", "threshold", "2"), (1, "$.a[1].value", "value", "2.5"), (1, "$.b.c", "c", None), (1, "$.b.d", "d", "true"), (4, "$", None, "leaf")]
+    told = sorted((r.path, r.name, r.value, r.threshold, r.exceeded) for r in R.measures(R.walk(df, "text", "id"), "id").collect())
+    assert told == [("$.a[1]", "x", 2.5, 2.0, True), ("$.a[1].more[0][0]", None, 7.0, None, None)]
+
+
+def test_scratch_is_deleted(spark):
+    from faultline.operators.ordered import running
+    from faultline.sources.scratch import materialize, scratch
+
+    kept = materialize(spark.range(3))
+    with scratch(spark):
+        df = running(spark.range(10), [F.col("id")])
+        folders = {f.rsplit("/", 1)[0].removeprefix("file:") for f in df.inputFiles()}
+        assert df.count() == 10 and folders
+    import os
+
+    assert not any(os.path.exists(f) for f in folders) and kept.count() == 3
