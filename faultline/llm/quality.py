@@ -3,11 +3,11 @@
 One dictionary is trained on good labelled text and one on bad. A text is cut into blocks, and
 each block is compressed on its own with either: what the dictionaries know weighs more than
 what a long text says of itself. The sums over all blocks of the whole text give the
-normalised difference (bad - good) / (bad + good) of the compressed sizes; a logistic curve
-over it is calibrated on labelled texts that the dictionaries haven't seen, with the classes
-weighted as they are in the labels. Texts that repeat themselves compress alike under both
-dictionaries, so by default the curve also sees how well the text compresses at all; with
-share=False it sees the difference alone.
+difference (bad - good) of the compressed sizes, normalised by the bytes of the text: how much
+better the good dictionary knows it, a byte. A text that repeats itself has next to none. A rising step curve, fitted on
+labelled texts that the dictionaries haven't seen with the classes weighted as they are in the labels, turns the
+difference into a calibrated score. The difference is the curve's only input; a text of few
+bytes tells little, so its score is drawn to the labels' share as if PULL bytes had said so.
 
 The fit takes a bounded sample of the labelled rows: `sample_docs` of each class, half for the
 dictionaries and half for the calibration. Scores cover every row.
@@ -16,7 +16,6 @@ dictionaries and half for the calibration. Scores cover every row.
 from __future__ import annotations
 
 import dataclasses
-import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -29,26 +28,29 @@ from .rows import id_type
 from .workers import claim
 
 #: Bytes that are compressed at once, size of a dictionary, level of compression.
-BLOCK = 512
+BLOCK = 256
 DICTIONARY = 64 * 1024
 LEVEL = 3
 #: Labelled documents of each class that a fit takes at most, and blocks of each that go into a dictionary.
 SAMPLE_DOCS = 3000
-SAMPLE_BLOCKS = 4
+SAMPLE_BLOCKS = 8
+#: Bytes that say as much as the labels' share of good texts.
+PULL = 64
 
 
 @dataclasses.dataclass(frozen=True)
 class Model:
+    """Both dictionaries, the share of label 1, and the curve: differences and their scores, both ascending."""
+
     good: bytes
     bad: bytes
-    weights: tuple[float, ...]
-    center: tuple[float, ...]
-    scale: tuple[float, ...]
-    share: bool = True
+    prior: float
+    at: tuple[float, ...] = ()
+    scores: tuple[float, ...] = ()
 
     @property
     def ready(self) -> bool:
-        return bool(self.good and self.bad)
+        return bool(self.at)
 
 
 class Sizes:
@@ -61,31 +63,26 @@ class Sizes:
             d.precompute_compress(level=LEVEL)
             self.coders.append(zstandard.ZstdCompressor(level=LEVEL, dict_data=d, write_checksum=False, write_content_size=False, write_dict_id=False))
 
-    def features(self, text: str) -> tuple[float, float]:
-        """(normalised difference, log of the compressed share); zeros for an empty text."""
+    def features(self, text: str) -> tuple[float, int]:
+        """(difference for each byte, bytes); zeros for an empty text."""
         raw = text.encode("utf-8", "surrogatepass")
         if not raw:
-            return 0.0, 0.0
+            return 0.0, 0
         good = bad = 0
         a, b = (c.compress for c in self.coders)
         for k in range(0, len(raw), BLOCK):
             part = raw[k : k + BLOCK]
             good += len(a(part))
             bad += len(b(part))
-        return (bad - good) / (bad + good), math.log((bad + good) / 2 / len(raw))
-
+        return (bad - good) / len(raw), len(raw)
 
-def _inputs(d: np.ndarray, c: np.ndarray) -> np.ndarray:
-    """What the curve sees of differences and log shares; without shares (zeros) the difference."""
-    return np.stack([d, c, d * c, c * c], axis=1)
 
-
-def scores(model: Model, features: np.ndarray, empty: np.ndarray) -> np.ndarray:
-    """Calibrated probability of label 1; an empty text has what the average text has."""
-    x = (_inputs(features[:, 0], features[:, 1] * model.share) - model.center) / model.scale
-    x[empty] = 0
-    z = x @ np.array(model.weights[1:]) + model.weights[0]
-    return 1 / (1 + np.exp(-np.clip(z, -30, 30)))
+def scores(model: Model, features: np.ndarray) -> np.ndarray:
+    """Calibrated probability of label 1; an empty text has the labels' share."""
+    if not model.ready:
+        return np.full(len(features), model.prior)
+    size = features[:, 1]
+    return (np.interp(features[:, 0], model.at, model.scores) * size + model.prior * PULL) / (size + PULL)
 
 
 def _dictionary(samples: list[bytes]) -> bytes:
@@ -96,23 +93,20 @@ def _dictionary(samples: list[bytes]) -> bytes:
         return b"".join(samples)[-DICTIONARY:].rjust(8, b" ")
 
 
-def logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray, ridge: float = 1e-3) -> np.ndarray:
-    """Weights (first the constant) by Newton's method."""
-    x = np.concatenate([np.ones((len(x), 1)), x], axis=1)
-    w, penalty = np.zeros(x.shape[1]), np.full(x.shape[1], ridge)
-    penalty[0] = 1e-9
-    for _ in range(50):
-        p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
-        g = x.T @ (weight * (p - y)) + penalty * w
-        h = (x * (weight * np.maximum(p * (1 - p), 1e-6))[:, None]).T @ x + np.diag(penalty)
-        step = np.linalg.solve(h, g)
-        w = w - step * min(1.0, 5.0 / max(1e-12, np.abs(step).max()))
-        if np.abs(step).max() < 1e-7:
-            break
-    return w
+def rising(x: np.ndarray, y: np.ndarray, weight: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The steps (mean x, mean y) of the rising curve of least weighted squares: neighbours in x that fall are pooled. Each step's mean is drawn to one half by one more row."""
+    steps: list[list[float]] = []
+    for k in np.argsort(x, kind="stable").tolist():
+        w = float(weight[k])
+        steps.append([float(x[k]) * w, float(y[k]) * w, w])
+        while len(steps) > 1 and steps[-2][1] * steps[-1][2] >= steps[-1][1] * steps[-2][2]:
+            last = steps.pop()
+            steps[-1] = [a + b for a, b in zip(steps[-1], last, strict=True)]
+    s = np.array(steps)
+    return s[:, 0] / s[:, 2], np.maximum.accumulate((s[:, 1] + 0.5) / (s[:, 2] + 1))
 
 
-def fit(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", sample_docs: int = SAMPLE_DOCS, share: bool = True) -> Model:
+def fit(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", sample_docs: int = SAMPLE_DOCS) -> Model:
     """A model from labels (id_col, label_col of 0 or 1) of docs.
 
     Ids labelled both ways are left out; of the rows of one id the one with the smallest hash of
@@ -123,8 +117,7 @@ def fit(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col:
     own = own.where("label = most").select(F.col(id_col).alias("id"), "label", F.xxhash64(F.col(id_col), F.lit(17)).alias("h"))
     count = {r.label: r.n for r in own.groupBy("label").agg(F.count("*").alias("n")).collect()}
     n0, n1 = count.get(0, 0), count.get(1, 0)
-    prior = math.log((n1 + 1) / (n0 + 1))
-    none = Model(b"", b"", (prior, 0.0, 0.0, 0.0, 0.0), (0.0,) * 4, (1.0,) * 4)
+    none = Model(b"", b"", (n1 + 1) / (n0 + n1 + 2))
     if not (n0 and n1):
         return none
     picked = own.where("label = 0").orderBy("h", "id").limit(sample_docs).union(own.where("label = 1").orderBy("h", "id").limit(sample_docs))
@@ -138,33 +131,30 @@ def fit(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col:
         lambda i: F.struct(F.xxhash64(F.col("id"), i).alias("h"), F.substring(F.col("b"), i * BLOCK + 1, F.lit(BLOCK)).alias("block")))), 1, SAMPLE_BLOCKS)).alias("x"))
     sample = blocks.select("label", "x.block").collect()
     good, bad = (_dictionary([bytes(r.block) for r in sample if r.label == y]) for y in (1, 0))
-    model = Model(good, bad, none.weights, none.center, none.scale)
+    model = Model(good, bad, none.prior)
 
-    schema = pa.schema([("label", pa.int32()), ("d", pa.float64()), ("c", pa.float64())])
+    schema = pa.schema([("label", pa.int32()), ("d", pa.float64())])
 
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         claim("quality")
         sizes = Sizes(model)
         for b in batches:
-            got = [sizes.features(t) for t in b.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([g[0] for g in got], pa.float64()), pa.array([g[1] for g in got], pa.float64())], schema=schema)
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([sizes.features(t)[0] for t in b.column(1).to_pylist()], pa.float64())], schema=schema)
 
-    seen = rows.where(~teach & (F.col("text") != "")).select("label", "text").mapInArrow(measure, "label int, d double, c double").toPandas().sort_values(["label", "d", "c"])
+    seen = rows.where(~teach & (F.col("text") != "")).select("label", "text").mapInArrow(measure, "label int, d double").toPandas().sort_values(["d", "label"])
     y = seen["label"].to_numpy(float)
     if len(set(y)) < 2:
         return none
-    x = _inputs(seen["d"].to_numpy(), seen["c"].to_numpy() * share)
-    center, scale = x.mean(axis=0), np.maximum(x.std(axis=0), 1e-9)
     weight = np.where(y == 1, n1 / y.sum(), n0 / (len(y) - y.sum())) * len(y) / (n0 + n1)
-    w = logistic((x - center) / scale, y, weight)
-    return Model(good, bad, tuple(w.tolist()), tuple(center.tolist()), tuple(scale.tolist()), share)
+    at, values = rising(seen["d"].to_numpy(), y, weight)
+    return dataclasses.replace(model, at=tuple(at.tolist()), scores=tuple(values.tolist()))
 
 
 def score(docs: DataFrame, model: Model, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """id_col, score (0 to 1, higher: label 1 likelier) and predicted (1 if score >= 0.5) of each row.
 
     Every row is scored by its whole text, block after block; a null text counts as empty and
-    has the score of the average text. Other columns are ignored.
+    has the labels' share of label 1. Other columns are ignored; rows of the same id are scored each by its own text. An empty table gives no rows.
     """
     kind, name = id_type(docs, id_col)
     out = pa.schema([("id", kind), ("score", pa.float64())])
@@ -174,8 +164,8 @@ def score(docs: DataFrame, model: Model, *, id_col: str = "doc_id", text_col: st
         sizes = Sizes(model) if model.ready else None
         for b in batches:
             texts = b.column(1).to_pylist()
-            f = np.array([sizes.features(t) if sizes else (0.0, 0.0) for t in texts]).reshape(-1, 2)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(scores(model, f, np.array([not t for t in texts], bool)))], schema=out)
+            f = np.array([sizes.features(t) if sizes else (0.0, 0) for t in texts]).reshape(-1, 2)
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(scores(model, f))], schema=out)
 
     rows = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
     return rows.mapInArrow(run, f"id {name}, score double").select(F.col("id").alias(id_col), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
@@ -186,16 +176,23 @@ def held_out(id_col: Column, folds: int = 3, fold: int = 1) -> Column:
     return F.coalesce(F.crc32(id_col.cast("string").cast("binary")) % folds == fold, F.lit(False))
 
 
-def classify(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", sample_docs: int = SAMPLE_DOCS, share: bool = True) -> DataFrame:
-    """Scores of docs with held_out; the model learns from the labels of the other rows only."""
-    model = fit(docs, labels.where(~held_out(F.col(id_col))), id_col=id_col, text_col=text_col, label_col=label_col, sample_docs=sample_docs, share=share)
+def classify(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", sample_docs: int = SAMPLE_DOCS) -> DataFrame:
+    """id_col, held_out, score and predicted of each row, as `score` gives them; the model learns from the labels of the other rows only.
+
+    Labels that are null, neither 0 nor 1, of both kinds for an id, or without an id are left out.
+    """
+    model = fit(docs, labels.where(~held_out(F.col(id_col))), id_col=id_col, text_col=text_col, label_col=label_col, sample_docs=sample_docs)
     got = score(docs, model, id_col=id_col, text_col=text_col)
     return got.select(id_col, held_out(F.col(id_col)).alias("held_out"), "score", "predicted")
 
 
-def keep_good(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", sample_docs: int = SAMPLE_DOCS, share: bool = True) -> DataFrame:
-    """The rows of docs that aren't predicted bad, with all their columns. Scored and filtered where they are read: no text is shuffled."""
-    model = fit(docs, labels.where(~held_out(F.col(id_col))), id_col=id_col, text_col=text_col, label_col=label_col, sample_docs=sample_docs, share=share)
+def keep_good(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", sample_docs: int = SAMPLE_DOCS) -> DataFrame:
+    """The rows of docs that aren't predicted bad, with all their columns. Scored and filtered where they are read: no text is shuffled.
+
+    Null and empty texts have the labels' share of label 1 as their score, and stay if that is one half or more. Rows of
+    one id stay or go each by its own text; texts of any length are scored whole; columns of any name are kept. An empty table stays empty.
+    """
+    model = fit(docs, labels.where(~held_out(F.col(id_col))), id_col=id_col, text_col=text_col, label_col=label_col, sample_docs=sample_docs)
     at = docs.columns.index(text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -203,7 +200,7 @@ def keep_good(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", tex
         sizes = Sizes(model) if model.ready else None
         for b in batches:
             texts = [t or "" for t in b.column(at).to_pylist()]
-            f = np.array([sizes.features(t) if sizes else (0.0, 0.0) for t in texts]).reshape(-1, 2)
-            yield b.filter(pa.array(scores(model, f, np.array([not t for t in texts], bool)) >= 0.5))
+            f = np.array([sizes.features(t) if sizes else (0.0, 0) for t in texts]).reshape(-1, 2)
+            yield b.filter(pa.array(scores(model, f) >= 0.5))
 
     return docs.mapInArrow(run, docs.schema)

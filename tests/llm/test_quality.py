@@ -63,44 +63,46 @@ def test_keep_good(spark):
     assert len(good & got) > 0.97 * len(good) and len(got - good) < 0.05 * len(good)
 
 
-def test_newton_finds_the_least_loss():
+def test_rising_curve_has_the_least_squares():
     rng = np.random.default_rng(1)
-    x = rng.normal(size=(300, 3))
-    y = (x @ [1.0, -2.0, 0.5] + rng.logistic(size=300) > 0.3).astype(float)
-    weight = rng.uniform(0.5, 2, 300)
-
-    def loss(w):
-        z = x @ w[1:] + w[0]
-        return (weight * (np.logaddexp(0, z) - y * z)).sum() + 0.5 * 1e-3 * (w[1:] ** 2).sum()
-
-    w = quality.logistic(x, y, weight)
-    assert all(loss(w) <= loss(w + d) + 1e-9 for d in 1e-2 * rng.normal(size=(400, 4)))
+    x = np.sort(rng.normal(size=60))
+    y = (x + rng.normal(size=60) > 0).astype(float)
+    weight = rng.uniform(0.5, 2, 60)
+    at, values = quality.rising(x, y, weight)
+    assert (np.diff(at) > 0).all() and (np.diff(values) >= 0).all()
+    # The best rising curve by min-max: of all stretches that end at or after k, the largest mean of those that begin at or before it.
+    mean = lambda i, j: (weight[i : j + 1] * y[i : j + 1]).sum() / weight[i : j + 1].sum()
+    best = np.array([max(min(mean(i, j) for j in range(k, 60)) for i in range(k + 1)) for k in range(60)])
+    starts = np.flatnonzero(np.concatenate([[True], np.abs(np.diff(best)) > 1e-12]))
+    sums = [(weight[a:b].sum(), (weight[a:b] * y[a:b]).sum(), (weight[a:b] * x[a:b]).sum()) for a, b in zip(starts, [*starts[1:], 60])]
+    assert np.allclose(at, [s[2] / s[0] for s in sums]) and np.allclose(values, np.maximum.accumulate([(s[1] + 0.5) / (s[0] + 1) for s in sums]))
 
 
 def test_query_equals_plain_compression(spark):
     """Dictionaries and curve as fitted; sizes, difference and score by the plain definition for every row."""
-    import math
+    import bisect
 
     import zstandard
+    from pyspark.sql import functions as F
 
     docs, labels = corpus(200, seed=6)
     docs += [(900, None, 1), (901, "é日" * 3000, 1), (0, docs[0][1], 9)]
     d, lab = spark.createDataFrame(docs, "doc_id long, text string, score int").repartition(3), spark.createDataFrame(labels, "doc_id long, quality int")
-    from pyspark.sql import functions as F
-
-    for share in (True, False):
-        model = quality.fit(d, lab.where(~quality.held_out(F.col("doc_id"))), share=share)
-
-        def plain(text, model=model, share=share):
-            raw = (text or "").encode()
-            if not raw:
-                return 1 / (1 + math.exp(-model.weights[0]))
-            size = [sum(len(zstandard.ZstdCompressor(level=quality.LEVEL, dict_data=zstandard.ZstdCompressionDict(c), write_checksum=False, write_content_size=False, write_dict_id=False).compress(raw[k : k + quality.BLOCK])) for k in range(0, len(raw), quality.BLOCK)) for c in (model.good, model.bad)]
-            x = (size[1] - size[0]) / (size[1] + size[0])
-            c = math.log(sum(size) / 2 / len(raw)) * share
-            z = model.weights[0] + sum(w * (v - m) / s for w, v, m, s in zip(model.weights[1:], (x, c, x * c, c * c), model.center, model.scale, strict=True))
-            return 1 / (1 + math.exp(-max(-30, min(30, z))))
-
-        got = sorted((r.doc_id, r.score) for r in quality.classify(d, lab, share=share).collect())
-        want = sorted((i, plain(t)) for i, t, _ in docs)
-        assert [g[0] for g in got] == [w[0] for w in want] and np.allclose([g[1] for g in got], [w[1] for w in want], atol=1e-9)
+    model = quality.fit(d, lab.where(~quality.held_out(F.col("doc_id"))))
+
+    def plain(text):
+        raw = (text or "").encode()
+        if not raw:
+            return model.prior
+        size = [sum(len(zstandard.ZstdCompressor(level=quality.LEVEL, dict_data=zstandard.ZstdCompressionDict(c), write_checksum=False, write_content_size=False, write_dict_id=False).compress(raw[k : k + quality.BLOCK])) for k in range(0, len(raw), quality.BLOCK)) for c in (model.good, model.bad)]
+        x, k = (size[1] - size[0]) / len(raw), bisect.bisect([*model.at], (size[1] - size[0]) / len(raw))
+        if k in (0, len(model.at)):
+            p = model.scores[max(0, k - 1)]
+        else:
+            (a, b), (u, v) = model.at[k - 1 : k + 1], model.scores[k - 1 : k + 1]
+            p = u + (v - u) * (x - a) / (b - a)
+        return (p * len(raw) + model.prior * quality.PULL) / (len(raw) + quality.PULL)
+
+    got = sorted((r.doc_id, r.score) for r in quality.classify(d, lab).collect())
+    want = sorted((i, plain(t)) for i, t, _ in docs)
+    assert [g[0] for g in got] == [w[0] for w in want] and np.allclose([g[1] for g in got], [w[1] for w in want], atol=1e-9)
