@@ -71,3 +71,31 @@ def test_stages(spark, tables):
     want = {i: len(t.encode(x or "", add_special_tokens=False).ids) for i, x in kept.items()}
     assert {r.doc_id: r.n_tokens for r in stages["encode"](spark, now, folder).collect()} == want
     assert {r.doc_id: r.n_tokens for r in corpus_pipeline.run(spark, folder).collect()} == want
+
+
+def test_odd_tables(spark, tables, tmp_path):
+    """Empty tables, repeated and null ids, columns with the names that operators use themselves, and one very long text."""
+    folder, items = tables
+    base = f"file://{tmp_path}"
+    rng = random.Random(2)
+    vocab = [f"word{k}" for k in range(300)]
+    good = spark.read.parquet(f"{folder}/documents.parquet").where("doc_id < 60").collect()
+    long = " ".join(rng.choice(vocab) for _ in range(400_000))
+    rows = [(r.doc_id % 40, r.text, 1, "d", 2, b"b", 3.0, "x") for r in good] + [(None, good[0].text, 1, "d", 2, b"b", 3.0, "x"), (None, None, None, None, None, None, None, None), (77, long, 1, "d", 2, b"b", 3.0, "x"), (77, long + " end", 1, "d", 2, b"b", 3.0, "x")]
+    schema = "doc_id long, text string, node int, digest string, root int, id binary, score double, block string"
+    for name, table in (("documents", spark.createDataFrame(rows, schema)), ("labels", spark.read.parquet(f"{folder}/labels.parquet")), ("benchmark", spark.read.parquet(f"{folder}/benchmark.parquet"))):
+        table.write.parquet(f"{base}/full/{name}.parquet")
+        table.where("false").write.parquet(f"{base}/none/{name}.parquet")
+    docs = spark.read.parquet(f"{base}/full/documents.parquet")
+    names, now = docs.columns, docs
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        before, now = now.count(), stage(spark, now, f"{base}/full").cache()
+        assert now.columns == names and 0 < now.count() <= before, name
+    told = {(r.doc_id, r.text) for r in now.collect()}
+    assert told <= {(r[0], r[1]) for r in rows} and sum(len(t or "") > 10**6 for _, t in told) == 1
+    assert corpus_pipeline.STAGES[-1][1](spark, now, f"{base}/full").count() == len(told) == now.count()
+    assert corpus_pipeline.run(spark, f"{base}/none").collect() == []
+    # Without labels nothing is rejected, without a benchmark nothing is contaminated.
+    free = spark.createDataFrame([(k, f"text number {k} of some words") for k in range(5)], "doc_id long, text string")
+    stages = dict(corpus_pipeline.STAGES)
+    assert stages["quality"](spark, free, f"{base}/none").count() == 5 and stages["decontaminate"](spark, free, f"{base}/none").count() == 5
