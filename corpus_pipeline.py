@@ -1,6 +1,10 @@
 """A training corpus from raw documents: five stages, each over all that the one before it kept.
 
-Every stage takes (spark, docs, sf_dir). All but the last return the columns of documents.
+Every stage takes (spark, docs, sf_dir). All but the last return the columns of documents, whatever
+these are: columns that share a name with one that an operator makes are kept as they are. Rows are
+told apart by id and text, so repeated and null ids are allowed, and rows of one id stay or go each
+by its own text. Null texts count as empty. Texts of any length go whole. Empty tables give empty
+tables; without labels nothing is rejected, without a benchmark nothing is contaminated.
 """
 
 from __future__ import annotations
@@ -17,27 +21,27 @@ from faultline.sources.scratch import materialize
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the compression classifier rejects go."""
+    """Documents that the compression classifier rejects (score below one half) go. Null and empty texts have the score of the labels' share."""
     return keep_good(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
 
 def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of documents that are the same but for white space one stays."""
+    """Of documents that are the same but for white space one stays: the longest, then the smallest id (null first), then any one. Null, empty and white texts are one group."""
     return drop_exact_duplicates(docs)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near duplicates one stays."""
+    """Of each group of near duplicates the smallest id stays (null last), of equal ids the smallest digest of the text. Texts without words, null or not, are nobody's duplicates and stay."""
     return drop_near_duplicates(docs)
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents with a passage of the benchmark go."""
+    """Documents with a passage of the benchmark go. Null and empty texts have no words and stay; items without words match nothing."""
     return drop_contaminated(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Number and digest of the token ids of each document, and of the text that they decode to."""
+    """A row for each document: number and digest of its token ids, and digest of the text that they decode to. A null or empty text has no tokens."""
     return round_trip(docs, public_tokenizers.path("byte_bpe_50k.json"))
 
 
