@@ -29,7 +29,9 @@ def score_counts(scored: DataFrame, label: str = "response", *by: str, score: st
 
 def cumulated(counts: DataFrame, *by: str, score: str = "q", grid: bool = True) -> DataFrame:
     """counts with tp and m: positives and rows at the score or above."""
-    if grid:  # the grid bounds the number of rows
+    if grid:  # the grid bounds the number of rows, so it is an error to leave it
+        on = F.col(score).isNull() | (F.col(score).between(0, SCALE) & (F.col(score) == F.floor(score)))
+        counts = counts.withColumn(score, F.when(on, F.col(score)).otherwise(F.raise_error(F.concat(F.lit(f"{score} isn't a whole number from 0 to {SCALE}: "), F.col(score).cast("string"))).cast(counts.schema[score].dataType)))
         w = Window.partitionBy(*by).orderBy(F.desc(score))
         return counts.withColumns({"tp": F.sum("pos").over(w), "m": F.sum("n").over(w)})
     return running(counts, [F.desc(score)], {"tp": F.col("pos"), "m": F.col("n")}, None, by)

@@ -155,12 +155,15 @@ def rolling_rate(train: DataFrame, probes: DataFrame, overall: float, *, rows: i
 def since_failures(parts: DataFrame, ks: Sequence[int] = (1, 5, 10), *, t: str = "end_time", key: str = "id", label: str = "response", failure_t: str = "end_time") -> DataFrame:
     """parts with since_k: their time less the mean time of the last k failures strictly before it; null with fewer.
 
-    Failures are few against the rows: they are numbered and summed up in time order, each gets
-    the mean of the k that end with it, and each part looks up the last one before it.
+    Failures are few against the rows: they are numbered and summed up in time order (times to
+    nine decimal places), each gets the mean of the k that end with it, and each part looks up
+    the last one before it.
     """
     failed = parts.where((F.col(label) == 1) & F.col(failure_t).isNotNull()).select(F.col(failure_t).alias("__t"), F.col(key).alias("__key"))
-    summed = lagged(running(failed, [F.col("__t"), F.col("__key")], {"__sum": F.col("__t")}, "__i"), "__i", {f"__s{k}": (F.col("__sum"), k) for k in ks})
-    means = [F.when(F.col("__i") >= k - 1, (F.col("__sum") - F.coalesce(f"__s{k}", F.lit(0.0))) / k).alias(f"__m{k}") for k in ks]
+    # Decimals: the difference of two long sums of doubles would have lost what the times differ by.
+    exact = F.col("__t").cast("decimal(38,9)")
+    summed = lagged(running(failed, [F.col("__t"), F.col("__key")], {"__sum": exact}, "__i"), "__i", {f"__s{k}": (F.col("__sum"), k) for k in ks})
+    means = [F.when(F.col("__i") >= k - 1, (F.col("__sum") - F.coalesce(F.col(f"__s{k}"), F.lit(0).cast("decimal(38,9)"))).cast("double") / k).alias(f"__m{k}") for k in ks]
     names = [f"__m{k}" for k in ks]
     got = asof_backward(parts, summed.select(F.col("__t").alias(t), "__i", *means), t, names, F.col("__i"), strict=True)
     return got.withColumns({f"since_{k}": F.col(t) - F.col(f"__m{k}") for k in ks}).drop(*names)

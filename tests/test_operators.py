@@ -369,3 +369,18 @@ def test_drift_of_categories(spark):
     none = {r.column_name: (r.distance, r.drifted) for r in drift_report(ref, cur.where("n > 99")).collect()}
     assert none == {"c": (None, False), "n": (None, False), "flag": (None, False)}
     assert drift_report(ref.withColumnRenamed("n", "Row_ID").select("Row_ID"), cur.withColumnRenamed("n", "Row_ID").select("Row_ID")).count() == 0
+
+
+def test_means_of_many_failures_keep_their_fractions(spark):
+    """Sums that are far larger than what the times differ by."""
+    n, base = 400, 4.0e9
+    df = spark.createDataFrame([(k, 1, base + k / 1024) for k in range(n)], "id long, response int, end_time double")
+    got = {r.id: r.since_5 for r in ops.since_failures(df, (5,)).collect()}
+    assert all(got[k] == pytest.approx(3 / 1024, abs=1e-6) for k in range(5, n)) and got[4] is None
+
+
+def test_scores_off_the_grid_are_refused(spark):
+    for q in ("10001", "-1"):
+        with pytest.raises(Exception, match="whole number"):
+            E.roc_auc(spark.sql(f"SELECT 1 AS id, 1 AS response, {q} AS q UNION ALL SELECT 2, 0, 5")).collect()
+    assert E.roc_auc(spark.sql("SELECT 1 AS id, 1 AS response, 10000 AS q UNION ALL SELECT 2, 0, 0")).first().auc == 1.0
