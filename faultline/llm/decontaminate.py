@@ -26,12 +26,12 @@ from pyspark.sql.pandas.types import to_arrow_type
 from faultline.sources.scratch import materialize, release
 
 from .rows import digest, without
-from .workers import claim
+from .workers import claim, tidy
 
 #: Consecutive item words that make a window.
 WINDOW = 10
 #: Words of a shard, about; a longer document makes a shard of its own.
-SHARD_WORDS = 300_000
+SHARD_WORDS = 200_000
 #: Words of queries that are broadcast at once (about 50 MB in a worker).
 QUERY_WORDS = 500_000
 #: Positions between two documents of a shard, so that phrases and proximity stay within one.
@@ -98,7 +98,7 @@ def build_index(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
             yield shard(name, ids, digests, counts, tokens)
 
     texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"), digest(F.col(text_col)).alias("digest"))
-    return texts.mapInArrow(run, f"shard long, doc_ids array<{kind.simpleString()}>, digests array<long>, {', '.join(c + ' binary' for c in COLUMNS)}")
+    return texts.mapInArrow(tidy(run), f"shard long, doc_ids array<{kind.simpleString()}>, digests array<long>, {', '.join(c + ' binary' for c in COLUMNS)}")
 
 
 def _rows(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
@@ -222,7 +222,7 @@ def find_windows(index: DataFrame, items: DataFrame, *, width: int = WINDOW, ite
                         pa.array([sorted(found.get(d, ()), key=str) for d in docs], out.types[4]), pa.array([np.unique(np.concatenate([h.ravel() for h in hits[d]])) if d in hits else [] for d in docs], pa.list_(pa.int32())),
                     ], schema=out)
 
-        part = index.mapInArrow(run, f"row string, id {kinds[0].simpleString()}, digest long, n_words long, items array<{kinds[1].simpleString()}>, hits array<int>")
+        part = index.mapInArrow(tidy(run), f"row string, id {kinds[0].simpleString()}, digest long, n_words long, items array<{kinds[1].simpleString()}>, hits array<int>")
         result = part if result is None else result.unionByName(part)
     if number:  # several blocks: put together what each has found in a document
         result = result.groupBy("row").agg(F.first("id").alias("id"), F.first("digest").alias("digest"), F.first("n_words").alias("n_words"), F.array_distinct(F.flatten(F.collect_list("items"))).alias("items"), F.array_distinct(F.flatten(F.collect_list("hits"))).alias("hits"))

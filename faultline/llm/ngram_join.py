@@ -44,7 +44,7 @@ from faultline.sources.scratch import materialize, release
 
 from .components import components
 from .rows import digest, without
-from .workers import claim
+from .workers import claim, tidy
 
 #: Words of a shingle and least similarity, as a fraction.
 WORDS = 5
@@ -225,7 +225,7 @@ def _profile(texts: DataFrame, salt: int, width: int, heavy: int, blocks: int) -
                 times = np.rint(-MARKS * np.log1p(-n[often] / (MARKS + 1))).astype(np.int64)
                 yield pa.RecordBatch.from_arrays([pa.array([prints[start[often]].astype(np.int64) + (number << 24)], back.types[0]), pa.array([np.maximum(times, heavy)], back.types[1]), *[pa.nulls(1, t) for _, t in lists]], schema=back)
 
-    return texts.select("id", "text", "digest").mapInArrow(cut, f"block int, prints binary, {types}").groupBy("block").applyInArrow(count, f"heavy array<long>, times array<long>, {types}")
+    return texts.select("id", "text", "digest").mapInArrow(tidy(cut), f"block int, prints binary, {types}").groupBy("block").applyInArrow(count, f"heavy array<long>, times array<long>, {types}")
 
 
 def _places(key: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
@@ -326,7 +326,7 @@ def _index(texts: DataFrame, heavy: tuple[np.ndarray, int, int], blocks: int, sa
         if h:
             yield entries()
 
-    return texts.select("text").mapInArrow(run, "block int, hashes binary, nodes binary, sizes binary, node long, n int, rare int, shingles binary")
+    return texts.select("text").mapInArrow(tidy(run), "block int, hashes binary, nodes binary, sizes binary, node long, n int, rare int, shingles binary")
 
 
 PRODUCT = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("m", pa.int32()), ("n", pa.int32()), ("shared", pa.int32()), ("shingles", pa.binary())])
@@ -403,7 +403,7 @@ def _sets(texts: DataFrame, rows: DataFrame, nodes: DataFrame, salt: int, width:
             yield pa.RecordBatch.from_arrays([pa.array([g[0] for g in got], pa.int64()), pa.array([g[1] for g in got], pa.binary())], schema=out)
 
     # Texts of one set, and tasks that have seen the same text, give it more than once.
-    made = materialize(texts.select("text", "digest").mapInArrow(run, "node long, shingles binary").groupBy("node").agg(F.first("shingles").alias("shingles")))
+    made = materialize(texts.select("text", "digest").mapInArrow(tidy(run), "node long, shingles binary").groupBy("node").agg(F.first("shingles").alias("shingles")))
     release(own)
     return made
 
@@ -422,7 +422,7 @@ def _verify(pairs: DataFrame, sets: DataFrame, bound: tuple[int, int] = SIMILAR)
                 ok.append(similar(len(np.intersect1d(s, t, assume_unique=True)), len(s), len(t), *bound))
             yield b.select([0, 1]).filter(pa.array(ok, pa.bool_())).cast(out)
 
-    return pairs.select("a", "b").join(left, "a").join(right, "b").select("a", "b", "x", "y").mapInArrow(run, "a long, b long")
+    return pairs.select("a", "b").join(left, "a").join(right, "b").select("a", "b", "x", "y").mapInArrow(tidy(run), "a long, b long")
 
 
 def _by_column(chosen: list[tuple[int, bytes]]) -> tuple[np.ndarray, ...]:
@@ -473,7 +473,7 @@ def _to_pivots(hot: DataFrame, chosen: list[tuple[int, bytes]], bound: tuple[int
                     pivot += names[near[first]].tolist()
             yield pa.RecordBatch.from_arrays([pa.array(node, pa.int64()), pa.array(pivot, pa.int64())], schema=out)
 
-    return hot.select("node", "shingles").mapInArrow(run, "node long, pivot long")
+    return hot.select("node", "shingles").mapInArrow(tidy(run), "node long, pivot long")
 
 
 def _near_pivots(nodes: DataFrame, chosen: list[tuple[int, bytes]], roots: list[int], bound: tuple[int, int] = SIMILAR) -> DataFrame:
@@ -508,7 +508,7 @@ def _counts_to(hot: DataFrame, chosen: list[tuple[int, bytes]], weights: list[in
                 links.append(int(weight[(SIMILAR[1] * shared >= SIMILAR[0] * both) & (block[0] != node)].sum()))
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(links, pa.int64())], schema=out)
 
-    return hot.select("node", "shingles").mapInArrow(run, "node long, links long").where("links > 0")
+    return hot.select("node", "shingles").mapInArrow(tidy(run), "node long, links long").where("links > 0")
 
 
 def _some(rows: list, most: int = SENT) -> list:

@@ -9,8 +9,9 @@ from __future__ import annotations
 
 import contextlib
 import ctypes
+import functools
 import gc
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 
@@ -27,6 +28,26 @@ def claim(owner: str, forget: Callable[[], None] | None = None) -> None:
     _HELD[owner] = forget
     if others:
         gc.collect()
+    _give_back()
+
+
+def _give_back() -> None:
+    """Hands free memory back to the system."""
     pa.default_memory_pool().release_unused()
     with contextlib.suppress(OSError, AttributeError):  # other systems than Linux with glibc keep what is free
         ctypes.CDLL("libc.so.6").malloc_trim(0)
+
+
+def tidy(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """run, and at the end of its task all memory that is registered here is dropped and given back: a worker that has nothing more to do keeps nothing."""
+
+    @functools.wraps(run)
+    def tidied(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from run(batches)
+        for drop in _HELD.values():
+            if drop:
+                drop()
+        gc.collect()
+        _give_back()
+
+    return tidied
