@@ -27,8 +27,8 @@ def group_folds(rows: DataFrame, group: str, label: str, folds: int = 5, *, one_
     Up to `one_by_one` groups are dealt on the driver, largest number of positives first (then
     of rows, then by group), to the fold that is then the most even. More are put in that order
     by ranges and dealt forth and back (0 to 4, 4 to 0), without leaving the executors: two folds'
-    positives then differ by no more than the largest group has, and the rows of groups of one
-    number of positives by no more than the largest of these. Rows without a group are a group.
+    positives then differ by no more than the largest group has, and their rows of groups of one
+    number of positives by no more than twice the largest of these. Rows without a group are a group.
     """
     counts = materialize(rows.groupBy(group).agg(F.coalesce(F.sum(label), F.lit(0)).cast("long").alias("pos"), F.count("*").alias("n")))
     found = counts.count()

@@ -259,7 +259,7 @@ def write_partition(rows: DataFrame, base: str, parts: Mapping[str, int], *, mus
             if taken():
                 return False
             time.sleep(0.1)
-        raise OSError(f"{claim} names rows that aren't there") from None
+        raise OSError(f"{claim} names rows that aren't there; delete it to write {path} again") from None
     _move_in(spark, staged, path)
     return True
 
