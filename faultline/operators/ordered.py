@@ -110,7 +110,8 @@ def time_counts(df: DataFrame, t: str, key: str, widths: Mapping[str, float], po
     distinct times, so only places are found by sorting rows; `position` names them in the result.
     """
     placed = running(df, [F.col(t).asc_nulls_last(), F.col(key)], position="__pos")
-    times = materialize(_counted_times(placed, t))
+    # The last place at a time says how many rows are at or before it.
+    times = materialize(placed.where(F.col(t).isNotNull()).groupBy(F.col(t).cast("double").alias("__t")).agg((F.max("__pos") + 1).alias("__upto")))
     before = materialize(_upto(times, {f"__b_{k}": F.col("__t") - F.lit(float(w)) for k, w in widths.items()}, True))
     got = placed.join(before, F.col(t).cast("double") == F.col("__t"), "left")
     got = got.withColumns({k: F.col("__pos") + 1 - F.col(f"__b_{k}") for k in widths}).drop("__t", *[f"__b_{k}" for k in widths])
