@@ -20,6 +20,7 @@ import re
 from collections.abc import Iterable, Iterator
 
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from tokenizers.pre_tokenizers import ByteLevel
 from pyspark.sql import DataFrame
@@ -36,6 +37,8 @@ MEMO = 70 << 20
 ENTRY = 330
 #: Answers of may_follow() that a worker remembers at most.
 FITS = 500_000
+#: Characters of texts that are cut into pieces at once.
+CHARS = 500_000
 #: Code points below it are of the same class in all releases of Unicode that the libraries use.
 SETTLED = "\u0530"
 #: ASCII characters that are neither letters nor digits nor white space.
@@ -306,9 +309,9 @@ def round_trip(docs: DataFrame, path: str, *, id_col: str = "doc_id", text_col:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = coder(path)
         for b in batches:
-            texts, n, ids, text = b.column(1).to_pylist(), [], [], []
-            for i, j in groups([len(x) for x in texts]):
-                for count, joined, decoded in own.batch(texts[i:j]):
+            n, ids, text = [], [], []
+            for i, j in groups(pc.utf8_length(b.column(1)).to_pylist(), CHARS):
+                for count, joined, decoded in own.batch(b.column(1).slice(i, j - i).to_pylist()):
                     n.append(count)
                     ids.append(digest(joined.encode()))
                     text.append(digest(decoded.encode()))
