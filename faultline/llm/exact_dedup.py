@@ -85,7 +85,8 @@ def block_names(docs: DataFrame, *, text_col: str = "text", id_col: str = "doc_i
         at = at.withColumn("block", F.element_at("odd", F.col("pos") + 1)).join(ranks, ["h", "block"], "left").withColumn("k", F.coalesce("k", F.lit(0)))
     else:
         at = at.withColumn("k", F.lit(0))
-    level = at.join(names, ["h", "k"]).select("row", "n", "pos", "name")
+    # Written, as is each level below: two later steps read it, and the union of all levels stays a plan of plain scans.
+    level = materialize(at.join(names, ["h", "k"]).select("row", "n", "pos", "name"))
 
     most = profile.agg(F.max(F.size("hashes"))).first()[0] or 1
     done, number = level.where("n = 1").select("row", F.lit(0).alias("level"), "name"), 0
@@ -95,7 +96,8 @@ def block_names(docs: DataFrame, *, text_col: str = "text", id_col: str = "doc_i
             level.where("n > 1").groupBy("row", "n", F.shiftright("pos", 1).alias("pos"))
             .agg(F.max(F.when(F.col("pos") % 2 == 0, F.col("name"))).alias("a"), F.coalesce(F.max(F.when(F.col("pos") % 2 == 1, F.col("name"))), F.lit(-1)).alias("b"))
         )
-        level = pairs.join(_named(pairs, "a", "b"), ["a", "b"]).select("row", F.shiftright(F.col("n") + 1, 1).alias("n"), "pos", "name")
+        level = materialize(pairs.join(_named(pairs, "a", "b"), ["a", "b"]).select("row", F.shiftright(F.col("n") + 1, 1).alias("n"), "pos", "name"))
+        release(pairs)
         done = done.union(level.where("n = 1").select("row", F.lit(number), "name"))
         most = (most + 1) // 2
     return profile, done
