@@ -138,4 +138,4 @@ def test_sampling_is_bounded_for_repeated_rows(spark):
     labelled = spark.createDataFrame([(1, "good words here " * 20, 1)] * 2000 + [(2, "xq!! zz " * 30, 1), (3, "more good words", 1), (4, "zq !! x", 1)], "doc_id long, text string, n int")
     labels = spark.createDataFrame([(1, 1), (2, 0), (3, 1), (4, 0)], "doc_id long, quality int")
     assert quality.score(labelled, quality.fit(labelled, labels)).count() == 2003
-    assert np.isfinite([r.score for r in quality.score(labelled, quality.fit(labelled, labels, share=False)).collect()]).all()
+    assert np.isfinite([r.score for r in quality.score(labelled, quality.fit(labelled, labels)).collect()]).all()
