@@ -32,7 +32,7 @@ from .workers import claim
 #: How byte-level BPE files cut a text into words (public pattern).
 WORDS = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 #: Bytes of pieces and what they give in a generation of what a worker remembers, about; it keeps two. Bounds its memory, not the results.
-MEMO = 70 << 20
+MEMO = 40 << 20
 #: Bytes that an entry takes besides its strings, about.
 ENTRY = 330
 #: Answers of may_follow() that a worker remembers at most.
