@@ -6,7 +6,7 @@ import dataclasses
 import json
 from pathlib import Path
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from faultline.operators.evaluate import confusion, hybrid, with_metrics
@@ -61,10 +61,23 @@ def replay_window(placed: DataFrame, pointer: int, batch: int, *, threshold: int
     start = pointer if 0 <= pointer < n else 0
     end = min(n, start + batch)
     got = hybrid(placed.where(F.col(position).between(start, end - 1)), threshold, percent)
-    row = with_metrics(confusion(got, F.col("decision"))).select(
-        F.lit(start).cast("long").alias("start"), F.lit(end).cast("long").alias("end"), F.lit(end - start).cast("long").alias("rows"), F.lit(end >= n).alias("reset"),
+    return _logged(confusion(got, F.col("decision")), F.lit(start), F.lit(end), n), 0 if end >= n else end
+
+
+def _logged(counts: DataFrame, start: Column, end: Column, n: int) -> DataFrame:
+    return with_metrics(counts).select(
+        start.cast("long").alias("start"), end.cast("long").alias("end"), (end - start).cast("long").alias("rows"), (end >= n).alias("reset"),
         "recall", "precision", F.col("positives_pct").alias("flagged_pct"), "tp", "fp", "fn", "tn")
-    return row, 0 if end >= n else end
+
+
+def replay_windows(placed: DataFrame, pointer: int, batch: int, *, threshold: int, percent: float, position: str = "pos", n: int | None = None) -> DataFrame:
+    """The rows that replay_window gives for one window after the other, from the pointer to the end of the table: all windows in one pass."""
+    n = placed.count() if n is None else n
+    first = pointer if 0 <= pointer < n else 0
+    start = F.col("__window") * batch + first
+    rows = placed.where(F.col(position) >= first).withColumn("__window", F.floor((F.col(position) - first) / batch))
+    got = hybrid(rows, threshold, percent, "__window")
+    return _logged(confusion(got, F.col("decision"), "__window"), start, F.least(start + batch, F.lit(n)), n)
 
 
 def score_stream(spark: SparkSession, source: str, target: str, checkpoint: str, *, schema: str = "id long, q int, pred double", threshold: int = 9200, percent: float = 10.0, cycle: int = 0, files_per_batch: int = 1) -> None:

@@ -306,3 +306,21 @@ def test_claim_of_a_lost_writer_is_carried_out(spark, tmp_path):
     (tmp_path / "out/cycle=0/batch=4").mkdir(parents=True)  # an unmarked folder of an older form
     (tmp_path / "out/cycle=0/batch=4/part-0.parquet").write_bytes(b"junk")
     assert I.write_partition(spark.range(2), base, {"cycle": 0, "batch": 4}) and I.read_partitions(spark, base).count() == 7
+
+
+def test_replay_windows_are_those_of_a_pointer_in_few_jobs(spark):
+    from faultline.streaming.scorer import replay_window, replay_windows
+
+    rows = [(k, k, None if k % 11 == 5 else 97 * k % 10_000, k * 31 % 5 // 4) for k in range(205)]
+    placed = spark.createDataFrame(rows, "id long, pos long, q int, response int").cache()
+    want, pointer = [], 30
+    while pointer:
+        row, pointer = replay_window(placed, pointer, 25, threshold=9000, percent=12.0)
+        want += row.collect()
+    tracker, sc = spark.sparkContext.statusTracker(), spark.sparkContext
+    sc.setJobGroup("replay_windows", "")
+    got = replay_windows(placed, 30, 25, threshold=9000, percent=12.0).orderBy("start").collect()
+    jobs = len(tracker.getJobIdsForGroup("replay_windows"))
+    sc.setLocalProperty("spark.jobGroup.id", None)
+    assert [tuple(r) for r in got] == [tuple(r) for r in want] and got[-1].reset and jobs < len(want)
+    assert replay_windows(placed.where("false"), 0, 25, threshold=9000, percent=12.0).count() == 0
