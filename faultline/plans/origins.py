@@ -138,6 +138,8 @@ def racing_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 WIDTH, CYCLE, SLICES = 500, 2200, 4
+#: Scores of a slice: more of them make more slices, so that a micro-batch doesn't grow with the table.
+SLICE_ROWS = 450_000
 
 
 @Q.query(with_views(f"""SELECT line, cycle_id * {-(-CYCLE // WIDTH)} + w AS run_seq, cycle_id, w AS "window", count(*) AS rows, count(*) FILTER (WHERE known) AS labelled, count(*) FILTER (WHERE known AND d AND y) AS tp, count(*) FILTER (WHERE known AND d AND NOT y) AS fp, count(*) FILTER (WHERE known AND NOT d AND y) AS fn, count(*) FILTER (WHERE known AND NOT d AND NOT y) AS tn
@@ -146,17 +148,20 @@ GROUP BY line, cycle_id, w HAVING count(*) = least({WIDTH}, {CYCLE} - w * {WIDTH
 def label_replay_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A stream of scores and of labels that come later, some of them too late: metrics of each window of three lines, held in the state store."""
     base, s = shared_dir(spark), V.scored(spark, sf_dir)
-    last = s.agg(F.max("id")).first()[0] or 0
-    s = s.withColumns({"line": F.concat(F.lit("L"), (F.col("id") % 3).cast("string")), "slice": F.floor(F.col("id") * SLICES / F.lit(last + 1)).cast("int")})
+    last, n = s.agg(F.max("id"), F.count("*")).first()
+    slices, last = max(SLICES, -(-n // SLICE_ROWS)), last or 0
+    s = s.withColumns({"line": F.concat(F.lit("L"), (F.col("id") % 3).cast("string")), "slice": F.floor(F.col("id") * slices / F.lit(last + 1)).cast("int")})
     hour = lambda c: F.timestamp_seconds((c + 24) * 3600)  # noqa: E731  the watermark begins at 0, and what isn't after it is late
     scores = s.select("line", F.col("id").alias("seq"), F.lit("score").alias("kind"), "id", "q", F.lit(None).cast("int").alias("response"), hour(F.col("slice")).alias("ts"), F.col("slice").alias("file"))
-    at = F.when(F.col("id") % 10 == 0, SLICES + 3).otherwise(F.col("slice") + 1)  # the former come when all scores are given up
-    labels = s.select("line", F.col("id").alias("seq"), F.lit("label").alias("kind"), "id", F.lit(None).cast("int").alias("q"), "response", hour(F.when(F.col("id") % 10 == 0, 30).otherwise(at)).alias("ts"), at.alias("file"))
-    ticks = spark.range(2).select(F.lit("L0").alias("line"), F.col("id").alias("seq"), F.lit("tick").alias("kind"), "id", F.lit(None).cast("int").alias("q"), F.lit(None).cast("int").alias("response"), hour(F.col("id") + 20).alias("ts"), (F.col("id") + SLICES + 1).cast("int").alias("file"))
-    events = materialize(scores.unionByName(labels).unionByName(ticks))
-    schema = events.drop("file").schema
-    for k in range(SLICES + 4):  # files come one after the other
-        events.where(F.col("file") == k).drop("file").coalesce(1).write.mode("append").parquet(f"{base}/in")
+    late, turn = F.col("id") % 10 == 0, F.floor(F.col("slice") / 10).cast("int")  # late ones come when all scores are given up, those of ten slices together
+    at = F.when(late, turn + slices + 3).otherwise(F.col("slice") + 1)
+    labels = s.select("line", F.col("id").alias("seq"), F.lit("label").alias("kind"), "id", F.lit(None).cast("int").alias("q"), "response", hour(F.when(late, turn + slices + 26).otherwise(at)).alias("ts"), at.alias("file"))
+    ticks = spark.range(2).select(F.lit("L0").alias("line"), F.col("id").alias("seq"), F.lit("tick").alias("kind"), "id", F.lit(None).cast("int").alias("q"), F.lit(None).cast("int").alias("response"), hour(F.col("id") + slices + 16).alias("ts"), (F.col("id") + slices + 1).cast("int").alias("file"))
+    events = scores.unionByName(labels).unionByName(ticks)
+    events.write.partitionBy("file").parquet(f"{base}/staged")
+    schema, staged = events.drop("file").schema, spark.read.schema(events.schema).parquet(f"{base}/staged")
+    for k in range(slices + 4 + (slices - 1) // 10):  # files come one after the other
+        staged.where(F.col("file") == k).drop("file").coalesce(1).write.mode("append").parquet(f"{base}/in")
     got = label_replay(spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(f"{base}/in"), width=WIDTH, cycle_rows=CYCLE)
     got.writeStream.format("parquet").outputMode("append").option("checkpointLocation", f"{base}/checkpoint").option("path", f"{base}/out").trigger(availableNow=True).start().awaitTermination()
     return spark.read.parquet(f"{base}/out")

@@ -143,3 +143,14 @@ def test_scratch_is_deleted(spark):
     import os
 
     assert not any(os.path.exists(f) for f in folders) and kept.count() == 3
+
+
+def test_micro_batches_of_the_label_replay_dont_grow_with_the_table(spark, tmp_path, monkeypatch):
+    from faultline.plans import origins
+
+    few, rows = sorted(map(tuple, origins.label_replay_windows(spark, "/root/testdata/sf0.01").collect())), 15_000
+    monkeypatch.setattr(origins, "shared_dir", lambda _: f"file://{tmp_path}/replay")
+    monkeypatch.setattr(origins, "SLICE_ROWS", rows // 12)
+    assert sorted(map(tuple, origins.label_replay_windows(spark, "/root/testdata/sf0.01").collect())) == few
+    files = spark.read.parquet(f"file://{tmp_path}/replay/in").groupBy(F.input_file_name()).count().agg(F.max("count"), F.sum("count")).first()
+    assert files[0] <= 2 * rows // 12 and files[1] == 2 * rows + 2
