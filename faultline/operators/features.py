@@ -11,6 +11,7 @@ from faultline.functions.exprs import pairs, shift_bucket, smoothed, tokens, tra
 from faultline.sources.scratch import materialize
 
 from .ordered import asof_backward, joined, lagged, lagged_mean, quantiles, running, sorted_rows, time_counts
+from .wide import dealt
 
 
 def filled_start(parts: DataFrame, t: str = "start_time", key: str = "id") -> DataFrame:
@@ -77,7 +78,7 @@ def legacy_features(rows: DataFrame, key: str = "id") -> DataFrame:
 
 def station_means(readings: DataFrame, stations: Sequence[str]) -> DataFrame:
     """A column for each station with the mean of a part's readings there; null where it wasn't."""
-    return readings.groupBy("id").pivot("station", list(stations)).agg(F.avg("value"))
+    return dealt(readings.select("id", "station", "value")).groupBy("id").pivot("station", list(stations)).agg(F.avg("value"))
 
 
 def other_folds(rows: DataFrame, fold: str, folds: int) -> DataFrame:

@@ -40,6 +40,15 @@ def with_prefix(names: Sequence[str], prefix: str = "sensor_mean_") -> list[str]
     return [prefix + n for n in names]
 
 
+#: Rows that a task pivots, about: its table holds a value of every cell for each of their keys.
+PIVOT_ROWS = 250_000
+
+
+def dealt(rows: DataFrame, key: str = "id", size: int | None = None) -> DataFrame:
+    """rows by their key, in so many partitions that each has about `size` rows; groups of the key then need no other shuffle."""
+    return rows.repartition(max(1, -(-rows.count() // (size or PIVOT_ROWS))), key)
+
+
 def _mean(columns: Sequence[str]) -> Column:
     """Mean of the columns that aren't null; null if all are."""
     n = sum((F.col(c).isNotNull().cast("int") for c in columns[1:]), F.col(columns[0]).isNotNull().cast("int"))
