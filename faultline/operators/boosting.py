@@ -70,11 +70,13 @@ class Tree:
 
     def nodes(self, bins: np.ndarray) -> np.ndarray:
         """The node of each row of bins."""
-        at, rows = np.zeros(len(bins), np.int64), np.arange(len(bins))
+        flat, rows = np.ascontiguousarray(bins).ravel(), np.arange(len(bins)) * bins.shape[1]
+        feature, leaf = np.maximum(self.feature, 0).astype(np.int64), self.feature < 0
+        cut = np.where(leaf, 256, self.cut)  # what is at a leaf goes nowhere
+        at = np.zeros(len(bins), np.int64)
         for _ in range(int(math.log2(len(self.feature) + 1)) - 1):
-            f = self.feature[at]
-            inner = f >= 0
-            at = np.where(inner, 2 * at + 1 + (bins[rows, np.maximum(f, 0)] > self.cut[at]), at)
+            down = 2 * at + 1 + (flat[rows + feature[at]] > cut[at])
+            at = np.where(leaf[at], at, down) if leaf.any() else down
         return at
 
 
@@ -127,6 +129,17 @@ def _values(batch: pa.RecordBatch, first: int) -> np.ndarray:
     return np.stack([c.to_numpy(zero_copy_only=False).astype(float) for c in batch.columns[first:]], axis=1) if batch.num_columns > first else np.empty((batch.num_rows, 0))
 
 
+def _packed(column: pa.Array, kind: type, width: int) -> np.ndarray:
+    """A column of binaries of `width` numbers each, as a table over the column's own memory."""
+    n, size = len(column), width * np.dtype(kind).itemsize
+    if not n * size:
+        return np.empty((n, width), kind)
+    at = np.frombuffer(column.buffers()[1], np.int64 if pa.types.is_large_binary(column.type) else np.int32)[column.offset : column.offset + n + 1]
+    if column.null_count or (np.diff(at) != size).any():
+        raise ValueError(f"binaries of {size} bytes are expected")
+    return np.frombuffer(column.buffers()[2], np.uint8)[at[0] : at[-1]].view(kind).reshape(n, width)
+
+
 def _doubles(features: Sequence[str]) -> list:
     return [F.col(c).cast("double").alias(f"x{k}") for k, c in enumerate(features)]
 
@@ -205,8 +218,7 @@ class _Training:
 
         def read(b: pa.RecordBatch) -> tuple[np.ndarray, ...]:
             key, y, fold = (b.column(k).to_numpy() for k in range(3))
-            bins = np.frombuffer(b"".join(b.column(3).to_pylist()), np.uint8).reshape(len(y), width)
-            margins = np.frombuffer(b"".join(b.column(4).to_pylist()), float).reshape(len(y), folds).copy()
+            bins, margins = _packed(b.column(3), np.uint8, width), _packed(b.column(4), float, folds).copy()
             for k, trees in enumerate(since):
                 for t in trees:
                     margins[:, k] += t.value[t.nodes(bins)]
@@ -236,7 +248,7 @@ class _Training:
 
         def sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             total = np.zeros((3, len(models), count, width, bins), np.int64)
-            loss, features = np.zeros(len(models), np.int64), np.arange(width)
+            loss = np.zeros(len(models), np.int64)
             for b in batches:
                 key, y, fold, x, margins = read(b)
                 for i, k in enumerate(models):
@@ -247,10 +259,12 @@ class _Training:
                     node = grown[k].nodes(x[some]) - first
                     inside = node >= 0  # leaves of former levels are done
                     some[some] = inside
-                    place = ((node[inside][:, None] * width + features) * bins + x[some]).ravel()
+                    node, own = node[inside] * bins, x[some]
                     g, h = gradients(margins[some, k], y[some], weights[k], unit)
-                    for j, v in enumerate((g, h, np.ones(len(g)))):  # batches are small enough for exact sums of doubles
-                        total[j, i] += np.bincount(place, np.repeat(v, width), count * width * bins).astype(np.int64).reshape(count, width, bins)
+                    for f in range(width):  # batches are small enough for exact sums of doubles
+                        place = node + own[:, f]
+                        for j, v in enumerate((g, h, None)):
+                            total[j, i, :, f] += np.bincount(place, v, count * bins).astype(np.int64).reshape(count, bins)
             rows = [(k, n, a // BLOCK, total[:, i, n, a : a + BLOCK].tobytes()) for i, k in enumerate(models) for n in range(count) if total[2, i, n, :1].any() for a in range(0, width, BLOCK)]
             if depth == 0:
                 rows += [(k, -1, 0, loss[i].tobytes()) for i, k in enumerate(models)]

@@ -139,3 +139,16 @@ def test_store_and_score(spark, fitted, tmp_path):
 def test_no_rows(spark):
     got = B.fit(spark.createDataFrame([], "id long, response int, cv_fold int, a double"), ["a"], params=SMALL)
     assert [r.pred for r in B.scores(got, spark.createDataFrame([(1, 2.0)], "id long, a double"), "id").collect()] == [0.5]
+
+
+def test_binaries_are_read_in_place():
+    import pyarrow as pa
+
+    rows = np.random.default_rng(0).normal(size=(50, 3))
+    for kind in (pa.binary(), pa.large_binary()):
+        got = B._packed(pa.array([r.tobytes() for r in rows], kind).slice(7, 20), float, 3)
+        assert np.array_equal(got, rows[7:27]) and not got.flags.owndata
+    assert B._packed(pa.array([], pa.binary()), float, 3).shape == (0, 3) and B._packed(pa.array([b""], pa.binary()), np.uint8, 0).shape == (1, 0)
+    for bad in ([b"12345678", None], [b"12345678", b"1234"]):
+        with pytest.raises(ValueError):
+            B._packed(pa.array(bad, pa.binary()), float, 1)
