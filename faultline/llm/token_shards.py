@@ -48,6 +48,8 @@ SYMBOLS = 1 << 16
 #: Characters of texts whose distinct pieces are encoded together, and characters of pieces that go to the library as one text.
 TOGETHER = 16_000_000
 TEXT = 1 << 18
+#: Bytes of distinct pieces and their ids that an encoder remembers from batch to batch, at most. What it remembers is looked up in each batch, so more would take longer than it saves.
+REMEMBER = 24_000_000
 #: White space as Python and Unicode have it. A space that has some on either side, or stands last, is no place to cut a text.
 SPACE = r"[\t-\r\x1c-\x20\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
 #: Letters that all releases of Unicode call so, and marks of ASCII.
@@ -65,7 +67,8 @@ SHARD = "part int, seq int, first long, n_ids long, base int, width int, doc_ids
 class Encoder:
     """Ids by the tokenizers library; of many texts together every distinct piece is encoded once.
 
-    Texts are cut at spaces, and at other places where byte-level BPE always cuts words. Distinct
+    Pieces and their ids are remembered up to REMEMBER bytes; beyond that only those of the last
+    batch stay. Texts are cut at spaces, and at other places where byte-level BPE always cuts words. Distinct
     pieces are encoded many at a time, as one text: no token crosses a cut, so the bytes that
     tokens stand for say which ids belong to which piece. Arrow cuts texts, finds the distinct
     pieces and puts the ids of the texts together.
@@ -85,6 +88,7 @@ class Encoder:
         self.bytes = np.zeros(self.size, np.int64)  # a byte-level vocabulary writes a character for each byte
         self.bytes[list(tokens)] = list(tokens.values())
         self.special = [t.content for t in added.values()]
+        self.known, self.lists = pa.array([], pa.string()), _lists(np.empty(0, self.kind), np.empty(0, np.int64))
 
     def _each(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of texts, one after the other, and how many each has."""
@@ -126,6 +130,21 @@ class Encoder:
         order[np.concatenate([np.flatnonzero(k) for k in kinds])] = np.arange(len(pieces))
         return _lists(np.concatenate([m[0] for m in made]), np.concatenate([m[1] for m in made])).take(pa.array(order))
 
+    def _looked_up(self, pieces: pa.Array) -> tuple[pa.ListArray, np.ndarray]:
+        """(lists of ids, which of them each of the distinct pieces has). Only pieces that aren't remembered are encoded."""
+        at = pc.index_in(pieces, value_set=self.known.cast(pieces.type))
+        fresh = pc.is_null(at)
+        new = pieces.filter(fresh)
+        place = pc.fill_null(at, 0).to_numpy().astype(np.int64)
+        place[fresh.to_numpy(zero_copy_only=False)] = len(self.known) + np.arange(len(new))
+        lists = pa.concat_arrays([self.lists, self._distinct(new)]) if len(new) else self.lists
+        self.known, self.lists = pa.concat_arrays([self.known.cast(pieces.type), new]), lists
+        if self.known.nbytes + self.lists.nbytes > REMEMBER:
+            own = lists.take(pa.array(place))
+            few = pieces.nbytes + own.nbytes <= REMEMBER
+            self.known, self.lists = (pieces, own) if few else (pieces[:0], lists[:0])
+        return lists, place
+
     def batch(self, texts: pa.Array) -> list[bytes]:
         """Little-endian ids of each text, 16 bits wide or 32."""
         whole = pc.match_substring_regex(texts, WHOLE)
@@ -147,9 +166,10 @@ class Encoder:
         follows[first] = False
         heads, pieces = (parts.filter(pa.array(x)).dictionary_encode() for x in (~follows, follows))
         # All distinct parts, heads last, are lists of ids; each text is a run of them.
-        known = pa.concat_arrays([self._distinct(pieces.dictionary), _lists(*self._each(heads.dictionary.to_pylist()))])
+        lists, place = self._looked_up(pieces.dictionary)
+        known = pa.concat_arrays([lists, _lists(*self._each(heads.dictionary.to_pylist()))])
         number = np.empty(len(parts), np.int64)
-        number[follows], number[first] = pieces.indices, heads.indices.to_numpy() + len(pieces.dictionary)
+        number[follows], number[first] = place[pieces.indices.to_numpy()], heads.indices.to_numpy() + len(lists)
         counts = np.add.reduceat(np.diff(known.offsets.to_numpy())[number], first)
         self._deal(out, np.flatnonzero(~whole), known.take(pa.array(number)).flatten().to_numpy(), counts)
         return out
@@ -246,11 +266,13 @@ def compress(ids: np.ndarray, lengths: np.ndarray, base: int, symbols: int = SYM
         stay[place + 1] = False
         fresh = None
         if bar == least_uses:
-            moved = np.cumsum(stay) - 1
-            fresh = np.unique(np.concatenate([moved[place], moved[place] - 1, moved[hit[stay[hit]]]]))
+            moved = np.cumsum(stay, dtype=np.int32 if len(seq) < 1 << 31 else np.int64) - 1
         seq = seq[stay]
-        if fresh is not None:
-            fresh = fresh[(fresh >= 0) & (fresh < len(seq) - 1)]
+        if bar == least_uses:
+            look = np.zeros(len(seq) + 1, bool)  # the last one is free, as place -1
+            for at in (moved[place], moved[place] - 1, moved[hit[stay[hit]]]):
+                look[at] = True
+            fresh = np.flatnonzero(look[: len(seq) - 1])
     ends = np.flatnonzero(seq >= end) + 1
     sizes = np.zeros(len(lengths), dtype=np.uint32)
     sizes[lengths > 0] = np.diff(np.concatenate([[0], ends]))

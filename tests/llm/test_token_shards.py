@@ -108,3 +108,22 @@ def test_wide_symbols_round_trip(spark, tmp_path):
     path = f"file://{tmp_path}/wide"
     ts.write_token_shards(docs, PATH, path, symbols=1 << 31, least_uses=2)
     assert {(r.doc_id, r.start, tuple(r.token_ids)) for r in ts.read_token_shards(spark, path).collect()} == {(i, s, tuple(ids)) for i, s, ids in expected(ROWS)}
+
+
+def test_encoder_remembers_pieces(monkeypatch):
+    import random
+
+    own, lib, asked = ts.Encoder(PATH), Tokenizer.from_file(PATH), []
+    distinct = own._distinct
+    monkeypatch.setattr(own, "_distinct", lambda pieces: asked.append(len(pieces)) or distinct(pieces))
+    a, b = ["the cat sat, on a mat.", "one two", ""], ["two cat sat", "a new mat. one"]
+    for texts in (a, a, b):
+        assert [np.frombuffer(x, "<u2").tolist() for x in own.batch(pa.array(texts))] == [lib.encode(t, add_special_tokens=False).ids for t in texts]
+    assert len(asked) == 2 and asked[1] == 2  # of the last batch "new" is new, and "one", which only began a text
+    rng = random.Random(7)
+    for bound in (0, 200, 2_000, 1 << 30):
+        monkeypatch.setattr(ts, "REMEMBER", bound)
+        for _ in range(12):
+            texts = [" ".join("".join(rng.choice("abé. ,!") for _ in range(rng.randint(0, 4))) for _ in range(rng.randint(0, 9))) for _ in range(9)]
+            assert [np.frombuffer(x, "<u2").tolist() for x in own.batch(pa.array(texts))] == [lib.encode(t, add_special_tokens=False).ids for t in texts]
+            assert own.known.nbytes + own.lists.nbytes <= max(bound, 100)
