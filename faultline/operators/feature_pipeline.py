@@ -10,9 +10,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from faultline.sources.ingest import fingerprint, load_lookup, save_lookup
-from faultline.sources.scratch import materialize
+from faultline.sources.scratch import materialize, stored
 
-from .features import LEGACY, aligned, core_features, date_features, duplicate_runs, duration_stats, legacy_features, medians, path_features, path_lookup, since_failures
+from .features import LEGACY, aligned, date_features, duration_stats, legacy_past, medians, path_features, path_lookup, placed_core, run_ranks, run_starts, since_failures
 from .joins import refuse, require
 
 #: Features may look back only; names that begin so are refused.
@@ -45,6 +45,9 @@ class FeaturePipeline:
     dates, the legacy block, and history. History needs the failures of a `context`. Without a
     context, or one without failures, it has its fitted medians - or transform raises, if
     `need_history`.
+
+    transform sorts rows once, by (start_time, id). What else it says of a part is looked up by
+    its times, path and categories, of which there are as many as differ; there is no join by id.
     """
 
     lookup: dict[str, DataFrame]
@@ -59,9 +62,9 @@ class FeaturePipeline:
     @classmethod
     def fit(cls, parts: DataFrame, label: str = "response", *, numeric: Sequence[str] = (), categorical: Sequence[str] = (), same: Sequence[str] = ("path_signature", "feature_mean")) -> FeaturePipeline:
         require(parts, "id", label, "start_time", "end_time", "duration", "feature_mean", "path_signature", *numeric, *categorical, *same)
-        parts = materialize(parts)
-        past = since_failures(parts.select("id", label, "end_time"), label=label)
-        m = medians(past, HISTORY) | medians(parts, numeric)
+        parts = stored(parts)
+        times = materialize(parts.groupBy("end_time").agg(F.count("*").alias("__n")))
+        m = medians(since_failures(times, label=label, failures=parts), HISTORY, "__n") | medians(parts, numeric)
         overall = parts.agg(F.avg(label)).first()[0] or 0.0
         lookup = path_lookup(parts, label=label)
         for c in categorical:
@@ -78,7 +81,7 @@ class FeaturePipeline:
 
     def transform(self, parts: DataFrame, context: DataFrame | None = None, *, need_history: bool = False, label: str = "response") -> DataFrame:
         """id and all features of parts, in the order and types of the contract."""
-        parts = materialize(parts.drop(label))
+        parts = stored(parts).drop(label)
         if any(c.startswith(FORBIDDEN) for c in parts.columns):
             raise ValueError(f"columns that look ahead: {[c for c in parts.columns if c.startswith(FORBIDDEN)]}")
         require(parts, "id", "start_time", "end_time", "duration", "feature_mean", "path_signature", *self.numeric, *self.categorical, *self.same)
@@ -86,16 +89,19 @@ class FeaturePipeline:
         known = failures is not None and not failures.isEmpty()
         if need_history and not known:
             raise ValueError("there is no failure to look back to")
-        got = path_features(core_features(parts), self.lookup, self.overall)
+        starts = run_starts(parts, self.same, "start_time", "id")
+        got = placed_core(run_ranks(starts), parts)
+        paths = materialize(path_features(materialize(parts.select("path_signature").distinct()), self.lookup, self.overall))
+        got = got.join(paths, "path_signature")
         for c in self.categorical:
             rates = self.lookup[f"category_{c}"].select(F.col("value").alias("__value"), F.col("rate").alias(f"{c}_target_enc"))
             got = got.join(rates, F.col(c).cast("string") == F.col("__value"), "left").drop("__value")
-        got = date_features(got, self.stats)
-        for block, names in ((duplicate_runs(parts.select("id", "start_time", *[c for c in self.same if c not in ("id", "start_time")]), self.same, "start_time", "id"), DUPLICATES), (legacy_features(parts.select("id")), OLD)):
-            got = got.join(block.select("id", *names), "id")
+        got = legacy_past(date_features(got, self.stats), parts)
         if known:
-            both = parts.select("id", "end_time", F.lit(0).alias(label), F.lit(True).alias("__own")).unionByName(failures.select((-1 - F.col("id")).alias("id"), "end_time", F.lit(1).alias(label), F.lit(False).alias("__own")))
-            got = got.join(since_failures(both, label=label).where("__own").select("id", *HISTORY), "id", "left")
+            times = materialize(parts.select("end_time").distinct())
+            past = since_failures(times, label=label, failures=failures).select(F.col("end_time").alias("__end"), *HISTORY)
+            got = got.join(past, F.col("end_time") == F.col("__end"), "left")
+        got = got.where(F.col("id").isNotNull())
         return refuse(aligned(got, self.contract), label)
 
     def save(self, path: str) -> None:

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from faultline.functions.exprs import pairs, shift_bucket, smoothed, tokens, transitions
 from faultline.sources.scratch import materialize
 
-from .ordered import asof_backward, joined, lagged, lagged_mean, quantiles, running, sorted_rows, time_counts
+from .ordered import asof_backward, joined, lagged, lagged_mean, placed_counts, quantiles, running, sorted_rows, time_counts
 from .wide import dealt
 
 
@@ -33,12 +33,28 @@ def _blocked(placed: DataFrame, size: int, n: int) -> DataFrame:
     return placed.withColumn("time_block", block).withColumn("block_size", F.least(F.lit(size), F.lit(n) - F.col("time_block") * size).cast("long")).drop("__pos")
 
 
+#: Widths of the sliding counts of the core features.
+RECENT = {"records_last_1hr": 1.0, "records_last_24hr": 24.0}
+
+
 def core_features(parts: DataFrame, *, block: int = 10_000) -> DataFrame:
     """The eight core features: times, mean, sliding counts of 1 and 24 units, their ratio, time block."""
     parts = materialize(parts)
-    timed = time_counts(filled_start(parts), "start_time", "id", {"records_last_1hr": 1.0, "records_last_24hr": 24.0}, "__pos")
-    timed = timed.withColumn("density_ratio", F.col("records_last_1hr") / F.greatest(F.col("records_last_24hr"), F.lit(1)))
-    return _blocked(timed, block, parts.count())
+    timed = time_counts(filled_start(parts), "start_time", "id", RECENT, "__pos")
+    return _blocked(timed.withColumn("density_ratio", density()), block, parts.count())
+
+
+def density() -> Column:
+    return F.col("records_last_1hr") / F.greatest(F.col("records_last_24hr"), F.lit(1))
+
+
+def placed_core(starts: DataFrame, parts: DataFrame) -> DataFrame:
+    """Core features but for the time block, of rows that run_starts has put in the order of (start_time, id): nulls, last there, come first here."""
+    n, empty, first = parts.agg(F.count("*"), F.count_if(F.col("start_time").isNull()), F.min("start_time")).first()
+    pos = F.pmod(F.col("__pos") + F.lit(empty), F.lit(max(1, n)))
+    filled = F.coalesce(F.col("start_time").cast("double"), pos.cast("double") if first is None else F.lit(float(first) - 1.0))
+    got = placed_counts(starts.withColumns({"__when": pos, "start_time": filled}), "start_time", "__when", RECENT)
+    return got.withColumn("density_ratio", density())
 
 
 #: Units of the time proxies, and row windows of the legacy block.
@@ -46,9 +62,9 @@ WEEK, DAY, HOUR, HOURS = 1680, 240, 10, 24
 LEGACY = (25, 240, 1680)
 
 
-def medians(rows: DataFrame, columns: Sequence[str]) -> dict[str, float]:
-    """Exact medians of columns, 0 for one without a value."""
-    known = {r.column_name: r.value for r in quantiles(rows, columns, [0.5]).collect()} if columns else {}
+def medians(rows: DataFrame, columns: Sequence[str], weight: str | None = None) -> dict[str, float]:
+    """Exact medians of columns, 0 for one without a value; a row counts as often as its `weight` says."""
+    known = {r.column_name: r.value for r in quantiles(rows, columns, [0.5], weight=weight).collect()} if columns else {}
     return {c: float(known.get(c, 0.0)) for c in columns}
 
 
@@ -73,7 +89,20 @@ def legacy_features(rows: DataFrame, key: str = "id") -> DataFrame:
     n = rows.count()
     got = running(rows, [F.col(key)], position="__pos")
     windows = {k: c for w in LEGACY for k, c in ((f"last_{w}", F.least(F.col("__pos") + 1, F.lit(w)).cast("long")), (f"next_{w}", F.least(F.lit(n) - F.col("__pos"), F.lit(w)).cast("long")))}
-    return got.withColumns(windows | {"week_part": F.pmod(key, F.lit(WEEK)).cast("int"), "shift": shift_bucket(F.pmod(F.floor(F.col(key) / HOUR), F.lit(HOURS)))}).drop("__pos")
+    return got.withColumns(windows | _id_times(key)).drop("__pos")
+
+
+def legacy_past(rows: DataFrame, ids: DataFrame, key: str = "id") -> DataFrame:
+    """rows with what looks back in the legacy block of `ids`: last_w, week_part, shift. Only the first of all have fewer before them than a window, so only these are put in order."""
+    few = ids.select(F.col(key).alias("__first")).orderBy("__first").limit(max(LEGACY)).withColumn("__nth", F.row_number().over(Window.orderBy("__first")) - 1)
+    got = rows.join(F.broadcast(few.groupBy("__first").agg(F.max("__nth").alias("__nth"))), F.col(key) == F.col("__first"), "left")
+    windows = {f"last_{w}": F.coalesce(F.least(F.col("__nth") + 1, F.lit(w)), F.lit(w)).cast("long") for w in LEGACY}
+    return got.withColumns(windows | _id_times(key)).drop("__first", "__nth")
+
+
+def _id_times(key: str) -> dict[str, Column]:
+    """The legacy block's place in the week and shift."""
+    return {"week_part": F.pmod(key, F.lit(WEEK)).cast("int"), "shift": shift_bucket(F.pmod(F.floor(F.col(key) / HOUR), F.lit(HOURS)))}
 
 
 def station_means(readings: DataFrame, stations: Sequence[str]) -> DataFrame:
@@ -95,7 +124,7 @@ def path_lookup(paths: DataFrame, *, label: str = "response", signature: str = "
     sums = paths.groupBy(*key, signature).agg(F.sum(label).alias("pos"), F.count("*").alias("n"))
     if fold:
         sums = other_folds(sums, fold, folds).groupBy(fold, signature).agg(F.sum("pos").alias("pos"), F.sum("n").alias("n"))
-    sums = sums.withColumn("path", tokens(F.col(signature)))
+    sums = materialize(sums).withColumn("path", tokens(F.col(signature)))
 
     def rate(items: Column) -> DataFrame:
         got = sums.select(*key, F.explode(items).alias("token"), "pos", "n").groupBy(*key, "token").agg(F.sum("pos").alias("pos"), F.sum("n").alias("n"))
@@ -153,14 +182,14 @@ def rolling_rate(train: DataFrame, probes: DataFrame, overall: float, *, rows: i
     return asof_backward(probes, past.select(*by, t, key, name).withColumnRenamed(key, "__key"), t, [name], F.col("__key"), {name: F.lit(overall)}, by)
 
 
-def since_failures(parts: DataFrame, ks: Sequence[int] = (1, 5, 10), *, t: str = "end_time", key: str = "id", label: str = "response", failure_t: str = "end_time") -> DataFrame:
-    """parts with since_k: their time less the mean time of the last k failures strictly before it; null with fewer.
+def since_failures(parts: DataFrame, ks: Sequence[int] = (1, 5, 10), *, t: str = "end_time", key: str = "id", label: str = "response", failure_t: str = "end_time", failures: DataFrame | None = None) -> DataFrame:
+    """parts with since_k: their time less the mean time of the last k failures strictly before it; null with fewer. With `failures` only that table's failures count.
 
     Failures are few against the rows: they are numbered and summed up in time order (times to
     nine decimal places), each gets the mean of the k that end with it, and each part looks up
     the last one before it.
     """
-    failed = parts.where((F.col(label) == 1) & F.col(failure_t).isNotNull()).select(F.col(failure_t).alias("__t"), F.col(key).alias("__key"))
+    failed = (parts if failures is None else failures).where((F.col(label) == 1) & F.col(failure_t).isNotNull()).select(F.col(failure_t).alias("__t"), F.col(key).alias("__key"))
     # Decimals: the difference of two long sums of doubles would have lost what the times differ by.
     exact = F.col("__t").cast("decimal(38,9)")
     summed = lagged(running(failed, [F.col("__t"), F.col("__key")], {"__sum": exact}, "__i"), "__i", {f"__s{k}": (F.col("__sum"), k) for k in ks})
@@ -178,11 +207,11 @@ def median_filled(rows: DataFrame, columns: Sequence[str], fit: DataFrame | None
 
 def aligned(rows: DataFrame, contract: Sequence[tuple[str, str, object]]) -> DataFrame:
     """Exactly the columns of the contract (name, type, fill), in its order: missing ones are made, others go, nulls are filled; integers are rounded half to even."""
-    have = set(rows.columns)
+    have, whole = dict(rows.dtypes), ("int", "bigint", "smallint", "tinyint")
     out = []
     for name, kind, fill in contract:
         c = F.col(name) if name in have else F.lit(None)
-        if kind in ("int", "bigint", "smallint", "tinyint"):
+        if kind in whole and have.get(name) not in whole:
             c = F.bround(c.cast("double"))
         out.append(F.coalesce(c.cast(kind), F.lit(fill).cast(kind)).alias(name))
     return rows.select(*out)
@@ -194,13 +223,23 @@ def duplicate_runs(rows: DataFrame, same: Sequence[str], t: str, key: str) -> Da
     Rows are sorted once. The first row of a range sees the last one of the range before; a
     range's runs, places and ends go on in those beside it by a table with a row for each range.
     """
-    got = sorted_rows(rows.withColumn("__same", F.struct(*same)), [F.col(t).asc_nulls_last(), F.col(key)])
+    return run_ranks(run_starts(rows, same, t, key)).select(*rows.columns, "dup_run", "run_size", "run_rank", "run_rank_desc")
+
+
+def run_starts(rows: DataFrame, same: Sequence[str], t: str, key: str) -> DataFrame:
+    """rows as written in the order of duplicate_runs: __range, __place, __pos (place among all), __new (a run begins) and __all (rows)."""
+    got = sorted_rows(rows, [F.col(t).asc_nulls_last(), F.col(key)]).withColumn("__same", F.struct(*same))
     ranges, w = Window.orderBy("__range"), Window.partitionBy("__range").orderBy("__place")
     ends = got.groupBy("__range").agg(F.max_by("__same", "__place").alias("__end"), F.count("*").alias("__n"))
     ends = ends.select("__range", F.lag("__end").over(ranges).alias("__before"), (F.sum("__n").over(ranges) - F.col("__n")).alias("__ahead"), F.sum("__n").over(Window.partitionBy()).alias("__all"))
     got = joined(got, ends, ["__range"]).withColumn("__pos", F.col("__ahead") + F.col("__place"))
     before = F.when(F.col("__place") == 0, F.col("__before")).otherwise(F.lag("__same").over(w))
-    got = materialize(got.withColumn("__new", (F.col("__pos") == 0) | ~F.col("__same").eqNullSafe(before)).drop("__same", "__before", "__ahead"))
+    return materialize(got.withColumn("__new", (F.col("__pos") == 0) | ~F.col("__same").eqNullSafe(before)).drop("__same", "__before", "__ahead"))
+
+
+def run_ranks(got: DataFrame) -> DataFrame:
+    """dup_run, run_size, run_rank and run_rank_desc of what run_starts gives."""
+    ranges, w = Window.orderBy("__range"), Window.partitionBy("__range").orderBy("__place")
     start = F.when(F.col("__new"), F.col("__pos"))
     runs = got.groupBy("__range").agg(F.count_if("__new").alias("__n"), F.min(start).alias("__low"), F.max(start).alias("__high"))
     # What follows is seen in descending order: a frame that shrinks from row to row would be gone through anew for each.
@@ -209,8 +248,7 @@ def duplicate_runs(rows: DataFrame, same: Sequence[str], t: str, key: str) -> Da
     upto, after = w.rowsBetween(Window.unboundedPreceding, 0), Window.partitionBy("__range").orderBy(F.desc("__place")).rowsBetween(Window.unboundedPreceding, -1)
     got = joined(got.withColumns({"dup_run": F.sum(F.col("__new").cast("long")).over(upto), "__start": F.max(start).over(upto), "__next": F.min(start).over(after)}), runs, ["__range"])
     first, end = F.coalesce("__start", "__high"), F.coalesce("__next", "__low", "__all")
-    got = got.withColumns({"dup_run": F.col("dup_run") + F.col("__n"), "run_size": end - first, "run_rank": F.col("__pos") - first + 1, "run_rank_desc": end - F.col("__pos")})
-    return got.select(*rows.columns, "dup_run", "run_size", "run_rank", "run_rank_desc")
+    return got.withColumns({"dup_run": F.col("dup_run") + F.col("__n"), "run_size": end - first, "run_rank": F.col("__pos") - first + 1, "run_rank_desc": end - F.col("__pos")})
 
 
 def run_neighbours(rows: DataFrame, by: str, key: str, value: str, size: str) -> DataFrame:

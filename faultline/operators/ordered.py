@@ -109,13 +109,17 @@ def time_counts(df: DataFrame, t: str, key: str, widths: Mapping[str, float], po
     The own place less the number of rows before t - w. The latter follows from counts of
     distinct times, so only places are found by sorting rows; `position` names them in the result.
     """
-    placed = running(df, [F.col(t).asc_nulls_last(), F.col(key)], position="__pos")
+    got = placed_counts(running(df, [F.col(t).asc_nulls_last(), F.col(key)], position="__pos"), t, "__pos", widths)
+    return got.withColumnRenamed("__pos", position) if position else got.drop("__pos")
+
+
+def placed_counts(placed: DataFrame, t: str, position: str, widths: Mapping[str, float]) -> DataFrame:
+    """time_counts of rows whose place in the order of (t, key) is known."""
     # The last place at a time says how many rows are at or before it.
-    times = materialize(placed.where(F.col(t).isNotNull()).groupBy(F.col(t).cast("double").alias("__t")).agg((F.max("__pos") + 1).alias("__upto")))
+    times = materialize(placed.where(F.col(t).isNotNull()).groupBy(F.col(t).cast("double").alias("__t")).agg((F.max(position) + 1).alias("__upto")))
     before = materialize(_upto(times, {f"__b_{k}": F.col("__t") - F.lit(float(w)) for k, w in widths.items()}, True))
     got = placed.join(before, F.col(t).cast("double") == F.col("__t"), "left")
-    got = got.withColumns({k: F.col("__pos") + 1 - F.col(f"__b_{k}") for k in widths}).drop("__t", *[f"__b_{k}" for k in widths])
-    return got.withColumnRenamed("__pos", position) if position else got.drop("__pos")
+    return got.withColumns({k: F.col(position) + 1 - F.col(f"__b_{k}") for k in widths}).drop("__t", *[f"__b_{k}" for k in widths])
 
 
 def centered_counts(df: DataFrame, t: str, name: str, reach: float) -> DataFrame:
@@ -126,15 +130,15 @@ def centered_counts(df: DataFrame, t: str, name: str, reach: float) -> DataFrame
     return got.withColumn(name, F.col("__high") - F.col("__low") - 1).drop("__t", "__high", "__low")
 
 
-def quantiles(rows: DataFrame, columns: Sequence[str], shares: Sequence[float], by_range: int | None = None) -> DataFrame:
+def quantiles(rows: DataFrame, columns: Sequence[str], shares: Sequence[float], by_range: int | None = None, weight: str | None = None) -> DataFrame:
     """column_name, share, value: exact quantiles of numeric columns, between two values in proportion; no row for a column without a value.
 
     Distinct values are counted and put in order by ranges, for all columns at once. How many rows
     each range holds says which range has the rows that a share falls between; only that range's
-    values are added up. Nulls are left out, NaN is the largest value.
+    values are added up. Nulls are left out, NaN is the largest value. A row counts as often as its `weight` says.
     """
-    cells = rows.select(F.explode(F.array(*[F.struct(F.lit(c).alias("column_name"), F.col(c).cast("double").alias("v")) for c in columns])).alias("x")).select("x.column_name", "x.v")
-    counts = cells.where("v IS NOT NULL").groupBy("column_name", "v").agg(F.count("*").alias("n"))
+    cells = rows.select(F.explode(F.array(*[F.struct(F.lit(c).alias("column_name"), F.col(c).cast("double").alias("v")) for c in columns])).alias("x"), (F.col(weight) if weight else F.lit(1)).cast("long").alias("w")).select("x.column_name", "x.v", "w")
+    counts = cells.where("v IS NOT NULL").groupBy("column_name", "v").agg(F.sum("w").alias("n"))
     ordered = sorted_rows(counts, [F.col("v")], ["column_name"])
     # A row for each column and range; then one for each column and share.
     ranges = ordered.groupBy("column_name", "__range").agg(F.sum("n").alias("n"))

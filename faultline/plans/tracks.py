@@ -225,9 +225,9 @@ def importance_rank_change(spark: SparkSession, sf_dir: str) -> DataFrame:
 def feature_pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fitted on each half of the parts, applied to the other half with the first as context."""
     parts, out = materialize(V.parts(spark, sf_dir)), None
-    for k in range(2):
-        known = parts.where(F.col("id") % 2 == k)
-        got = FeaturePipeline.fit(known, numeric=["n_values"], categorical=["path_signature"]).transform(parts.where(F.col("id") % 2 != k), known)
+    halves = [materialize(parts.where(F.col("id") % 2 == k)) for k in range(2)]
+    for known, others in (halves, halves[::-1]):
+        got = FeaturePipeline.fit(known, numeric=["n_values"], categorical=["path_signature"]).transform(others, known)
         out = got if out is None else out.unionByName(got)
     return out
 

@@ -339,3 +339,43 @@ def test_pivots_deal_their_rows_to_as_many_tasks_as_they_need(spark, monkeypatch
             assert len(tasks) == 12 and max(r["count"] for r in tasks) < 2_000 and got.select("id").distinct().count() == got.count()
     finally:
         spark.conf.set("spark.sql.shuffle.partitions", "4")
+
+
+@pytest.mark.parametrize("timed", [True, False])
+def test_feature_pipeline_sorts_rows_once(spark, monkeypatch, timed):
+    """Times, runs, old windows and history are those of the operators, with missing times as well; all rows are put in order once only."""
+    from faultline.operators import features, ordered
+    from faultline.operators.feature_pipeline import FeaturePipeline
+
+    at = lambda i: None if i % 9 == 0 or not timed else i * 7 % 12 / 4
+    rows = [(i, int(i % 4 == 0), at(i), None if at(i) is None else at(i) + i % 3, 2.0 + i % 5, i // 2 % 3 / 10, "a|b" if i % 2 else "a") for i in range(1, 1801)]
+    parts = spark.createDataFrame(rows, "id long, response int, start_time double, end_time double, duration double, feature_mean double, path_signature string")
+    fitted = FeaturePipeline.fit(parts)
+    past = features.since_failures(parts.select("id", "response", "end_time"))
+    assert {k: fitted.medians[k] for k in ("since_1", "since_10")} == features.medians(past, ["since_1", "since_10"])
+    placed = []
+    real = ordered.sorted_rows
+
+    def counted(*a, **b):
+        got = real(*a, **b)
+        placed.append(got.count())
+        return got
+
+    with monkeypatch.context() as m:
+        m.setattr(ordered, "sorted_rows", counted)
+        m.setattr(features, "sorted_rows", counted)
+        got = {r.id: r.asDict() for r in fitted.transform(parts, parts).collect()}
+    if timed:
+        assert len(got) == len(rows) and len(rows) <= sum(placed) < 2 * len(rows)
+    context = parts.where("response = 1")
+    both = parts.select("id", "end_time", F.lit(0).alias("response")).unionByName(context.select((-F.col("id")).alias("id"), "end_time", "response"))
+    want = (
+        (features.core_features(parts), ("start_time", "records_last_1hr", "records_last_24hr", "density_ratio")),
+        (features.duplicate_runs(parts, ["path_signature", "feature_mean"], "start_time", "id"), ("run_size", "run_rank", "run_rank_desc")),
+        (features.legacy_features(parts.select("id")), ("last_25", "last_1680", "week_part", "shift")),
+        (features.since_failures(both).where("id > 0"), ("since_1", "since_10")),
+    )
+    for table, names in want:
+        for r in table.select("id", *names).collect():
+            fill = {n: fitted.medians.get(n, 0) for n in names}
+            assert {n: got[r.id][n] for n in names} == {n: fill[n] if r[n] is None else r[n] for n in names}
